@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from packetloom.llm import jaccard, langid, packing, quality
+from packetloom.llm import chat, jaccard, langid, licenses, packing, quality, sharding
 from packetloom.llm.common import read_table
 
 
@@ -26,10 +26,35 @@ def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs.drop("lang"), model).select("doc_id", held.alias("held_out"), "lang_pred", "score", "accepted")
 
 
+def op3_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = "</s>[INST] ok [/INST]"
+    extra = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    rows = read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
+    back = chat.read_back(chat.format_conversations(rows))
+    lines = F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n")))
+    return back.select(
+        "conv_id",
+        F.size("turns").cast("long").alias("n_turns"),
+        F.sha2(F.array_join(lines, "").cast("binary"), 256).alias("turns_sha256"),
+        F.length("loss_text").cast("long").alias("loss_chars"),
+        F.sha2(F.col("loss_text").cast("binary"), 256).alias("loss_sha256"),
+        "formatted_chars",
+    )
+
+
+def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_licenses(read_table(spark, sf_dir, "documents"))
+
+
 def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_components(read_table(spark, sf_dir, "documents"), k=4, percent=85)
 
 
+def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = sharding.shard_by_bytes(read_table(spark, sf_dir, "documents").select("doc_id", "text"), 24)
+    return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(read_table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), keep_ids=False)
 
@@ -74,7 +99,10 @@ FROM f
 
 QUERIES = {
     "op2_language": op2_language,
+    "op3_chat": op3_chat,
+    "op4_licenses": op4_licenses,
     "op5_jaccard_join": op5_jaccard_join,
+    "op7_sharding": op7_sharding,
     "op8_packing": op8_packing,
     "op9_quality": op9_quality,
 }
