@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from packetloom.llm import chat, jaccard, langid, licenses, packing, quality, sharding
+from packetloom.llm import ann, chat, extraction, jaccard, langid, licenses, packing, quality, sharding
 from packetloom.llm.common import read_table
 
 
@@ -19,6 +19,11 @@ def _fold(key: Column) -> Column:
     return F.crc32(key.cast("string").cast("binary")) % 4
 
 
+def op1_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read_table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return ann.nearest(rows, F.col("vec_id") % 20 == 0)
+
+
 def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     model = langid.fit(docs.where(_fold(F.col("doc_id")) != 2))
@@ -66,6 +71,10 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), "kept")
 
 
+def op10_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extraction.extract(read_table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
 OP9_SQL = r"""
 WITH d AS (
   SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
@@ -98,6 +107,7 @@ FROM f
 """
 
 QUERIES = {
+    "op1_neighbours": op1_neighbours,
     "op2_language": op2_language,
     "op3_chat": op3_chat,
     "op4_licenses": op4_licenses,
@@ -105,5 +115,6 @@ QUERIES = {
     "op7_sharding": op7_sharding,
     "op8_packing": op8_packing,
     "op9_quality": op9_quality,
+    "op10_extraction": op10_extraction,
 }
 ORACLES = {"op9_quality": OP9_SQL}
