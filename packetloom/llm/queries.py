@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from packetloom.llm import ann, chat, extraction, jaccard, langid, licenses, packing, quality, sharding
+from packetloom.llm import ann, chat, extraction, jaccard, langid, licenses, packing, pieces, quality, sharding
 from packetloom.llm.common import read_table
 
 
@@ -55,6 +55,11 @@ def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_components(read_table(spark, sf_dir, "documents"), k=4, percent=85)
 
 
+def op6_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pieces.encode(docs, tokenizer_path("piece_bpe_32k.model"), F.col("doc_id")).select("doc_id", "n_pieces", "ids", "lossless")
+
+
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = sharding.shard_by_bytes(read_table(spark, sf_dir, "documents").select("doc_id", "text"), 24)
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
@@ -112,6 +117,7 @@ QUERIES = {
     "op3_chat": op3_chat,
     "op4_licenses": op4_licenses,
     "op5_jaccard_join": op5_jaccard_join,
+    "op6_pieces": op6_pieces,
     "op7_sharding": op7_sharding,
     "op8_packing": op8_packing,
     "op9_quality": op9_quality,
