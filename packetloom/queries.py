@@ -1,4 +1,499 @@
 """Registered queries of the capture-analytics engine and the SQL that states their results."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+from datetime import datetime
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from packetloom.functions import net
+from packetloom.model import frames_cte, frames_from_events
+from packetloom.operators import files, findings, pairing, predicates as P, sessions as S, stats, tcp_state, timeline, windows
+from packetloom.plans import history
+from packetloom.plans.tables import settle
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+
+#: The session fold in SQL, on top of the frames.
+SESSION_SQL = """
+t AS (SELECT *, least({'ip': src_ip, 'port': src_port}, {'ip': dst_ip, 'port': dst_port}) AS a,
+    greatest({'ip': src_ip, 'port': src_port}, {'ip': dst_ip, 'port': dst_port}) AS b, {'ip': src_ip, 'port': src_port} AS src FROM frames),
+t2 AS (SELECT *, last_value(CASE WHEN flags & 18 = 18 THEN src END IGNORE NULLS) OVER (PARTITION BY proto, a, b ORDER BY ordinal ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS sa FROM t),
+t3 AS (SELECT *, CASE WHEN proto <> 'tcp' THEN 0 ELSE
+    (CASE WHEN flags & 18 = 2 THEN 1 ELSE 0 END) | (CASE WHEN flags & 18 = 18 THEN 2 ELSE 0 END) | (CASE WHEN flags & 18 = 16 AND coalesce(sa <> src, false) THEN 4 ELSE 0 END)
+    | (CASE WHEN payload_len > 0 THEN 8 ELSE 0 END) | (CASE WHEN flags & 1 <> 0 THEN 16 ELSE 0 END) | (CASE WHEN flags & 4 <> 0 THEN 32 ELSE 0 END) END AS c_bits FROM t2),
+g AS (SELECT proto, a, b, min(ordinal) AS first_ordinal, count(*) AS packets, CAST(sum(orig_len) AS BIGINT) AS bytes,
+    CAST(sum(CASE WHEN src = a THEN orig_len ELSE 0 END) AS BIGINT) AS bytes_a, count(*) FILTER (WHERE src = a) AS packets_a, count(*) FILTER (WHERE ts IS NULL) AS untimed,
+    min(ts) AS min_ts, max(ts) AS max_ts, arg_min(src, ordinal) AS first_src, arg_min(src, {'t': ts, 'o': ordinal}) FILTER (WHERE ts IS NOT NULL) AS early_src,
+    arg_min(src, ordinal) FILTER (WHERE flags & 18 = 2) AS opener, bool_or(flags & 4 <> 0) AS any_rst, bit_or(c_bits) AS completeness, arg_min(app, ordinal) AS app,
+    arg_min(process, ordinal) FILTER (WHERE trim(process) <> '') AS process, arg_min(dns_name, ordinal) FILTER (WHERE trim(dns_name) <> '') AS dns_query,
+    coalesce(list_sort(list(DISTINCT dns_answer) FILTER (WHERE dns_answer IS NOT NULL)), []) AS dns_answers,
+    min(ts) FILTER (WHERE dns_name IS NOT NULL AND rcode IS NULL) AS query_ts, min(ts) FILTER (WHERE dns_answer IS NOT NULL) AS answer_ts
+  FROM t3 GROUP BY proto, a, b),
+g1 AS (SELECT *, CASE WHEN untimed > 0 THEN first_src ELSE early_src END AS f FROM g),
+g2 AS (SELECT *, CASE WHEN f = a THEN b ELSE a END AS o FROM g1),
+g3 AS (SELECT *, CASE WHEN CASE WHEN opener IS NOT NULL THEN opener <> f ELSE
+    (f.port < 1024 OR f.port IN (1080,1194,1433,1521,3128,3306,3389,5060,5061,5222,5223,5228,5432,5900,6379,8000,8080,8443,8883,27017))
+    AND NOT (o.port < 1024 OR o.port IN (1080,1194,1433,1521,3128,3306,3389,5060,5061,5222,5223,5228,5432,5900,6379,8000,8080,8443,8883,27017)) END THEN o ELSE f END AS client FROM g2),
+sessions AS (SELECT concat_ws('|', proto, a.ip, a.port, b.ip, b.port) AS session_id, proto, app, [proto, app] AS stack,
+    client.ip AS client_ip, client.port AS client_port, CASE WHEN client = a THEN b.ip ELSE a.ip END AS server_ip, CASE WHEN client = a THEN b.port ELSE a.port END AS server_port,
+    first_ordinal, CASE WHEN untimed = 0 THEN min_ts END AS start, CASE WHEN untimed = 0 THEN (epoch_us(max_ts) - epoch_us(min_ts)) / 1e6 END AS duration,
+    CASE WHEN any_rst THEN 'error' ELSE 'ok' END AS status, packets, bytes,
+    CASE WHEN client = a THEN packets_a ELSE packets - packets_a END AS packets_up, CASE WHEN client = a THEN packets - packets_a ELSE packets_a END AS packets_down,
+    CASE WHEN client = a THEN bytes_a ELSE bytes - bytes_a END AS bytes_up, CASE WHEN client = a THEN bytes - bytes_a ELSE bytes_a END AS bytes_down,
+    completeness, process, dns_query, CAST(len(dns_answers) AS INT) AS n_answers, dns_answers, CASE WHEN untimed = 0 AND answer_ts > query_ts THEN (epoch_us(answer_ts) - epoch_us(query_ts)) / 1e3 END AS latency_ms, untimed
+  FROM g3)
+"""
+
+
+def query(name: str, sql: str | None = None, sessions: bool = False):
+    """Register a query; sql follows the common table expressions of frames (and sessions)."""
+
+    def add(f: Callable[[SparkSession, str], DataFrame]):
+        QUERIES[name] = f
+        if sql is not None:
+            tables = frames_cte() + (", " + SESSION_SQL if sessions else "")
+            ORACLES[name] = f"WITH {tables}{sql}" if sql.lstrip().startswith(",") else f"WITH {tables} {sql}"
+        return f
+
+    return add
+
+
+def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return frames_from_events(spark, sf_dir)
+
+
+def all_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return S.fold_sessions(frames(spark, sf_dir))
+
+
+# ---- sessions and session statistics ------------------------------------------------------------------------
+
+
+@query("sessions", "SELECT session_id, proto, app, client_ip, client_port, server_ip, server_port, first_ordinal, start, duration, status, packets, bytes, packets_up, packets_down, bytes_up, bytes_down, completeness, process, dns_query, n_answers, latency_ms, untimed FROM sessions", sessions=True)
+def q_sessions(spark, sf_dir):
+    return all_sessions(spark, sf_dir).drop("stack", "dns_answers", *[f"len_{i}" for i in range(10)])
+
+
+CONV_SQL = """, s AS (SELECT *, {ck} AS ck, {sk} AS sk, start + to_microseconds(CAST(round(duration * 1e6) AS BIGINT)) AS e_ts FROM sessions WHERE {where}),
+c AS (SELECT least(ck, sk) AS lo, greatest(ck, sk) AS hi, arg_min(ck, first_ordinal) AS address_a, count(*) AS sessions,
+  sum(CASE WHEN ck = least(ck, sk) THEN packets_up ELSE packets_down END) AS p_lo, sum(CASE WHEN ck = least(ck, sk) THEN bytes_up ELSE bytes_down END) AS b_lo,
+  sum(CASE WHEN ck = least(ck, sk) THEN packets_down ELSE packets_up END) AS p_hi, sum(CASE WHEN ck = least(ck, sk) THEN bytes_down ELSE bytes_up END) AS b_hi,
+  min(start) AS start, max(e_ts) AS "end", min(first_ordinal) AS first_ordinal FROM s GROUP BY 1, 2)
+SELECT address_a, CASE WHEN address_a = lo THEN hi ELSE lo END AS address_b, sessions, CAST(CASE WHEN address_a = lo THEN p_lo ELSE p_hi END AS BIGINT) AS packets_ab, CAST(CASE WHEN address_a = lo THEN b_lo ELSE b_hi END AS BIGINT) AS bytes_ab,
+  CAST(CASE WHEN address_a = lo THEN p_hi ELSE p_lo END AS BIGINT) AS packets_ba, CAST(CASE WHEN address_a = lo THEN b_hi ELSE b_lo END AS BIGINT) AS bytes_ba, start, "end", first_ordinal FROM c"""
+
+
+@query("conv_ipv4", CONV_SQL.format(ck="client_ip", sk="server_ip", where="true"), sessions=True)
+def q_conv_ipv4(spark, sf_dir):
+    return stats.conversations(all_sessions(spark, sf_dir), "ipv4").orderBy(F.desc(F.col("bytes_ab") + F.col("bytes_ba")), "first_ordinal")
+
+
+for _kind in ("tcp", "udp"):
+    query(f"conv_{_kind}", CONV_SQL.format(ck="concat_ws(':', client_ip, client_port)", sk="concat_ws(':', server_ip, server_port)", where=f"proto = '{_kind}'"), sessions=True)(lambda spark, sf_dir, k=_kind: stats.conversations(all_sessions(spark, sf_dir), k))
+
+END_SQL = """, x AS (SELECT session_id, client_ip AS ip, {cp} AS port, packets_up AS tp, bytes_up AS tb, packets_down AS rp, bytes_down AS rb FROM sessions WHERE {where}
+  UNION ALL SELECT session_id, server_ip, {sp}, packets_down, bytes_down, packets_up, bytes_up FROM sessions WHERE {where})
+SELECT ip, port, count(DISTINCT session_id) AS sessions, CAST(sum(tp) AS BIGINT) AS tx_packets, CAST(sum(tb) AS BIGINT) AS tx_bytes, CAST(sum(rp) AS BIGINT) AS rx_packets, CAST(sum(rb) AS BIGINT) AS rx_bytes FROM x GROUP BY ip, port"""
+for _kind in ("ipv4", "tcp"):
+    _p = _kind == "tcp"
+    query(f"endpoints_{_kind}", END_SQL.format(cp="client_port" if _p else "CAST(NULL AS INT)", sp="server_port" if _p else "CAST(NULL AS INT)", where="proto = 'tcp'" if _p else "true"), sessions=True)(lambda spark, sf_dir, k=_kind: stats.endpoints(all_sessions(spark, sf_dir), k))
+
+BUCKET_SQL = "CASE WHEN orig_len >= 5120 THEN 9 WHEN orig_len >= 2560 THEN 8 WHEN orig_len >= 1280 THEN 7 WHEN orig_len >= 640 THEN 6 WHEN orig_len >= 320 THEN 5 WHEN orig_len >= 160 THEN 4 WHEN orig_len >= 80 THEN 3 WHEN orig_len >= 40 THEN 2 WHEN orig_len >= 20 THEN 1 ELSE 0 END"
+
+
+@query("packet_lengths", f""", x AS (SELECT {BUCKET_SQL} AS b, orig_len FROM frames UNION ALL SELECT -1, orig_len FROM frames),
+y AS (SELECT b, count(*) AS c, min(orig_len) AS lo, max(orig_len) AS hi, avg(orig_len) AS av FROM x GROUP BY b)
+SELECT CAST(n AS INT) AS bucket, coalesce(c, 0) AS count, lo AS least, hi AS most, av AS average, 100.0 * coalesce(c, 0) / (SELECT count(*) FROM frames) AS percent FROM range(-1, 10) r(n) LEFT JOIN y ON n = b""")
+def q_plen(spark, sf_dir):
+    return stats.packet_lengths(frames(spark, sf_dir))
+
+
+@query("protocol_hierarchy", """SELECT array_to_string(stack[1:n], '/') AS path, count(*) AS sessions, CAST(sum(bytes) AS BIGINT) AS bytes, count(*) FILTER (WHERE n = len(stack)) AS ending
+FROM (SELECT stack, bytes, unnest(range(1, len(stack) + 1)) AS n FROM sessions) GROUP BY 1""", sessions=True)
+def q_phs(spark, sf_dir):
+    return stats.protocol_hierarchy(all_sessions(spark, sf_dir))
+
+
+@query("dns_lookups", """, d AS (SELECT *, lower(trim(dns_query)) AS k, trim(dns_query) AS sp FROM sessions WHERE list_contains(stack, 'dns') AND trim(dns_query) <> ''),
+sp AS (SELECT k, arg_min(sp, {'n': -n, 's': sp}) AS name FROM (SELECT k, sp, count(*) AS n FROM d GROUP BY k, sp) GROUP BY k),
+ad AS (SELECT k, count(DISTINCT x) AS addresses FROM (SELECT k, unnest(dns_answers) AS x FROM d) GROUP BY k)
+SELECT sp.name, count(*) AS lookups, count(*) FILTER (WHERE n_answers > 0) AS answered, coalesce(any_value(ad.addresses), 0) AS addresses, median(latency_ms) AS median_ms
+FROM d JOIN sp USING (k) LEFT JOIN ad USING (k) GROUP BY k, sp.name""", sessions=True)
+def q_dns(spark, sf_dir):
+    return stats.dns_lookups(all_sessions(spark, sf_dir))
+
+
+@query("http_counts", """, m AS (SELECT proto, least({'i': src_ip, 'p': src_port}, {'i': dst_ip, 'p': dst_port}) AS a, greatest({'i': src_ip, 'p': src_port}, {'i': dst_ip, 'p': dst_port}) AS b,
+  CASE WHEN http_method IS NOT NULL THEN 'requests' ELSE concat(left(CAST(http_status AS VARCHAR), 1), 'xx') END AS class, coalesce(http_method, CAST(http_status AS VARCHAR)) AS key FROM frames WHERE http_method IS NOT NULL OR http_status IS NOT NULL)
+SELECT class, key, count(*) AS messages, count(DISTINCT (proto, a, b)) AS sessions FROM m GROUP BY class, key UNION ALL SELECT class, NULL, count(*), count(DISTINCT (proto, a, b)) FROM m GROUP BY class""")
+def q_http(spark, sf_dir):
+    return stats.message_counts(S.message_tally(frames(spark, sf_dir)))
+
+
+for _by in ("process", "server_ip"):
+    query(f"groups_{_by}", f"""SELECT {_by} AS "group", count(*) AS sessions, CAST(sum(bytes) AS BIGINT) AS bytes, CAST(max(CASE WHEN status = 'error' THEN 1 ELSE 0 END) AS INT) AS worst, array_to_string(arg_min(stack, first_ordinal), '/') AS first_stack, min(start) AS start FROM sessions WHERE {_by} IS NOT NULL GROUP BY 1""", sessions=True)(lambda spark, sf_dir, b=_by: stats.groups(all_sessions(spark, sf_dir), b))
+
+
+@query("response_time_distribution", """SELECT app, count(*) AS n, min(duration) AS fastest, quantile_disc(duration, 0.5) AS lower_median, max(duration) AS slowest, arg_min(session_id, {'d': -duration, 'o': first_ordinal}) AS slowest_session FROM sessions WHERE duration IS NOT NULL GROUP BY app""", sessions=True)
+def q_rtd(spark, sf_dir):
+    return stats.response_times(all_sessions(spark, sf_dir).withColumn("elapsed", F.col("duration")), "app")
+
+
+@query("value_distribution", """, c AS (SELECT dst_port AS value, count(*) AS n FROM frames WHERE dst_port IS NOT NULL GROUP BY 1) SELECT value, n, 100.0 * n / sum(n) OVER () AS percent FROM c""")
+def q_values(spark, sf_dir):
+    return stats.value_distribution(frames(spark, sf_dir), "dst_port")[0]
+
+
+@query("value_entropy", """, c AS (SELECT app AS value, count(*) AS n FROM frames GROUP BY 1), s AS (SELECT CAST(sum(n) AS BIGINT) AS total, count(*) AS v FROM c)
+SELECT v AS "values", total AS "rows", CASE WHEN v >= 2 THEN round(-(SELECT sum(n / total * log2(n / total)) FROM c, s) / log2(v), 12) END AS entropy FROM s""")
+def q_entropy(spark, sf_dir):
+    return stats.value_distribution(frames(spark, sf_dir), "app")[1].withColumn("entropy", F.round("entropy", 12))
+
+
+@query("resolved_addresses", """, p AS (SELECT dns_answer AS address, lower(dns_name) AS name, count(*) AS seen, min(ordinal) AS first_ordinal FROM frames WHERE dns_answer IS NOT NULL GROUP BY 1, 2) SELECT *, count(*) OVER (PARTITION BY address) > 1 AS others FROM p""")
+def q_resolved(spark, sf_dir):
+    return stats.resolved_addresses(frames(spark, sf_dir))
+
+
+@query("encrypted_dns", """SELECT 'DoH' AS kind, server_ip, count(*) AS sessions, CAST(sum(bytes) AS BIGINT) AS bytes FROM sessions WHERE proto = 'tcp' AND server_port = 8443 GROUP BY server_ip""", sessions=True)
+def q_encrypted(spark, sf_dir):
+    return stats.encrypted_dns(all_sessions(spark, sf_dir))
+
+
+@query("host_resolution", """, n AS (SELECT dns_answer AS address, arg_max(lower(dns_name), ordinal) AS name FROM frames WHERE dns_answer IS NOT NULL GROUP BY 1)
+SELECT session_id, coalesce(CASE WHEN app = 'dns' THEN dns_query END, name, server_ip) AS host FROM sessions LEFT JOIN n ON server_ip = address""", sessions=True)
+def q_hosts(spark, sf_dir):
+    f = frames(spark, sf_dir)
+    return S.resolve_hosts(S.fold_sessions(f), S.learned_names(f)).select("session_id", "host")
+
+
+@query("ip_tree", """SELECT proto, dst_ip, CAST(dst_port AS VARCHAR) AS dst_port, count(*) AS ticks, avg(orig_len) AS average, min(orig_len) AS least, max(orig_len) AS most, CAST(3 - (grouping(proto) + grouping(dst_ip) + grouping(dst_port)) AS INT) AS depth FROM frames GROUP BY ROLLUP (proto, dst_ip, dst_port)""")
+def q_tree(spark, sf_dir):
+    return stats.tick_tree(frames(spark, sf_dir), ["proto", "dst_ip", "dst_port"], "orig_len")
+
+
+@query("top_children", """, c AS (SELECT app, src_ip, count(*) AS n FROM frames GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY app ORDER BY n DESC, src_ip DESC) AS k FROM c)
+SELECT app, CASE WHEN k <= 5 THEN src_ip ELSE 'Other' END AS label, CAST(sum(n) AS BIGINT) AS n FROM r GROUP BY 1, 2""")
+def q_top(spark, sf_dir):
+    return stats.top_children(frames(spark, sf_dir), "app", "src_ip", 5)
+
+
+@query("fidelity", """SELECT count(*) AS received, CAST(sum(k % 3) AS BIGINT) AS dropped, count(*) / (count(*) + sum(k % 3)) AS fidelity, count(*) / (count(*) + sum(k % 3)) < 0.995 AS lossy FROM frames""")
+def q_fidelity(spark, sf_dir):
+    return stats.fidelity(frames(spark, sf_dir), F.col("k") % 3)
+
+
+@query("completeness_counts", "SELECT completeness, (completeness & 7) = 7 AND (completeness & 48) <> 0 AS complete, count(*) AS sessions FROM sessions WHERE proto = 'tcp' GROUP BY 1, 2", sessions=True)
+def q_completeness(spark, sf_dir):
+    return all_sessions(spark, sf_dir).where("proto = 'tcp'").groupBy("completeness", P.completeness("complete").alias("complete")).agg(F.count("*").alias("sessions"))
+
+
+@query("link_inventory", "SELECT app, proto, count(*) AS frames, count(*) FILTER (WHERE ts IS NULL) AS untimed FROM frames GROUP BY 1, 2")
+def q_inventory(spark, sf_dir):
+    return frames(spark, sf_dir).groupBy("app", "proto").agg(F.count("*").alias("frames"), F.count_if(F.col("ts").isNull()).alias("untimed"))
+
+
+# ---- predicates ----------------------------------------------------------------------------------------------
+
+MATCH_SQL = "SELECT session_id, first_ordinal, CASE WHEN p THEN 'match' ELSE 'indeterminate' END AS truth FROM (SELECT *, {p} AS p FROM sessions) WHERE p OR p IS NULL"
+
+
+def _session_predicate(name: str, make: Callable[[], object], sql: str) -> None:
+    def run(spark, sf_dir):
+        return P.evaluate(all_sessions(spark, sf_dir), make()).select("session_id", "first_ordinal", "truth")
+
+    query(name, MATCH_SQL.format(p=sql), sessions=True)(run)
+
+
+_session_predicate("filter_process", lambda: P.text_contains("process", " PROC3") | P.text_matches("dns_query", "host1?.*"), "coalesce(contains(lower(trim(process)), 'proc3'), false) OR coalesce(lower(trim(dns_query)) LIKE 'host1_.%', false)")
+_session_predicate("filter_not_process", lambda: ~P.text_contains("process", "proc"), "NOT coalesce(contains(lower(trim(process)), 'proc'), false)")
+_session_predicate("filter_ip", lambda: P.ip_in("10.0.0.0/28", "10.0.0.99") & ~P.ip_in("192.0.2.1", scope="destination"), "(regexp_matches(client_ip, '^10\\.0\\.0\\.([0-9]|1[0-5])$') OR client_ip = '10.0.0.99' OR server_ip = '10.0.0.99' OR regexp_matches(server_ip, '^10\\.0\\.0\\.([0-9]|1[0-5])$')) AND NOT server_ip = '192.0.2.1'")
+_session_predicate("filter_port", lambda: P.port_in(1, 100) & P.protocol("http") | P.port_in(8443, scope="destination"), "((client_port BETWEEN 1 AND 100 OR server_port BETWEEN 1 AND 100) AND list_contains(stack, 'http')) OR server_port = 8443")
+_session_predicate("filter_duration", lambda: P.at_least("duration", 1000000.0) & ~P.status_is("error"), "duration >= 1000000.0 AND NOT status = 'error'")
+_session_predicate("filter_latency", lambda: P.between("latency_ms", 0.0, 1e9) | P.has_text("process") & P.protocol("tls"), "latency_ms BETWEEN 0 AND 1e9 OR (coalesce(trim(process) <> '', false) AND list_contains(stack, 'tls'))")
+_session_predicate("filter_bytes", lambda: P.total_bytes(5000, 20000), "bytes_up + bytes_down BETWEEN 5000 AND 20000")
+_session_predicate("filter_arithmetic", lambda: P.Measure.bytes("received").compare(">=", P.Measure.bytes("sent") * 2 + 100) | (P.Measure.frames() % 7).compare("==", 3), "bytes_down >= bytes_up * 2 + 100 OR (packets_up + packets_down) % 7 = 3")
+_session_predicate("filter_division", lambda: (P.Measure.bytes() // P.Measure.frames("received")).compare("<=", 400), "CASE WHEN packets_down = 0 THEN false ELSE (bytes_up + bytes_down) // packets_down <= 400 END")
+_session_predicate("filter_rules", lambda: P.rule_chain([("", P.rule("protocol", "is", "TLS")), ("or", P.rule("process", "startsWith", "proc1")), ("and", P.rule("client", "doesNotContain", ".7"))]), "(app = 'tls' OR coalesce(starts_with(lower(trim(process)), 'proc1'), false)) AND NOT contains(client_ip, '.7')")
+_session_predicate("filter_rule_regex", lambda: P.rule("query", "regex", "^host[1-3]\\.") | P.rule("query", "regex", "("), "regexp_matches(coalesce(dns_query, ''), '(?i)^host[1-3]\\.')")
+_session_predicate("filter_search", lambda: P.free_text(["client_ip", "server_ip", "process"], "PROC5"), "contains(lower(concat_ws(' ', client_ip, server_ip, process)), 'proc5')")
+
+
+@query("visibility_stack", """SELECT count(*) AS shown, CAST(sum(bytes) AS BIGINT) AS bytes FROM sessions WHERE (list_contains(stack, 'http') OR list_contains(stack, 'tls')) AND status = 'ok' AND packets > 2""", sessions=True)
+def q_visible(spark, sf_dir):
+    pills = P.protocol("http") | P.protocol("tls")
+    return all_sessions(spark, sf_dir).where(pills & P.status_is("ok")).where("packets > 2").agg(F.count("*").alias("shown"), F.sum("bytes").alias("bytes"))
+
+
+FRAME_PREDICATES = {
+    "frame_len": (lambda: P.frame_compare("orig_len", ">", 500) & P.frame_port(443, "tcp"), "orig_len > 500 AND proto = 'tcp' AND (src_port = 443 OR dst_port = 443)"),
+    "frame_flags": (lambda: P.frame_flag(2) & ~P.frame_flag(16), "proto = 'tcp' AND flags & 18 = 2"),
+    "frame_rcode": (lambda: P.frame_compare("rcode", "==", 3, stopped=(F.col("app") == "dns") & (F.col("k") % 10 == 0)), "CASE WHEN rcode IS NULL THEN CASE WHEN app = 'dns' AND k % 10 = 0 THEN NULL ELSE false END ELSE rcode = 3 END"),
+}
+for _name, (_make, _sql) in FRAME_PREDICATES.items():
+    query(f"counter_{_name}", f"""SELECT count(*) FILTER (WHERE p) AS matches, count(*) FILTER (WHERE p IS NULL) AS unknown, max(ordinal) FILTER (WHERE p AND ordinal < 500) AS previous, min(ordinal) FILTER (WHERE p AND ordinal > 500) AS next FROM (SELECT *, {_sql} AS p FROM frames)""")(
+        lambda spark, sf_dir, m=_make: P.match_counter(frames(spark, sf_dir), m(), 500)
+    )
+
+
+@query("color_rules", """SELECT ordinal, CASE WHEN rcode = 3 THEN 'red' WHEN app = 'dns' AND rcode IS NULL THEN 'unknown' WHEN flags & 4 <> 0 THEN 'orange' WHEN app = 'http' THEN 'green' END AS color FROM frames""")
+def q_colors(spark, sf_dir):
+    rules = [("red", F.when(F.col("app") == "dns", F.col("rcode") == 3).otherwise(False)), ("orange", P.frame_flag(4)), ("green", F.col("app") == "http")]
+    return frames(spark, sf_dir).select("ordinal", P.color(rules).alias("color"))
+
+
+@query("frame_list", "SELECT ordinal, src_ip, dst_ip, orig_len FROM frames WHERE ordinal BETWEEN 1 AND 100 OR ordinal = 250")
+def q_list(spark, sf_dir):
+    return frames(spark, sf_dir).where(P.ordinal_list("1-100,250")).select("ordinal", "src_ip", "dst_ip", "orig_len")
+
+
+# ---- windows and time series -----------------------------------------------------------------------------------
+
+
+@query("frame_deltas", "SELECT ordinal, epoch_us(ts) - epoch_us(lag(ts) OVER (ORDER BY ordinal)) AS delta_us FROM frames")
+def q_deltas(spark, sf_dir):
+    return windows.deltas(frames(spark, sf_dir)).select("ordinal", "delta_us")
+
+
+@query("cumulative_bytes", """, r AS (SELECT ordinal, orig_len, count(*) FILTER (WHERE k = 50) OVER (ORDER BY ordinal) AS seg FROM frames) SELECT ordinal, CAST(sum(orig_len) OVER (PARTITION BY seg ORDER BY ordinal) AS BIGINT) AS cum_bytes FROM r""")
+def q_cumulative(spark, sf_dir):
+    return windows.cumulative_bytes(frames(spark, sf_dir), F.col("k") == 50).select("ordinal", "cum_bytes")
+
+
+@query("relative_sequence", """, w AS (SELECT ordinal, seq, coalesce(last_value(CASE WHEN flags & 18 = 2 THEN seq END IGNORE NULLS) OVER s, first_value(seq IGNORE NULLS) OVER s) AS origin FROM frames WHERE proto = 'tcp'
+  WINDOW s AS (PARTITION BY src_ip, src_port, dst_ip, dst_port ORDER BY ordinal ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) SELECT ordinal, (seq - origin + 4294967296) % 4294967296 AS rel_seq FROM w""")
+def q_relative(spark, sf_dir):
+    return windows.relative_sequence(frames(spark, sf_dir).where("proto = 'tcp'")).select("ordinal", "rel_seq")
+
+
+@query("last_second_bits", """SELECT ordinal, CAST(sum(orig_len * 8) OVER (PARTITION BY proto, client_ip, client_port, server_ip, server_port ORDER BY epoch_us(ts) RANGE BETWEEN 1000000 PRECEDING AND CURRENT ROW) AS BIGINT) AS bandwidth_bits FROM frames WHERE ts IS NOT NULL""")
+def q_bandwidth(spark, sf_dir):
+    return windows.last_second_bits(frames(spark, sf_dir)).select("ordinal", "bandwidth_bits")
+
+
+@query("segment_prefix", """, r AS (SELECT ordinal, app, row_number() OVER (PARTITION BY app ORDER BY ordinal) AS rk, count(*) OVER (PARTITION BY app) AS n FROM frames) SELECT ordinal, app, greatest(n - 20, 0) AS omitted FROM r WHERE rk <= 20""")
+def q_prefix(spark, sf_dir):
+    return windows.keep_prefix(frames(spark, sf_dir), ["app"], 20).select("ordinal", "app", "omitted")
+
+
+@query("gap_runs", """, r AS (SELECT process, session_id, start, first_ordinal, CASE WHEN epoch_us(start) - epoch_us(lag(start) OVER w) > 3600000000 THEN 1 ELSE 0 END AS brk FROM sessions WHERE start IS NOT NULL AND process IS NOT NULL WINDOW w AS (PARTITION BY process ORDER BY start, first_ordinal))
+SELECT process, session_id, CAST(sum(brk) OVER (PARTITION BY process ORDER BY start, first_ordinal ROWS UNBOUNDED PRECEDING) AS BIGINT) AS run FROM r""", sessions=True)
+def q_runs(spark, sf_dir):
+    rows = all_sessions(spark, sf_dir).where("start IS NOT NULL AND process IS NOT NULL")
+    return windows.gap_runs(rows, ["process"], 3600).select("process", "session_id", "run")
+
+
+TIMELINE_SQL = "SELECT epoch_us(ts) // 3600000000 AS bucket, count(*) AS frames, CAST(sum(orig_len) AS BIGINT) AS bytes, CAST(coalesce(sum(orig_len) FILTER (WHERE NOT reply), 0) AS BIGINT) AS sent, CAST(coalesce(sum(orig_len) FILTER (WHERE reply), 0) AS BIGINT) AS received FROM frames GROUP BY 1"
+
+
+@query("timeline", TIMELINE_SQL)
+def q_timeline(spark, sf_dir):
+    return timeline.timeline(frames(spark, sf_dir), 3600)
+
+
+@query("timeline_coalesced", f", t AS ({TIMELINE_SQL}) SELECT bucket >> 2 AS bucket, CAST(sum(frames) AS BIGINT) AS frames, CAST(sum(bytes) AS BIGINT) AS bytes, CAST(sum(sent) AS BIGINT) AS sent, CAST(sum(received) AS BIGINT) AS received FROM t WHERE bucket IS NOT NULL GROUP BY 1")
+def q_coalesced(spark, sf_dir):
+    return timeline.coalesce_points(timeline.timeline(frames(spark, sf_dir), 3600), 2)
+
+
+@query("timeline_filled", ", t AS (SELECT epoch_us(ts) // 600000000 AS bucket, count(*) AS frames, sum(orig_len) AS bytes, coalesce(sum(orig_len) FILTER (WHERE NOT reply), 0) AS sent, coalesce(sum(orig_len) FILTER (WHERE reply), 0) AS received FROM frames WHERE ts IS NOT NULL GROUP BY 1), r AS (SELECT unnest(range((SELECT min(bucket) FROM t), (SELECT max(bucket) + 1 FROM t))) AS bucket) SELECT bucket, coalesce(frames, 0) AS frames, CAST(coalesce(bytes, 0) AS BIGINT) AS bytes, CAST(coalesce(sent, 0) AS BIGINT) AS sent, CAST(coalesce(received, 0) AS BIGINT) AS received FROM r LEFT JOIN t USING (bucket)")
+def q_filled(spark, sf_dir):
+    return timeline.fill_gaps(timeline.timeline(frames(spark, sf_dir).where("ts IS NOT NULL"), 600))
+
+
+@query("rate_graph", f", t AS ({TIMELINE_SQL}) SELECT bucket, frames / 3600.0 AS frames_per_s, bytes * 8 / 3600.0 AS bits_per_s FROM t WHERE bucket IS NOT NULL")
+def q_rates(spark, sf_dir):
+    return timeline.rates(timeline.timeline(frames(spark, sf_dir), 3600).where("bucket IS NOT NULL"), 3600)
+
+
+@query("graph_comparison", """, p AS (SELECT ordinal, orig_len, epoch_us(ts) // 86400000000 AS bucket, rcode = 3 AS a, orig_len > 300 AS b FROM frames)
+SELECT bucket, count(*) FILTER (WHERE a) AS a_yes, count(*) FILTER (WHERE NOT a) AS a_no, count(*) FILTER (WHERE a IS NULL) AS a_unknown, CAST(coalesce(sum(orig_len) FILTER (WHERE a), 0) AS BIGINT) AS a_bytes, max(ordinal) FILTER (WHERE a) AS a_last,
+count(*) FILTER (WHERE b) AS b_yes, count(*) FILTER (WHERE NOT b) AS b_no, count(*) FILTER (WHERE b IS NULL) AS b_unknown, CAST(coalesce(sum(orig_len) FILTER (WHERE b), 0) AS BIGINT) AS b_bytes, max(ordinal) FILTER (WHERE b) AS b_last FROM p GROUP BY 1""")
+def q_compare(spark, sf_dir):
+    return timeline.compare(frames(spark, sf_dir), 86_400, {"a": F.col("rcode") == 3, "b": F.col("orig_len") > 300})
+
+
+@query("time_correction", """SELECT ordinal, make_timestamp(epoch_us(ts) + CAST(round_even(0, 0) AS BIGINT) + CAST(round((1.5 + (epoch_us(ts) - epoch_us(TIMESTAMP '2024-01-01')) / (epoch_us(TIMESTAMP '2024-01-31') - epoch_us(TIMESTAMP '2024-01-01')) * 2.0) * 1e6) AS BIGINT)) AS ts FROM frames""")
+def q_correction(spark, sf_dir):
+    return frames(spark, sf_dir).select("ordinal", timeline.correct_time(F.col("ts"), "2024-01-01", 1.5, "2024-01-31", 3.5).alias("ts"))
+
+
+# ---- pairing ---------------------------------------------------------------------------------------------------
+
+PAIR_SQL = """, m AS (SELECT ordinal, ts, reply, {carry}, lag(ordinal) OVER w AS request_ordinal, lag(ts) OVER w AS request_ts, lag(reply) OVER w AS pr FROM frames WHERE {where} WINDOW w AS (PARTITION BY client_ip, client_port, {id} ORDER BY ordinal)),
+p AS (SELECT *, epoch_us(ts) - epoch_us(request_ts) AS us FROM m WHERE reply AND NOT pr)"""
+
+
+@query("request_pairs", PAIR_SQL.format(carry="command", where="app = 'smb'", id="message_id") + " SELECT ordinal, request_ordinal, us AS elapsed_us FROM p")
+def q_pairs(spark, sf_dir):
+    smb = frames(spark, sf_dir).where("app = 'smb'")
+    return pairing.pair_once(smb, ["client_ip", "client_port", "message_id"], ~F.col("reply")).select("ordinal", "request_ordinal", "elapsed_us")
+
+
+@query("service_times", PAIR_SQL.format(carry="command", where="app = 'smb'", id="message_id") + ' SELECT command AS "procedure", count(*) AS calls, min(us / 1e6) AS least, max(us / 1e6) AS most, CAST(sum(us) AS BIGINT) / count(*) / 1e6 AS average, CAST(sum(us) AS BIGINT) / 1e6 AS total FROM p GROUP BY 1')
+def q_service(spark, sf_dir):
+    smb = frames(spark, sf_dir).where("app = 'smb'")
+    return pairing.service_times(pairing.pair_once(smb, ["client_ip", "client_port", "message_id"], ~F.col("reply")), "command")
+
+
+@query("search_pairs", """, m AS (SELECT ordinal, ts, reply, k, last_value(CASE WHEN NOT reply THEN ordinal END IGNORE NULLS) OVER u AS request_ordinal, last_value(CASE WHEN NOT reply THEN ts END IGNORE NULLS) OVER u AS rts, max(CASE WHEN reply AND k % 3 = 0 THEN ordinal END) OVER b AS closed FROM frames WHERE app = 'smb'
+WINDOW u AS (PARTITION BY client_ip, client_port ORDER BY ordinal ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), b AS (PARTITION BY client_ip, client_port ORDER BY ordinal ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
+SELECT ordinal, request_ordinal, epoch_us(ts) - epoch_us(rts) AS elapsed_us FROM m WHERE reply AND request_ordinal IS NOT NULL AND coalesce(closed, -1) < request_ordinal""")
+def q_search(spark, sf_dir):
+    smb = frames(spark, sf_dir).where("app = 'smb'")
+    return pairing.pair_until_done(smb, ["client_ip", "client_port"], ~F.col("reply"), F.col("k") % 3 == 0).select("ordinal", "request_ordinal", "elapsed_us")
+
+
+@query("echo_summary", PAIR_SQL.format(carry="k", where="app = 'dns'", id="dns_id") + """ SELECT (SELECT count(*) FROM frames WHERE app = 'dns' AND NOT reply) AS requests, count(*) AS replies, min(us / 1e3) AS least, max(us / 1e3) AS most, round(avg(us / 1e3), 6) AS mean, median(us / 1e3) AS median, CASE WHEN count(*) = 1 THEN 0.0 ELSE round(stddev_samp(us / 1e3), 3) END AS deviation,
+arg_min(ordinal, {'u': us, 'o': ordinal}) AS least_ordinal, arg_min(ordinal, {'u': -us, 'o': ordinal}) AS most_ordinal, (SELECT count(*) FROM frames WHERE app = 'dns' AND NOT reply) - count(*) AS lost, 100.0 * ((SELECT count(*) FROM frames WHERE app = 'dns' AND NOT reply) - count(*)) / (SELECT count(*) FROM frames WHERE app = 'dns' AND NOT reply) AS loss_percent FROM p""")
+def q_echo(spark, sf_dir):
+    dns = frames(spark, sf_dir).where("app = 'dns'")
+    pairs = pairing.pair_once(dns, ["client_ip", "client_port", "dns_id"], ~F.col("reply"))
+    return pairing.echo_summary(dns.where("NOT reply"), pairs).withColumns({"mean": F.round("mean", 6), "deviation": F.round("deviation", 3)})
+
+
+@query("answer_to_connection", """, a AS (SELECT dns_answer AS address, lower(dns_name) AS name, ordinal AS answer_ordinal, epoch_us(ts) AS au FROM frames WHERE dns_answer IS NOT NULL)
+SELECT address, name, answer_ordinal, session_id, epoch_us(start) - au AS after_us FROM a JOIN sessions ON server_ip = address AND epoch_us(start) BETWEEN au AND au + 3600000000""", sessions=True)
+def q_following(spark, sf_dir):
+    f = frames(spark, sf_dir)
+    answers = f.where("dns_answer IS NOT NULL").select(F.col("dns_answer").alias("address"), F.lower("dns_name").alias("name"), "ordinal", "ts")
+    return pairing.following(answers, S.fold_sessions(f), 3600)
+
+
+@query("subnet_names", """SELECT src_ip, count(*) AS frames, CASE WHEN regexp_matches(src_ip, '^10\\.0\\.0\\.([0-9]|[1-5][0-9]|6[0-3])$') THEN 'lab' WHEN starts_with(src_ip, '10.0.0.') THEN 'floor' WHEN starts_with(src_ip, '10.') THEN 'site' WHEN src_ip = '192.0.2.4' THEN 'resolver' END AS network FROM frames GROUP BY 1, 3""")
+def q_subnets(spark, sf_dir):
+    names = {"10.0.0.0/8": "site", "10.0.0.0/24": "floor", "10.0.0.0/26": "lab", "192.0.2.4/32": "resolver"}
+    per = frames(spark, sf_dir).groupBy("src_ip").agg(F.count("*").alias("frames"))
+    return pairing.longest_prefix(per, "src_ip", names)
+
+
+# ---- files, functions, history -----------------------------------------------------------------------------------
+
+
+@query("frames_of_sessions", """SELECT f.ordinal FROM frames f WHERE (f.proto, f.client_ip, f.client_port, f.server_ip, f.server_port) IN (SELECT (proto, client_ip, client_port, server_ip, server_port) FROM sessions WHERE status = 'error')""", sessions=True)
+def q_semi(spark, sf_dir):
+    f = frames(spark, sf_dir)
+    return files.of_sessions(f, S.fold_sessions(f).where("status = 'error'")).select("ordinal")
+
+
+@query("frames_without", "SELECT ordinal FROM frames WHERE ordinal NOT IN (SELECT ordinal FROM frames WHERE k < 20)")
+def q_anti(spark, sf_dir):
+    f = frames(spark, sf_dir)
+    return files.without(f, f.where("k < 20")).select("ordinal")
+
+
+@query("merge_captures", """, m AS (SELECT 0 AS source, ordinal, ts FROM frames WHERE k < 30 AND ts IS NOT NULL UNION ALL SELECT 1, ordinal, ts FROM frames WHERE k >= 70 AND ts IS NOT NULL) SELECT source, ordinal, ts FROM m""")
+def q_merge(spark, sf_dir):
+    f = frames(spark, sf_dir).where("ts IS NOT NULL").select("ordinal", "ts", "k")
+    return files.merge([f.where("k < 30").drop("k"), f.where("k >= 70").drop("k")]).select("source", "ordinal", "ts")
+
+
+@query("split_by_frames", "SELECT (ordinal - 1) // 1000 AS file, count(*) AS frames, min(ordinal) AS first_ordinal, max(ordinal) AS last_ordinal FROM frames GROUP BY 1")
+def q_split(spark, sf_dir):
+    return files.split_by_frames(frames(spark, sf_dir), 1000).groupBy("file").agg(F.count("*").alias("frames"), F.min("ordinal").alias("first_ordinal"), F.max("ordinal").alias("last_ordinal"))
+
+
+@query("anonymise", """, l AS (SELECT ordinal, 0 AS side, src_ip AS ip FROM frames UNION ALL SELECT ordinal, 1, dst_ip FROM frames), f AS (SELECT ip, min({'o': ordinal, 's': side}) AS seen FROM l GROUP BY ip), r AS (SELECT ip, row_number() OVER (ORDER BY seen) AS n FROM f), nm AS (SELECT ip, concat_ws('.', '10', n // 65536 % 256, n // 256 % 256, n % 256) AS nw FROM r)
+SELECT ordinal, a.nw AS src_ip, b.nw AS dst_ip FROM frames JOIN nm a ON src_ip = a.ip JOIN nm b ON dst_ip = b.ip""")
+def q_anonymise(spark, sf_dir):
+    return files.anonymise(frames(spark, sf_dir).select("ordinal", "src_ip", "dst_ip")).select("ordinal", "src_ip", "dst_ip")
+
+
+@query("drop_repeats")
+def q_repeats(spark, sf_dir):
+    return files.drop_repeats(frames(spark, sf_dir).select("ordinal", "app", "k"), ["app", "k"]).select("ordinal", "app", "k")
+
+
+@query("address_functions", """SELECT DISTINCT src_ip, CAST(split_part(src_ip, '.', 1) AS BIGINT) * 16777216 + CAST(split_part(src_ip, '.', 2) AS BIGINT) * 65536 + CAST(split_part(src_ip, '.', 3) AS BIGINT) * 256 + CAST(split_part(src_ip, '.', 4) AS BIGINT) AS number,
+CASE WHEN starts_with(src_ip, '10.') THEN 'private' ELSE 'documentation' END AS range, src_ip LIKE '10.0.0.%' AS in_net, concat(src_ip, ':', 53) AS label FROM frames""")
+def q_addresses(spark, sf_dir):
+    ip = F.col("src_ip")
+    return frames(spark, sf_dir).select("src_ip").distinct().select("src_ip", net.ipv4_number(ip).alias("number"), net.special_range(ip).alias("range"), net.in_cidr(ip, "10.0.0.0/24").alias("in_net"), net.endpoint_label(ip, F.lit(53)).alias("label"))
+
+
+@query("serial_distance", "SELECT ordinal, CASE WHEN (seq * 2200000 - ack + 4294967296 * 4294967) % 4294967296 = 2147483648 THEN NULL WHEN (seq * 2200000 - ack + 4294967296 * 4294967) % 4294967296 > 2147483648 THEN (seq * 2200000 - ack + 4294967296 * 4294967) % 4294967296 - 4294967296 ELSE (seq * 2200000 - ack + 4294967296 * 4294967) % 4294967296 END AS distance FROM frames WHERE ack IS NOT NULL")
+def q_serial(spark, sf_dir):
+    return frames(spark, sf_dir).where("ack IS NOT NULL").select("ordinal", net.serial_distance(F.col("seq") * 2200000, F.col("ack")).alias("distance"))
+
+
+@query("session_ids")
+def q_ids(spark, sf_dir):
+    return all_sessions(spark, sf_dir).select("session_id", net.fnv1a64(F.col("session_id")).alias("fnv"))
+
+
+@query("url_parts", """SELECT page_id, regexp_extract(url, '^([a-z]+)://', 1) AS scheme, regexp_extract(url, '^[a-z]+://([^/?#:]+)', 1) AS host, lower(trim(url)) LIKE '%.example.com/%' AS example_com FROM pages""")
+def q_urls(spark, sf_dir):
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    url = F.col("url")
+    return pages.select("page_id", F.try_parse_url(url, F.lit("PROTOCOL")).alias("scheme"), F.try_parse_url(url, F.lit("HOST")).alias("host"), net.wildcard(url, "*.example.com/*").alias("example_com"))
+
+
+@query("turn_pairs", """, m AS (SELECT conv_id, turn, role, lag(role) OVER w AS pr, lag(turn) OVER w AS request_turn FROM conversations WHERE role <> 'system' WINDOW w AS (PARTITION BY conv_id ORDER BY turn)) SELECT conv_id, turn, request_turn FROM m WHERE role = 'assistant' AND pr = 'user'""")
+def q_turns(spark, sf_dir):
+    rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").where("role <> 'system'").select("conv_id", "turn", "role", F.col("turn").alias("ordinal"), F.lit(None).cast("timestamp_ntz").alias("ts"))
+    return pairing.pair_once(rows, ["conv_id"], F.col("role") == "user", ("turn",)).select("conv_id", "turn", "request_turn")
+
+
+@query("history_page", "SELECT start, session_id, bytes_up FROM sessions WHERE start IS NOT NULL AND (start < TIMESTAMP '2024-01-02' OR (start = TIMESTAMP '2024-01-02' AND session_id < 'm')) ORDER BY start DESC, session_id DESC LIMIT 50", sessions=True)
+def q_page(spark, sf_dir):
+    rows = history.session_rows(all_sessions(spark, sf_dir), "c1", masked=True)
+    after = (datetime(2024, 1, 2), "m")
+    return history.sessions_page(rows, after, 50).select("start", "session_id", "bytes_up")
+
+
+@query("history_retention", """, c AS (SELECT app AS id, count(*) AS sessions, max(first_ordinal) AS ended_at FROM sessions GROUP BY 1), r AS (SELECT *, row_number() OVER (ORDER BY ended_at DESC, id DESC) AS n, sum(sessions) OVER (ORDER BY ended_at DESC, id DESC ROWS UNBOUNDED PRECEDING) AS s FROM c) SELECT id, sessions, ended_at FROM r WHERE n <= 4 AND s <= 1000000""", sessions=True)
+def q_retention(spark, sf_dir):
+    captures = all_sessions(spark, sf_dir).groupBy(F.col("app").alias("id")).agg(F.count("*").alias("sessions"), F.max("first_ordinal").alias("ended_at"))
+    return files.retained(captures, 4, 1_000_000).select("id", "sessions", "ended_at")
+
+
+@query("csv_export", """SELECT CASE WHEN regexp_matches(c, '[,"]') THEN '"' || replace(c, '"', '""') || '"' ELSE c END AS cell FROM (SELECT CASE WHEN regexp_matches(x, '^[=+@-]') AND try_cast(x AS DOUBLE) IS NULL THEN concat('''', x) ELSE x END AS c FROM (SELECT CASE k % 5 WHEN 0 THEN concat('=', app) WHEN 1 THEN concat('-', k) WHEN 2 THEN concat(app, ',', k) WHEN 3 THEN '@a"b' ELSE app END AS x FROM frames))""")
+def q_csv(spark, sf_dir):
+    x = F.expr("CASE k % 5 WHEN 0 THEN concat('=', app) WHEN 1 THEN concat('-', k) WHEN 2 THEN concat(app, ',', k) WHEN 3 THEN '@a\"b' ELSE app END")
+    return frames(spark, sf_dir).select(net.csv_cell(x).alias("cell"))
+
+
+# ---- connection state and findings ---------------------------------------------------------------------------------
+
+
+@query("connection_events")
+def q_events(spark, sf_dir):
+    return tcp_state.connection_events(frames(spark, sf_dir))
+
+
+@query("connections")
+def q_connections(spark, sf_dir):
+    return tcp_state.connections(tcp_state.connection_events(frames(spark, sf_dir)))
+
+
+@query("connection_findings")
+def q_findings(spark, sf_dir):
+    return findings.connection_findings(settle(tcp_state.connection_events(frames(spark, sf_dir)), "events"))
+
+
+DNS_FINDINGS_SQL = """, d AS (SELECT concat_ws('|', proto, client_ip, client_port, server_ip, server_port) AS session_id, * FROM frames WHERE dns_id IS NOT NULL),
+q AS (SELECT session_id, dns_id FROM d GROUP BY 1, 2 HAVING count(*) FILTER (WHERE NOT reply) >= 2 AND count(*) FILTER (WHERE reply) = 0),
+k AS (SELECT session_id, CASE rcode WHEN 3 THEN 'dnsNameError' ELSE 'dnsServerFailure' END AS kind, ordinal FROM d WHERE rcode IN (2, 3, 5) UNION ALL SELECT d.session_id, 'dnsUnanswered', ordinal FROM d JOIN q USING (session_id, dns_id) WHERE NOT reply),
+fi AS (SELECT session_id, kind, count(DISTINCT ordinal) AS cited, min(ordinal) AS first_cited, 1 AS severity FROM k GROUP BY 1, 2)"""
+
+
+@query("dns_findings", DNS_FINDINGS_SQL + " SELECT * FROM fi")
+def q_dns_findings(spark, sf_dir):
+    return findings.dns_findings(frames(spark, sf_dir)).drop("citations")
+
+
+@query("findings_summary", DNS_FINDINGS_SQL + " SELECT kind, max(severity) AS severity, count(*) AS findings, count(DISTINCT session_id) AS sessions, CAST(sum(cited) AS BIGINT) AS cited FROM fi GROUP BY kind")
+def q_summary(spark, sf_dir):
+    return stats.findings_summary(findings.dns_findings(frames(spark, sf_dir)))
+
+
+@query("filter_finding", DNS_FINDINGS_SQL.replace("WITH", ",") + """, fk AS (SELECT session_id, bool_or(kind = 'dnsNameError') AS hit FROM fi GROUP BY 1), sx AS (SELECT concat_ws('|', proto, client_ip, client_port, server_ip, server_port) AS sid, * FROM sessions)
+SELECT sx.sid AS session_id, first_ordinal, CASE WHEN coalesce(hit, false) THEN 'match' ELSE 'indeterminate' END AS truth FROM sx LEFT JOIN fk ON sid = fk.session_id WHERE coalesce(hit, false) OR list_contains(stack, 'dns')""", sessions=True)
+def q_filter_finding(spark, sf_dir):
+    f = frames(spark, sf_dir)
+    rows = S.fold_sessions(f).withColumn("session_id", F.concat_ws("|", "proto", "client_ip", F.col("client_port").cast("string"), "server_ip", F.col("server_port").cast("string")))
+    return P.evaluate(P.with_findings(rows, findings.dns_findings(f)), P.finding("dnsNameError")).select("session_id", "first_ordinal", "truth")
