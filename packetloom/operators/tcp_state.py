@@ -1,14 +1,15 @@
 """Ordered per-connection state: sequence tracking, flow control and the connection lifecycle.
 
-These are recurrences over a tuple's segments in capture order. `connection_events` runs them in one task per
-tuple (grouped pandas, sorted by ordinal); `streaming.stateful` runs the same classes on stored state.
+These are recurrences over a tuple's segments in capture order. `connection_events` runs them over rows
+partitioned by tuple and sorted within partitions; `streaming.live` runs the same classes on stored state.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -272,17 +273,26 @@ def tcp_rows(frames: DataFrame) -> DataFrame:
     return rows.select(tuple_id.alias("tuple_id"), "ordinal", F.when(F.col("src") == F.col("a"), 0).otherwise(1).alias("way"), "seq", "ack", "flags", F.col("payload_len").alias("payload"), F.col("win_size").alias("win"))
 
 
-def _walk_pandas(pdf: pd.DataFrame) -> pd.DataFrame:
-    pdf = pdf.sort_values("ordinal")
-    acks = [None if pd.isna(x) else int(x) for x in pdf["ack"]]
-    rows = zip(pdf["ordinal"], pdf["way"], pdf["seq"].astype("int64"), acks, pdf["flags"], pdf["payload"], pdf["win"].fillna(0).astype("int64"), strict=True)
-    columns = [c.split()[0] for c in EVENT_SCHEMA.split(", ")]
-    return pd.DataFrame(walk(pdf["tuple_id"].iloc[0], rows, TupleState()), columns=columns)
+def _walk_sorted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by (tuple_id, ordinal): one state at a time, however long a tuple is."""
+    names = [c.split()[0] for c in EVENT_SCHEMA.split(", ")]
+    kinds = [pa.string(), pa.int32(), pa.int64(), pa.int32(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.string()]
+    current, state = None, TupleState()
+    for batch in batches:
+        out = []
+        for tuple_id, ordinal, way, seq, ack, flags, payload, window in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if tuple_id != current:
+                current, state = tuple_id, TupleState()
+            out += walk(tuple_id, [(ordinal, way, seq, ack, flags, payload, window or 0)], state)
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
 
 
 def connection_events(frames: DataFrame) -> DataFrame:
-    """Typed events of every TCP connection. A tuple's segments are one group: the recurrence needs them in order."""
-    return tcp_rows(frames).groupBy("tuple_id").applyInPandas(_walk_pandas, EVENT_SCHEMA)
+    """Typed events of every TCP connection. A tuple's segments go through one task in order (the recurrence needs
+    that) as a stream: memory holds one tuple's state, never its segments."""
+    rows = tcp_rows(frames).repartition("tuple_id").sortWithinPartitions("tuple_id", "ordinal")
+    return rows.mapInArrow(_walk_sorted, EVENT_SCHEMA)
 
 
 def connections(events: DataFrame) -> DataFrame:
