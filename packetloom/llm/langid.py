@@ -51,12 +51,16 @@ _FOLD[128:] = np.arange(128, 256)
 
 
 def bucket_stream(texts: list[bytes], buckets: int):
-    """For each n-gram order: the bucket of every n-gram with no inner space, and the text it belongs to."""
-    sizes = np.array([len(x) + PAD for x in texts])
-    data = _FOLD[np.frombuffer(b"".join(x + b" " * PAD for x in texts), np.uint8)]
+    """For each n-gram order: the bucket of every n-gram with no inner space, where it starts, and where each text's
+    stretch ends. A text stands between one space and PAD spaces, so that no n-gram reaches into the next text."""
+    sizes = np.array([len(x) + 1 + PAD for x in texts])
+    data = _FOLD[np.frombuffer(b"".join(b" " + x + b" " * PAD for x in texts), np.uint8)]
     wide = data.astype(np.uint32)
     owner_ends = np.cumsum(sizes)
     space = data == 32
+    tail = np.zeros(len(data), bool)
+    for k in range(1, PAD + 1):
+        tail[owner_ends - k] = True
     n = len(data)
     for order in ORDERS:
         h = np.full(n - order + 1, 2166136261 + order, np.uint32)
@@ -67,7 +71,7 @@ def bucket_stream(texts: list[bytes], buckets: int):
             if 0 < k < order - 1:
                 inner |= space[k : n - order + 1 + k]
         edge = space[: n - order + 1] & space[order - 1 :]
-        ok = np.flatnonzero(~(inner | edge))
+        ok = np.flatnonzero(~(inner | edge | tail[: n - order + 1]))
         h = h[ok]
         h ^= h >> np.uint32(15)
         yield (h % np.uint32(buckets)).astype(np.int64), ok, owner_ends
