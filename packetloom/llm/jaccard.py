@@ -10,8 +10,8 @@ strengths from collision counts on a bounded pilot sample: they change the work,
 
 An index key held by exactly two sets gives a candidate pair. The sets under a key held by more (groups of
 near copies, shared passages) go on to a second exact filter, an index of their rarest shingles with a bound
-by position, first from each key's most central set to all others, then only between sets that are still in
-different components. So no key ever emits all its pairs. Every candidate is verified on the whole sets.
+by position: first each set is compared with the one that is most often central among its shingles' sets, then
+only sets that are still in different components are. So no key ever emits all its pairs. Every candidate is verified on the whole sets.
 
 Defined cases: null and empty texts, and texts without a word, have the empty set and no links. A text with
 fewer than k words is one shingle. Repeated rows and equal sets share one class. Very long texts are sets like
@@ -324,10 +324,10 @@ def frequency_sketch(sets: DataFrame) -> np.ndarray:
     """How often shingles of each hash slot occur, summed over all tasks; 4 MB at any input size."""
 
     def run(batches):
-        count = np.zeros(SKETCH, np.int64)
+        count = np.zeros(SKETCH, np.int32)
         for b in batches:
             x = b.column(0).flatten().to_numpy().view(np.uint64)
-            count += np.bincount((mix64(x) % _U(SKETCH)).astype(np.int64), minlength=SKETCH)
+            count += np.bincount((mix64(x) % _U(SKETCH)).astype(np.int64), minlength=SKETCH).astype(np.int32)
         for i in range(0, SKETCH, SKETCH_BLOCK):
             if (block := count[i : i + SKETCH_BLOCK]).any():
                 yield pa.RecordBatch.from_arrays([pa.array([i // SKETCH_BLOCK], pa.int32()), pa.array([block.tobytes()], pa.binary())], names=["block", "counts"])
@@ -335,7 +335,7 @@ def frequency_sketch(sets: DataFrame) -> np.ndarray:
     def add(key, table):
         total = np.zeros(SKETCH_BLOCK, np.int64)
         for x in table.column("counts").to_pylist():
-            total += np.frombuffer(x, np.int64)
+            total += np.frombuffer(x, np.int32)
         summed = total.clip(max=2**31 - 1).astype(np.int32).tobytes()
         return pa.table({"block": pa.array([key[0].as_py()], pa.int32()), "counts": pa.array([summed], pa.binary())})
 
@@ -368,56 +368,90 @@ def rare_prefixes(sets: DataFrame, sketch, percent: int) -> DataFrame:
     return sets.select("id", "n", "items", "comp").mapInArrow(run, "token long, id long, n long, pos long, comp long")
 
 
-def prefix_pairs(prefixes: DataFrame, percent: int, centre: bool) -> DataFrame:
-    """Pairs under a shared rare shingle that can still reach the threshold: with centre from the set that has
-    it earliest to all others, otherwise between sets of different components."""
+def _reach(percent: int, na, nb, pos_a, pos_b):
+    """Whether two sets can still be linked if the shingle at these places is the first that they share."""
+    most = 1 + np.minimum(na - pos_a - 1, nb - pos_b - 1)
+    return 100 * most >= percent * (na + nb - most)
 
-    def possible(na, nb, pa_, pb):
-        most = 1 + np.minimum(na - pa_ - 1, nb - pb - 1)
-        return 100 * most >= percent * (na + nb - most)
+
+def _runs(batches):
+    """Prefix rows of a task sorted by token (earliest place first), with the first row and length of each run."""
+    cols = _columns(batches)
+    if not cols:
+        return None
+    order = np.lexsort((cols[1], cols[3], cols[0]))
+    token, me, n, pos, comp = (c[order] for c in cols)
+    first = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
+    return me, n, pos, comp, first, np.diff(np.append(first, len(token)))
+
+
+def centre_pairs(prefixes: DataFrame, percent: int) -> DataFrame:
+    """For every set one pair (a, b): b is the set that most often is the central one (has the shingle earliest)
+    under the rare shingles of a."""
 
     def run(batches):
-        cols = _columns(batches)
-        if not cols:
+        got = _runs(batches)
+        if got is None:
+            return
+        me, n, pos, _, first, count = got
+        head = np.repeat(first, count)
+        at = np.flatnonzero(np.arange(len(me)) != head)
+        at = at[_reach(percent, n[head[at]], n[at], pos[head[at]], pos[at])]
+        p, c = np.unique(np.stack([me[at], me[head[at]]], 1), axis=0, return_counts=True)
+        yield pa.RecordBatch.from_arrays([pa.array(p[:, 0].copy()), pa.array(p[:, 1].copy()), pa.array(c)], names=["a", "b", "shared"])
+
+    votes = prefixes.repartition("token").mapInArrow(run, "a long, b long, shared long").where("a <> b")
+    totals = votes.groupBy("a", "b").agg(F.sum("shared").alias("shared"))
+    return totals.groupBy("a").agg(F.max_by("b", F.struct("shared", -F.col("b"))).alias("b"))
+
+
+def crossing_pairs(prefixes: DataFrame, percent: int) -> DataFrame:
+    """Pairs of sets in different components that share a rare shingle and can still reach the threshold."""
+
+    def run(batches):
+        got = _runs(batches)
+        if got is None:
             return
-        order = np.lexsort((cols[1], cols[3], cols[0]))
-        token, me, n, pos, comp = (c[order] for c in cols)
-        first = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
-        count = np.diff(np.append(first, len(token)))
+        me, n, pos, comp, first, count = got
         found = []
-        if centre:
-            head = np.repeat(first, count)
-            at = np.flatnonzero(np.arange(len(token)) != head)
-            ok = at[possible(n[head[at]], n[at], pos[head[at]], pos[at])]
-            found.append(np.stack([me[head[ok]], me[ok]], 1))
-        else:
-            for lo, c in zip(first[count > 1].tolist(), count[count > 1].tolist(), strict=True):
-                cc = comp[lo : lo + c]
-                if (cc == cc[0]).all():
-                    continue
-                for i in range(lo, lo + c - 1):
-                    j = np.arange(i + 1, lo + c)
-                    j = j[comp[j] != comp[i]]
-                    j = j[possible(n[i], n[j], pos[i], pos[j])]
-                    if len(j):
-                        found.append(np.stack([np.full(len(j), me[i]), me[j]], 1))
-                if len(found) > 10_000:
-                    found = [np.unique(np.concatenate(found), axis=0)]
+        for lo, c in zip(first[count > 1].tolist(), count[count > 1].tolist(), strict=True):
+            cc = comp[lo : lo + c]
+            if (cc == cc[0]).all():
+                continue
+            for i in range(lo, lo + c - 1):
+                j = np.arange(i + 1, lo + c)
+                j = j[comp[j] != comp[i]]
+                j = j[_reach(percent, n[i], n[j], pos[i], pos[j])]
+                if len(j):
+                    found.append(np.stack([np.full(len(j), me[i]), me[j]], 1))
+            if len(found) > 10_000:
+                found = [np.unique(np.sort(np.concatenate(found), axis=1), axis=0)]
         if found:
-            p = np.sort(np.concatenate(found), axis=1)
-            p = np.unique(p[p[:, 0] != p[:, 1]], axis=0)
+            p = np.unique(np.sort(np.concatenate(found), axis=1), axis=0)
             yield pa.RecordBatch.from_arrays([pa.array(p[:, 0].copy()), pa.array(p[:, 1].copy())], names=["a", "b"])
 
     return prefixes.repartition("token").mapInArrow(run, "a long, b long").distinct()
 
 
-def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose whole sets are similar enough."""
+def verified(pairs: DataFrame, sets: DataFrame, percent: int, label: str) -> DataFrame:
+    """The pairs (a, b) whose whole sets are similar enough. Only sets that stand in a pair are moved."""
+    pairs = materialize(pairs, label)
+    ids = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
+    sets = sets.join(small(ids, 2 * pairs.count()), "id", "left_semi")
     left = sets.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("items").alias("xa"))
     right = sets.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("items").alias("xb"))
     both = F.size(F.array_intersect("xa", "xb"))
     joined = pairs.join(left, "a").join(right, "b").select("a", "b", "na", "nb", both.alias("both"))
-    return joined.where(100 * F.col("both") >= percent * (F.col("na") + F.col("nb") - F.col("both"))).select("a", "b")
+    linked = joined.where(100 * F.col("both") >= percent * (F.col("na") + F.col("nb") - F.col("both"))).select("a", "b")
+    return materialize(linked, f"{label}-links")
+
+
+def _apart(pairs: DataFrame, comps: DataFrame) -> DataFrame:
+    """The pairs whose sets are in different components."""
+    ca = comps.select(F.col("node").alias("a"), F.col("component").alias("ca"))
+    cb = comps.select(F.col("node").alias("b"), F.col("component").alias("cb"))
+    both = pairs.join(ca, "a", "left").join(cb, "b", "left")
+    return both.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
 
 
 def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 4, percent: int = 85) -> DataFrame:
@@ -438,16 +472,19 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
         met.where("b is not null")
         .join(by_h.select(F.col("h").alias("a"), F.col("id").alias("ia")), "a")
         .join(by_h.select(F.col("h").alias("b"), F.col("id").alias("ib")), "b")
-        .select(F.least("ia", "ib").alias("a"), F.greatest("ia", "ib").alias("b"))
+        .select(F.greatest("ia", "ib").alias("a"), F.least("ia", "ib").alias("b"))
     )
     crowd = items.where("crowd")
     sketch = df.sparkSession.sparkContext.broadcast(frequency_sketch(crowd))
     start = rare_prefixes(crowd.withColumn("comp", F.col("id")), sketch, percent)
-    links = materialize(verified(direct.union(prefix_pairs(start, percent, centre=True)).distinct(), items, percent), "links1")
-    comps = connected_components(links)
+    # First one pair for each set, so that a group of near copies costs one comparison each; what is then still
+    # apart is compared in full.
+    direct = materialize(direct.distinct(), "direct")
+    one_each = direct.groupBy("a").agg(F.min("b").alias("b"))
+    comps = connected_components(verified(one_each.union(centre_pairs(start, percent)).distinct(), items, percent, "first"))
     named = crowd.join(comps, crowd["id"] == comps["node"], "left").select("id", "n", "items", F.coalesce("component", "id").alias("comp"))
-    rest = prefix_pairs(rare_prefixes(named, sketch, percent), percent, centre=False)
-    more = materialize(verified(rest, items, percent), "links2")
+    other = _apart(direct, comps).union(crossing_pairs(rare_prefixes(named, sketch, percent), percent)).distinct()
+    more = verified(other, items, percent, "rest")
     final = connected_components(comps.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more))
     named_classes = classes.join(final, classes["rep"] == final["node"], "left").select("key", F.coalesce("component", "rep").alias("component_id"))
     return sets.join(named_classes, "key", "left").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"))
