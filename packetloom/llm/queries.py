@@ -111,6 +111,73 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
 FROM f
 """
 
+OP3_SQL = r"""
+WITH c AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL VALUES (-1, 0, 'user', '</s>[INST] ok [/INST]'), (-1, 1, 'assistant', '</s>[INST] ok [/INST]')
+), r AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS seq,
+    len(regexp_extract_all(text, '[\p{L}\p{N}]+|[^\s\p{L}\p{N}]')) + 4 AS tok,
+    24 + length(replace(replace(replace(role, '&', '&amp;'), '<|', '&lt;|'), chr(10), '&#10;')) + length(replace(replace(text, '&', '&amp;'), '<|', '&lt;|')) AS chars
+  FROM c
+), b AS (
+  SELECT *, coalesce(sum(tok) OVER (PARTITION BY conv_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) // 1024 AS span FROM r
+), w AS (SELECT *, dense_rank() OVER (PARTITION BY conv_id ORDER BY span) - 1 AS win FROM b),
+m AS (
+  SELECT *, max(win) OVER (PARTITION BY conv_id) AS last_win, row_number() OVER (PARTITION BY conv_id, win ORDER BY seq DESC) AS behind,
+    sum(tok) OVER (PARTITION BY conv_id, win ORDER BY seq DESC) AS tail, seq = 1 AND role = 'system' AS is_system
+  FROM w
+)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY seq)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY seq) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum(chars * (1 + CASE WHEN is_system THEN last_win WHEN win < last_win AND behind <= 2 AND tail <= 256 THEN 1 ELSE 0 END)) AS BIGINT) AS formatted_chars
+FROM m GROUP BY conv_id
+"""
+
+
+def op4_sql() -> str:
+    grams = []
+    for t, template in enumerate(licenses.TEMPLATES):
+        w = template.text.split()
+        grams += [f"({t}, '{template.label}', {str(template.base).lower()}, {len(w) - 1}, {j}, '{w[j]}', '{w[j + 1]}')" for j in range(len(w) - 1)]
+    return rf"""
+WITH t(t, label, base, n, j, t1, t2) AS (VALUES {", ".join(grams)}),
+d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{licenses.UPPER}', '{licenses.LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+g AS (SELECT doc_id, i - 1 AS i, w[i] AS w1, w[i + 1] AS w2 FROM (SELECT doc_id, w, unnest(range(1, len(w))) AS i FROM d)),
+h AS (
+  SELECT doc_id, t, label, base, n, i - j AS diagonal, bit_or(CAST(1 AS BIGINT) << j) AS mask, min(i) AS low, max(i) AS high
+  FROM g JOIN t ON w1 = t1 AND w2 = t2 GROUP BY doc_id, t, label, base, n, i - j
+), e AS (SELECT doc_id, label, base, diagonal AS first_word, 1.0 AS score FROM h WHERE bit_count(mask) = n),
+l AS (SELECT *, CASE WHEN diagonal - lag(diagonal) OVER p <= {licenses.GAP} THEN 0 ELSE 1 END AS new FROM h WHERE NOT base AND n + 1 >= {licenses.FUZZY_WORDS} WINDOW p AS (PARTITION BY doc_id, t ORDER BY diagonal)),
+s AS (SELECT *, sum(new) OVER (PARTITION BY doc_id, t ORDER BY diagonal) AS island FROM l),
+u AS (SELECT doc_id, t, label, base, n, bit_or(mask) AS mask, min(low) AS low, max(high) AS high FROM s GROUP BY doc_id, t, label, base, n, island),
+f AS (SELECT doc_id, label, base, low AS first_word, bit_count(mask) / n AS score FROM u WHERE bit_count(mask) / n >= {licenses.COVERAGE} AND bit_count(mask) < n AND (mask >> (n - 1)) & 1 = 1 AND high - low < 2 * n),
+a AS (
+  SELECT doc_id, count(*) FILTER (WHERE base) AS n_base, min(first_word) FILTER (WHERE base) AS first_word, max(first_word) FILTER (WHERE base) AS last_word,
+    string_agg(DISTINCT label, ',' ORDER BY label) FILTER (WHERE base) AS base_labels, string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(score) AS score
+  FROM (SELECT * FROM e UNION ALL SELECT * FROM f) GROUP BY doc_id
+)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_base, 0) AS n_base, CAST(first_word AS BIGINT) AS first_word, CAST(last_word AS BIGINT) AS last_word,
+  coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, CAST(coalesce(score, 0) AS DOUBLE) AS score
+FROM d LEFT JOIN a ON d.doc_id = a.doc_id
+"""
+
+
+OP5_SQL = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), s AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= 4 THEN list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS x FROM d
+), n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.x = b.x AND a.doc_id < b.doc_id GROUP BY 1, 2),
+l AS (SELECT a, b FROM p JOIN n x ON a = x.doc_id JOIN n y ON b = y.doc_id WHERE 100 * c >= 85 * (x.n + y.n - c)),
+e AS (SELECT a, b FROM l UNION SELECT b, a FROM l),
+r(a, b) AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, least(d.doc_id, coalesce(m.least_id, d.doc_id)) AS component_id
+FROM d LEFT JOIN n ON d.doc_id = n.doc_id LEFT JOIN (SELECT a, min(b) AS least_id FROM r GROUP BY a) m ON d.doc_id = m.a
+"""
+
 QUERIES = {
     "op1_neighbours": op1_neighbours,
     "op2_language": op2_language,
@@ -123,4 +190,4 @@ QUERIES = {
     "op9_quality": op9_quality,
     "op10_extraction": op10_extraction,
 }
-ORACLES = {"op9_quality": OP9_SQL}
+ORACLES = {"op3_chat": OP3_SQL, "op4_licenses": op4_sql(), "op5_jaccard_join": OP5_SQL, "op9_quality": OP9_SQL}
