@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from packetloom.llm.common import chunks, text_bytes
+from packetloom.llm.common import bounded_batches, chunks, text_bytes
 
 UNKNOWN = "und"
 ORDERS = (2, 3, 4)
@@ -38,8 +38,8 @@ class LangIdParams:
     calibration_share: float = 0.2
     #: Share of right calibration answers that the rejection threshold may turn away.
     rejected_share: float = 0.001
-    #: A threshold never above this, so that a clear answer is never rejected.
-    most_threshold: float = 0.5
+    #: A threshold never above this: a text in two languages, half and half, is not rejected for that.
+    most_threshold: float = 0.4
     seed: int = 11
 
 
@@ -220,4 +220,4 @@ def identify(df: DataFrame, model: LangModel | None, text_col: str = "text") ->
             arrays = [*batch.columns, pa.array(names, pa.string()), pa.array(score, pa.float64()), pa.array(ok, pa.bool_())]
             yield pa.RecordBatch.from_arrays(arrays, names=[f.name for f in schema])
 
-    return base.mapInArrow(run, schema)
+    return bounded_batches(base).mapInArrow(run, schema)
