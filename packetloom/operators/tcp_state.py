@@ -103,6 +103,10 @@ class Side:
     answered: bool = False
     kept_alive: bool = False
     probe: int | None = None
+    #: Whether its SYN was seen, the window shift that one offered, and whether last_window stood in it.
+    opened: bool = False
+    shift: int | None = None
+    window_from_syn: bool = False
 
 
 @dataclass
@@ -111,10 +115,20 @@ class FlowControl:
 
     sides: tuple[Side, Side] = field(default_factory=lambda: (Side(), Side()))
 
-    def ingest(self, way: int, seq: int, ack: int | None, flags: int, payload: int, window: int, keep_alive: bool, resent: bool) -> list[str]:
+    @staticmethod
+    def _edge(receiver: Side, sender: Side) -> int | None:
+        """The first sequence number that the receiver's window does not cover, where both SYNs were seen."""
+        if not (receiver.opened and sender.opened) or receiver.last_ack is None or receiver.last_window is None:
+            return None
+        scaled = not receiver.window_from_syn and receiver.shift is not None and sender.shift is not None
+        return (receiver.last_ack + (receiver.last_window << min(receiver.shift, 14) if scaled else receiver.last_window)) % SPACE
+
+    def ingest(self, way: int, seq: int, ack: int | None, flags: int, payload: int, window: int, keep_alive: bool, resent: bool, shift: int | None = None) -> list[str]:
+        me, peer = self.sides[way], self.sides[1 - way]
+        if flags & SYN:
+            me.opened, me.shift = True, shift
         if flags & RST:
             return []
-        me, peer = self.sides[way], self.sides[1 - way]
         size = payload + bool(flags & SYN) + bool(flags & FIN)
         plain, acks = not flags & (SYN | FIN), bool(flags & ACK) and ack is not None
         pure = plain and acks and payload == 0
@@ -122,6 +136,8 @@ class FlowControl:
         probe = plain and acks and payload == 1 and peer.last_window == 0 and me.next_seq == seq
         if probe:
             out.append("zeroWindowProbe")
+        elif plain and acks and payload > 0 and self._edge(peer, me) == (seq + size) % SPACE:
+            out.append("windowFull")
         if plain and acks and window == 0:
             out.append("zeroWindow")
         took_probe = peer.probe is not None and acks and ack in (peer.probe, (peer.probe + 1) % SPACE)
@@ -154,7 +170,7 @@ class FlowControl:
             me.repeats, me.answered = 0, False
         if acks:
             me.last_ack = ack
-        me.last_window = window
+        me.last_window, me.window_from_syn = window, bool(flags & SYN)
         if size > 0 and not probe:
             end = (seq + size) % SPACE
             if me.next_seq is None or offset(end, me.next_seq) > 0:
@@ -183,11 +199,11 @@ class Connection:
     trackers: tuple = field(default_factory=lambda: (SequenceTracker(), SequenceTracker()))
     flow: FlowControl = field(default_factory=FlowControl)
 
-    def ingest(self, way: int, seq: int, ack: int | None, flags: int, payload: int, window: int) -> list[str]:
+    def ingest(self, way: int, seq: int, ack: int | None, flags: int, payload: int, window: int, shift: int | None = None) -> list[str]:
         first = self.phase == "none"
         noted = self.trackers[way].ingest(seq, flags, payload)
         trailing = [NOTED[noted]] if noted in NOTED else []
-        trailing += self.flow.ingest(way, seq, ack, flags, payload, window, noted == "keepAlive", noted == "duplicate")
+        trailing += self.flow.ingest(way, seq, ack, flags, payload, window, noted == "keepAlive", noted == "duplicate", shift)
         out = ["firstObserved"] if first else []
         if first:
             self.phase = "active"
@@ -244,7 +260,7 @@ class TupleState:
     def __init__(self):
         self.current = Connection(0)
 
-    def ingest(self, way: int, seq: int, ack: int | None, flags: int, payload: int, window: int) -> tuple[Connection, list[str]]:
+    def ingest(self, way: int, seq: int, ack: int | None, flags: int, payload: int, window: int, shift: int | None = None) -> tuple[Connection, list[str]]:
         c = self.current
         if c.phase == "closed":
             if flags & SYN and not flags & ACK:
@@ -252,25 +268,26 @@ class TupleState:
             else:
                 # Nothing reopens a closed connection; what still arrives is late.
                 return c, ["lateSegment"]
-        return c, c.ingest(way, seq, ack, flags, payload, window)
+        return c, c.ingest(way, seq, ack, flags, payload, window, shift)
 
 
 EVENT_SCHEMA = "tuple_id string, incarnation int, ordinal long, way int, kind string, payload_len long, phase string, handshake string, close string"
 
 
 def walk(tuple_id: str, rows, state: TupleState) -> list[tuple]:
-    """rows: (ordinal, way, seq, ack, flags, payload, window) in capture order."""
+    """rows: (ordinal, way, seq, ack, flags, payload, window, shift) in capture order."""
     out = []
-    for ordinal, way, seq, ack, flags, payload, window in rows:
-        c, kinds = state.ingest(way, seq, ack, flags, payload, window)
+    for ordinal, way, seq, ack, flags, payload, window, shift in rows:
+        c, kinds = state.ingest(way, seq, ack, flags, payload, window, shift)
         out += [(tuple_id, c.number, ordinal, way, kind, payload, c.phase, c.handshake, c.close) for kind in kinds]
     return out
 
 
 def tcp_rows(frames: DataFrame) -> DataFrame:
     rows = with_tuple(frames.where("proto = 'tcp'"))
+    shift = F.col("win_shift") if "win_shift" in frames.columns else F.lit(None).cast("int")
     tuple_id = F.concat_ws("|", F.col("a.ip"), F.col("a.port").cast("string"), F.col("b.ip"), F.col("b.port").cast("string"))
-    return rows.select(tuple_id.alias("tuple_id"), "ordinal", F.when(F.col("src") == F.col("a"), 0).otherwise(1).alias("way"), "seq", "ack", "flags", F.col("payload_len").alias("payload"), F.col("win_size").alias("win"))
+    return rows.select(tuple_id.alias("tuple_id"), "ordinal", F.when(F.col("src") == F.col("a"), 0).otherwise(1).alias("way"), "seq", "ack", "flags", F.col("payload_len").alias("payload"), F.col("win_size").alias("win"), shift.alias("shift"))
 
 
 def _walk_sorted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -280,10 +297,10 @@ def _walk_sorted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     current, state = None, TupleState()
     for batch in batches:
         out = []
-        for tuple_id, ordinal, way, seq, ack, flags, payload, window in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+        for tuple_id, ordinal, way, seq, ack, flags, payload, window, shift in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             if tuple_id != current:
                 current, state = tuple_id, TupleState()
-            out += walk(tuple_id, [(ordinal, way, seq, ack, flags, payload, window or 0)], state)
+            out += walk(tuple_id, [(ordinal, way, seq, ack, flags, payload, window or 0, shift)], state)
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
 

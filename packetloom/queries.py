@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from packetloom.functions import net
 from packetloom.model import frames_cte, frames_from_events
-from packetloom.operators import files, findings, pairing, predicates as P, sessions as S, stats, tcp_state, timeline, windows
+from packetloom.operators import annotate, files, findings, pairing, predicates as P, sessions as S, stats, streams, tcp_state, timeline, timings, windows
 from packetloom.plans import history
 from packetloom.plans.tables import settle
 
@@ -497,3 +497,42 @@ def q_filter_finding(spark, sf_dir):
     f = frames(spark, sf_dir)
     rows = S.fold_sessions(f).withColumn("session_id", F.concat_ws("|", "proto", "client_ip", F.col("client_port").cast("string"), "server_ip", F.col("server_port").cast("string")))
     return P.evaluate(P.with_findings(rows, findings.dns_findings(f)), P.finding("dnsNameError")).select("session_id", "first_ordinal", "truth")
+
+
+# ---- timings and annotations ------------------------------------------------------------------------------------------
+
+
+@query("connection_timings")
+def q_timings(spark, sf_dir):
+    f = frames(spark, sf_dir)
+    found = timings.connection_timings(settle(tcp_state.connection_events(f), "events"))
+    return timings.measured(found, f)
+
+
+@query("dns_exchanges", """, d AS (SELECT * FROM frames WHERE dns_id IS NOT NULL), q AS (SELECT client_ip, client_port, server_ip, dns_id, min(ordinal) AS start_ordinal FROM d WHERE NOT reply GROUP BY ALL)
+SELECT client_ip, client_port, server_ip, dns_id, start_ordinal, min(d.ordinal) AS end_ordinal FROM d JOIN q USING (client_ip, client_port, server_ip, dns_id) WHERE reply AND d.ordinal > start_ordinal GROUP BY ALL""")
+def q_exchanges(spark, sf_dir):
+    return timings.dns_exchanges(frames(spark, sf_dir))
+
+
+@query("flow_lanes", """, l AS (SELECT ordinal, 0 AS side, src_ip AS ip FROM frames UNION ALL SELECT ordinal, 1, dst_ip FROM frames), f AS (SELECT ip, min({'o': ordinal, 's': side}) AS seen FROM l GROUP BY ip), r AS (SELECT ip, CAST(row_number() OVER (ORDER BY seen) - 1 AS INT) AS lane FROM f)
+SELECT ordinal, a.lane AS from_lane, b.lane AS to_lane FROM frames JOIN r a ON src_ip = a.ip JOIN r b ON dst_ip = b.ip WHERE a.lane < 12 AND b.lane < 12""")
+def q_lanes(spark, sf_dir):
+    return annotate.flow_lanes(frames(spark, sf_dir))
+
+
+@query("field_points", "SELECT ordinal, CAST(regexp_extract(dns_name, '[0-9]+') AS DOUBLE) AS value FROM frames WHERE (ordinal - 1) % 3 = 0 AND dns_name IS NOT NULL")
+def q_points(spark, sf_dir):
+    return annotate.field_points(frames(spark, sf_dir), "dns_name", 3)
+
+
+@query("session_ladder", """SELECT client_ip, client_port, server_ip, ordinal, step, CASE WHEN reply THEN 'down' ELSE 'up' END AS direction FROM (SELECT *, CAST(row_number() OVER (PARTITION BY client_ip, client_port, server_ip ORDER BY ordinal) AS INT) AS step FROM frames) WHERE step <= 5""")
+def q_ladder(spark, sf_dir):
+    return annotate.ladder(frames(spark, sf_dir), ["client_ip", "client_port", "server_ip"], 5)
+
+
+@query("round_trips")
+def q_round_trips(spark, sf_dir):
+    rows = tcp_state.tcp_rows(frames(spark, sf_dir))
+    timed = rows.join(frames(spark, sf_dir).select("ordinal", F.unix_micros(F.col("ts").cast("timestamp")).alias("ts_us")), "ordinal")
+    return streams.round_trips(timed.withColumnRenamed("payload", "payload_len"))

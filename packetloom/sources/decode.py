@@ -74,6 +74,8 @@ def decode(frames: DataFrame) -> DataFrame:
             "ack": F.when(tcp, number(l4 + 8, 4)),
             "flags": F.coalesce(F.when(tcp, number(l4 + 13, 1)), F.lit(0)).cast("int"),
             "win_size": F.when(tcp, number(l4 + 14, 2)).cast("int"),
+            "win_shift": F.when(tcp, tcp_option(l4 + 20, l4 + F.floor(number(l4 + 12, 1) / 16) * 4, 3, 1)).cast("int"),
+            "mss": F.when(tcp, tcp_option(l4 + 20, l4 + F.floor(number(l4 + 12, 1) / 16) * 4, 2, 2)).cast("int"),
             "l7": F.when(tcp, l4 + F.floor(number(l4 + 12, 1) / 16) * 4).when(udp, l4 + 8),
             "icmp_type": F.when(F.col("proto").isin("icmp", "icmpv6"), number(l4, 1)),
             "icmp_code": F.when(F.col("proto").isin("icmp", "icmpv6"), number(l4 + 1, 1)),
@@ -97,14 +99,17 @@ def decode(frames: DataFrame) -> DataFrame:
             "http_method": F.when(tcp & (request != ""), request),
             "http_status": F.when(tcp & (reply != ""), reply.cast("int")),
             "http_host": F.when(tcp & (request != ""), F.nullif(F.regexp_extract(line, r"(?i)\r\nHost:[ \t]*([^\r\n]*)\r\n", 1), F.lit(""))),
+            "sni": F.when(tls & (number(l7, 1) == 22) & (number(l7 + 5, 1) == 1), server_name(l7 + 9)),
             "tls_record": F.when(tls, number(l7, 1)),
             "tls_handshake": F.when(tls & (number(l7, 1) == 22), number(l7 + 5, 1)),
         }
     )
+    banner = F.when(line.startswith("SSH-"), "ssh").when(line.rlike(r"^220[ -].*(?i:smtp)"), "smtp").when(line.rlike(r"^220[ -].*(?i:ftp)"), "ftp").when(line.rlike(r"^\+OK "), "pop3").when(line.rlike(r"^\* OK "), "imap")
     app = (
         F.when(F.col("tls_record").isNotNull(), "tls")
         .when(F.col("http_method").isNotNull() | F.col("http_status").isNotNull(), "http")
         .when(F.col("dns_id").isNotNull(), "dns")
+        .when(tcp & banner.isNotNull(), banner)
         .when(udp & (F.col("payload_len") >= 20) & (number(l7 + 4, 4) == 0x2112A442), "stun")
         .when(udp & ((F.col("src_port") == 443) | (F.col("dst_port") == 443)) & (number(l7, 1) >= 192), "quic")
         .otherwise(F.col("proto"))
@@ -113,6 +118,47 @@ def decode(frames: DataFrame) -> DataFrame:
     return d.withColumns({"app": app, "decode_stop": stop})
 
 
+def byte(at: Column) -> Column:
+    return F.conv(F.hex(F.substring(F.col("bytes"), at + 1, F.lit(1))), 16, 10).cast("int")
+
+
+def tcp_option(at: Column, end: Column, kind: int, size: int) -> Column:
+    """The value of a TCP option of so many bytes; null if it is not there."""
+    start = F.struct(at.cast("int").alias("at"), F.lit(None).cast("int").alias("found"))
+
+    def step(acc: Column, _: Column) -> Column:
+        k, n = byte(acc["at"]), byte(acc["at"] + 1)
+        inside = acc["at"] < end
+        jump = F.when(k == 1, 1).when((k > 1) & (n >= 2), n)
+        hit = inside & (k == kind) & (n == size + 2)
+        return F.struct(F.when(inside & jump.isNotNull(), acc["at"] + jump).otherwise(1 << 20).alias("at"), F.when(hit & acc["found"].isNull(), acc["at"] + 2).otherwise(acc["found"]).alias("found"))
+
+    return number(F.aggregate(F.sequence(F.lit(1), F.lit(16)), start, step, lambda a: a["found"]), size)
+
+
+def server_name(hello: Column, extensions: int = 24) -> Column:
+    """The name in a ClientHello that starts at `hello` (after the handshake header), from its SNI extension."""
+    session = hello + 34
+    ciphers = session + 1 + number(session, 1)
+    methods = ciphers + 2 + number(ciphers, 2)
+    first = methods + 1 + number(methods, 1) + 2
+    start = F.struct(first.cast("int").alias("at"), F.lit(None).cast("int").alias("found"))
+
+    def step(acc: Column, _: Column) -> Column:
+        kind, size = number(acc["at"], 2), number(acc["at"] + 2, 2)
+        return F.struct((acc["at"] + 4 + F.coalesce(size, F.lit(1 << 16))).cast("int").alias("at"), F.when((kind == 0) & acc["found"].isNull(), acc["at"]).otherwise(acc["found"]).alias("found"))
+
+    at = F.aggregate(F.sequence(F.lit(1), F.lit(extensions)), start, step, lambda a: a["found"])
+    return F.nullif(F.decode(F.substring(F.col("bytes"), at + 10, number(at + 7, 2).cast("int")), "UTF-8"), F.lit(""))
+
+
+def header_checksum_ok(at: Column, words: int = 10) -> Column:
+    """Whether the ones'-complement sum of a header of so many 16-bit words comes out right."""
+    total = sum((number(at + 2 * i, 2) for i in range(1, words)), number(at, 2))
+    folded = F.pmod(total, F.lit(65536)) + F.floor(total / 65536)
+    return F.pmod(folded, F.lit(65536)) + F.floor(folded / 65536) == 0xFFFF
+
+
 def dns_name(at: Column, labels: int = 12) -> Column:
     """The uncompressed name of the first question, up to `labels` labels; null where it does not end in time."""
     start = F.struct(at.cast("int").alias("at"), F.lit("").alias("name"), F.lit(False).alias("done"), F.lit(True).alias("ok"))

@@ -55,7 +55,8 @@ def connection_events(frames: DataFrame) -> DataFrame:
         held = pickle.loads(state.get[0]) if state.exists else tcp_state.TupleState()
         pdf = pd.concat(list(parts)).sort_values("ordinal")
         acks = [None if pd.isna(x) else int(x) for x in pdf["ack"]]
-        rows = zip(pdf["ordinal"], pdf["way"], pdf["seq"].astype("int64"), acks, pdf["flags"], pdf["payload"], pdf["win"].fillna(0).astype("int64"), strict=True)
+        shifts = [None if pd.isna(x) else int(x) for x in pdf["shift"]]
+        rows = zip(pdf["ordinal"], pdf["way"], pdf["seq"].astype("int64"), acks, pdf["flags"], pdf["payload"], pdf["win"].fillna(0).astype("int64"), shifts, strict=True)
         out = tcp_state.walk(key[0], rows, held)
         state.update((pickle.dumps(held),))
         yield pd.DataFrame(out, columns=columns)

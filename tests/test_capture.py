@@ -116,3 +116,22 @@ def test_round_trip_through_writer(spark, tmp_path):
     assert [r.data for r in capture.records(bytes(out[0].content))] == CORPUS
     facts = capture.properties(spark, str(tmp_path / "in")).first()
     assert facts.format == "pcap" and facts.frames == len(CORPUS) and facts.link_types == [1]
+
+
+def test_options_server_name_and_checksum(spark):
+    name = b"secure.example"
+    sni = struct.pack(">HHHBH", 0, len(name) + 5, len(name) + 3, 0, len(name)) + name
+    other = struct.pack(">HH", 23, 0)
+    hello = b"\x03\x03" + b"\0" * 32 + b"\x04abcd" + b"\0\x02\x13\x01" + b"\x01\0" + struct.pack(">H", len(other + sni)) + other + sni
+    record = b"\x16\x03\x01" + struct.pack(">H", len(hello) + 4) + b"\x01" + len(hello).to_bytes(3, "big") + hello
+    options = b"\x02\x04\x05\xb4\x01\x03\x03\x07"
+    syn = struct.pack(">HHIIBBHHH", 1, 443, 5, 0, 0x70, 2, 1000, 0, 0) + options
+    head = bytearray(ipv4("192.0.2.1", "192.0.2.2", 6, syn))
+    total = sum(struct.unpack(">10H", head[:20]))
+    head[10:12] = struct.pack(">H", 0xFFFF - ((total & 0xFFFF) + (total >> 16)))
+    rows = [(bytearray(ethernet(0x0800, bytes(head))), 1), (bytearray(ethernet(0x0800, ipv4("192.0.2.1", "192.0.2.2", 6, tcp(1, 443, 6, 1, 24, record)))), 1), (bytearray(ethernet(0x0800, ipv4("192.0.2.1", "192.0.2.2", 6, tcp(22, 9, 6, 1, 24, b"SSH-2.0-x\r\n")))), 1)]
+    df = decode.decode(spark.createDataFrame(rows, "bytes binary, link_type int"))
+    got = df.select("win_shift", "mss", "sni", "app", decode.header_checksum_ok(df["l3"]).alias("ok")).collect()
+    assert (got[0].win_shift, got[0].mss, got[0].ok) == (7, 1460, True)
+    assert (got[1].sni, got[1].app, got[1].ok) == ("secure.example", "tls", False)
+    assert got[2].app == "ssh"

@@ -88,3 +88,13 @@ def test_zero_window_probe():
     _, out = kinds([(0, 0, 5, ACK, 10, 50), (1, 5, 10, ACK, 0, 0), (0, 10, 5, ACK, 1, 50)])
     assert "zeroWindow" in out[1]
     assert "zeroWindowProbe" in out[2]
+
+
+def test_window_full_needs_both_syns():
+    state = t.TupleState()
+    out = []
+    for s in [(0, 0, None, SYN, 0, 100, 1), (1, 0, 1, SYN | ACK, 0, 10, 2), (0, 1, 1, ACK, 0, 100, None), (1, 1, 1, ACK, 0, 10, None), (0, 1, 1, ACK, 40, 100, None)]:
+        out.append(state.ingest(*s)[1])
+    assert "windowFull" in out[4]
+    _, plain = kinds([(0, 1, 1, ACK, 5, 100), (1, 1, 6, ACK, 0, 10), (0, 6, 1, ACK, 10, 100)])
+    assert "windowFull" not in plain[2]
