@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 CITATIONS = 16
@@ -23,9 +23,13 @@ def severity(kind: Column) -> Column:
 
 
 def _cited(rows: DataFrame, key: list[str]) -> DataFrame:
-    """Frames per finding: the first CITATIONS ordinals and how many there are in all."""
-    each = rows.groupBy(*key, "kind", "ordinal").agg(F.lit(1).alias("one"))
-    return each.groupBy(*key, "kind").agg(F.count("*").alias("cited"), F.min("ordinal").alias("first_cited"), F.slice(F.array_sort(F.collect_list("ordinal")), 1, CITATIONS).alias("citations"))
+    """Frames per finding: the first CITATIONS ordinals and how many there are in all. The ranking is limited before
+    the shuffle, so a finding with very many frames never gathers them."""
+    by = [*key, "kind"]
+    each = rows.groupBy(*by, "ordinal").agg(F.lit(1).alias("one"))
+    counts = each.groupBy(*by).agg(F.count("*").alias("cited"), F.min("ordinal").alias("first_cited"))
+    ranked = each.withColumn("rank_", F.row_number().over(Window.partitionBy(*by).orderBy("ordinal"))).where(F.col("rank_") <= CITATIONS)
+    return counts.join(ranked.groupBy(*by).agg(F.array_sort(F.collect_list("ordinal")).alias("citations")), by)
 
 
 def from_events(events: DataFrame) -> DataFrame:
@@ -37,47 +41,61 @@ def from_events(events: DataFrame) -> DataFrame:
 
 
 def from_lifecycle(events: DataFrame) -> DataFrame:
-    """Refused, unanswered, aborted and half-closed connections, from conditional minima of one group-by."""
-    k, o, way = F.col("kind"), F.col("ordinal"), F.col("way")
-    first = lambda cond: F.min(F.when(cond, o))
-    opener = F.min_by(F.when(k == "syn", way), F.when(k == "syn", o))
-    g = events.groupBy(*ID).agg(
-        opener.alias("opener"),
-        first(k == "syn").alias("syn"),
-        F.count_if(k == "syn").alias("syns"),
-        F.max_by("phase", "ordinal").alias("phase"),
-        F.max_by("handshake", "ordinal").alias("handshake"),
-        F.max_by("close", "ordinal").alias("close"),
-        first(k == "rst").alias("rst"),
-        F.min_by(F.when(k == "rst", way), F.when(k == "rst", o)).alias("rst_way"),
-        first(k == "payloadObserved").alias("payload"),
-        first((k == "fin") & (way == 0)).alias("fin0"),
-        first((k == "fin") & (way == 1)).alias("fin1"),
-        F.array_sort(F.collect_list(F.when((k == "payloadObserved"), F.struct(o.alias("o"), way.alias("w"))))).alias("payloads"),
-        F.collect_set(F.when(k == "retransmission", o)).alias("resent"),
-        F.array_sort(F.collect_list(F.when(k == "syn", o))).alias("syn_ordinals"),
+    """Refused, unanswered, aborted and half-closed connections.
+
+    Conditional minima in two passes (the second looks at what follows the first pass's FIN and RST), so that no
+    connection's events are ever gathered."""
+    k, o = F.col("kind"), F.col("ordinal")
+    has = lambda name: F.max(F.when(k == name, 1).otherwise(0)) == 1
+    frame = events.groupBy(*ID, "ordinal", "way").agg(*[has(n).alias(a) for n, a in (("syn", "syn"), ("rst", "rst"), ("fin", "fin"), ("payloadObserved", "payload"), ("retransmission", "resent"))])
+    ends = events.groupBy(*ID).agg(*[F.max_by(c, "ordinal").alias(c) for c in ("phase", "handshake", "close")])
+    at = lambda cond: F.min(F.when(cond, o))
+    first = frame.groupBy(*ID).agg(
+        at(F.col("syn")).alias("syn_at"),
+        F.min_by(F.when(F.col("syn"), F.col("way")), F.when(F.col("syn"), o)).alias("opener"),
+        F.count_if(F.col("syn")).alias("syns"),
+        at(F.col("rst")).alias("rst_at"),
+        F.min_by(F.when(F.col("rst"), F.col("way")), F.when(F.col("rst"), o)).alias("rst_way"),
+        at(F.col("payload")).alias("payload_at"),
+        at(F.col("fin") & (F.col("way") == 0)).alias("fin0"),
+        at(F.col("fin") & (F.col("way") == 1)).alias("fin1"),
+        F.count_if(F.col("resent")).alias("resends"),
+        F.count_if(F.col("resent") & ~F.col("syn")).alias("other_resends"),
     )
-    after = lambda fin, w: F.array_min(F.transform(F.filter("payloads", lambda p: (p["w"] == w) & (p["o"] > F.col(fin)) & ~F.array_contains("resent", p["o"])), lambda p: p["o"]))
-    g = g.withColumns({"late0": F.when(F.col("fin0").isNotNull(), after("fin0", 1)), "late1": F.when(F.col("fin1").isNotNull(), after("fin1", 0))})
-    refused = (F.col("handshake") == "synObserved") & F.col("rst").isNotNull() & (F.col("rst_way") != F.col("opener")) & F.col("close").startswith("reset")
+    later = lambda fin, way: F.min(F.when(F.col("payload") & ~F.col("resent") & (F.col("way") == way) & (o > F.col(fin)), o))
+    second = frame.where("payload").join(first.select(*ID, "rst_at", "fin0", "fin1"), ID).groupBy(*ID).agg(
+        later("fin0", 1).alias("late0"), later("fin1", 0).alias("late1"), F.max(F.when(o < F.col("rst_at"), o)).alias("last_payload")
+    )
+    c = ends.join(first, ID).join(second, ID, "left")
+    reset = F.coalesce(F.col("close").startswith("reset"), F.lit(False))
+    refused = F.coalesce((F.col("handshake") == "synObserved") & (F.col("rst_way") != F.col("opener")) & reset, F.lit(False))
     unanswered = (F.col("handshake") == "synObserved") & F.col("close").isNull() & (F.col("phase") == "opening") & (F.col("syns") >= 2)
-    aborted = F.col("close").startswith("reset") & (F.col("payload") < F.col("rst")) & ~F.coalesce(refused, F.lit(False))
+    aborted = reset & (F.col("payload_at") < F.col("rst_at")) & ~refused
     half = F.col("late0").isNotNull() | F.col("late1").isNotNull()
     use0 = F.col("late0").isNotNull() & (F.col("late1").isNull() | (F.col("fin0") < F.col("fin1")))
+    only_syns = (F.col("resends") > 0) & (F.col("other_resends") == 0)
+    none, empty = F.lit(None).cast("string"), F.array().cast("array<bigint>")
     cite = lambda cond, name, refs, over: F.when(cond, F.struct(F.lit(name).alias("kind"), refs.alias("refs"), over.alias("supersedes")))
-    only_syns = F.size("resent") > 0
-    only_syns = only_syns & (F.size(F.array_except("resent", "syn_ordinals")) == 0)
-    none = F.lit(None).cast("string")
-    last_payload = F.array_max(F.transform(F.filter("payloads", lambda p: p["o"] < F.col("rst")), lambda p: p["o"]))
     rules = F.array_compact(
         F.array(
-            cite(refused, "connectionRefused", F.array("syn", "rst"), F.lit("reset")),
-            cite(unanswered, "handshakeUnanswered", F.slice("syn_ordinals", 1, CITATIONS), F.when(only_syns, F.lit("retransmission")).otherwise(none)),
-            cite(aborted, "abortAfterData", F.array_distinct(F.array(F.col("payload"), last_payload, F.col("rst"))), F.lit("reset")),
+            cite(refused, "connectionRefused", F.array("syn_at", "rst_at"), F.lit("reset")),
+            cite(unanswered, "handshakeUnanswered", empty, F.when(only_syns, F.lit("retransmission")).otherwise(none)),
+            cite(aborted, "abortAfterData", F.array_distinct(F.array("payload_at", "last_payload", "rst_at")), F.lit("reset")),
             cite(half, "halfClose", F.when(use0, F.array("fin0", "late0")).otherwise(F.array("fin1", "late1")), none),
         )
     )
-    return g.select(*ID, F.explode(rules).alias("r")).select(*ID, F.col("r.kind").alias("kind"), F.size("r.refs").cast("long").alias("cited"), F.array_min("r.refs").alias("first_cited"), F.col("r.refs").alias("citations"), F.col("r.supersedes").alias("supersedes"))
+    found = c.select(*ID, F.explode(rules).alias("r")).select(*ID, F.col("r.kind").alias("kind"), F.col("r.refs").alias("refs"), F.col("r.supersedes").alias("supersedes"))
+    syns = _cited(events.where("kind = 'syn'").withColumn("kind", F.lit("handshakeUnanswered")), ID)
+    listed = found.join(syns, [*ID, "kind"], "left")
+    own = F.size("refs") > 0
+    return listed.select(
+        *ID,
+        "kind",
+        F.when(own, F.size("refs").cast("long")).otherwise(F.col("cited")).alias("cited"),
+        F.when(own, F.array_min("refs")).otherwise(F.col("first_cited")).alias("first_cited"),
+        F.when(own, F.col("refs")).otherwise(F.col("citations")).alias("citations"),
+        "supersedes",
+    )
 
 
 def connection_findings(events: DataFrame) -> DataFrame:

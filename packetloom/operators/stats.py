@@ -140,8 +140,8 @@ def response_times(measured: DataFrame, by: str) -> DataFrame:
 def value_distribution(df: DataFrame, column: str) -> tuple[DataFrame, DataFrame]:
     """(value, n, percent) and one row with the number of values and the normalised entropy, null below two values."""
     counts = df.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("value")).agg(F.count("*").alias("n"))
-    whole = Window.partitionBy()
-    share = counts.withColumn("total", F.sum("n").over(whole))
+    total = counts.agg(F.sum("n").alias("total"))  # one row
+    share = counts.crossJoin(F.broadcast(total))
     rows = share.select("value", "n", (100.0 * F.col("n") / F.col("total")).alias("percent"))
     p = F.col("n") / F.col("total")
     one = share.agg(F.count("*").alias("values"), F.coalesce(F.max("total"), F.lit(0)).alias("rows"), (-F.sum(p * F.log2(p))).alias("bits"))

@@ -10,18 +10,16 @@ ID = ["tuple_id", "incarnation"]
 
 def connection_timings(events: DataFrame) -> DataFrame:
     """Handshake reply (the answered SYN to the first SYN+ACK) and application response (the opener's first payload to
-    the other side's next): kind, start_ordinal, end_ordinal per connection."""
+    the other side's next), as conditional minima: kind, start_ordinal, end_ordinal per connection."""
     k, o, way = F.col("kind"), F.col("ordinal"), F.col("way")
     first = events.groupBy(*ID).agg(F.min(F.when(k == "synAck", o)).alias("syn_ack"), F.min_by(F.when(k == "syn", way), F.when(k == "syn", o)).alias("opener"))
-    rows = events.join(first, ID)
+    rows = events.where("kind IN ('syn', 'payloadObserved')").join(first, ID)
     asked = F.min(F.when((k == "payloadObserved") & (way == F.col("opener")), o))
-    g = rows.groupBy(*ID, "syn_ack", "opener").agg(
-        F.max(F.when((k == "syn") & (o <= F.col("syn_ack")), o)).alias("syn"),
-        asked.alias("asked"),
-        F.array_sort(F.collect_list(F.when((k == "payloadObserved") & (way != F.col("opener")), o))).alias("replies"),
-    )
-    answered = F.array_min(F.filter("replies", lambda x: x > F.col("asked")))
-    kinds = F.array(F.struct(F.lit("tcpHandshakeReply").alias("kind"), F.col("syn").alias("start"), F.col("syn_ack").alias("end")), F.struct(F.lit("applicationResponse").alias("kind"), F.col("asked").alias("start"), answered.alias("end")))
+    sent = rows.groupBy(*ID, "syn_ack", "opener").agg(F.max(F.when((k == "syn") & (o <= F.col("syn_ack")), o)).alias("syn"), asked.alias("asked"))
+    replies = rows.where("kind = 'payloadObserved'").select(*ID, "ordinal", "way").join(sent.where("asked IS NOT NULL").select(*ID, "opener", "asked"), ID)
+    answered = replies.where((way != F.col("opener")) & (o > F.col("asked"))).groupBy(*ID).agg(F.min("ordinal").alias("answered"))
+    g = sent.join(answered, ID, "left")
+    kinds = F.array(F.struct(F.lit("tcpHandshakeReply").alias("kind"), F.col("syn").alias("start"), F.col("syn_ack").alias("end")), F.struct(F.lit("applicationResponse").alias("kind"), F.col("asked").alias("start"), F.col("answered").alias("end")))
     out = g.select(*ID, F.explode(kinds).alias("t"))
     return out.where("t.start IS NOT NULL AND t.end IS NOT NULL").select(*ID, F.col("t.kind").alias("kind"), F.col("t.start").alias("start_ordinal"), F.col("t.end").alias("end_ordinal"))
 
