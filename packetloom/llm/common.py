@@ -2,18 +2,20 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows that may be sent to every executor: 4 million pairs of longs are 64 MB.
-BROADCAST_ROWS = 4_000_000
+from packetloom.plans.tables import settle as materialize
+
+#: Rows of a few numbers that may be sent to every executor: a million take about 130 MB in a join's hash table.
+BROADCAST_ROWS = 1_000_000
+#: Rows of text that Spark hands to Python at once: Spark's own 10 000 could be a gigabyte of very long texts.
+BATCH_ROWS = 2048
 #: Bytes of text that one numpy step works on; one text larger than this is a step of its own.
 CHUNK_BYTES = 1 << 20
 
@@ -22,30 +24,17 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; only where that is unset, as in tests, one of our own."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="packetloom-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
-def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Write df once to the shared folder and read it back, so that later steps never recompute it."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/packetloom-{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def small(df: DataFrame, rows: int) -> DataFrame:
     """Mark df for broadcast if its counted rows are few; otherwise leave the join to a shuffle."""
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
 
-def text_of(column: str | Column) -> Column:
-    return F.coalesce(F.col(column) if isinstance(column, str) else column, F.lit(""))
+def bounded_batches(df: DataFrame) -> DataFrame:
+    """df, with its session set to hand at most BATCH_ROWS rows to Python at once."""
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(name)) <= BATCH_ROWS:
+        conf.set(name, str(BATCH_ROWS))
+    return df
 
 
 def text_bytes(column: pa.Array) -> list[bytes]:

@@ -25,6 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from packetloom.llm.common import bounded_batches
+
 #: HTML's block-level elements, elements without content, and elements without visible text.
 BLOCK = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html iframe legend li main menu nav ol optgroup option p pre search section select summary table tbody td template tfoot th thead title tr ul video audio canvas button textarea label".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -423,4 +425,4 @@ def extract(df: DataFrame, html_col: str = "html", field: Field | None = None) -
                 arrays = [part.column(part.schema.get_field_index(f.name)) for f in keep]
                 yield pa.RecordBatch.from_arrays([*arrays, pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=[f.name for f in schema])
 
-    return base.mapInArrow(run, schema)
+    return bounded_batches(base).mapInArrow(run, schema)

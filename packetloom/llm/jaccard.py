@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from packetloom.llm.common import chunks, materialize, mix64, small, text_bytes
+from packetloom.llm.common import bounded_batches, chunks, materialize, mix64, small, text_bytes
 from packetloom.llm.components import connected_components
 
 _U = np.uint64
@@ -458,7 +458,7 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """Per row of df: id_col, n_shingles, component_id (the smallest id reachable by links).
 
     Ids are distinct longs; a row with a null id takes no part and is left out."""
-    docs = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id is not null")
+    docs = bounded_batches(df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id is not null"))
     sets = materialize(set_table(docs, k), "sets")
     classes = sets.where("n > 0").groupBy("key").agg(F.min("id").alias("rep"), F.first("h").alias("h"))
     keys = index_keys(docs, percent, k, plan(docs, "text", "id", percent, k))

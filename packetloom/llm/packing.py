@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from packetloom.llm.common import materialize, small
+from packetloom.llm.common import bounded_batches, materialize, small
 
 #: The printable stand-ins that byte-level BPE files use for bytes are the bytes 33-126,
 #: 161-172 and 174-255 themselves; all others are numbered from code point 256 in byte order.
@@ -72,7 +72,7 @@ def tokenize(df: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_co
                     names=schema.names,
                 )
 
-    return df.select(F.col(id_col), F.col(text_col)).mapInArrow(run, schema)
+    return bounded_batches(df.select(F.col(id_col), F.col(text_col))).mapInArrow(run, schema)
 
 
 def pack(tokens: DataFrame, id_col: str = "doc_id", length: int = 2048, keep_ids: bool = True) -> DataFrame:
@@ -108,7 +108,7 @@ def pack(tokens: DataFrame, id_col: str = "doc_id", length: int = 2048, keep_ids
                 arrays.append(pa.array([v.tobytes() for v in views], pa.binary()))
             yield pa.RecordBatch.from_arrays(arrays, names=schema.names)
 
-    return placed.mapInArrow(run, schema)
+    return bounded_batches(placed).mapInArrow(run, schema)
 
 
 def pack_documents(df: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", length: int = 2048, end_id: int = 1, keep_ids: bool = True) -> DataFrame:

@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from packetloom.llm.common import mix64
+from packetloom.llm.common import bounded_batches, mix64
 
 MARK = 0x2581
 NEWLINE = 10
@@ -278,7 +278,7 @@ def encode(df: DataFrame, model_path: str, key: Column, text_col: str = "text",
                 lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(ids, pa.int32()))
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], lists, pa.array(counts), pa.array(same, pa.bool_())], names=[f.name for f in schema])
 
-    return base.mapInArrow(run, schema)
+    return bounded_batches(base).mapInArrow(run, schema)
 
 
 def decode(df: DataFrame, model_path: str, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
@@ -292,4 +292,4 @@ def decode(df: DataFrame, model_path: str, ids_col: str = "ids", out_col: str =
             texts = [decode_ids(x or [], vocab) for x in batch.column(batch.schema.get_field_index(ids_col)).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=[f.name for f in schema])
 
-    return base.mapInArrow(run, schema)
+    return bounded_batches(base).mapInArrow(run, schema)

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from packetloom.llm.common import text_bytes
+from packetloom.llm.common import bounded_batches, text_bytes
 
 WHITE = b" \t\n\x0b\x0c\r"
 SYMBOLS = b"#*$%&|<>"
@@ -194,4 +194,4 @@ def quality_cascade(df: DataFrame, text_col: str = "text", rules: tuple[Rule, ..
                 arrays += [pa.array([c[i] for c in counts], pa.int64()) for i in range(len(BASE_COLUMNS))]
             yield pa.RecordBatch.from_arrays(arrays, names=[f.name for f in schema])
 
-    return base.mapInArrow(run, schema)
+    return bounded_batches(base).mapInArrow(run, schema)
