@@ -460,7 +460,8 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     Ids are distinct longs; a row with a null id takes no part and is left out."""
     docs = bounded_batches(df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id is not null"))
     sets = materialize(set_table(docs, k), "sets")
-    classes = sets.where("n > 0").groupBy("key").agg(F.min("id").alias("rep"), F.first("h").alias("h"))
+    # Written out, so that the last join has plain shuffles on both sides and a key with very many rows can be split.
+    classes = materialize(sets.where("n > 0").groupBy("key").agg(F.min("id").alias("rep"), F.first("h").alias("h")), "classes")
     keys = index_keys(docs, percent, k, plan(docs, "text", "id", percent, k))
     met = materialize(meet(keys, percent), "met")
     wanted = met.select(F.col("a").alias("h"), F.col("b").isNull().alias("crowd")).union(met.where("b is not null").select(F.col("b"), F.lit(False)))
