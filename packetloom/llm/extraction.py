@@ -51,6 +51,24 @@ class Block:
     link_chars: int
 
 
+#: Elements that lay a page out, and fixed values: words of class, id and role attributes on either side.
+STRUCTURE = frozenset("article main section aside nav header footer form".split())
+MAIN_WORDS = "article articlebody body-text content entry entry-content main main-content page-content post post-body post-content story story-body text".split()
+SIDE_WORDS = {
+    "menu": "breadcrumb breadcrumbs main-nav menu nav navbar navigation site-nav skip-link tabs toc topnav",
+    "header": "banner brand header logo masthead page-header site-header top-bar",
+    "footer": "bottom colophon copyright footer legal site-footer",
+    "sidebar": "aside column-right popular related recommended rail side sidebar trending widget",
+    "notice": "alert announcement consent cookie cookie-banner gdpr message modal newsletter notice notification popup privacy subscribe warning",
+    "ad": "ad ad-slot ads adsense advert advertisement banner-ad commercial promo promotion sponsor sponsored",
+    "comment": "comment comment-list comments discussion disqus feedback replies reply respond responses user-comment",
+    "form": "contact-form form login search search-form signup",
+    "share": "author-bio byline meta pagination post-meta share sharing social tags",
+}
+MAIN_SET = frozenset(w for x in MAIN_WORDS for w in x.split("-"))
+SIDE_KIND = {w: kind for kind, words in SIDE_WORDS.items() for x in words.split() for w in x.split("-") if w not in MAIN_SET}
+
+
 def attribute_words(raw: str) -> tuple[str, ...]:
     out = []
     for m in ATTRIBUTE.finditer(raw):
@@ -131,6 +149,15 @@ def path_features(path: tuple) -> set[str]:
     tags = [t for t, _ in path if t not in ("html", "body")]
     out = {f"tag={t}" for t in tags} | {f"word={w}" for _, words in path for w in words}
     out.add(f"parent={tags[-1] if tags else 'body'}")
+    frame = [t for t in tags if t in STRUCTURE]
+    if frame:
+        out |= {f"outer={frame[0]}", f"inner={frame[-1]}"}
+    kinds = [SIDE_KIND[w] for _, words in path for w in words if w in SIDE_KIND]
+    out |= {f"kind={k}" for k in kinds}
+    if kinds:
+        out.add("side")
+    if any(w in MAIN_SET for _, words in path for w in words):
+        out.add("main")
     for outer in ("article", "main"):
         if outer in tags:
             out |= {f"{outer}>{t}" for t in tags[tags.index(outer) + 1 :] if t in ("header", "footer", "aside", "nav", "form", "section", "div")}
@@ -227,7 +254,7 @@ def train(pages: list[tuple[list[Block], list[int]]], epochs: int = 4, rate: flo
             prob, moves = _posterior(np.array([w[f].sum() for f in bag]), step, start)
             w *= 1 - lr * decay
             for f, d in zip(bag, y - prob[:, 1], strict=True):
-                np.add.at(w, f, lr * d / 4)
+                np.add.at(w, f, lr * d / 3)
             seen = np.zeros((2, 2))
             np.add.at(seen, (y[:-1], y[1:]), 1)
             step += lr * 0.1 * (seen - moves)
@@ -237,19 +264,6 @@ def train(pages: list[tuple[list[Block], list[int]]], epochs: int = 4, rate: flo
 
 # ---- labelled pages ---------------------------------------------------------------------------------------
 
-#: Words of class and id attributes on either side, in natural order.
-MAIN_WORDS = "article articlebody body-text content entry entry-content main main-content page-content post post-body post-content story story-body text".split()
-SIDE_WORDS = {
-    "menu": "breadcrumb breadcrumbs main-nav menu nav navbar navigation site-nav skip-link tabs toc topnav",
-    "header": "banner brand header logo masthead page-header site-header top-bar",
-    "footer": "bottom colophon copyright footer legal site-footer",
-    "sidebar": "aside column-right popular related recommended rail side sidebar trending widget",
-    "notice": "alert announcement consent cookie cookie-banner gdpr message modal newsletter notice notification popup privacy subscribe warning",
-    "ad": "ad ad-slot ads adsense advert advertisement banner-ad commercial promo promotion sponsor sponsored",
-    "comment": "comment comment-list comments discussion disqus feedback replies reply respond responses user-comment",
-    "form": "contact-form form login search search-form signup",
-    "share": "author-bio byline meta pagination post-meta share sharing social tags",
-}
 SIDE_TAGS = {"menu": ("nav", "ul", "div", "menu"), "header": ("header", "div"), "footer": ("footer", "div"), "sidebar": ("aside", "div", "section"), "notice": ("div", "section", "p", "dialog"), "ad": ("div", "aside", "p", "section", "ins"), "comment": ("section", "div", "ol", "ul"), "form": ("form",), "share": ("div", "ul", "p")}
 #: Tags that say what they are without any attribute.
 PLAIN = {"menu": "nav", "header": "header", "footer": "footer", "sidebar": "aside", "form": "form"}
@@ -300,11 +314,19 @@ class PageMaker:
             out += [("<label>", None), (self.prose(1, 4), 0), ("</label><input name='q'><button>", None), (self.prose(1, 2), 0), ("</button>", None)]
             if r.random() < 0.4:
                 out += [("<p>", None), (self.prose(3, 20), 0), ("</p>", None)]
+        elif kind == "header" and r.random() < 0.5:
+            level = r.choice(["h1", "h2", "a", "p"])
+            out += [(f"<{level}>", None), (self.prose(1, 5), 0), (f"</{level}>", None)]
+            if r.random() < 0.5:
+                out += self.side("menu", True)
         elif kind == "footer":
             out.append((("&copy; " if r.random() < 0.6 else "") + self.prose(2, 14), 0))
             if r.random() < 0.4:
                 out += [("<p>", None), (self.prose(2, 20), 0), ("</p>", None)]
         elif kind == "comment":
+            if r.random() < 0.5:
+                level = r.choice(["h2", "h3", "h4"])
+                out += [(f"<{level}>", None), (self.prose(1, 3), 0), (f"</{level}>", None)]
             for _ in range(r.randint(1, 5)):
                 inner_tag = r.choice(["div", "li", "p", "article"])
                 out += [(f"<{inner_tag}{self.attributes(SIDE_WORDS[kind]) if r.random() < 0.5 else ''}>", None), (self.prose(3, 60), 0), (f"</{inner_tag}>", None)]
@@ -347,8 +369,8 @@ class PageMaker:
                 out += [("<figure><figcaption>", None), (self.prose(2, 12), 1), ("</figcaption></figure>", None)]
             else:
                 out += [("<div>", None), (self.prose(4, 60), 1), ("</div>", None)]
-            if r.random() < 0.06:
-                out += self.side(r.choice(["ad", "share", "notice", "sidebar", "form"]), True)
+            if r.random() < 0.12:
+                out += self.side(r.choice(["ad", "ad", "share", "notice", "notice", "sidebar", "sidebar", "form", "menu"]), True)
         return out
 
     def page(self) -> list[tuple[str, int | None]]:
@@ -399,7 +421,7 @@ def training_pages(n: int, seed: int = 1) -> list[tuple[list[Block], list[int],
 
 
 @lru_cache(maxsize=2)
-def default_field(pages: int = 1_200, seed: int = 1) -> Field:
+def default_field(pages: int = 2_000, seed: int = 1) -> Field:
     return train([(b, y) for b, y, _ in training_pages(pages, seed)])
 
 
