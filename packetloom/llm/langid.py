@@ -3,7 +3,8 @@
 Byte n-grams inside words are hashed into buckets; a text is the mean of its buckets' embeddings; a linear
 softmax on that mean gives the language. Both layers are trained by stochastic gradient descent in numpy on
 a bounded sample of labelled rows (`per_language` of each language). A held-back part of the sample sets a
-temperature and the score below which a prediction is rejected.
+temperature and the score below which a prediction is rejected; for the latter its texts count alone and joined
+in pairs of two languages, so that a text in two languages is not rejected for that.
 
 Defined cases: null text or text without a letter gives `und` with score 0 and is rejected. Texts are read
 whole. Null languages are never learned from. Ties between languages go to the first in sorted order.
@@ -38,8 +39,6 @@ class LangIdParams:
     calibration_share: float = 0.2
     #: Share of right calibration answers that the rejection threshold may turn away.
     rejected_share: float = 0.001
-    #: A threshold never above this: a text in two languages, half and half, is not rejected for that.
-    most_threshold: float = 0.4
     seed: int = 11
 
 
@@ -127,6 +126,12 @@ def has_letter(raw: bytes) -> bool:
 _ASCII_LETTERS = bytes(range(65, 91)) + bytes(range(97, 123))
 
 
+def two_languages(y: np.ndarray, rows: np.ndarray, rng: np.random.Generator) -> list[tuple[int, int]]:
+    """Pairs of the given rows: each row with a drawn row of every other language."""
+    of = {lang: rows[y[rows] == lang] for lang in np.unique(y[rows])}
+    return [(int(i), int(rng.choice(of[lang]))) for i in rows for lang in of if lang != y[i]]
+
+
 def train(texts: list[bytes], labels: list[str], params: LangIdParams = LangIdParams()) -> LangModel | None:
     """Fit embeddings and softmax on the given rows; None if there is no language to learn."""
     langs = sorted(set(labels))
@@ -174,9 +179,12 @@ def train(texts: list[bytes], labels: list[str], params: LangIdParams = LangIdPa
     model.doubt = 1 / (len(truth) + 2)
     p = (1 - model.doubt) * _softmax(scores / model.temperature) + model.doubt / len(langs)
     right = p.argmax(1) == truth
-    sure = np.sort(p.max(1)[right])
-    model.threshold = min(params.most_threshold, float(sure[int(len(sure) * params.rejected_share)])) if len(sure) else 0.0
-    model.info = {"accuracy": float(right.mean()), "calibration_rows": int(len(check)), "trained_rows": int(len(fit))}
+    mixed = two_languages(y, check, rng)
+    both = (1 - model.doubt) * _softmax(model.mean_scores([texts[i] + b" " + texts[j] for i, j in mixed]) / model.temperature) + model.doubt / len(langs)
+    fits = np.array([b in (y[i], y[j]) for b, (i, j) in zip(both.argmax(1), mixed, strict=True)], bool)
+    sure = np.sort(np.concatenate([p.max(1)[right], both.max(1)[fits]]))
+    model.threshold = float(sure[int(len(sure) * params.rejected_share)]) if len(sure) else 0.0
+    model.info = {"accuracy": float(right.mean()), "calibration_rows": int(len(check)), "calibration_pairs": len(mixed), "trained_rows": int(len(fit))}
     return model
 
 

@@ -50,6 +50,21 @@ def test_scores_do_not_depend_on_neighbours():
     assert np.allclose(model.mean_scores(texts), alone)
 
 
+def test_held_back_texts_alone_set_the_threshold(spark):
+    words = {lang: [f"{lang}{a}{b}" for a in "aeiou" for b in "klmnpr"] for lang in ("qu", "zo", "vy")}
+    r = random.Random(5)
+    make = lambda lang: " ".join(r.choices(words[lang], k=30))
+    labels = [lang for lang in words for _ in range(200)]
+    model = langid.train([make(lang).encode() for lang in labels], labels)
+    assert model.info["calibration_pairs"] == 2 * model.info["calibration_rows"]
+    assert model.threshold > 0.41
+    mixed = [make(a) + " " + make(b) for a in words for b in words if a != b for _ in range(5)]
+    unknown = ["hidden text of some other tongue", "bcdfg hjkl wxtsh"]
+    rows = langid.identify(spark.createDataFrame([(t,) for t in mixed + unknown], "text string"), model).collect()
+    accepted = {x.text: x.accepted for x in rows}
+    assert all(accepted[t] for t in mixed) and not any(accepted[t] for t in unknown)
+
+
 def read(df, params):
     windows = chat.format_conversations(df, params)
     return windows, {r.conv_id: r for r in chat.read_back(windows).collect()}
