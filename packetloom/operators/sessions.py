@@ -19,7 +19,6 @@ LENGTH_BOUNDS = (0, 20, 40, 80, 160, 320, 640, 1280, 2560, 5120)
 SYN, ACK, FIN, RST = 2, 16, 1, 4
 #: Completeness bits, in the order SYN, SYN+ACK, ACK, data, FIN, RST.
 C_SYN, C_SYNACK, C_ACK, C_DATA, C_FIN, C_RST = 1, 2, 4, 8, 16, 32
-ANSWER_CAP = 64
 
 
 def has(flag: int) -> Column:
@@ -128,7 +127,7 @@ def fold_sessions(frames: DataFrame) -> DataFrame:
         "process",
         "dns_query",
         F.size("answer_set").alias("n_answers"),
-        F.slice(F.array_sort("answer_set"), 1, ANSWER_CAP).alias("dns_answers"),
+        F.array_sort("answer_set").alias("dns_answers"),
         F.when(known & (F.col("answer_ts") > F.col("query_ts")), (F.unix_micros(F.col("answer_ts").cast("timestamp")) - F.unix_micros(F.col("query_ts").cast("timestamp"))) / 1e3).alias("latency_ms"),
         "untimed",
         *[f"len_{i}" for i in range(len(LENGTH_BOUNDS))],

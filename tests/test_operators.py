@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from packetloom.functions import net
 from packetloom.model import frames_from_events
-from packetloom.operators import files, findings, pairing, stats, timeline
+from packetloom.operators import files, findings, pairing, sessions, stats, timeline
 from packetloom.operators import predicates as P
 from packetloom.operators import tcp_state
 from packetloom.streaming import live
@@ -112,6 +112,13 @@ def test_drop_repeats_looks_at_kept_frames_only(spark):
     assert [r.v for r in files.drop_repeats(df, ["v"]).orderBy("ordinal").collect()] == out
 
 
+def test_dns_lookups_count_every_address(spark, sf_dir):
+    one = frames_from_events(spark, sf_dir).where("dns_answer IS NOT NULL AND ts IS NOT NULL").limit(1)
+    many = one.drop("ordinal", "dns_answer").crossJoin(spark.range(200).select(F.col("id").alias("ordinal"), F.concat(F.lit("198.51.100."), "id").alias("dns_answer")))
+    row = stats.dns_lookups(sessions.fold_sessions(many)).first()
+    assert (row.lookups, row.answered, row.addresses) == (1, 1, 200)
+
+
 def test_merge_refuses_untimed(spark):
     df = spark.createDataFrame([(1, None)], "ordinal long, ts timestamp_ntz")
     with pytest.raises(PySparkException):
