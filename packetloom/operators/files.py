@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections import deque
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from packetloom.operators.ordered import walk
 
 
 def merge(captures: list[DataFrame]) -> DataFrame:
@@ -40,33 +44,26 @@ def without(frames: DataFrame, ignored: DataFrame) -> DataFrame:
 def drop_repeats(frames: DataFrame, content: list[str], window: int = 5) -> DataFrame:
     """Drop a frame that equals one of the `window` kept frames before it.
 
-    Whether a frame is kept depends on the frames kept before it, so blocks of frames are walked in order, each
-    with a run-up from the block before. The kept window is exact once `window` different frames in a row were
-    new; a run-up of 40 times the window settles all but captures that repeat fewer contents than that."""
-    from pyspark.sql import types as T
-
-    import pandas as pd
-
-    block = 50_000
-    rows = frames.withColumn("hash_", F.xxhash64(*content))
-    at = F.floor(F.col("ordinal") / block)
-    own = rows.withColumns({"block_": at, "own_": F.lit(True)})
-    lead = rows.withColumns({"block_": at + 1, "own_": F.lit(False)}).where(F.col("ordinal") % block >= block - 40 * window)
-    schema = T.StructType([*frames.schema.fields])
-    names = schema.names
-
-    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("ordinal")
-        kept: list[int] = []
-        keep = []
-        for h in pdf["hash_"]:
-            new = h not in kept
-            keep.append(new)
-            if new:
-                kept = [*kept, h][-window:]
-        return pdf.loc[pdf["own_"].to_numpy() & keep, names]
-
-    return own.unionByName(lead).groupBy("block_").applyInPandas(walk, schema)
+    Whether a frame is kept depends on every frame kept before it, so this is one pass over all frames in order: a
+    single task, which streams through sorted rows and holds no more than the window."""
+
+    class Kept:
+        def __init__(self):
+            self.kept = deque(maxlen=window)
+
+        def add(self, row: dict) -> list[tuple]:
+            what = tuple(row[c] for c in content)
+            if what in self.kept:
+                return []
+            self.kept.append(what)
+            return [tuple(row[c] for c in names)]
+
+        def finish(self) -> list[tuple]:
+            return []
+
+    names = frames.columns
+    schema = T.StructType([T.StructField("all_", T.IntegerType()), *frames.schema.fields])
+    return walk(frames.withColumn("all_", F.lit(0)), ["all_"], ["ordinal"], Kept, schema).drop("all_")
 
 
 def anonymise(frames: DataFrame, columns: tuple[str, ...] = ("src_ip", "dst_ip")) -> DataFrame:

@@ -112,6 +112,13 @@ def test_drop_repeats_looks_at_kept_frames_only(spark):
     assert [r.v for r in files.drop_repeats(df, ["v"]).orderBy("ordinal").collect()] == out
 
 
+def test_drop_repeats_remembers_over_any_distance(spark):
+    rows = [(i, v) for i, v in enumerate("abcde", 1)] + [(i, "e") for i in range(49_700, 50_200)] + [(50_200, "a"), (200_000, "c"), (200_001, "f"), (200_002, "a")]
+    df = spark.createDataFrame(rows, "ordinal long, v string").repartition(3)
+    kept = [*enumerate("abcde", 1), (200_001, "f"), (200_002, "a")]
+    assert [tuple(r) for r in files.drop_repeats(df, ["v"]).orderBy("ordinal").collect()] == kept
+
+
 def test_dns_lookups_count_every_address(spark, sf_dir):
     one = frames_from_events(spark, sf_dir).where("dns_answer IS NOT NULL AND ts IS NOT NULL").limit(1)
     many = one.drop("ordinal", "dns_answer").crossJoin(spark.range(200).select(F.col("id").alias("ordinal"), F.concat(F.lit("198.51.100."), "id").alias("dns_answer")))
