@@ -1,11 +1,11 @@
 """Approximate nearest neighbours by inner product: a hierarchical k-means tree, searched best bin first.
 
-The tree is fitted in numpy on a bounded sample (`sample_rows`); every row is then indexed by its leaf. A
-query walks the tree with a priority queue: the node with the largest possible inner product (centroid product
+The tree is fitted in numpy on a bounded sample (`sample_rows`); leaves that hold many rows of the table are split
+further, on samples of their own, until none is large; every row is then indexed by its leaf. A query walks the tree with a priority queue: the node with the largest possible inner product (centroid product
 plus radius times query norm) is opened next, and leaves come out in that order. How many leaves a query
 visits is calibrated: for a bounded set of calibration queries the true neighbours over all rows are found, and
-the visits widen until the mean share of them in visited leaves reaches `target_recall`. Candidates in visited
-leaves are scored exactly in double precision. Leaves with very many rows are dealt to several tasks.
+the visits widen until the mean share of them in visited leaves reaches `target_recall`. Candidates in visited leaves are scored exactly in
+double precision. Leaves with very many rows, and the queries of a leaf, are dealt to several tasks in blocks.
 
 Defined cases: vectors that are null, zero, of another length than most, or that hold null or non-finite
 components are neither indexed nor searched for. Equal scores go to the smaller id. Repeated ids are rows of
@@ -16,14 +16,17 @@ gives an empty result. Extra columns are not read.
 from __future__ import annotations
 
 import heapq
-from dataclasses import dataclass
+import pickle
+from collections.abc import Iterator
+from dataclasses import dataclass, replace
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from packetloom.llm.common import materialize
+from packetloom.llm.common import materialize, small
 
 
 @dataclass(frozen=True)
@@ -37,8 +40,12 @@ class AnnParams:
     iterations: int = 8
     calibration_queries: int = 100
     target_recall: float = 0.97
-    #: Indexed rows of one leaf that one task scores.
+    #: Indexed rows of one leaf that one task scores; leaves of more rows are split as far as their vectors differ.
     chunk_rows: int = 10_000
+    #: Rows of a large leaf that it is split on, about.
+    split_sample: int = 1024
+    #: Queries that one task scores against a leaf, about.
+    block_queries: int = 10_000
     seed: int = 3
 
 
@@ -115,18 +122,82 @@ def leaves_of(tree: Tree, x: np.ndarray) -> np.ndarray:
     return out
 
 
-def best_bins(tree: Tree, q: np.ndarray, visits: int) -> list[int]:
-    """Leaves in best-bin-first order."""
+def bins(tree: Tree, q: np.ndarray) -> Iterator[int]:
+    """All leaves in best-bin-first order."""
     bound = tree.centers @ q + tree.radius * np.sqrt(q @ q)
-    heap, out = [(-bound[0], 0)], []
-    while heap and len(out) < visits:
+    heap = [(-bound[0], 0)]
+    while heap:
         _, node = heapq.heappop(heap)
         if tree.children[node]:
             for child in tree.children[node]:
                 heapq.heappush(heap, (-bound[child], child))
         else:
-            out.append(int(tree.leaf_of[node]))
-    return out
+            yield int(tree.leaf_of[node])
+
+
+def best_bins(tree: Tree, q: np.ndarray, visits: int) -> list[int]:
+    """The first leaves in best-bin-first order."""
+    return list(islice(bins(tree, q), visits))
+
+
+def graft(tree: Tree, leaf: int, sub: Tree) -> None:
+    """Put a tree of several leaves in place of a leaf; its first leaf takes over the number."""
+    node, base, new = int(np.flatnonzero(tree.leaf_of == leaf)[0]), len(tree.centers) - 1, tree.n_leaves
+    number = np.where(sub.leaf_of > 0, sub.leaf_of + new - 1, np.where(sub.leaf_of == 0, leaf, -1))
+    tree.children[node] = [c + base for c in sub.children[0]]
+    tree.children += [[c + base for c in kids] for kids in sub.children[1:]]
+    tree.leaf_of[node] = -1
+    tree.leaf_of = np.concatenate([tree.leaf_of, number[1:]])
+    tree.centers = np.concatenate([tree.centers, sub.centers[1:]])
+    tree.radius = np.concatenate([tree.radius, sub.radius[1:]])
+
+
+def in_leaves(rows: DataFrame, tree: Tree, dim: int) -> DataFrame:
+    """rows (id, v) with their leaf before them."""
+    sent = rows.sparkSession.sparkContext.broadcast(tree)
+
+    def run(batches):
+        for batch in batches:
+            leaf = leaves_of(sent.value, _matrix(batch.column(1), dim))
+            yield pa.RecordBatch.from_arrays([pa.array(leaf), *batch.columns], names=["leaf", "id", "v"])
+
+    return rows.mapInArrow(run, "leaf long, id long, v array<double>")
+
+
+def leaf_sizes(indexed: DataFrame) -> dict[int, int]:
+    return dict(indexed.groupBy("leaf").count().collect())  # one number for each leaf of the tree
+
+
+def grow(rows: DataFrame, tree: Tree, dim: int, params: AnnParams) -> None:
+    """Split leaves of more than chunk_rows rows in passes over the table, each on a bounded sample of its rows, until
+    the rest hold fewer or only vectors that no split tells apart."""
+    whole: set[int] = set()
+    before: dict[int, int] = {}
+    while True:
+        indexed = in_leaves(rows, tree, dim)
+        sizes = leaf_sizes(indexed)
+        whole |= {leaf for leaf, n in before.items() if sizes.get(leaf) == n}
+        big = {leaf: n for leaf, n in sizes.items() if n > params.chunk_rows and leaf not in whole}
+        if not big:
+            return
+        shares = rows.sparkSession.createDataFrame([(leaf, n, min(1.0, params.split_sample / n) * 1_000_000) for leaf, n in big.items()], "leaf long, n long, share double")
+        drawn = F.pmod(F.xxhash64("id", "v", F.lit(params.seed), F.lit(len(tree.centers))), F.lit(1_000_000)) < F.col("share")
+        some = indexed.join(small(shares, len(big)), "leaf").where(drawn).select("leaf", "n", "v").distinct()
+
+        def split(table: pa.Table) -> pa.Table:
+            x = _matrix(table.column("v").combine_chunks(), dim)
+            least = max(16, len(x) * params.chunk_rows // (2 * table.column("n")[0].as_py()))
+            sub = build_tree(x, replace(params, leaf_sample=min(least, len(x) - 1)))
+            return pa.table({"leaf": table.column("leaf").slice(0, 1), "tree": pa.array([pickle.dumps(sub)])})
+
+        subs = {r.leaf: pickle.loads(r.tree) for r in some.groupBy("leaf").applyInArrow(split, "leaf long, tree binary").collect()}
+        for leaf, n in big.items():
+            if leaf in subs and subs[leaf].n_leaves > 1:
+                low = tree.n_leaves
+                graft(tree, leaf, subs[leaf])
+                before |= dict.fromkeys([leaf, *range(low, tree.n_leaves)], n)
+            else:
+                whole.add(leaf)
 
 
 def products(q: np.ndarray, x: np.ndarray) -> np.ndarray:
@@ -186,59 +257,64 @@ def brute_force(rows: DataFrame, queries: np.ndarray, query_ids: np.ndarray, dim
     return _best_of(rows.mapInArrow(run, "qid long, id long, score double"), k)
 
 
-def nearest(df: DataFrame, is_query, id_col: str = "vec_id", vec_col: str = "embedding", params: AnnParams = AnnParams()) -> DataFrame:
-    """query_id, rank (from 1), id_col, score: neighbours of each row for which is_query (a condition on df) holds."""
-    spark = df.sparkSession
-    empty = spark.createDataFrame([], f"query_id long, rank int, {id_col} long, score double")
-    rows, dim = usable(df, id_col, vec_col)
-    asked, _ = usable(df.where(is_query), id_col, vec_col)
-    n = rows.count()
-    if not n or not dim:
-        return empty
-    asked = asked.where(F.size("v") == dim)
-    drawn = F.pmod(F.xxhash64("id", F.lit(params.seed)), F.lit(1_000_000)) < F.lit(min(1.0, params.sample_rows / n) * 1_000_000)
-    sample = rows.where(drawn).limit(2 * params.sample_rows).toArrow().combine_chunks()
-    x = _matrix(sample.column("v").combine_chunks(), dim)
-    tree = build_tree(x if len(x) else np.zeros((1, dim)), params)
-    sent = spark.sparkContext.broadcast(tree)
-    # With the sampled rows of the visited leaves a query knows a score that its k-th best reaches at least.
-    known = spark.sparkContext.broadcast((sample.column("id").to_numpy(), x, leaves_of(tree, x)))
-    k = params.k
-
-    def index(batches):
-        for batch in batches:
-            leaf = leaves_of(sent.value, _matrix(batch.column(1), dim))
-            yield pa.RecordBatch.from_arrays([pa.array(leaf), *batch.columns], names=["leaf", "id", "v"])
-
-    indexed = materialize(rows.mapInArrow(index, "leaf long, id long, v array<double>"), "ann")
-    sizes = dict(indexed.groupBy("leaf").count().collect())  # one number for each leaf of the tree
-    visits = calibrate(indexed, asked, tree, dim, params)
+def dealt(indexed: DataFrame, asked: DataFrame, tree: Tree, known: tuple, visits: int, dim: int, params: AnnParams) -> tuple[DataFrame, DataFrame]:
+    """Queries and indexed rows by (leaf, chunk of its rows, block of the queries): a query goes to all chunks of its
+    leaves, in its block, and a row to all blocks, so that neither side of a group grows with the table."""
+    sc, k = indexed.sparkSession.sparkContext, params.k
+    sent, sample = sc.broadcast(tree), sc.broadcast(known)
+    sizes = leaf_sizes(indexed)
+    blocks = max(1, -(-asked.count() // params.block_queries))
     chunks_of = {leaf: max(1, -(-c // params.chunk_rows)) for leaf, c in sizes.items()}
 
     def route(batches):
-        for batch in batches:
-            q, qids = _matrix(batch.column(1), dim), batch.column(0).to_numpy()
+        for batch in (b.slice(low, 256) for b in batches for low in range(0, b.num_rows, 256)):
+            qids, q = batch.column(0).to_numpy(), _matrix(batch.column(1), dim)
             leaf, at, floor = [], [], np.full(len(q), -np.inf)
-            ids, x, leaf_at = known.value
+            ids, x, leaf_at = sample.value
             for i, v in enumerate(q):
-                bins = best_bins(sent.value, v, visits)
-                near = np.flatnonzero(np.isin(leaf_at, bins))
+                found = best_bins(sent.value, v, visits)
+                near = np.flatnonzero(np.isin(leaf_at, found))
                 s = products(v[None], x[near])[0]
                 best = top(s, ids[near], qids[i], k)
                 floor[i] = s[best[-1]] if len(best) == k else -np.inf
-                for bin_ in bins:
+                for bin_ in found:
                     for c in range(chunks_of.get(bin_, 0)):
                         leaf.append((bin_, c))
                         at.append(i)
             if at:
                 pairs = np.array(leaf)
-                took = batch.take(pa.array(at))
-                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), *took.columns, pa.array(floor[at])], names=["leaf", "chunk", "qid", "q", "floor"])
+                took = batch.select([2, 0, 1]).take(pa.array(at))
+                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), *took.columns, pa.array(floor[at])], names=["leaf", "chunk", "block", "qid", "q", "floor"])
 
+    block = F.pmod(F.xxhash64("id", "v", F.lit(10)), F.lit(blocks)).alias("block")
+    spread = asked.select("id", "v", block).repartition(max(sc.defaultParallelism, blocks), "id")
+    routed = spread.mapInArrow(route, "leaf long, chunk long, block long, qid long, q array<double>, floor double")
     deal = F.create_map(*[F.lit(y) for leaf, c in chunks_of.items() if c > 1 for y in (leaf, c)]) if any(c > 1 for c in chunks_of.values()) else None
     pieces = F.coalesce(deal[F.col("leaf")], F.lit(1)) if deal is not None else F.lit(1)
-    stored = indexed.withColumn("chunk", F.pmod(F.xxhash64("id", F.lit(9)), pieces).cast("long"))
-    routed = asked.mapInArrow(route, "leaf long, chunk long, qid long, q array<double>, floor double")
+    stored = indexed.withColumn("chunk", F.pmod(F.xxhash64("id", "v", F.lit(9)), pieces).cast("long"))
+    return routed, stored.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
+
+
+def nearest(df: DataFrame, is_query, id_col: str = "vec_id", vec_col: str = "embedding", params: AnnParams = AnnParams()) -> DataFrame:
+    """query_id, rank (from 1), id_col, score: neighbours of each row for which is_query (a condition on df) holds."""
+    spark = df.sparkSession
+    empty = spark.createDataFrame([], f"query_id long, rank int, {id_col} long, score double")
+    rows, dim = usable(df, id_col, vec_col)
+    asked, _ = usable(df.where(is_query), id_col, vec_col)
+    n = rows.count()
+    if not n or not dim:
+        return empty
+    asked = asked.where(F.size("v") == dim)
+    drawn = F.pmod(F.xxhash64("id", F.lit(params.seed)), F.lit(1_000_000)) < F.lit(min(1.0, params.sample_rows / n) * 1_000_000)
+    sample = rows.where(drawn).limit(2 * params.sample_rows).toArrow().combine_chunks()
+    x = _matrix(sample.column("v").combine_chunks(), dim)
+    tree = build_tree(x if len(x) else np.zeros((1, dim)), params)
+    grow(rows, tree, dim, params)
+    indexed = materialize(in_leaves(rows, tree, dim), "ann")
+    visits = calibrate(indexed, asked, tree, dim, params)
+    # With the sampled rows of the visited leaves a query knows a score that its k-th best reaches at least.
+    routed, stored = dealt(indexed, asked, tree, (sample.column("id").to_numpy(), x, leaves_of(tree, x)), visits, dim, params)
+    k = params.k
 
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
         qs, out = [], []
@@ -262,7 +338,7 @@ def nearest(df: DataFrame, is_query, id_col: str = "vec_id", vec_col: str = "emb
             }
         )
 
-    keys = ["leaf", "chunk"]
+    keys = ["leaf", "chunk", "block"]
     found = routed.groupBy(*keys).cogroup(stored.groupBy(*keys)).applyInArrow(score, "qid long, id long, score double")
     return _best_of(found, k).select(F.col("qid").alias("query_id"), F.col("rank").cast("int").alias("rank"), F.col("id").alias(id_col), "score")
 

@@ -317,3 +317,26 @@ def test_neighbours(spark):
     assert ann.nearest(df.limit(0), F.col("vec_id") == 20).count() == 0
     few = ann.nearest(df.where("vec_id IN (1, 2, 4)"), F.col("vec_id") == 1).collect()
     assert len(few) == 2
+
+
+def test_neighbour_groups_stay_bounded(spark):
+    rng = np.random.default_rng(4)
+    x = np.concatenate([rng.normal(size=(2000, 6)), np.ones((300, 6))])
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>").repartition(4)
+    params = ann.AnnParams(k=5, sample_rows=100, leaf_sample=50, chunk_rows=100, split_sample=64, block_queries=50, target_recall=1.0)
+    rows, dim = ann.usable(df, "vec_id", "embedding")
+    asked = rows.where("id % 5 = 0")
+    tree = ann.build_tree(x[::23], params)
+    assert tree.n_leaves < 20
+    ann.grow(rows, tree, dim, params)
+    indexed = ann.in_leaves(rows, tree, dim)
+    assert tree.n_leaves >= 20 and sorted(ann.leaf_sizes(indexed).values())[-2] <= 100
+    routed, stored = ann.dealt(indexed, asked, tree, (np.arange(100), x[:100], ann.leaves_of(tree, x[:100])), 10, dim, params)
+    for side, most in ((routed, 150), (stored, 200)):
+        assert side.groupBy("leaf", "chunk", "block").count().agg(F.max("count")).first()[0] <= most
+    got = ann.nearest(df, F.col("vec_id") % 5 == 0, params=params).orderBy("query_id", "rank").collect()
+    ids, hit = np.arange(len(x)), 0
+    for q in range(0, len(x), 5):
+        mine = [r.vec_id for r in got if r.query_id == q]
+        hit += len(set(mine) & set(ann.top(x @ x[q], ids, q, 5).tolist()))
+    assert hit >= 0.97 * len(got)
