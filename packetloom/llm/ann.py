@@ -4,12 +4,13 @@ The tree is fitted in numpy on a bounded sample (`sample_rows`); leaves that hol
 further, on samples of their own, until none is large; every row is then indexed by its leaf. A query walks the tree with a priority queue: the node with the largest possible inner product (centroid product
 plus radius times query norm) is opened next, and leaves come out in that order. How many leaves a query
 visits is calibrated: for a bounded set of calibration queries the true neighbours over all rows are found, and
-the visits widen until the mean share of them in visited leaves reaches `target_recall`. Candidates in visited leaves are scored exactly in
+the visits widen until the mean share of them in visited leaves reaches `target_recall`. A query whose leaves
+hold fewer than k rows besides its own goes on to further leaves. Candidates in visited leaves are scored exactly in
 double precision. Leaves with very many rows, and the queries of a leaf, are dealt to several tasks in blocks.
 
 Defined cases: vectors that are null, zero, of another length than most, or that hold null or non-finite
 components are neither indexed nor searched for. Equal scores go to the smaller id. Repeated ids are rows of
-their own; a query never returns rows with its own id. Fewer candidates than k are all returned. An empty table
+their own; a query never returns rows with its own id. Where the table has fewer than k others, all are returned. An empty table
 gives an empty result. Extra columns are not read.
 """
 
@@ -140,6 +141,17 @@ def best_bins(tree: Tree, q: np.ndarray, visits: int) -> list[int]:
     return list(islice(bins(tree, q), visits))
 
 
+def enough_bins(tree: Tree, q: np.ndarray, visits: int, sizes: dict[int, int], own: dict[int, int], k: int) -> list[int]:
+    """The first `visits` leaves, and further ones while all hold fewer than k rows besides the query's own (own: by leaf)."""
+    out, held = [], 0
+    for leaf in bins(tree, q):
+        if len(out) >= visits and held >= k:
+            break
+        out.append(leaf)
+        held += sizes.get(leaf, 0) - own.get(leaf, 0)
+    return out
+
+
 def graft(tree: Tree, leaf: int, sub: Tree) -> None:
     """Put a tree of several leaves in place of a leaf; its first leaf takes over the number."""
     node, base, new = int(np.flatnonzero(tree.leaf_of == leaf)[0]), len(tree.centers) - 1, tree.n_leaves
@@ -268,11 +280,11 @@ def dealt(indexed: DataFrame, asked: DataFrame, tree: Tree, known: tuple, visits
 
     def route(batches):
         for batch in (b.slice(low, 256) for b in batches for low in range(0, b.num_rows, 256)):
-            qids, q = batch.column(0).to_numpy(), _matrix(batch.column(1), dim)
+            qids, q, own = batch.column(0).to_numpy(), _matrix(batch.column(1), dim), batch.column(3).to_pylist()
             leaf, at, floor = [], [], np.full(len(q), -np.inf)
             ids, x, leaf_at = sample.value
             for i, v in enumerate(q):
-                found = best_bins(sent.value, v, visits)
+                found = enough_bins(sent.value, v, visits, sizes, dict(own[i] or ()), k)
                 near = np.flatnonzero(np.isin(leaf_at, found))
                 s = products(v[None], x[near])[0]
                 best = top(s, ids[near], qids[i], k)
@@ -286,8 +298,11 @@ def dealt(indexed: DataFrame, asked: DataFrame, tree: Tree, known: tuple, visits
                 took = batch.select([2, 0, 1]).take(pa.array(at))
                 yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), *took.columns, pa.array(floor[at])], names=["leaf", "chunk", "block", "qid", "q", "floor"])
 
+    # Rows with a query's own id don't count for it: how many there are in each leaf.
+    own = indexed.join(asked.select("id").distinct(), "id", "left_semi").groupBy("id", "leaf").count()
+    own = own.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("leaf", "count"))).alias("own"))
     block = F.pmod(F.xxhash64("id", "v", F.lit(10)), F.lit(blocks)).alias("block")
-    spread = asked.select("id", "v", block).repartition(max(sc.defaultParallelism, blocks), "id")
+    spread = asked.join(own, "id", "left").select("id", "v", block, "own").repartition(max(sc.defaultParallelism, blocks), "id")
     routed = spread.mapInArrow(route, "leaf long, chunk long, block long, qid long, q array<double>, floor double")
     deal = F.create_map(*[F.lit(y) for leaf, c in chunks_of.items() if c > 1 for y in (leaf, c)]) if any(c > 1 for c in chunks_of.values()) else None
     pieces = F.coalesce(deal[F.col("leaf")], F.lit(1)) if deal is not None else F.lit(1)

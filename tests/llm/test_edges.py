@@ -339,4 +339,14 @@ def test_neighbour_groups_stay_bounded(spark):
     for q in range(0, len(x), 5):
         mine = [r.vec_id for r in got if r.query_id == q]
         hit += len(set(mine) & set(ann.top(x @ x[q], ids, q, 5).tolist()))
+        assert len(mine) == 5
     assert hit >= 0.97 * len(got)
+
+
+def test_neighbours_of_small_tight_clusters(spark):
+    rng = np.random.default_rng(2)
+    axes = np.repeat(np.arange(42), [25] * 40 + [5] * 2)
+    x = 10.0 * np.eye(42)[axes] + rng.normal(0, 0.01, (len(axes), 42))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = ann.nearest(df, F.col("vec_id") % 5 == 0, params=ann.AnnParams(leaf_sample=26, target_recall=0.5)).groupBy("query_id").count().collect()
+    assert len(got) == 202 and {r["count"] for r in got} == {20}
