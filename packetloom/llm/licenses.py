@@ -3,8 +3,8 @@ r"""License scans by diagonal voting, with DataFrame functions only.
 Every rolling word 2-gram of a text is hashed and joined to the (few, fixed) template positions with the same
 hash and the same words. A match at text word i and template word j votes for diagonal i - j. All grams of a
 template on one diagonal are an exact occurrence. For longer templates neighbouring diagonals, apart by few
-inserted or missing words, are merged; a span counts if the template grams found cover enough of the template
-and the span is not much longer than the template.
+inserted, doubled or missing words, are merged; a span without an exact occurrence counts if the template grams
+found cover enough of the template and the span is not much longer than the template.
 
 Words are maximal runs of `[^\x00-\x2F\x3A-\x60\x7B-\x7F]` after lower-casing A-Z: letters, digits and everything
 beyond ASCII.
@@ -103,10 +103,10 @@ def license_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     along = Window.partitionBy(id_col, "version", "t").orderBy("diagonal")
     new = F.col("diagonal") - F.coalesce(F.lag("diagonal").over(along), F.col("diagonal") - GAP - 1) > GAP
     merged = longer.withColumn("island", F.sum(F.when(new, 1).otherwise(0)).over(along))
-    islands = merged.groupBy(*key, "island").agg(F.bit_or("mask").alias("mask"), F.min("low").alias("low"), F.max("high").alias("high"))
+    islands = merged.groupBy(*key, "island").agg(F.bit_or("mask").alias("mask"), F.max(held).alias("most"), F.min("low").alias("low"), F.max("high").alias("high"))
     covered = held / F.col("n")
     ends = F.expr("getbit(mask, n - 1)") == 1
-    near = islands.where((covered >= COVERAGE) & ends & (held < F.col("n")) & (F.col("high") - F.col("low") < 2 * F.col("n")))
+    near = islands.where((covered >= COVERAGE) & ends & (F.col("most") < F.col("n")) & (F.col("high") - F.col("low") < 2 * F.col("n")))
     fuzzy = near.select(id_col, "version", "label", "base", F.col("low").alias("first_word"), (F.col("high") + 1).alias("last_word"), covered.alias("score"), F.lit(False).alias("exact"))
     return exact.unionByName(fuzzy)
 

@@ -108,6 +108,15 @@ def test_licenses(spark, odd_docs, no_docs):
     assert licenses.scan_licenses(no_docs).count() == 0
 
 
+def test_licenses_with_a_doubled_word(spark):
+    texts = ["gnu lesser general public public license", "released under the the mit license", "released under the mit license"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = {r.doc_id: r for r in licenses.scan_licenses(df).collect()}
+    assert [rows[i].labels for i in range(3)] == ["lgpl", "mit", "mit"] and [rows[i].score for i in range(3)] == [1.0] * 3
+    spans = licenses.license_spans(df).where("label IN ('mit', 'lgpl')").groupBy("doc_id").agg(F.count("*").alias("n"), F.max("exact").alias("exact")).collect()
+    assert {r.doc_id: (r.n, r.exact) for r in spans} == {0: (1, False), 1: (1, False), 2: (1, True)}
+
+
 def brute(sets, percent):
     parent = list(range(len(sets)))
 
