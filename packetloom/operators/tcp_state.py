@@ -1,13 +1,20 @@
-"""Ordered per-connection state: sequence tracking, flow control and the connection lifecycle.
+"""Ordered per-connection state: sequence space, acknowledgements and windows, and the connection lifecycle.
 
 These are recurrences over a tuple's segments in capture order. `connection_events` runs them over rows
 partitioned by tuple and sorted within partitions; `streaming.live` runs the same classes on stored state.
+
+Sequence numbers are unwrapped on arrival: a direction counts on an unbounded line, and a 32-bit number stands for
+the place on that line nearest to the one expected (RFC 9293, serial numbers of RFC 1982). Everything else is
+then comparison of plain integers. What can be said of a segment is a table of named conditions over it and what
+both sides said last (`OBSERVATIONS`); the lifecycle keeps facts and derives phase and handshake from them.
 """
 
 from __future__ import annotations
 
+from bisect import insort
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import cached_property
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -18,166 +25,228 @@ from packetloom.operators.sessions import ACK, FIN, RST, SYN, with_tuple
 SPACE = 1 << 32
 HALF = 1 << 31
 MAX_PENDING = 32
+#: Fixed value: the largest window shift (RFC 7323).
+MAX_SHIFT = 14
+
 
+def offset(a: int, b: int) -> int:
+    """Signed distance from b to a on the 32-bit circle; the exact half space counts as behind."""
+    return (a - b + HALF) % SPACE - HALF
+
+
+@dataclass(frozen=True)
+class Segment:
+    way: int
+    seq: int
+    ack: int | None
+    flags: int
+    payload: int
+    window: int
+    shift: int | None = None
 
-def serial(a: int, b: int) -> int | None:
-    """Signed distance from b to a; None at the exact half space."""
-    raw = (a - b) % SPACE
-    return None if raw == HALF else raw - SPACE if raw > HALF else raw
+    @cached_property
+    def size(self) -> int:
+        """Sequence numbers that it takes: its payload, SYN and FIN."""
+        return self.payload + bool(self.flags & SYN) + bool(self.flags & FIN)
 
+    @property
+    def end(self) -> int:
+        return (self.seq + self.size) % SPACE
 
-def offset(a: int, b: int) -> int:
-    raw = (a - b) % SPACE
-    return raw - SPACE if raw >= HALF else raw
+    @property
+    def acks(self) -> bool:
+        return bool(self.flags & ACK) and self.ack is not None
+
+    @property
+    def steady(self) -> bool:
+        """An acknowledgement of the connection's middle: no SYN, no FIN."""
+        return self.acks and not self.flags & (SYN | FIN)
 
 
-@dataclass
 class SequenceTracker:
-    """The next expected sequence number of one direction, and ahead-of-order intervals as (start, length)."""
+    """What of one direction's sequence space has been seen: all up to `head`, and islands beyond it."""
+
+    def __init__(self):
+        self.head: int | None = None
+        self.pending: list[tuple[int, int]] = []
 
-    expected: int | None = None
-    pending: list[tuple[int, int]] = field(default_factory=list)
+    @property
+    def expected(self) -> int | None:
+        return None if self.head is None else self.head % SPACE
 
     def ingest(self, seq: int, flags: int, payload: int) -> str:
-        size = payload + bool(flags & SYN) + bool(flags & FIN)
-        if not 0 <= size < HALF:
-            return "serialAmbiguous"
+        size = Segment(0, seq, None, flags, payload, 0).size
         if size == 0:
             return "noSequenceSpace"
-        end = (seq + size) % SPACE
-        if self.expected is None:
-            self.expected = end
-            return "initialized"
-        gap = serial(seq, self.expected)
-        if gap is None:
+        if not 0 < size < HALF:
             return "serialAmbiguous"
-        if gap == 0:
-            self.expected = end
-            return "pendingDrained" if self._drain() else "advanced"
-        if gap < 0:
-            if -gap >= size:
-                return "keepAlive" if gap == -1 and size == 1 and payload == 1 else "duplicate"
-            self.expected = end
-            self._drain()
-            return "overlap"
-        if gap + size >= HALF:
+        if self.head is None:
+            self.head = seq + size
+            return "initialized"
+        low = self.head + offset(seq, self.head)
+        high = low + size
+        if self.head - low == HALF or high - self.head >= HALF:
             return "serialAmbiguous"
-        self._buffer(seq, size)
-        if len(self.pending) > MAX_PENDING:
-            self.pending.pop()
-            return "pendingOverflow"
-        return "outOfOrderBuffered"
-
-    def _buffer(self, seq: int, size: int) -> None:
-        """Keep pending intervals apart and in order of distance from the expected number."""
-        base = self.expected
-        spans = sorted((offset(s, base), offset(s, base) + n) for s, n in [*self.pending, (seq, size)])
-        merged = [list(spans[0])]
-        for low, high in spans[1:]:
-            if low <= merged[-1][1]:
-                merged[-1][1] = max(merged[-1][1], high)
-            else:
-                merged.append([low, high])
-        self.pending = [((base + low) % SPACE, min(high - low, SPACE - 1)) for low, high in merged]
-
-    def _drain(self) -> bool:
-        moved = False
-        while self.pending:
-            start, size = min(self.pending, key=lambda p: offset(p[0], self.expected))
-            low = offset(start, self.expected)
-            if low > 0:
-                break
-            self.pending.remove((start, size))
-            if low + size > 0:
-                self.expected = (start + size) % SPACE
-                moved = True
-        return moved
+        if low > self.head:
+            return self._beyond(low, high)
+        if high <= self.head:
+            return "keepAlive" if (low, size, payload) == (self.head - 1, 1, 1) else "duplicate"
+        reached, partly = self._join(high), low < self.head
+        drained, self.head = reached > high, reached
+        return "overlap" if partly else "pendingDrained" if drained else "advanced"
+
+    def _join(self, high: int) -> int:
+        """Take up all islands that touch the line up to high; where the line then ends."""
+        while self.pending and self.pending[0][0] <= high:
+            high = max(high, self.pending.pop(0)[1])
+        return high
+
+    def _beyond(self, low: int, high: int) -> str:
+        touching = [p for p in self.pending if p[0] <= high and low <= p[1]]
+        self.pending = [p for p in self.pending if p not in touching]
+        insort(self.pending, (min([low, *(a for a, _ in touching)]), max([high, *(b for _, b in touching)])))
+        if len(self.pending) <= MAX_PENDING:
+            return "outOfOrderBuffered"
+        self.pending.pop()  # the furthest one
+        return "pendingOverflow"
 
 
 @dataclass
 class Side:
-    next_seq: int | None = None
-    last_ack: int | None = None
-    last_window: int | None = None
+    """What one side has sent and last said."""
+
+    #: End of what it sent, probes aside.
+    sent: int | None = None
+    acked: int | None = None
+    window: int | None = None
+    #: Acknowledgements that said again what the one before said, and whether a retransmission followed them.
     repeats: int = 0
-    answered: bool = False
-    kept_alive: bool = False
+    served: bool = False
+    #: Sequence number of a probe, and whether a keep-alive, stands unanswered.
     probe: int | None = None
-    #: Whether its SYN was seen, the window shift that one offered, and whether last_window stood in it.
+    alive: bool = False
+    #: Whether its SYN was seen, the shift that one offered, and whether `window` stood in it (unscaled).
     opened: bool = False
     shift: int | None = None
-    window_from_syn: bool = False
+    raw: bool = False
+
+    def limit(self, peer: Side) -> int | None:
+        """First sequence number that its window does not cover; known only where both SYNs were seen."""
+        if not self.opened or not peer.opened or self.acked is None or self.window is None:
+            return None
+        scale = 0 if self.raw or self.shift is None or peer.shift is None else min(self.shift, MAX_SHIFT)
+        return (self.acked + (self.window << scale)) % SPACE
+
+
+class Look:
+    """A segment against what both sides said before it: the conditions that observations are made of."""
+
+    def __init__(self, s: Segment, me: Side, peer: Side, disposition: str):
+        self.s, self.me, self.peer = s, me, peer
+        self.kept_alive, self.resent = disposition == "keepAlive", disposition == "duplicate"
+        self.in_place = me.sent == s.seq
+        self.bare = s.steady and s.payload == 0
+        self.data = s.payload > 0 and not s.flags & SYN
+        # How far the acknowledgement goes beyond the peer's probe, and beyond this side's last one.
+        self.past_probe = (s.ack - peer.probe) % SPACE if s.acks and peer.probe is not None else None
+        self.past_own = (s.ack - me.acked) % SPACE if s.acks and me.acked is not None else None
+        self.was_shut = me.window == 0
+
+    @cached_property
+    def probe(self) -> bool:
+        return self.s.steady and self.s.payload == 1 and self.peer.window == 0 and self.in_place
+
+    @cached_property
+    def fills_window(self) -> bool:
+        return self.s.steady and self.s.payload > 0 and not self.probe and self.peer.limit(self.me) == self.s.end
+
+    @cached_property
+    def answers_probe(self) -> bool:
+        return self.bare and self.s.window == 0 and self.was_shut and self.in_place and self.past_probe in (0, 1) and self.past_own in (0, 1)
+
+    @cached_property
+    def reopens(self) -> bool:
+        """Takes a probe's byte and opens the window at once."""
+        return self.bare and self.s.window > 0 and self.was_shut and self.in_place and self.past_probe == 1 and self.past_own == 1
+
+    @cached_property
+    def updates_window(self) -> bool:
+        return self.reopens or (self.bare and self.s.window not in (0, self.me.window) and self.in_place and self.past_own == 0)
+
+    @cached_property
+    def peer_sent(self) -> int | None:
+        """End of what the peer sent: the byte of a probe counts once it is taken."""
+        return self.s.ack if self.reopens or (self.answers_probe and self.past_probe == 1) else self.peer.sent
+
+    @cached_property
+    def beyond_seen(self) -> bool:
+        return self.s.acks and self.peer_sent is not None and offset(self.s.ack, self.peer_sent) > 0
+
+    @cached_property
+    def answers_alive(self) -> bool:
+        return self.peer.alive and self.s.acks and self.peer_sent == self.s.ack
+
+    @cached_property
+    def says_again(self) -> bool:
+        same = self.past_own == 0 and self.me.window == self.s.window != 0
+        return self.bare and same and self.in_place and not (self.kept_alive or self.answers_alive or self.answers_probe)
+
+    @cached_property
+    def fast(self) -> bool:
+        return self.data and not self.probe and self.peer.repeats >= 2 and not self.peer.served and self.peer.acked == self.s.seq
+
+    @cached_property
+    def needless(self) -> bool:
+        """Sent again though all of it was acknowledged."""
+        return self.data and not self.probe and self.resent and self.peer.acked is not None and offset(self.s.end, self.peer.acked) <= 0
+
+
+OBSERVATIONS = {
+    "zeroWindowProbe": lambda x: x.probe,
+    "windowFull": lambda x: x.fills_window,
+    "zeroWindow": lambda x: x.s.steady and x.s.window == 0,
+    "zeroWindowProbeAcknowledgement": lambda x: x.answers_probe,
+    "fastRetransmission": lambda x: x.fast,
+    "spuriousRetransmission": lambda x: x.needless,
+    "windowUpdate": lambda x: x.updates_window,
+    "ackedUnseenSegment": lambda x: x.beyond_seen,
+    "duplicateAcknowledgement": lambda x: x.says_again,
+}
 
 
-@dataclass
 class FlowControl:
-    """Acknowledgement and window observations, from both directions' latest values."""
+    """Acknowledgement and window observations."""
 
-    sides: tuple[Side, Side] = field(default_factory=lambda: (Side(), Side()))
+    def __init__(self):
+        self.sides = (Side(), Side())
 
-    @staticmethod
-    def _edge(receiver: Side, sender: Side) -> int | None:
-        """The first sequence number that the receiver's window does not cover, where both SYNs were seen."""
-        if not (receiver.opened and sender.opened) or receiver.last_ack is None or receiver.last_window is None:
-            return None
-        scaled = not receiver.window_from_syn and receiver.shift is not None and sender.shift is not None
-        return (receiver.last_ack + (receiver.last_window << min(receiver.shift, 14) if scaled else receiver.last_window)) % SPACE
-
-    def ingest(self, way: int, seq: int, ack: int | None, flags: int, payload: int, window: int, keep_alive: bool, resent: bool, shift: int | None = None) -> list[str]:
-        me, peer = self.sides[way], self.sides[1 - way]
-        if flags & SYN:
-            me.opened, me.shift = True, shift
-        if flags & RST:
+    def ingest(self, s: Segment, disposition: str) -> list[str]:
+        me, peer = self.sides[s.way], self.sides[1 - s.way]
+        if s.flags & SYN:
+            me.opened, me.shift = True, s.shift
+        if s.flags & RST:
             return []
-        size = payload + bool(flags & SYN) + bool(flags & FIN)
-        plain, acks = not flags & (SYN | FIN), bool(flags & ACK) and ack is not None
-        pure = plain and acks and payload == 0
-        out = []
-        probe = plain and acks and payload == 1 and peer.last_window == 0 and me.next_seq == seq
-        if probe:
-            out.append("zeroWindowProbe")
-        elif plain and acks and payload > 0 and self._edge(peer, me) == (seq + size) % SPACE:
-            out.append("windowFull")
-        if plain and acks and window == 0:
-            out.append("zeroWindow")
-        took_probe = peer.probe is not None and acks and ack in (peer.probe, (peer.probe + 1) % SPACE)
-        near_last = me.last_ack is not None and acks and ack in (me.last_ack, (me.last_ack + 1) % SPACE)
-        answers_probe = pure and window == 0 and me.last_window == 0 and me.next_seq == seq and took_probe and near_last
-        if answers_probe:
-            out.append("zeroWindowProbeAcknowledgement")
-            if ack == (peer.probe + 1) % SPACE:
-                peer.next_seq = ack
-        data = payload > 0 and not flags & SYN and not probe
-        if data and peer.repeats >= 2 and not peer.answered and peer.last_ack == seq:
-            out.append("fastRetransmission")
-            peer.answered = True
-        if data and resent and not keep_alive and peer.last_ack is not None and offset((seq + size) % SPACE, peer.last_ack) <= 0:
-            out.append("spuriousRetransmission")
-        reopened = pure and window > 0 and me.last_window == 0 and me.next_seq == seq and peer.probe is not None and ack == (peer.probe + 1) % SPACE and me.last_ack is not None and ack == (me.last_ack + 1) % SPACE
-        if reopened or (pure and window > 0 and window != me.last_window and me.next_seq == seq and me.last_ack == ack):
-            out.append("windowUpdate")
-        if reopened:
-            peer.next_seq = ack
-        if acks and peer.next_seq is not None and offset(ack, peer.next_seq) > 0:
-            out.append("ackedUnseenSegment")
-        answers_alive = peer.kept_alive and acks and peer.next_seq == ack
-        if answers_alive:
-            peer.kept_alive = False
-        if pure and not keep_alive and not answers_alive and window != 0 and not answers_probe and me.last_ack == ack and me.last_window == window and me.next_seq == seq:
-            out.append("duplicateAcknowledgement")
+        look = Look(s, me, peer, disposition)
+        found = [kind for kind, holds in OBSERVATIONS.items() if holds(look)]
+        peer.sent = look.peer_sent
+        peer.served |= look.fast
+        peer.alive &= not look.answers_alive
+        self._say(s, me, look)
+        return found
+
+    @staticmethod
+    def _say(s: Segment, me: Side, look: Look) -> None:
+        """What this side now has sent and said."""
+        if look.says_again:
             me.repeats += 1
-        elif acks and me.last_ack != ack:
-            me.repeats, me.answered = 0, False
-        if acks:
-            me.last_ack = ack
-        me.last_window, me.window_from_syn = window, bool(flags & SYN)
-        if size > 0 and not probe:
-            end = (seq + size) % SPACE
-            if me.next_seq is None or offset(end, me.next_seq) > 0:
-                me.next_seq = end
-        me.kept_alive = keep_alive and not probe
-        me.probe = seq if probe else None
-        return out
+        elif s.acks and me.acked != s.ack:
+            me.repeats, me.served = 0, False
+        if s.acks:
+            me.acked = s.ack
+        me.window, me.raw = s.window, bool(s.flags & SYN)
+        if s.size and not look.probe and (me.sent is None or offset(s.end, me.sent) > 0):
+            me.sent = s.end
+        me.probe, me.alive = (s.seq, False) if look.probe else (None, look.kept_alive)
 
 
 #: Sequence dispositions that are events of their own.
@@ -186,89 +255,83 @@ NOTED = {"duplicate": "retransmission", "overlap": "overlap", "outOfOrderBuffere
 
 @dataclass
 class Connection:
-    """One incarnation of a tuple: a pure SYN after a close starts the next one."""
+    """One incarnation of a tuple. It keeps what was seen; phase and handshake follow from that."""
 
     number: int
-    phase: str = "none"
+    frames: int = 0
     opener: int | None = None
-    opener_isn: int | None = None
-    responder_isn: int | None = None
-    handshake: str = "none"
+    #: Initial sequence numbers of the side that opened and of the one that accepted.
+    asked: int | None = None
+    accepted: int | None = None
+    completed: bool = False
+    began_with_syn: bool = False
+    carried: bool = False
     fins: set = field(default_factory=set)
     close: str | None = None
     trackers: tuple = field(default_factory=lambda: (SequenceTracker(), SequenceTracker()))
     flow: FlowControl = field(default_factory=FlowControl)
 
-    def ingest(self, way: int, seq: int, ack: int | None, flags: int, payload: int, window: int, shift: int | None = None) -> list[str]:
-        first = self.phase == "none"
-        noted = self.trackers[way].ingest(seq, flags, payload)
-        trailing = [NOTED[noted]] if noted in NOTED else []
-        trailing += self.flow.ingest(way, seq, ack, flags, payload, window, noted == "keepAlive", noted == "duplicate", shift)
-        out = ["firstObserved"] if first else []
-        if first:
-            self.phase = "active"
-        if flags & RST:
-            self.phase, self.close = "closed", f"reset{way}"
-            out.append("rst")
-            return out + (["payloadObserved"] if first and payload else []) + trailing
-        if flags & SYN:
-            out += self._syn(way, seq, ack, flags, first)
-        elif self._completes(way, ack, flags):
-            self.handshake = "threeWayObserved"
-            self.phase = "active" if self.phase == "opening" else self.phase
+    @property
+    def handshake(self) -> str:
+        return "threeWayObserved" if self.completed else "synAckObserved" if self.accepted is not None else "synObserved" if self.opener is not None else "none"
+
+    @property
+    def phase(self) -> str:
+        if not self.frames:
+            return "none"
+        if self.close:
+            return "closed"
+        return "closing" if self.fins else "opening" if self.began_with_syn and not (self.completed or self.carried) else "active"
+
+    def ingest(self, s: Segment) -> list[str]:
+        disposition = self.trackers[s.way].ingest(s.seq, s.flags, s.payload)
+        noted = [NOTED[disposition]] if disposition in NOTED else []
+        noted += self.flow.ingest(s, disposition)
+        out = [] if self.frames else ["firstObserved"]
+        self.frames += 1
+        if s.flags & RST:
+            self.close = f"reset{s.way}"
+            return [*out, "rst", *(["payloadObserved"] if self.frames == 1 and s.payload else []), *noted]
+        if s.flags & SYN:
+            out.append(self._opening(s))
+        elif self.accepted is not None and not self.completed and s.acks and (s.way, s.ack) == (self.opener, (self.accepted + 1) % SPACE):
+            self.completed = True
             out.append("handshakeCompleted")
-        if payload > 0:
+        if s.payload > 0:
+            self.carried = True
             out.append("payloadObserved")
-            if self.phase == "opening":
-                self.phase = "active"
-        if flags & FIN and not flags & SYN:
-            self.fins.add(way)
+        if s.flags & FIN and not s.flags & SYN:
+            self.fins.add(s.way)
+            self.close = "orderly" if len(self.fins) == 2 else None
             out.append("fin")
-            if len(self.fins) == 2:
-                self.phase, self.close = "closed", "orderly"
-            elif self.phase != "closed":
-                self.phase = "closing"
-        return out + trailing
-
-    def _completes(self, way: int, ack: int | None, flags: int) -> bool:
-        return bool(flags & ACK) and self.handshake == "synAckObserved" and self.opener == way and self.responder_isn is not None and ack == (self.responder_isn + 1) % SPACE
-
-    def _syn(self, way: int, seq: int, ack: int | None, flags: int, first: bool) -> list[str]:
-        if first:
-            self.phase = "opening"
-            if flags & ACK:
-                self.handshake, self.responder_isn = "synAckObserved", seq
-                return ["synAck"]
-            self.opener, self.opener_isn, self.handshake = way, seq, "synObserved"
-            return ["syn"]
-        if flags & ACK:
-            if self.opener is not None and way != self.opener and ack == (self.opener_isn + 1) % SPACE:
-                if self.handshake in ("synObserved", "none"):
-                    self.responder_isn, self.handshake = seq, "synAckObserved"
-                    return ["synAck"]
-                if self.responder_isn == seq:
-                    return ["synAck"]
-            return ["ambiguousTupleReuse"]
-        if self.opener == way and self.opener_isn == seq:
-            return ["syn"]
-        return ["ambiguousTupleReuse"]
+        return out + noted
+
+    def _opening(self, s: Segment) -> str:
+        """What a SYN means here: the handshake's next step, a repeat of one, or a tuple used by someone else."""
+        start, reply = self.frames == 1, bool(s.flags & ACK)
+        self.began_with_syn |= start
+        if not reply:
+            if start:
+                self.opener, self.asked = s.way, s.seq
+            return "syn" if (self.opener, self.asked) == (s.way, s.seq) else "ambiguousTupleReuse"
+        fits = start or (self.opener == 1 - s.way and s.ack == (self.asked + 1) % SPACE and self.accepted in (None, s.seq))
+        if fits:
+            self.accepted = s.seq
+        return "synAck" if fits else "ambiguousTupleReuse"
 
 
 class TupleState:
-    """All incarnations of a tuple; only the current one is kept."""
+    """All incarnations of a tuple, of which only the current one is kept: a pure SYN after a close starts the next."""
 
     def __init__(self):
         self.current = Connection(0)
 
     def ingest(self, way: int, seq: int, ack: int | None, flags: int, payload: int, window: int, shift: int | None = None) -> tuple[Connection, list[str]]:
-        c = self.current
-        if c.phase == "closed":
-            if flags & SYN and not flags & ACK:
-                c = self.current = Connection(c.number + 1)
-            else:
-                # Nothing reopens a closed connection; what still arrives is late.
-                return c, ["lateSegment"]
-        return c, c.ingest(way, seq, ack, flags, payload, window, shift)
+        if self.current.close:
+            if flags & (SYN | ACK) != SYN:
+                return self.current, ["lateSegment"]  # nothing else reopens a closed connection
+            self.current = Connection(self.current.number + 1)
+        return self.current, self.current.ingest(Segment(way, seq, ack, flags, payload, window, shift))
 
 
 EVENT_SCHEMA = "tuple_id string, incarnation int, ordinal long, way int, kind string, payload_len long, phase string, handshake string, close string"
