@@ -25,6 +25,29 @@ def test_rtp_loss_and_jitter(spark):
     assert media.reverse_streams(media.rtp_streams(df)).count() == 2
 
 
+RTP = "ordinal long, ts_ns long, src_ip string, src_port int, dst_ip string, dst_port int, payload_type int, marker boolean, sequence int, timestamp long, ssrc long, ip_bytes long"
+
+
+def test_rtp_packets(spark):
+    at = [(1, 0), (2, 20), (3, 40), (5, 80), (6, 105), (7, 120)]
+    df = spark.createDataFrame([(i, ms * 10**6, "a", 1, "b", 2, 0, n == 1, n, (n - 1) * 160, 9, 200) for i, (n, ms) in enumerate(at)], RTP)
+    rows = media.rtp_packets(df).orderBy("ordinal").collect()
+    assert [round(r.delta_ms, 3) for r in rows] == [0, 20, 20, 40, 25, 15]
+    assert [round(r.jitter_ms, 3) for r in rows] == [0, 0, 0, 0, 0.312, 0.605]
+    assert [round(r.skew_ms, 3) for r in rows] == [0, 0, 0, 0, -5, 0]
+    assert [round(r.kbps, 1) for r in rows] == [1.6, 3.2, 4.8, 6.4, 8.0, 9.6]
+    assert [r.wrong_sequence for r in rows] == [False, False, False, True, False, False]
+    one = media.rtp_streams(df).first()
+    assert (one.packets, one.expected, one.lost, one.sequence_errors, one.max_delta) == (6, 7, 1, 1, 40.0)
+
+
+def test_rtp_drift_and_wraps(spark):
+    df = spark.createDataFrame([(i, int(i * 20.2e6), "a", 1, "b", 2, 0, False, (65530 + i) % 65536, (2**32 - 800 + i * 160) % 2**32, 9, 200) for i in range(50)], RTP)
+    r = media.rtp_drift(media.rtp_packets(df)).first()
+    assert round(r.drift_ms) == -10 and round(r.drift_percent, 2) == -0.99
+    assert media.rtp_streams(df).first().lost == 0
+
+
 def test_sip_calls_and_resends(spark):
     m = [
         ("c1", 1, "INVITE", None, "INVITE", 1, "a", "b"), ("c1", 2, "INVITE", None, "INVITE", 1, "a", "b"), ("c1", 3, None, 180, "INVITE", 1, "b", "a"), ("c1", 4, None, 200, "INVITE", 1, "b", "a"),
@@ -37,6 +60,8 @@ def test_sip_calls_and_resends(spark):
     resent = {r.ordinal: (r.resent, r.setup_ms) for r in media.sip_resent(df).collect()}
     assert resent[2] == (True, None) and resent[1] == (False, None)
     assert resent[5] == (False, 4000)
+    items = {r["item"]: r.messages for r in media.sip_statistics(df).collect()}
+    assert (items["messages"], items["resent"], items["methods/INVITE"], items["codes/200"], items["setup"]) == (12, 1, 4, 2, 1)
 
 
 def test_multicast_bursts_and_buffer(spark):
@@ -47,6 +72,17 @@ def test_multicast_bursts_and_buffer(spark):
     assert r.max_buffer == 1000 + 5 * 1000 - 5 and r.buffer_alarms == 1
 
 
+def test_multicast_figures(spark):
+    """Three groups: one with bursts and a filling buffer, one slow, one of three datagrams."""
+    a = [500_000 + i * 4_000 for i in range(100)] + [1_000_000 + i * 200 for i in range(60)] + [1_020_000 + i * 4_000 for i in range(50)]
+    rows = [(t, "10.0.0.5", "239.1.1.1", 1324) for t in a] + [(250_000 + i * 1_000_000, "fe80::1", "ff05::1:3", 48) for i in range(5)] + [(2_000_000 + i * 1_000, "10.0.0.6", "239.1.1.1", 108) for i in range(3)]
+    df = spark.createDataFrame([(s, d, i, t * 1000, n) for i, (t, s, d, n) in enumerate(sorted(rows))], "src string, dst string, ordinal long, rel_ns long, udp_len int")
+    got = {r.src: (r.packets, round(r.packets_per_s, 6), round(r.avg_bps, 6), round(r.max_bps, 6), r.max_burst, r.burst_alarms, r.max_buffer, r.buffer_alarms) for r in media.multicast_streams(df).collect()}
+    assert got["fe80::1"] == (5, 1.25, 480.0, 0.0, 1, 0, 48, 0)
+    assert got["10.0.0.6"] == (3, 1500.0, 1296000.0, 17280.0, 2, 0, 108, 0)
+    assert got["10.0.0.5"] == (210, 293.296089, 3106592.178771, 8473600.0, 80, 1, 70741, 1)
+
+
 def test_follow_keeps_first_bytes_and_marks_gaps(spark):
     rows = [("t", 0, 1, 0, 2, None), ("t", 0, 2, 1, 16, b"abc"), ("t", 0, 4, 7, 16, b"gh"), ("t", 0, 5, 3, 16, b"XdeF"), ("t", 1, 6, 50, 16, b"ok"), ("t", 0, 7, 20, 16, b"end")]
     df = spark.createDataFrame(rows, "tuple_id string, way int, ordinal long, seq long, flags int, payload binary")
