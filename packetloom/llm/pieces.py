@@ -1,18 +1,20 @@
 """Sampled SentencePiece segmentation by forward filtering and backward sampling over the piece lattice.
 
-A text is written with a leading word mark and `▁` for spaces, and cut into words: each begins at a mark or at
-a newline, and none is longer than WORD_CHARS. In a word's lattice an arc is a vocabulary piece; a character
-without a piece is an arc of its UTF-8 byte pieces. Forward filtering sums the weights of all segmentations up
-to each position; backward sampling draws the last piece in proportion, and so on to the start. The random
-numbers are a hash of (seed, row key, word number, step): a row's segmentation does not depend on its
+A text is written with a leading word mark and `▁` for spaces, and cut where no piece can span the cut: before
+each run of marks, and around newlines. A word between cuts has any length. In its lattice an arc is a vocabulary
+piece; a character without a piece is an arc of its UTF-8 byte pieces. Forward filtering sums the weights of all
+segmentations up to each position, over a sliding window of the longest piece and scaled to the last position, so
+that no length under- or overflows; backward sampling draws the last piece in proportion, and so on to the start.
+The random numbers are a hash of (seed, row key, word number, step): a row's segmentation does not depend on its
 neighbours, partitions or retries. All words of a batch go through numpy together; equal words share a lattice.
 
 Decoding joins the pieces' bytes and drops the leading mark. It gives back exactly the text: a literal `▁` in
 a text is spelled in bytes, so that it can't be taken for a space.
 
 Defined cases: null and empty texts have no pieces and decode to an empty text. Rows of equal key and text get
-the same pieces; a null key is a key like others. Very long texts are encoded whole. An empty table gives an
-empty result. Other columns pass through; the result columns replace columns of the same name.
+the same pieces; a null key is a key like others. Very long texts are encoded whole; memory is about 130 bytes for
+each character of distinct words. An empty table gives an empty result. Other columns pass through; the result
+columns replace columns of the same name.
 """
 
 from __future__ import annotations
@@ -32,8 +34,7 @@ MARK = 0x2581
 NEWLINE = 10
 #: Stands for a literal mark in a text; no piece has it.
 LITERAL = 0x110000
-WORD_CHARS = 48
-BATCH_CHARS = 1 << 21
+BATCH_CHARS = 1 << 20
 _M = np.uint64(0x9E3779B97F4A7C15)
 _BITS = 20
 
@@ -65,8 +66,12 @@ class Vocabulary:
                 self.bytes[i] = bytes([int(piece[3:5], 16)])
             elif not (m.is_control(i) or m.is_unknown(i) or m.is_unused(i)):
                 self.bytes[i] = piece.replace("▁", " ").encode()
-                if "▁" not in piece[1:] and (piece == "▁" or m.get_score(i) > -1e8):
-                    usable.append((i, piece, max(m.get_score(i), -float(n))))  # the mark alone has no rank
+                if not piece.strip("▁") or m.get_score(i) > -1e8:
+                    usable.append((i, piece, max(m.get_score(i), -float(n))))  # marks alone have no rank
+        #: No piece holds a mark behind another character, so that texts may be cut before marks.
+        self.cut_at_marks = not any("▁" in piece.lstrip("▁") for _, piece, _ in usable)
+        # No piece may hold a newline: texts are cut there.
+        usable = [x for x in usable if "\n" not in x[1]]
         # The model ranks its pieces; rank r gets a probability in proportion to 1 / (r + 100).
         p = np.zeros(n)
         for i, _, score in usable:
@@ -81,7 +86,7 @@ class Vocabulary:
             h = np.array([x for x, _ in own], np.uint64)
             seen = np.zeros(1 << _BITS, bool)
             seen[(mix64(h) >> np.uint64(64 - _BITS)).astype(np.int64)] = True
-            self.tables.append((h, np.array([i for _, i in own], np.int16), seen))
+            self.tables.append((h, np.array([i for _, i in own], np.int32), seen))
             longer = np.array(sorted({int(hash_of(piece[:size])) for _, piece, _ in usable if len(piece) > size}), np.uint64)
             more = np.zeros(1 << _BITS, bool)
             more[(mix64(longer) >> np.uint64(64 - _BITS)).astype(np.int64)] = True
@@ -120,10 +125,9 @@ def lattice(chars: np.ndarray, word: np.ndarray, left: np.ndarray, vocab: Vocabu
     to the node has that length or less, and the pieces (-1: bytes, 0: none)."""
     n, width = len(chars), vocab.longest
     nodes = n + (int(word[-1]) + 1 if n else 0)
-    weight = np.zeros((nodes, width), np.float32)
-    piece = np.zeros((nodes, width), np.int16)
-    scale = 200.0  # per character; the same for every segmentation of a stretch
-    prob = (vocab.probability**params.alpha).astype(np.float64)
+    cum = np.full((nodes, width), -np.inf, np.float32)  # logarithms of weights first
+    piece = np.zeros((nodes, width), np.int32)
+    log_p = params.alpha * np.log(np.where(vocab.probability > 0, vocab.probability, 1.0))
     at = np.arange(n)
     h = np.zeros(n, np.uint64)
     for size in range(1, width + 1):
@@ -137,7 +141,7 @@ def lattice(chars: np.ndarray, word: np.ndarray, left: np.ndarray, vocab: Vocabu
             hit, found = hit[same], ids[where[same]]
             end = at[hit] + word[at[hit]] + size
             piece[end, size - 1] = found
-            weight[end, size - 1] = prob[found] * scale**size
+            cum[end, size - 1] = log_p[found]
         go = vocab.prefix[size - 1][slot] & (left[at] > size)
         at, h = at[go], h[go]
         if not len(at):
@@ -146,22 +150,38 @@ def lattice(chars: np.ndarray, word: np.ndarray, left: np.ndarray, vocab: Vocabu
     bare = np.flatnonzero(piece[first, 0] == 0)
     _, many = _utf8_bytes(chars[bare])
     piece[first[bare], 0] = -1
-    weight[first[bare], 0] = scale * params.byte_probability ** (params.alpha * many / 4)
+    cum[first[bare], 0] = params.alpha * many / 4 * np.log(params.byte_probability)
     start = np.concatenate([[0], np.flatnonzero(np.diff(word)) + 1]) if n else np.zeros(0, np.int64)
     base = start + np.arange(len(start))
     length = left[start]
-    total = np.zeros(nodes)
-    total[base] = 1.0
-    for j in range(1, int(length.max(initial=0)) + 1):
-        rows = base[length >= j] + j
-        reach = min(j, width)
-        w = weight[rows, :reach] * total[rows[:, None] - np.arange(1, reach + 1)]
+    # Longest words first: those that reach position j are the first alive[j].
+    by_length = base[np.argsort(-length, kind="stable")]
+    alive = np.cumsum(np.bincount(length, minlength=1)[::-1])[::-1]
+    # Logarithms of the totals at the last positions, nearest first, against the total of the nearest.
+    recent = np.zeros((len(base), 1))
+    for j in range(1, len(alive)):
+        rows, reach = by_length[: alive[j]] + j, min(j, width)
+        w = cum[rows, :reach] + recent[: len(rows)]
+        top = w.max(axis=1, keepdims=True)
+        np.exp(w - top, out=w)
         c = np.cumsum(w, axis=1)
-        s = c[:, -1]
-        total[rows] = s
-        weight[rows, :reach] = c / s[:, None]
-        weight[rows, reach:] = 1.0
-    return weight, piece, base, length
+        s = c[:, -1:]
+        cum[rows, :reach] = c / s
+        recent = np.concatenate([np.zeros((len(rows), 1)), recent[: len(rows), : width - 1] - (top + np.log(s))], axis=1)
+    # Where less than the longest piece stands before a node, the rest of its table is full.
+    for size in range(1, min(width, len(alive))):
+        cum[by_length[: alive[size]] + size, size:] = 1.0
+    return cum, piece, base, length
+
+
+def stream(row_hash: np.ndarray, seed: int, word: np.ndarray) -> np.ndarray:
+    """Where the random numbers of each word start."""
+    return mix64(mix64(row_hash ^ mix64(np.full(1, seed, np.uint64))) + word.astype(np.uint64))
+
+
+def uniform(counter: np.ndarray, step: int) -> np.ndarray:
+    """Doubles from 0 to below 1."""
+    return (mix64(mix64(counter + np.uint64(step)) + _M) >> np.uint64(11)).astype(np.float64) / 2.0**53
 
 
 def encode_batch(texts: list[str], row_hash: np.ndarray, vocab: Vocabulary, params: SampleParams) -> tuple[np.ndarray, np.ndarray]:
@@ -176,18 +196,15 @@ def encode_batch(texts: list[str], row_hash: np.ndarray, vocab: Vocabulary, para
     newline = cps == NEWLINE
     newline[doc_start] = False
     cps[doc_start] = MARK
-    begins = (cps == MARK) | newline
+    begins = newline.copy()
     begins[1:] |= newline[:-1]
+    if vocab.cut_at_marks:
+        begins[1:] |= (cps[1:] == MARK) & (cps[:-1] != MARK)
     begins[doc_start] = True
     starts = np.flatnonzero(begins)
     lens = np.diff(np.append(starts, len(cps)))
-    if lens.max() > WORD_CHARS:
-        pieces = -(-lens // WORD_CHARS)
-        nth = np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces)
-        starts = np.repeat(starts, pieces) + nth * WORD_CHARS
-        lens = np.diff(np.append(starts, len(cps)))
     place = np.arange(len(cps)) - np.repeat(starts, lens)
-    power = np.multiply.accumulate(np.concatenate([[np.uint64(1)], np.full(WORD_CHARS, _M)]))
+    power = np.multiply.accumulate(np.concatenate([[np.uint64(1)], np.full(lens.max() - 1, _M)]))
     wh = mix64(np.add.reduceat(mix64(cps.astype(np.uint64) + np.uint64(7)) * power[place], starts) + lens.astype(np.uint64))
     _, rep, inverse = np.unique(wh, return_index=True, return_inverse=True)
     if not np.array_equal(lens[rep][inverse], lens) or not np.array_equal(cps[np.repeat(starts[rep][inverse], lens) + place], cps):
@@ -202,15 +219,14 @@ def encode_batch(texts: list[str], row_hash: np.ndarray, vocab: Vocabulary, para
     doc = np.searchsorted(doc_start, starts, side="right") - 1
     first_word = np.searchsorted(starts, doc_start)
     rows = np.flatnonzero(sizes > 0)
-    counter = mix64(row_hash[rows][doc] ^ mix64(np.full(1, params.seed, np.uint64))) + (np.arange(len(starts)) - first_word[doc]).astype(np.uint64) * np.uint64(64)
+    counter = stream(row_hash[rows][doc], params.seed, np.arange(len(starts)) - first_word[doc])
     active, node = np.arange(len(starts)), base[inverse] + length[inverse]
     left = length[inverse].copy()
     steps = []
     step = 0
     while len(active):
-        u = (mix64(mix64(counter[active] + np.uint64(step)) + _M) >> np.uint64(11)).astype(np.float64) / 2.0**53
-        size = (cum[node] <= u[:, None].astype(np.float32)).sum(axis=1) + 1
-        size = np.minimum(size, left)
+        # In double precision u stays below 1, where every table ends: the first entry above u is an arc with weight.
+        size = (cum[node] <= uniform(counter[active], step)[:, None]).sum(axis=1) + 1
         got = piece[node, size - 1].astype(np.int64)
         steps.append((active, got, starts[active] + left - size))
         left = left - size
