@@ -44,6 +44,7 @@ def op3_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.length("loss_text").cast("long").alias("loss_chars"),
         F.sha2(F.col("loss_text").cast("binary"), 256).alias("loss_sha256"),
         "formatted_chars",
+        "n_windows",
     )
 
 
@@ -112,7 +113,7 @@ FROM f
 """
 
 OP3_SQL = r"""
-WITH c AS (
+WITH RECURSIVE c AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
   UNION ALL VALUES (-1, 0, 'user', '</s>[INST] ok [/INST]'), (-1, 1, 'assistant', '</s>[INST] ok [/INST]')
 ), r AS (
@@ -120,19 +121,32 @@ WITH c AS (
     len(regexp_extract_all(text, '[\p{L}\p{N}]+|[^\s\p{L}\p{N}]')) + 4 AS tok,
     24 + length(replace(replace(replace(role, '&', '&amp;'), '<|', '&lt;|'), chr(10), '&#10;')) + length(replace(replace(text, '&', '&amp;'), '<|', '&lt;|')) AS chars
   FROM c
+), f AS (
+  SELECT conv_id, tok AS sys_tok, chars AS sys_chars FROM r WHERE seq = 1 AND role = 'system'
 ), b AS (
-  SELECT *, coalesce(sum(tok) OVER (PARTITION BY conv_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) // 1024 AS span FROM r
-), w AS (SELECT *, dense_rank() OVER (PARTITION BY conv_id ORDER BY span) - 1 AS win FROM b),
-m AS (
-  SELECT *, max(win) OVER (PARTITION BY conv_id) AS last_win, row_number() OVER (PARTITION BY conv_id, win ORDER BY seq DESC) AS behind,
-    sum(tok) OVER (PARTITION BY conv_id, win ORDER BY seq DESC) AS tail, seq = 1 AND role = 'system' AS is_system
-  FROM w
+  SELECT r.*, coalesce(sum(tok) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) // (512 * 16) AS block,
+    CASE WHEN seq > 1 THEN coalesce(sys_tok, 0) ELSE 0 END AS st, CASE WHEN seq > 1 THEN coalesce(sys_chars, 0) ELSE 0 END AS sc, seq = 2 AND sys_tok IS NOT NULL AS follows,
+    CASE WHEN seq > 2 OR (seq = 2 AND sys_tok IS NULL) THEN lag(tok) OVER w END AS t1, lag(chars) OVER w AS c1,
+    CASE WHEN seq > 3 OR (seq = 3 AND sys_tok IS NULL) THEN lag(tok, 2) OVER w END AS t2, lag(chars, 2) OVER w AS c2
+  FROM r LEFT JOIN f ON r.conv_id = f.conv_id WINDOW w AS (PARTITION BY r.conv_id ORDER BY seq)
+), h AS (
+  SELECT *, coalesce(t1 <= 128 AND st + t1 + tok <= 512, FALSE) AS h1, coalesce(t1 + t2 <= 128 AND st + t1 + t2 + tok <= 512, FALSE) AS h2 FROM b
+), o AS (
+  SELECT conv_id, seq, block, tok, chars, follows, st + CASE WHEN h2 THEN t1 + t2 WHEN h1 THEN t1 ELSE 0 END AS cost, sc + CASE WHEN h2 THEN c1 + c2 WHEN h1 THEN c1 ELSE 0 END AS again FROM h
+), p(conv_id, seq, block, used, opens) AS (
+  SELECT conv_id, seq, block, tok, TRUE FROM o WHERE seq = 1
+  UNION ALL
+  SELECT o.conv_id, o.seq, o.block,
+    CASE WHEN o.block = p.block AND (p.used + o.tok <= 512 OR o.follows) THEN p.used + o.tok ELSE o.cost + o.tok END,
+    NOT (o.block = p.block AND (p.used + o.tok <= 512 OR o.follows))
+  FROM p JOIN o ON o.conv_id = p.conv_id AND o.seq = p.seq + 1
 )
-SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY seq)) AS turns_sha256,
+SELECT r.conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY r.seq)) AS turns_sha256,
   CAST(coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0) AS BIGINT) AS loss_chars,
-  sha256(coalesce(string_agg(text, '' ORDER BY seq) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
-  CAST(sum(chars * (1 + CASE WHEN is_system THEN last_win WHEN win < last_win AND behind <= 2 AND tail <= 256 THEN 1 ELSE 0 END)) AS BIGINT) AS formatted_chars
-FROM m GROUP BY conv_id
+  sha256(coalesce(string_agg(text, '' ORDER BY r.seq) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum(r.chars + CASE WHEN opens THEN again ELSE 0 END) AS BIGINT) AS formatted_chars,
+  count(*) FILTER (WHERE opens) AS n_windows
+FROM r JOIN p ON r.conv_id = p.conv_id AND r.seq = p.seq JOIN o ON r.conv_id = o.conv_id AND r.seq = o.seq GROUP BY r.conv_id
 """
 
 
