@@ -6,11 +6,12 @@ the global stream at multiples of `length`; a document that crosses a cut leaves
 on either side. Only the very last sequence can be short. No row is shuffled.
 
 Tokenizing uses the ranks in a byte-level BPE `tokenizer.json` through tiktoken's engine, which gives the ids
-of the `tokenizers` library (tests hold them together) at about four times its speed. Strings of special
-tokens inside a text are ordinary text.
+of the `tokenizers` library (tests hold them together) at about four times its speed. As there, the string of a
+special token inside a text is that token; `special_as_text` makes it ordinary text.
 
 Defined cases: a null text counts as empty, and an empty text is its end token alone. Repeated rows are packed
-each for itself. An empty table gives no pieces. Very long texts simply span many sequences.
+each for itself. An empty table gives no pieces. Very long texts simply span many sequences. Extra columns are not
+read, whatever their names.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from __future__ import annotations
 import json
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, partial
 
 import numpy as np
 import pyarrow as pa
@@ -45,12 +46,12 @@ def byte_bpe(path: str):
         spec = json.load(f)
     rest = (b for b in range(256) if b not in _PLAIN)
     byte_of = {chr(b): b for b in _PLAIN} | {chr(256 + i): b for i, b in enumerate(rest)}
-    special = {t["content"] for t in spec.get("added_tokens", [])}
+    special = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
     ranks = {bytes(byte_of[c] for c in piece): i for piece, i in spec["model"]["vocab"].items() if piece not in special}
-    return tiktoken.Encoding("byte_bpe", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return tiktoken.Encoding("byte_bpe", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=special)
 
 
-def tokenize(df: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 1) -> DataFrame:
+def tokenize(df: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 1, special_as_text: bool = False) -> DataFrame:
     """One row per document: its ids (little-endian uint32), their number, the partition and the place in it."""
     key = df.schema[id_col].dataType
     schema = T.StructType(
@@ -58,7 +59,8 @@ def tokenize(df: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_co
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = byte_bpe(tokenizer_path).encode_ordinary
+        encoding = byte_bpe(tokenizer_path)
+        encode = encoding.encode_ordinary if special_as_text else partial(encoding.encode, allowed_special="all")
         part, start = TaskContext.get().partitionId(), 0
         for batch in batches:
             for low in range(0, batch.num_rows, 256):
