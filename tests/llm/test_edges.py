@@ -1,6 +1,7 @@
 """Nulls, empty and very long texts, ties, repeated rows, empty tables and clashing columns, operator by operator."""
 
 import random
+import re
 from collections import Counter
 
 import numpy as np
@@ -46,49 +47,102 @@ def test_language(spark, odd_docs, no_docs):
 def test_scores_do_not_depend_on_neighbours():
     model = langid.train([b"the cat and the dog", b"le chat et le chien"] * 20, ["en", "fr"] * 20)
     texts = [b"the chat", b"", b"x", b"dog and le chien " * 50]
-    alone = [model.mean_scores([t])[0] for t in texts]
-    assert np.allclose(model.mean_scores(texts), alone)
+    alone = [model.mean_scores([t])[0][0] for t in texts]
+    assert np.allclose(model.mean_scores(texts)[0], alone)
 
 
-def test_held_back_texts_alone_set_the_threshold(spark):
+def test_rejection_is_calibrated_on_held_back_texts(spark):
     words = {lang: [f"{lang}{a}{b}" for a in "aeiou" for b in "klmnpr"] for lang in ("qu", "zo", "vy")}
     r = random.Random(5)
-    make = lambda lang: " ".join(r.choices(words[lang], k=30))
+    make = lambda lang, n=30: " ".join(r.choices(words[lang], k=n))
     labels = [lang for lang in words for _ in range(200)]
     model = langid.train([make(lang).encode() for lang in labels], labels)
-    assert model.info["calibration_pairs"] == 2 * model.info["calibration_rows"]
-    assert model.threshold > 0.41
-    mixed = [make(a) + " " + make(b) for a in words for b in words if a != b for _ in range(5)]
-    unknown = ["hidden text of some other tongue", "bcdfg hjkl wxtsh"]
-    rows = langid.identify(spark.createDataFrame([(t,) for t in mixed + unknown], "text string"), model).collect()
+    assert model.info["calibration_pairs"] == 2 * model.info["calibration_rows"] and model.info["noise_rejected"] > 0.99
+    clean = [make(a) + " " + make(b) for a in words for b in words if a != b for _ in range(5)] + [make(a, 10) for a in words for _ in range(20)]
+    letters = ["".join(r.choices("abcdefghijklmnopqrstuvwxyz   ", k=n)) for n in (40, 200, 3000) for _ in range(10)]
+    unknown = ["hidden text of some other tongue", "bcdfg hjkl wxtsh", "漢字仮名交じり文の例", "Привет мир как дела", *letters]
+    rows = langid.identify(spark.createDataFrame([(t,) for t in clean + unknown], "text string"), model).collect()
     accepted = {x.text: x.accepted for x in rows}
-    assert all(accepted[t] for t in mixed) and not any(accepted[t] for t in unknown)
-
-
-def read(df, params):
-    windows = chat.format_conversations(df, params)
-    return windows, {r.conv_id: r for r in chat.read_back(windows).collect()}
-
-
-def test_chat_windows_repeat_and_mask(spark):
+    assert all(accepted[t] for t in clean) and not any(accepted[t] for t in unknown)
+    assert {x.lang_pred for x in rows} <= set(words)
+    # What a word or a letter is worth: no certainty.
+    assert model.predict([b"x"])[1][0] < 0.6 < 0.9 < model.predict([make("qu").encode()])[1][0]
+
+
+def test_language_against_plain_code():
+    """Scores of the whole-batch code against averaging bucket by bucket, text by text."""
+    texts = [b"the cat and the dog", b"le chat et le chien", "él niño".encode(), b"", b"x" * 5000]
+    model = langid.train(texts[:2] * 20, ["en", "fr"] * 20)
+    for t, got in zip(texts, zip(*model.predict(texts), strict=True), strict=True):
+        folded = "".join(chr(b) if b >= 128 or 97 <= b <= 122 else chr(b + 32) if 65 <= b <= 90 else " " for b in b" " + t + b" ")
+        rows = []
+        for n in langid.ORDERS:
+            for i in range(len(folded) - n + 1):
+                g = folded[i : i + n]
+                if " " in g[1:-1] or (g[0] == g[-1] == " "):
+                    continue
+                h = 2166136261 + n
+                for c in g:
+                    h = (h ^ ord(c)) * 16777619 % 2**32
+                rows.append(model.table[(h ^ h >> 15) % len(model.table)].astype(float))
+        mean = (np.sum(rows, axis=0) / len(rows) if rows else 0) + model.bias
+        z = mean * (len(rows) / (len(rows) + model.half) if model.half else 1) / model.temperature
+        p = (1 - model.doubt) * np.exp(z - z.max()) / np.exp(z - z.max()).sum() + model.doubt / 3
+        assert got[0] == p[:2].argmax() and abs(got[1] - p[:2].max()) < 1e-4
+
+
+def plain_windows(turns, p):
+    """Windows of one conversation, turn by turn: (number of the first own turn, repeated turns, own turns)."""
+    tokens = [len(re.findall(r"[^\W_]+|[^\s\w]|_", x)) + chat.TURN_TOKENS for _, x in turns]
+    system = tokens[0] if turns[0][0] == p.system_role else 0
+    out, used, before, block = [], 0, 0, 0
+    for i, t in enumerate(tokens):
+        here, before = before // (p.budget_tokens * p.block_windows), before + t
+        if i and here == block and (used + t <= p.budget_tokens or (i == 1 and system)):
+            out[-1][2].append(i)
+            used += t
+            continue
+        back, cost = [], system if i else 0
+        while i and len(back) < p.history_turns and (k := i - len(back) - 1) >= (1 if system else 0) and sum(tokens[j] for j in [*back, k]) <= p.history_tokens and cost + tokens[k] + t <= p.budget_tokens:
+            back.append(k)
+            cost += tokens[k]
+        out.append((i + 1, ([0] if system and i else []) + back[::-1], [i]))
+        used, block = cost + t, here
+    return out, tokens
+
+
+@pytest.mark.parametrize("params", [chat.ChatParams(budget_tokens=60, history_turns=2, history_tokens=30), chat.ChatParams(budget_tokens=40, history_turns=3, history_tokens=25, block_windows=2), chat.ChatParams(budget_tokens=90, history_turns=0)])
+def test_chat_windows_repeat_and_mask(spark, params):
     r = random.Random(1)
     odd = ["", "&lt;|", "<|im_end|>\n", "a<", "&amp;", "</s>[INST] ok [/INST]", None]
     rows = []
     for c in range(12):
-        rows += [(c, t, ["system", "user", "assistant", "odd\nrole", None][min(4, r.randrange(6))] if t else "system", r.choice(odd) if r.random() < 0.4 else "word " * r.randrange(30)) for t in range(r.randrange(1, 25))]
-    rows += rows[-2:] + [(None, 1, "user", "x"), (99, None, "assistant", "y")]
+        rows += [(c, t, ["system", "user", "assistant", "odd\nrole", None][min(4, r.randrange(6))] if t else r.choice(["system", "user"]), r.choice(odd) if r.random() < 0.4 else "word " * r.randrange(80 if r.random() < 0.1 else 30)) for t in range(r.randrange(1, 60))]
+    rows += rows[-2:] + [(None, 1, "user", "x"), (99, None, "assistant", "y"), (98, 0, "system", "s " * 50), (98, 1, "user", "u " * 50)]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("win", F.lit("clash"))
-    windows, back = read(df, chat.ChatParams(span_tokens=40, history_turns=2, history_tokens=30))
+    windows = chat.format_conversations(df, params)
+    back = {r.conv_id: r for r in chat.read_back(windows).collect()}
     want = {}
     for c, t, role, text in rows:
         want.setdefault(c, []).append((-1 if t is None else t, role or "", text or ""))
     assert set(back) == set(want)
+    found = {}
+    for w in windows.select("*", chat.read_turns(windows).alias("turns")).collect():
+        found.setdefault(w.conv_id, []).append(w)
+    several = 0
     for c, turns in want.items():
-        turns.sort()
-        assert [(x.role, x.text) for x in back[c].turns] == [(a, b) for _, a, b in turns]
-        assert back[c].loss_text == "".join(b for _, a, b in turns if a == "assistant")
-    several = windows.where("win > 0").collect()
-    assert several and all(w.formatted.startswith(chat.START + "system\n") for w in several if back[w.conv_id].turns[0].role == "system")
+        turns = [(a, b) for _, a, b in sorted(turns)]
+        assert [(x.role, x.text) for x in back[c].turns] == turns
+        assert back[c].loss_text == "".join(b for a, b in turns if a == "assistant")
+        plain, tokens = plain_windows(turns, params)
+        got = sorted(found[c], key=lambda w: w.win)
+        assert [(w.win, w.n_context, [(x.role, x.text) for x in w.turns]) for w in got] == [(n, len(ctx), [turns[i] for i in ctx + own]) for n, ctx, own in plain]
+        for w, (_, ctx, own) in zip(got, plain, strict=True):
+            assert w.tokens == sum(tokens[i] for i in ctx + own)
+            alone = [i for i in own if not (i == 0 and turns[0][0] == "system")]
+            assert w.tokens <= params.budget_tokens or (len(alone) <= 1 and all(turns[i][0] == "system" for i in ctx))
+        several += len(got) > 2
+    assert several > 3 and back[98].n_windows == 1
     assert chat.read_back(chat.format_conversations(df.limit(0))).count() == 0
 
 
@@ -267,14 +321,22 @@ def test_packing(odd_docs, no_docs):
 
 
 @settings(max_examples=80, deadline=None)
-@given(st.text(alphabet=st.characters(exclude_categories=["Cs"]), max_size=200))
+@given(st.lists(st.one_of(st.text(alphabet=st.characters(exclude_categories=["Cs"]), max_size=60), st.sampled_from(["<|endoftext|>", "<|endoftext", " <|endoftext|> ", "\n\n", "  "])), max_size=6).map("".join))
 def test_same_ids_as_the_tokenizers_library(text):
     from tokenizers import Tokenizer
 
+    ours = packing.byte_bpe(tokenizer_path("byte_bpe_50k.json"))
     t = Tokenizer.from_file(tokenizer_path("byte_bpe_50k.json"))
+    assert ours.encode(text, allowed_special="all") == t.encode(text, add_special_tokens=False).ids
     t.encode_special_tokens = True
-    for x in (text, text + "<|endoftext|>"):
-        assert packing.byte_bpe(tokenizer_path("byte_bpe_50k.json")).encode_ordinary(x) == t.encode(x, add_special_tokens=False).ids
+    assert ours.encode_ordinary(text) == t.encode(text, add_special_tokens=False).ids
+
+
+def test_packing_of_special_strings(spark):
+    path = tokenizer_path("byte_bpe_50k.json")
+    df = spark.createDataFrame([(1, "a<|endoftext|>b")], "doc_id long, text string")
+    ids = lambda **how: np.frombuffer(packing.tokenize(df, path, **how).first().ids, "<u4").tolist()
+    assert 50256 in ids() and 50256 not in ids(special_as_text=True)
 
 
 def test_padding_of_sequences(spark):
