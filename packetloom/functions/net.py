@@ -29,11 +29,58 @@ def cidr_bounds(cidr: str) -> tuple[int, int]:
 
 
 def in_cidr(ip: Column, cidr: str) -> Column:
-    """Whether the text is an IPv4 address in the network; false, not null, for anything else."""
+    """Whether the text is an address in the network (of its family); false, not null, for anything else."""
+    if ":" in cidr:
+        return in_cidr6(ip, cidr)
     low, high = cidr_bounds(cidr)
     return F.coalesce(ipv4_number(ip).between(low, high), F.lit(False))
 
 
+def ipv6_groups(ip: Column) -> Column:
+    """The eight 16-bit groups of an IPv6 text (RFC 4291 spellings, `::` and a dotted tail included); null for others."""
+    tail = F.regexp_extract(ip, r"(\d+\.\d+\.\d+\.\d+)$", 1)
+    number = ipv4_number(tail)
+    plain = F.when(tail == "", ip).when(number.isNotNull(), F.concat(F.substring(ip, F.lit(1), F.length(ip) - F.length(tail)), F.lower(F.hex(F.floor(number / 65536))), F.lit(":"), F.lower(F.hex(F.pmod(number, F.lit(65536))))))
+    words = lambda text: F.filter(F.split(text, ":"), lambda w: w != "")
+    halves = F.split(plain, "::")
+    left, right = words(F.get(halves, F.lit(0))), words(F.coalesce(F.get(halves, F.lit(1)), F.lit("")))
+    gap = 8 - F.size(left) - F.size(right)
+    filled = F.when(F.size(halves) == 2, F.when(gap >= 1, F.concat(left, F.array_repeat(F.lit("0"), gap), right))).when(F.size(halves) == 1, left)
+    shape = plain.rlike("^[0-9a-fA-F:]+$") & ~plain.rlike(":::|^:[^:]|[^:]:$") & (F.size(filled) == 8) & F.forall(filled, lambda w: F.length(w) <= 4)
+    return F.when(shape, F.transform(filled, lambda w: F.conv(w, 16, 10).cast("int")))
+
+
+def ipv6_text(groups: Column) -> Column:
+    """The spelling of RFC 5952: lower case, the first longest run of two or more zero groups as `::`."""
+    spelled = F.array_join(F.transform(groups, lambda g: F.lower(F.hex(g))), ":")
+    zeros = F.transform(groups, lambda g: g == 0)
+    run = lambda i: F.aggregate(F.slice(zeros, i, 9 - i), F.struct(F.lit(0).alias("n"), F.lit(True).alias("go")), lambda a, z: F.struct((a["n"] + (a["go"] & z).cast("int")).alias("n"), (a["go"] & z).alias("go")), lambda a: a["n"])
+    runs = F.transform(F.sequence(F.lit(1), F.lit(8)), lambda i: F.struct(run(i).alias("n"), (-i).alias("at")))
+    best = F.array_max(runs)
+    part = lambda low, n: F.array_join(F.transform(F.slice(groups, low, n), lambda g: F.lower(F.hex(g))), ":")
+    short = F.concat(part(F.lit(1), -best["at"] - 1), F.lit("::"), part(-best["at"] + best["n"], 9 + best["at"] - best["n"]))
+    return F.when(best["n"] >= 2, short).otherwise(spelled)
+
+
+def canonical_ip(ip: Column) -> Column:
+    """An address in its one spelling; null for what is no address."""
+    return F.when(ipv4_number(ip).isNotNull(), ip).otherwise(ipv6_text(ipv6_groups(ip)))
+
+
+def in_cidr6(ip: Column, cidr: str) -> Column:
+    """Whether the text is an IPv6 address in the network; false, not null, for anything else."""
+    import ipaddress
+
+    net = ipaddress.IPv6Network(cidr, strict=False)
+    groups, tests, left = ipv6_groups(ip), F.lit(True), net.prefixlen
+    for i in range(8):
+        bits = max(0, min(16, left - 16 * i))
+        if bits:
+            want = int(net.network_address) >> (112 - 16 * i) & 0xFFFF
+            tests = tests & (F.shiftright(F.get(groups, F.lit(i)), 16 - bits) == want >> (16 - bits))
+    return F.coalesce(groups.isNotNull() & tests, F.lit(False))
+
+
 def network_of(number: Column, bits: int) -> Column:
     """The address with its host bits masked away."""
     return number - F.pmod(number, F.lit(1 << (32 - bits)))
@@ -93,10 +140,41 @@ def folded(text: Column) -> Column:
     return F.lower(F.trim(text))
 
 
+def _quoted(piece: str) -> str:
+    """A pattern piece as a regular expression without repetition."""
+    return "(?s)" + "".join("." if c == "?" else "\\" + c if not (c.isalnum() or c.isspace()) else c for c in piece)
+
+
 def wildcard(text: Column, pattern: str) -> Column:
-    """Whole-value match of folded text against `*` (any run) and `?` (one character)."""
-    like = "".join({"*": "%", "?": "_"}.get(c, "\\" + c if c in "%_\\" else c) for c in pattern.strip().lower())
-    return folded(text).like(like)
+    """Whole-value match of folded text against `*` (any run) and `?` (one character).
+
+    The pieces between stars are sought from left to right, each at the first place after the one before it; that is
+    exact, and takes time in proportion to the text for every piece, whatever the pattern."""
+    first, *rest = pattern.strip().lower().split("*")
+    t = folded(text)
+    if not rest:
+        return t.rlike(_quoted(first).replace("(?s)", "(?s)^", 1) + r"\z") if "?" in first else t == first
+    *middle, last = rest
+    middle = [p for p in middle if p]
+    free = any("?" in p for p in middle)
+
+    def find(at: Column, piece: Column) -> Column:
+        if not free:
+            return F.position(piece, t, at)
+        hit = F.regexp_instr(F.substring(t, at, F.length(t)), piece["like"])
+        return F.when(hit > 0, hit + at - 1).otherwise(0)
+
+    def step(at: Column, piece: Column) -> Column:
+        hit = F.when(at > 0, find(at, piece)).otherwise(0)
+        return F.when(hit > 0, hit + (piece["size"] if free else F.length(piece))).otherwise(0)
+
+    begins = t.rlike("^" + _quoted(first)) if "?" in first else t.startswith(first)
+    ends = t.rlike(_quoted(last) + r"\z") if "?" in last else t.endswith(last)
+    after = F.lit(len(first) + 1)
+    if middle:
+        pieces = F.arrays_zip(F.lit([_quoted(p) for p in middle]).alias("like"), F.lit([len(p) for p in middle]).alias("size")) if free else F.lit(middle)
+        after = F.aggregate(pieces, after, step)
+    return begins & ends & (after > 0) & (F.length(t) - len(last) + 1 >= after)
 
 
 def mac_normalised(text: Column) -> Column:

@@ -10,12 +10,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 #: Expressions that mean the same in Spark and in ANSI SQL engines; {div} and {json} are filled in by each.
-EVENT_SQL = "SELECT event_id + 1 AS ordinal, ts, user_id, event_type, value, CAST({json} AS INT) AS k FROM events"
+#: Few clients talk to the file and name servers, so that their requests and replies meet.
+EVENT_SQL = "SELECT event_id + 1 AS ordinal, ts, CASE WHEN event_type IN ('purchase', 'signup') THEN user_id % 20 ELSE user_id END AS user_id, event_type, value, CAST({json} AS INT) AS k FROM events"
 BASE_SQL = """
 SELECT ordinal, k, user_id, event_type,
   CASE WHEN k = 97 AND event_type = 'error' THEN NULL ELSE ts END AS ts,
   concat('10.0.', CAST(user_id {div} 256 AS STRING), '.', CAST(user_id % 256 AS STRING)) AS client_ip,
-  CAST(49152 + (user_id * 7 + k % 3) % 16384 AS INT) AS client_port,
+  CAST(49152 + (user_id * 7 + (k {div} 2) % 3) % 16384 AS INT) AS client_port,
   concat('192.0.2.', CASE event_type WHEN 'click' THEN '1' WHEN 'view' THEN '2' WHEN 'purchase' THEN '3' WHEN 'signup' THEN '4' ELSE '5' END) AS server_ip,
   CASE event_type WHEN 'click' THEN 80 WHEN 'view' THEN 443 WHEN 'purchase' THEN 8443 WHEN 'signup' THEN 53 ELSE 25 END AS server_port,
   CASE WHEN event_type = 'signup' THEN 'udp' ELSE 'tcp' END AS proto,
@@ -33,7 +34,7 @@ SELECT *,
   CASE WHEN proto = 'tcp' THEN (ordinal * 977) % 4294967296 END AS seq,
   CASE WHEN proto = 'tcp' AND k % 10 <> 0 THEN (ordinal * 977 + k) % 4294967296 END AS ack,
   CASE WHEN proto = 'tcp' THEN CAST((k * 653) % 65536 AS INT) END AS win_size,
-  CASE WHEN app = 'dns' THEN CAST(k {div} 2 AS INT) END AS dns_id,
+  CASE WHEN app = 'dns' THEN CAST((k {div} 2) % 8 AS INT) END AS dns_id,
   CASE WHEN app = 'dns' AND reply THEN CASE WHEN k % 7 = 3 THEN 3 WHEN k % 7 = 5 THEN 2 ELSE 0 END END AS rcode,
   CASE WHEN app = 'dns' THEN concat(CASE WHEN k % 4 = 0 THEN 'Host' ELSE 'host' END, CAST(user_id % 50 AS STRING), '.example') END AS dns_name,
   CASE WHEN app = 'dns' AND reply AND k % 7 NOT IN (3, 5) THEN concat('192.0.2.', CAST(1 + user_id % 3 AS STRING)) END AS dns_answer,
@@ -41,7 +42,9 @@ SELECT *,
   CASE WHEN app = 'http' AND reply THEN CASE WHEN k % 5 = 0 THEN 404 WHEN k % 11 = 0 THEN 500 ELSE 200 END END AS http_status,
   CASE WHEN user_id % 11 = 0 THEN NULL ELSE concat('proc', CAST(user_id % 7 AS STRING)) END AS process,
   CASE WHEN app = 'smb' THEN CAST((k {div} 2) % 4 AS INT) END AS command,
-  CASE WHEN app = 'smb' THEN CAST(k {div} 2 AS INT) END AS message_id
+  CASE WHEN app = 'smb' THEN CAST((k {div} 2) % 8 AS INT) END AS message_id,
+  CASE WHEN app = 'tls' AND NOT reply AND k % 3 <> 0 THEN concat('Secure', CAST(user_id % 30 AS STRING), '.example') END AS sni,
+  CASE WHEN app = 'http' AND NOT reply AND k % 5 <> 1 THEN CASE WHEN k % 10 = 4 THEN '' ELSE concat('www', CAST(user_id % 30 AS STRING), '.example') END END AS http_host
 FROM b
 """
 
@@ -49,7 +52,7 @@ FROM b
 def frames_from_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The frames of an events table, read lazily; only the columns that a query uses are computed."""
     events = spark.read.parquet(f"{sf_dir}/events.parquet")
-    e = events.selectExpr("event_id + 1 AS ordinal", "ts", "user_id", "event_type", "value", "CAST(get_json_object(props, '$.k') AS INT) AS k")
+    e = spark.sql(EVENT_SQL.format(json="get_json_object(props, '$.k')").replace("FROM events", "FROM {events}"), events=events)
     base = spark.sql(BASE_SQL.format(div="div").replace("FROM e", "FROM {e}"), e=e)
     return spark.sql(FRAME_SQL.format(div="div").replace("FROM b", "FROM {b}"), b=base)
 

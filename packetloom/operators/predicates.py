@@ -12,7 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from packetloom.functions.net import folded, in_cidr, wildcard
+from packetloom.functions.net import folded, in_cidr, mac_normalised, wildcard
 
 
 def known(cond: Column) -> Column:
@@ -33,7 +33,7 @@ def _sides(scope: str) -> tuple[str, ...]:
 
 def ip_in(*values: str, scope: str = "any") -> Column:
     """Addresses and networks, mixed."""
-    tests = [in_cidr(F.col(f"{s}_ip"), v) if "/" in v else known(F.col(f"{s}_ip") == v) for s in _sides(scope) for v in values]
+    tests = [in_cidr(F.col(f"{s}_ip"), v) if "/" in v else in_cidr(F.col(f"{s}_ip"), f"{v}/128") if ":" in v else known(F.col(f"{s}_ip") == v) for s in _sides(scope) for v in values]
     return reduce(Column.__or__, tests)
 
 
@@ -45,6 +45,12 @@ def protocol(kind: str) -> Column:
     return known(F.array_contains("stack", kind))
 
 
+def mac_is(address: str, scope: str = "any") -> Column:
+    """Hardware addresses in any spelling; a value that is none matches nothing."""
+    want = mac_normalised(F.lit(address))
+    return reduce(Column.__or__, [known(mac_normalised(F.col(f"{s}_mac")) == want) for s in _sides(scope)])
+
+
 def status_is(status: str) -> Column:
     return known(F.col("status") == status)
 

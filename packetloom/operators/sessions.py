@@ -67,14 +67,24 @@ def first_filled(col: str) -> Column:
     return F.min_by(F.when(filled, F.col(col)), F.when(filled, F.col("ordinal")))
 
 
+def name_answers(frames: DataFrame) -> DataFrame:
+    """frames with answers: the addresses that a name answer gives, as an array (null where there are none)."""
+    if "dns_answers" in frames.columns:
+        return frames.withColumn("answers", F.when(F.size("dns_answers") > 0, F.col("dns_answers")))
+    return frames.withColumn("answers", F.when(F.col("dns_answer").isNotNull(), F.array("dns_answer")))
+
+
 def fold_sessions(frames: DataFrame) -> DataFrame:
     """One row per tuple, with everything the session summary holds."""
-    rows = completeness_bits(with_tuple(frames))
+    for name in ("sni", "http_host"):
+        if name not in frames.columns:
+            frames = frames.withColumn(name, F.lit(None).cast("string"))
+    rows = completeness_bits(with_tuple(name_answers(frames)))
     from_a = F.col("src") == F.col("a")
     timed = F.struct("ts", "ordinal")
     timed_or_null = F.when(F.col("ts").isNotNull(), timed)
     query = F.col("dns_name").isNotNull() & F.col("rcode").isNull()
-    answer = F.col("dns_answer").isNotNull()
+    answer = F.col("answers").isNotNull()
     grouped = rows.groupBy(*TUPLE).agg(
         F.min("ordinal").alias("first_ordinal"),
         F.count("*").alias("packets"),
@@ -92,7 +102,9 @@ def fold_sessions(frames: DataFrame) -> DataFrame:
         F.min_by("app", "ordinal").alias("app"),
         first_filled("process").alias("process"),
         first_filled("dns_name").alias("dns_query"),
-        F.collect_set(F.when(answer, F.col("dns_answer"))).alias("answer_set"),
+        first_filled("sni").alias("sni"),
+        first_filled("http_host").alias("http_host"),
+        F.array_distinct(F.flatten(F.collect_set("answers"))).alias("answer_set"),
         F.min(F.when(query, F.col("ts"))).alias("query_ts"),
         F.min(F.when(answer, F.col("ts"))).alias("answer_ts"),
         *[F.sum(F.when(length_bucket(F.col("orig_len")) == i, 1).otherwise(0)).alias(f"len_{i}") for i in range(len(LENGTH_BOUNDS))],
@@ -126,6 +138,8 @@ def fold_sessions(frames: DataFrame) -> DataFrame:
         "completeness",
         "process",
         "dns_query",
+        "sni",
+        "http_host",
         F.size("answer_set").alias("n_answers"),
         F.array_sort("answer_set").alias("dns_answers"),
         F.when(known & (F.col("answer_ts") > F.col("query_ts")), (F.unix_micros(F.col("answer_ts").cast("timestamp")) - F.unix_micros(F.col("query_ts").cast("timestamp"))) / 1e3).alias("latency_ms"),
@@ -144,11 +158,14 @@ def message_tally(frames: DataFrame) -> DataFrame:
 
 def learned_names(frames: DataFrame) -> DataFrame:
     """address -> the name that the last answer in the capture gave it."""
-    named = frames.where("dns_answer IS NOT NULL")
-    return named.groupBy(F.col("dns_answer").alias("address")).agg(F.max_by(F.lower("dns_name"), "ordinal").alias("name"))
+    named = name_answers(frames).where("answers IS NOT NULL").select(F.explode("answers").alias("address"), "dns_name", "ordinal")
+    return named.groupBy("address").agg(F.max_by(F.lower("dns_name"), "ordinal").alias("name"))
 
 
 def resolve_hosts(sessions: DataFrame, names: DataFrame) -> DataFrame:
-    """host: the DNS name asked for, else the name learned for the server's address, else the address."""
+    """host, from the first source that has one: the name asked for (name lookups only), the TLS server name, the HTTP
+    host, the name learned for the server's address, that address, the client's."""
     joined = sessions.join(names, sessions["server_ip"] == names["address"], "left")
-    return joined.withColumn("host", F.coalesce(F.when(F.col("app") == "dns", F.col("dns_query")), "name", "server_ip")).drop("address", "name")
+    asked = F.when(F.col("app").isin("dns", "mdns", "llmnr"), F.col("dns_query"))
+    filled = [F.nullif(F.col(c), F.lit("")) for c in ("server_ip", "client_ip")]
+    return joined.withColumn("host", F.coalesce(asked, "sni", "http_host", "name", *filled, F.lit("unknown"))).drop("address", "name")

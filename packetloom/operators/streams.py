@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -70,16 +70,28 @@ def reassemble_fragments(fragments: DataFrame, seconds: int = 30, most: int = 64
     """fragments: version, src_ip, dst_ip, ip_id, ip_proto, ordinal, ts, frag_offset, more, payload -> rebuilt datagrams.
 
     A datagram's fragments arrive within `seconds` of one another; it must start at 0, end with a last fragment, and
-    leave no hole. Repeats that agree are tolerated; fragments that overlap otherwise spoil the datagram."""
+    leave no hole. Fragments may overlap where they agree byte for byte; one that does not spoils the datagram."""
     key = ["version", "src_ip", "dst_ip", "ip_id", "ip_proto"]
     order = Window.partitionBy(*key).orderBy("ordinal")
     us = F.unix_micros(F.col("ts").cast("timestamp"))
     late = F.coalesce(us - F.lag(us).over(order) > seconds * 1_000_000, F.lit(False))
     rows = fragments.withColumn("era", F.sum(F.when(late, 1).otherwise(0)).over(order))
     unique = rows.groupBy(*key, "era", "frag_offset", "more", "payload").agg(F.min("ordinal").alias("ordinal"))
-    g = unique.groupBy(*key, "era").agg(F.array_sort(F.collect_list(F.struct("frag_offset", "payload", "more"))).alias("parts"), F.max("ordinal").alias("ordinal"), F.count_if(~F.col("more")).alias("lasts"), F.count("*").alias("n"))
-    walked = F.aggregate("parts", F.struct(F.lit(0).cast("long").alias("at"), F.lit(b"").alias("data"), F.lit(True).alias("ok")), lambda a, p: F.struct((a["at"] + F.length(p["payload"])).alias("at"), F.concat(a["data"], p["payload"]).alias("data"), (a["ok"] & (p["frag_offset"] == a["at"])).alias("ok")))
-    whole = g.where((F.col("lasts") == 1) & (F.col("n") <= most)).withColumn("w", walked).where(F.col("w.ok") & ~F.element_at("parts", -1)["more"])
+    # At most `most` fragments are ever put together: a datagram has no more.
+    few = unique.withColumn("n", F.count("*").over(Window.partitionBy(*key, "era"))).where(F.col("n") <= most)
+    end = F.col("frag_offset") + F.length("payload")
+    g = few.groupBy(*key, "era").agg(F.array_sort(F.collect_list(F.struct("frag_offset", "payload", "more"))).alias("parts"), F.max("ordinal").alias("ordinal"), F.min(F.when(~F.col("more"), end)).alias("last"), F.max(F.when(~F.col("more"), end)).alias("last2"), F.max(end).alias("reach"))
+
+    def put(a: Column, p: Column) -> Column:
+        """a: the bytes from 0 to `at`. Known bytes must agree, new ones are appended."""
+        known = F.greatest(F.least(a["at"] - p["frag_offset"], F.length(p["payload"]).cast("long")), F.lit(0)).cast("int")
+        old = F.substring(a["data"], (p["frag_offset"] + 1).cast("int"), known)
+        fits = (p["frag_offset"] <= a["at"]) & (old == F.substring(p["payload"], F.lit(1), known))
+        fresh = F.substring(p["payload"], known + 1, F.length(p["payload"]))
+        return F.struct((a["at"] + F.length(fresh)).alias("at"), F.concat(a["data"], fresh).alias("data"), (a["ok"] & fits).alias("ok"))
+
+    start = F.struct(F.lit(0).cast("long").alias("at"), F.lit(b"").alias("data"), F.lit(True).alias("ok"))
+    whole = g.withColumn("w", F.aggregate("parts", start, put)).where(F.col("w.ok") & (F.col("last") == F.col("last2")) & (F.col("last") == F.col("reach")) & (F.col("w.at") == F.col("last")))
     return whole.select(*key, "ordinal", F.col("w.data").alias("data"))
 
 

@@ -4,22 +4,46 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+_written: list[str] = []
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; only where that is unset, as in tests, one of our own."""
+    """The folder in spark.checkpoint.dir. Only a session in local mode, as in tests, gets one of our own where that is
+    unset; on a cluster each executor would write such a folder to its own disk, so there it is an error."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        master = spark.conf.get("spark.master", "")
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="packetloom-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
 def settle(df: DataFrame, label: str) -> DataFrame:
-    """Write df once to the shared folder and read it back, so that later steps never recompute it."""
+    """Write df once to the shared folder and read it back, so that later steps never recompute it. The table stays
+    until scratch() or the folder's owner removes it: results are read from it later."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/packetloom-{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _written.append(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Removes at its end what was settled inside it; results that read from there must be written by then."""
+    before = len(_written)
+    try:
+        yield
+    finally:
+        jvm = spark.sparkContext._jvm
+        for path in _written[before:]:
+            at = jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+        del _written[before:]

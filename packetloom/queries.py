@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from datetime import datetime
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from packetloom.functions import net
 from packetloom.model import frames_cte, frames_from_events
-from packetloom.operators import annotate, files, findings, pairing, predicates as P, sessions as S, stats, streams, tcp_state, timeline, timings, windows
-from packetloom.plans import history
-from packetloom.plans.tables import settle
+from packetloom.operators import annotate, files, findings, listing, pairing, predicates as P, sessions as S, stats, streams, tcp_state, timeline, timings, windows
+from packetloom.plans import history, synthesis
+from packetloom.plans.tables import settle, shared_dir
+from packetloom.sources import capture, decode
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -30,6 +32,7 @@ g AS (SELECT proto, a, b, min(ordinal) AS first_ordinal, count(*) AS packets, CA
     min(ts) AS min_ts, max(ts) AS max_ts, arg_min(src, ordinal) AS first_src, arg_min(src, {'t': ts, 'o': ordinal}) FILTER (WHERE ts IS NOT NULL) AS early_src,
     arg_min(src, ordinal) FILTER (WHERE flags & 18 = 2) AS opener, bool_or(flags & 4 <> 0) AS any_rst, bit_or(c_bits) AS completeness, arg_min(app, ordinal) AS app,
     arg_min(process, ordinal) FILTER (WHERE trim(process) <> '') AS process, arg_min(dns_name, ordinal) FILTER (WHERE trim(dns_name) <> '') AS dns_query,
+    arg_min(sni, ordinal) FILTER (WHERE trim(sni) <> '') AS sni, arg_min(http_host, ordinal) FILTER (WHERE trim(http_host) <> '') AS http_host,
     coalesce(list_sort(list(DISTINCT dns_answer) FILTER (WHERE dns_answer IS NOT NULL)), []) AS dns_answers,
     min(ts) FILTER (WHERE dns_name IS NOT NULL AND rcode IS NULL) AS query_ts, min(ts) FILTER (WHERE dns_answer IS NOT NULL) AS answer_ts
   FROM t3 GROUP BY proto, a, b),
@@ -44,7 +47,7 @@ sessions AS (SELECT concat_ws('|', proto, a.ip, a.port, b.ip, b.port) AS session
     CASE WHEN any_rst THEN 'error' ELSE 'ok' END AS status, packets, bytes,
     CASE WHEN client = a THEN packets_a ELSE packets - packets_a END AS packets_up, CASE WHEN client = a THEN packets - packets_a ELSE packets_a END AS packets_down,
     CASE WHEN client = a THEN bytes_a ELSE bytes - bytes_a END AS bytes_up, CASE WHEN client = a THEN bytes - bytes_a ELSE bytes_a END AS bytes_down,
-    completeness, process, dns_query, CAST(len(dns_answers) AS INT) AS n_answers, dns_answers, CASE WHEN untimed = 0 AND answer_ts > query_ts THEN (epoch_us(answer_ts) - epoch_us(query_ts)) / 1e3 END AS latency_ms, untimed
+    completeness, process, dns_query, sni, http_host, CAST(len(dns_answers) AS INT) AS n_answers, dns_answers, CASE WHEN untimed = 0 AND answer_ts > query_ts THEN (epoch_us(answer_ts) - epoch_us(query_ts)) / 1e3 END AS latency_ms, untimed
   FROM g3)
 """
 
@@ -73,7 +76,7 @@ def all_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---- sessions and session statistics ------------------------------------------------------------------------
 
 
-@query("sessions", "SELECT session_id, proto, app, client_ip, client_port, server_ip, server_port, first_ordinal, start, duration, status, packets, bytes, packets_up, packets_down, bytes_up, bytes_down, completeness, process, dns_query, n_answers, latency_ms, untimed FROM sessions", sessions=True)
+@query("sessions", "SELECT session_id, proto, app, client_ip, client_port, server_ip, server_port, first_ordinal, start, duration, status, packets, bytes, packets_up, packets_down, bytes_up, bytes_down, completeness, process, dns_query, sni, http_host, n_answers, latency_ms, untimed FROM sessions", sessions=True)
 def q_sessions(spark, sf_dir):
     return all_sessions(spark, sf_dir).drop("stack", "dns_answers", *[f"len_{i}" for i in range(10)])
 
@@ -165,7 +168,7 @@ def q_encrypted(spark, sf_dir):
 
 
 @query("host_resolution", """, n AS (SELECT dns_answer AS address, arg_max(lower(dns_name), ordinal) AS name FROM frames WHERE dns_answer IS NOT NULL GROUP BY 1)
-SELECT session_id, coalesce(CASE WHEN app = 'dns' THEN dns_query END, name, server_ip) AS host FROM sessions LEFT JOIN n ON server_ip = address""", sessions=True)
+SELECT session_id, coalesce(CASE WHEN app = 'dns' THEN dns_query END, sni, http_host, name, server_ip) AS host FROM sessions LEFT JOIN n ON server_ip = address""", sessions=True)
 def q_hosts(spark, sf_dir):
     f = frames(spark, sf_dir)
     return S.resolve_hosts(S.fold_sessions(f), S.learned_names(f)).select("session_id", "host")
@@ -536,3 +539,109 @@ def q_round_trips(spark, sf_dir):
     rows = tcp_state.tcp_rows(frames(spark, sf_dir))
     timed = rows.join(frames(spark, sf_dir).select("ordinal", F.unix_micros(F.col("ts").cast("timestamp")).alias("ts_us")), "ordinal")
     return streams.round_trips(timed.withColumnRenamed("payload", "payload_len"))
+
+
+# ---- listings, statistics trees and captures ----------------------------------------------------------------
+
+
+@query("chronology", """, r AS (SELECT session_id, row_number() OVER (ORDER BY start DESC NULLS LAST, first_ordinal DESC) AS place FROM sessions) SELECT session_id, place FROM r WHERE place <= 500""", sessions=True)
+def q_chronology(spark, sf_dir):
+    top = listing.chronological(all_sessions(spark, sf_dir), descending=True).select("session_id", "start", "first_ordinal").limit(500)
+    return top.select("session_id", F.row_number().over(Window.orderBy(F.desc_nulls_last("start"), F.desc("first_ordinal"))).alias("place"))
+
+
+@query("column_order", """, r AS (SELECT session_id, row_number() OVER (ORDER BY lower(process) NULLS LAST, first_ordinal) AS place FROM sessions) SELECT session_id, place FROM r WHERE place <= 300""", sessions=True)
+def q_column_order(spark, sf_dir):
+    top = listing.column_order(all_sessions(spark, sf_dir), "process").select("session_id", "process", "first_ordinal").limit(300)
+    return top.select("session_id", F.row_number().over(Window.orderBy(F.lower("process").asc_nulls_last(), "first_ordinal")).alias("place"))
+
+
+@query("ordinal_page", "SELECT ordinal, src_ip, dst_ip, orig_len FROM frames WHERE ordinal BETWEEN 101 AND 400")
+def q_ordinal_page(spark, sf_dir):
+    return listing.page_by_ordinal(frames(spark, sf_dir), 101, 300).select("ordinal", "src_ip", "dst_ip", "orig_len")
+
+
+@query("split_seconds", """, m AS (SELECT min(epoch_us(ts)) AS s FROM frames), o AS (SELECT ordinal, CASE WHEN ts IS NOT NULL THEN CAST(floor((epoch_us(ts) - s) / 3600000000) AS BIGINT) END AS own FROM frames, m)
+SELECT ordinal, coalesce(last_value(own IGNORE NULLS) OVER (PARTITION BY ordinal // 65536 ORDER BY ordinal ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 0) AS file FROM o""")
+def q_split_seconds(spark, sf_dir):
+    return listing.split_by_seconds(frames(spark, sf_dir), 3600).select("ordinal", "file")
+
+
+@query("relative_ack", """, w AS (SELECT *, src_ip < dst_ip OR (src_ip = dst_ip AND src_port < dst_port) AS lowside, least(concat(src_ip, '|', src_port), concat(dst_ip, '|', dst_port)) AS x, greatest(concat(src_ip, '|', src_port), concat(dst_ip, '|', dst_port)) AS y FROM frames WHERE proto = 'tcp'),
+o AS (SELECT *, coalesce(last_value(CASE WHEN lowside AND flags & 2 <> 0 THEN seq END IGNORE NULLS) OVER u, first_value(CASE WHEN lowside THEN seq END IGNORE NULLS) OVER u) AS lo, coalesce(last_value(CASE WHEN NOT lowside AND flags & 2 <> 0 THEN seq END IGNORE NULLS) OVER u, first_value(CASE WHEN NOT lowside THEN seq END IGNORE NULLS) OVER u) AS hi
+  FROM w WINDOW u AS (PARTITION BY x, y ORDER BY ordinal ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))
+SELECT ordinal, ((ack - CASE WHEN lowside THEN hi ELSE lo END) % 4294967296 + 4294967296) % 4294967296 AS rel_ack FROM o""")
+def q_relative_ack(spark, sf_dir):
+    return listing.relative_ack(frames(spark, sf_dir).where("proto = 'tcp'")).select("ordinal", "rel_ack")
+
+
+@query("shown_deltas", """SELECT ordinal, epoch_us(ts) - epoch_us(lag(ts) OVER (ORDER BY ordinal)) AS delta_us FROM frames WHERE app = 'http'""")
+def q_shown_deltas(spark, sf_dir):
+    return listing.shown_deltas(frames(spark, sf_dir), F.col("app") == "http").select("ordinal", "delta_us")
+
+
+@query("time_texts", """, m AS (SELECT min(ts) AS f FROM frames), t AS (SELECT ordinal, ts, epoch_us(ts) AS us, epoch_us(ts) - epoch_us(f) AS d FROM frames, m WHERE ts IS NOT NULL)
+SELECT ordinal, concat(us // 1000000, '.', lpad(CAST(us % 1000000 AS VARCHAR), 6, '0')) AS epoch, strftime(ts, '%Y-%m-%d %H:%M:%S.%f') AS utc, strftime(ts, '%H:%M:%S.%f') AS time_of_day, concat(d // 1000000, '.', lpad(CAST(d % 1000000 AS VARCHAR), 6, '0')) AS since_first FROM t""")
+def q_time_texts(spark, sf_dir):
+    f = frames(spark, sf_dir).where("ts IS NOT NULL")
+    first = f.agg(F.min("ts").alias("first"))
+    return f.select("ordinal", "ts").crossJoin(F.broadcast(first)).select("ordinal", *[c.alias(n) for n, c in listing.time_texts(F.col("ts"), F.col("first")).items()])
+
+
+@query("conversation_terms", """SELECT session_id, concat('ip == ', client_ip, ' and ip == ', server_ip, CASE WHEN client_port > 0 AND server_port > 0 THEN concat(' and port == ', client_port, ' and port == ', server_port) ELSE '' END) AS term FROM sessions""", sessions=True)
+def q_terms(spark, sf_dir):
+    return all_sessions(spark, sf_dir).select("session_id", listing.conversation_term(F.col("client_ip"), F.col("client_port"), F.col("server_ip"), F.col("server_port")).alias("term"))
+
+
+@query("remote_endpoints", """SELECT server_ip, count(*) AS sessions, count(DISTINCT client_ip) AS clients, CAST(sum(bytes) AS BIGINT) AS bytes, min(first_ordinal) AS first_ordinal, max(first_ordinal) AS last_ordinal FROM sessions GROUP BY 1""", sessions=True)
+def q_remote(spark, sf_dir):
+    return listing.remote_endpoints(all_sessions(spark, sf_dir))
+
+
+@query("subnets", """, b AS (SELECT src_ip AS ip, orig_len AS n, 1 AS sent FROM frames UNION ALL SELECT dst_ip, orig_len, 0 FROM frames)
+SELECT concat(regexp_replace(ip, '[.][0-9]+$', ''), '.0/24') AS network, count(DISTINCT ip) AS addresses, CAST(sum(sent) AS BIGINT) AS frames_sent, CAST(sum(1 - sent) AS BIGINT) AS frames_received, CAST(sum(n * sent) AS BIGINT) AS bytes_sent, CAST(sum(n * (1 - sent)) AS BIGINT) AS bytes_received FROM b GROUP BY 1""".replace(" b AS", " bb AS").replace("FROM b GROUP", "FROM bb GROUP"))
+def q_subnets(spark, sf_dir):
+    return listing.subnets(frames(spark, sf_dir))
+
+
+@query("dns_statistics", """, d AS (SELECT CASE WHEN reply THEN 'responses' ELSE 'queries' END AS kind, CASE WHEN reply THEN concat('rcode ', coalesce(rcode, 0)) ELSE lower(dns_name) END AS leaf, orig_len FROM frames WHERE dns_id IS NOT NULL)
+SELECT kind, leaf, count(*) AS count, CAST(sum(orig_len) AS BIGINT) AS bytes FROM d GROUP BY ROLLUP (kind, leaf)""")
+def q_dns_statistics(spark, sf_dir):
+    return listing.dns_statistics(frames(spark, sf_dir))
+
+
+@query("http_statistics", """, h AS (SELECT CASE WHEN http_method IS NOT NULL THEN 'requests' ELSE 'responses' END AS kind, coalesce(http_method, concat(http_status // 100, 'xx')) AS "group", coalesce(CAST(http_status AS VARCHAR), http_method) AS leaf FROM frames WHERE http_method IS NOT NULL OR http_status IS NOT NULL)
+SELECT kind, "group", leaf, count(*) AS count FROM h GROUP BY ROLLUP (kind, "group", leaf)""")
+def q_http_statistics(spark, sf_dir):
+    return listing.http_statistics(frames(spark, sf_dir))
+
+
+@query("activities", """, n AS (SELECT dns_answer AS address, lower(dns_name) AS name, ordinal, ts FROM frames WHERE dns_answer IS NOT NULL AND ts IS NOT NULL),
+p AS (SELECT session_id, name, ordinal, epoch_us(start) - epoch_us(ts) AS after_us FROM sessions JOIN n ON server_ip = address WHERE start IS NOT NULL AND epoch_us(start) - epoch_us(ts) BETWEEN 0 AND 30000000)
+SELECT session_id, arg_min(name, {'a': after_us, 'o': -ordinal}) AS name, arg_min(ordinal, {'a': after_us, 'o': -ordinal}) AS answer_ordinal, min(after_us) AS after_us, count(DISTINCT name) > 1 AS contested FROM p GROUP BY 1""", sessions=True)
+def q_activities(spark, sf_dir):
+    f = frames(spark, sf_dir)
+    answers = f.where("dns_answer IS NOT NULL AND ts IS NOT NULL").select(F.col("dns_answer").alias("address"), F.lower("dns_name").alias("name"), "ordinal", "ts")
+    return listing.activities(answers, S.fold_sessions(f), 30)
+
+
+def captured(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The timed frames written as packets to capture files of a thousand frames each, read back and decoded."""
+    made = synthesis.packets(frames(spark, sf_dir).where("ts IS NOT NULL"))
+    rows = made.select(F.floor(F.col("ordinal") / 1000).alias("file"), "ordinal", (F.unix_micros(F.col("ts").cast("timestamp")) * 1000).alias("ts_ns"), "orig_len", "bytes")
+    written = capture.write_captures(rows, f"{shared_dir(spark)}/packetloom-captures-{uuid.uuid4().hex}")
+    read = capture.split_captures(written.select(F.col("file").cast("string").alias("path"), "content"))
+    placed = read.withColumn("ordinal", F.col("path").cast("long") * 1_000_000 + F.col("ordinal"))
+    return settle(decode.as_frames(decode.with_names(decode.decode(placed))), "decoded")
+
+
+@query("captured_sessions", """SELECT proto, client_ip, client_port, server_ip, server_port, packets, packets_up, packets_down, completeness, status, start, duration, latency_ms, dns_query, sni, http_host, n_answers FROM sessions""", sessions=True)
+def q_captured(spark, sf_dir):
+    out = S.fold_sessions(captured(spark, sf_dir))
+    return out.select("proto", "client_ip", "client_port", "server_ip", "server_port", "packets", "packets_up", "packets_down", "completeness", "status", "start", "duration", "latency_ms", "dns_query", "sni", "http_host", "n_answers")
+
+
+#: What a capture can hold: timed frames, and names only where there is payload to carry them.
+ORACLES["captured_sessions"] = ORACLES["captured_sessions"].replace(", frames AS (", ", frames0 AS (", 1).replace(
+    ", " + SESSION_SQL, ", frames AS (SELECT * REPLACE (CASE WHEN payload_len > 0 THEN sni END AS sni, CASE WHEN payload_len > 0 THEN http_host END AS http_host) FROM frames0 WHERE ts IS NOT NULL), " + SESSION_SQL, 1
+)

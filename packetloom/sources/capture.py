@@ -7,6 +7,7 @@ parallel. Files come through Spark's binaryFile reader and so from any store tha
 from __future__ import annotations
 
 import gzip
+import io
 import struct
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -48,10 +49,33 @@ def sniff(head: bytes) -> str:
     return "pcap" if word in PCAP_MAGIC else "pcapng" if word == SECTION else "unknown"
 
 
+#: What a compressed capture may expand to: bytes in all, and times its own size.
+MAX_EXPANDED, MAX_RATIO = 1 << 30, 200
+
+
+def expanded(data: bytes) -> bytes:
+    """A gzip file's content, read in steps and refused where it outgrows its bounds."""
+    out, size = [], 0
+    most = min(MAX_EXPANDED, max(1 << 20, MAX_RATIO * len(data)))
+    with gzip.GzipFile(fileobj=io.BytesIO(data)) as f:
+        try:
+            while part := f.read(1 << 20):
+                out.append(part)
+                if (size := size + len(part)) > most:
+                    raise CutShort("expands too far")
+        except (OSError, EOFError) as e:
+            if not out:
+                raise CutShort("gzip") from e
+    return b"".join(out)
+
+
 def records(data: bytes) -> Iterator[Record]:
     kind = sniff(data)
     if kind == "gzip":
-        yield from records(gzip.decompress(data))
+        inner = expanded(data)
+        if sniff(inner) == "gzip":
+            raise CutShort("compressed twice")
+        yield from records(inner)
     elif kind == "pcap":
         yield from _pcap(data)
     elif kind == "pcapng":
@@ -150,8 +174,12 @@ def _split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def read_capture(spark: SparkSession, path: str) -> DataFrame:
     """All frames of the captures at path. A file that ends in a damaged record keeps the frames before it and
     gives one last row that names the problem and has no bytes."""
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
-    return files.repartition("path").mapInArrow(_split, FRAME_SCHEMA)
+    return split_captures(spark.read.format("binaryFile").load(path).select("path", "content"))
+
+
+def split_captures(files: DataFrame) -> DataFrame:
+    """The frames of capture files given as rows (path, content)."""
+    return files.select("path", "content").repartition("path").mapInArrow(_split, FRAME_SCHEMA)
 
 
 def properties(spark: SparkSession, path: str) -> DataFrame:

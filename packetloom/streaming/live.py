@@ -45,13 +45,17 @@ def session_totals(frames: DataFrame) -> DataFrame:
     )
 
 
-def connection_events(frames: DataFrame) -> DataFrame:
+def connection_events(frames: DataFrame, idle_ms: int = 3_600_000) -> DataFrame:
     """The events of operators.tcp_state, with the tuple's state kept between micro-batches (append mode).
 
-    A micro-batch must hold a tuple's frames in or after the order of earlier ones, as a capture spool writes them."""
+    A micro-batch must hold a tuple's frames in or after the order of earlier ones, as a capture spool writes them. A
+    tuple that is silent for `idle_ms` of processing time loses its state; what comes then starts anew at incarnation 0."""
     columns = [c.split()[0] for c in tcp_state.EVENT_SCHEMA.split(", ")]
 
     def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         held = pickle.loads(state.get[0]) if state.exists else tcp_state.TupleState()
         pdf = pd.concat(list(parts)).sort_values("ordinal")
         acks = [None if pd.isna(x) else int(x) for x in pdf["ack"]]
@@ -59,6 +63,7 @@ def connection_events(frames: DataFrame) -> DataFrame:
         rows = zip(pdf["ordinal"], pdf["way"], pdf["seq"].astype("int64"), acks, pdf["flags"], pdf["payload"], pdf["win"].fillna(0).astype("int64"), shifts, strict=True)
         out = tcp_state.walk(key[0], rows, held)
         state.update((pickle.dumps(held),))
+        state.setTimeoutDuration(idle_ms)
         yield pd.DataFrame(out, columns=columns)
 
-    return tcp_state.tcp_rows(frames).groupBy("tuple_id").applyInPandasWithState(step, tcp_state.EVENT_SCHEMA, "held binary", "append", GroupStateTimeout.NoTimeout)
+    return tcp_state.tcp_rows(frames).groupBy("tuple_id").applyInPandasWithState(step, tcp_state.EVENT_SCHEMA, "held binary", "append", GroupStateTimeout.ProcessingTimeTimeout)

@@ -98,6 +98,10 @@ def test_fragments(spark):
     df = spark.createDataFrame(rows, "version int, src_ip string, dst_ip string, ip_id long, ip_proto int, ordinal long, ts timestamp_ntz, frag_offset long, more boolean, payload binary")
     got = streams.reassemble_fragments(df).collect()
     assert [(r.ip_id, bytes(r.data)) for r in got] == [(1, b"12345678abcdefghz")]
+    over = [(*base, 1, T0, 0, True, b"12345678abcdefgh"), (*base, 2, T0, 8, True, b"abcdefgh"), (*base, 3, T0, 12, False, b"efghXYZ")]
+    again = [(4, "a", "b", 5, 17, 4, T0, 0, True, b"12345678"), (4, "a", "b", 5, 17, 5, T0, 4, False, b"5679")]
+    got = streams.reassemble_fragments(spark.createDataFrame(over + again, df.schema)).collect()
+    assert [(r.ip_id, bytes(r.data)) for r in got] == [(1, b"12345678abcdefghXYZ")]
 
 
 def test_round_trips_skip_resent_ranges(spark):
