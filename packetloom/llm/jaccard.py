@@ -8,14 +8,19 @@ the strengths of the segments that a set really looks up sum to d + 1 or more, a
 one of them. Bands with a small d index subsets of m - d whole segments instead. `allocate` picks the
 strengths from collision counts on a bounded pilot sample: they change the work, never the result.
 
-An index key held by exactly two sets gives a candidate pair. The sets under a key held by more (groups of
-near copies, shared passages) go on to a second exact filter, an index of their rarest shingles with a bound
-by position: first each set is compared with the one that is most often central among its shingles' sets, then
-only sets that are still in different components are. So no key ever emits all its pairs. Every candidate is verified on the whole sets.
+Under an index key every set is a candidate partner of one of the others only, the one with the least hash; a task
+does that before the shuffle already, so that a key of very many sets sends one row a task. Each candidate is verified on
+the whole sets, and links make components. A key that then holds sets of several components is open: in further
+rounds its sets are paired with another one of its sets in a component other than theirs, drawn anew for each key
+and round. So each round's pairs grow with the keys, near copies are one component after a round or two, and a key
+closes as soon as its sets are in one. What is still open after that (sets that share a key and are not similar, as
+with a common passage) is settled by a second exact filter: an index of these sets' rarest shingles with a bound by
+position, for pairs in different components only, its large keys cut into blocks.
 
 Defined cases: null and empty texts, and texts without a word, have the empty set and no links. A text with
-fewer than k words is one shingle. Repeated rows and equal sets share one class. Very long texts are sets like
-all others. An empty table gives an empty result. Extra columns are not read.
+fewer than k words is one shingle. Equal sets are linked. Rows with one id are rows of their own: each has the
+component of its own text. Very long texts are sets like all others. An empty table gives an empty result. Extra
+columns are not read.
 """
 
 from __future__ import annotations
@@ -24,11 +29,12 @@ import hashlib
 from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import lru_cache
+from functools import lru_cache, reduce
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -44,6 +50,16 @@ PILOT_SETS = 1_000
 #: Counters of the shingle-frequency sketch that orders shingles from rare to frequent (4 MB).
 SKETCH = 1 << 20
 SKETCH_BLOCK = 1 << 14
+#: Index keys that a task combines at once before they are shuffled.
+COMBINED = 1 << 20
+#: Buckets of a set's sketch.
+SET_SKETCH = 256
+#: Rounds of drawn pairs under open keys.
+ROUNDS = 3
+#: Share of links among drawn pairs at which the rounds end.
+FEW_LINKS = 0.01
+#: Sets under one rare shingle that one task compares with one another.
+BLOCK = 2048
 
 
 @lru_cache(maxsize=4)
@@ -173,28 +189,40 @@ def allocate(scheme: Scheme, pilot: list[np.ndarray], weight: float) -> Scheme:
     cost (keys stored plus weight times pairs met under them) falls. The sum of strengths stays."""
     if scheme.subset or len(pilot) < 2:
         return scheme
-    m = scheme.segments
-    one, two = np.zeros(m), np.zeros(m)
-    for v, cost in ((1, one), (2, two)):
-        for i in range(m):
-            seen = np.concatenate([_one_segment(x, scheme, i, v) for x in pilot])
-            _, c = np.unique(seen, return_counts=True)
-            cost[i] = len(seen) / len(pilot) + weight * float((c * (c - 1)).sum()) / len(pilot)
-    strength = np.ones(m, int)
-    while True:
-        down = max(np.flatnonzero(strength == 1), key=lambda i: one[i], default=None)
-        up = min((i for i in np.flatnonzero(strength == 1) if i != down), key=lambda i: two[i] - one[i], default=None)
-        if down is None or up is None or one[down] <= two[up] - one[up]:
-            return Scheme(scheme.band, scheme.most, m, strength=tuple(int(s) for s in strength))
-        strength[down], strength[up] = 0, 2
-
-
-def _one_segment(x: np.ndarray, scheme: Scheme, i: int, v: int) -> np.ndarray:
-    own = mix64(x[segment_of(x, scheme) == i])
-    whole = own.sum(dtype=np.uint64)
-    if not len(own):
-        return np.zeros(0, np.uint64)
-    return np.concatenate([[whole], whole - own]) if v == 2 else np.array([whole], np.uint64)
+    one, two = _segment_costs(scheme, pilot, weight)
+    strength = np.ones(scheme.segments, int)
+    giving, taking = np.argsort(-one, kind="stable"), np.argsort(two - one, kind="stable")
+    at = 0
+    for down in giving:
+        while at < len(taking) and (strength[taking[at]] != 1 or taking[at] == down):
+            at += 1
+        if strength[down] != 1 or at == len(taking) or one[down] <= two[taking[at]] - one[taking[at]]:
+            break
+        strength[down], strength[taking[at]] = 0, 2
+    return Scheme(scheme.band, scheme.most, scheme.segments, strength=tuple(int(v) for v in strength))
+
+
+def _segment_costs(scheme: Scheme, pilot: list[np.ndarray], weight: float) -> tuple[np.ndarray, np.ndarray]:
+    """Cost of each segment at strength 1 and at strength 2, a set of the pilot."""
+    whole, less = [], []
+    for x in pilot:
+        seg, val = segment_of(x, scheme), mix64(x)
+        total = np.zeros(scheme.segments, np.uint64)
+        np.add.at(total, seg, val)
+        present = np.unique(seg)
+        whole.append((present, total[present]))
+        less.append((seg, total[seg] - val))
+
+    def cost(entries: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+        seg, key = (np.concatenate(c) for c in zip(*entries, strict=True))
+        order = np.lexsort((key, seg))
+        seg, key = seg[order], key[order]
+        first = np.flatnonzero(np.concatenate([[True], (seg[1:] != seg[:-1]) | (key[1:] != key[:-1])]))
+        c = np.diff(np.append(first, len(seg))).astype(float)
+        stored, met = np.bincount(seg, minlength=scheme.segments), np.bincount(seg[first], c * (c - 1), minlength=scheme.segments)
+        return (stored + weight * met) / len(pilot)
+
+    return cost(whole), cost([*whole, *less])
 
 
 def plan(df: DataFrame, text_col: str, id_col: str, percent: int, k: int, pilot_sets: int = PILOT_SETS) -> dict[int, Scheme]:
@@ -211,7 +239,7 @@ def plan(df: DataFrame, text_col: str, id_col: str, percent: int, k: int, pilot_
     out = {}
     for band, sets in by_band.items():
         base = default_scheme(band, percent)
-        if base and base.segments <= 64:
+        if base:
             got = allocate(base, list(sets.values()), weight=rows / max(1, len(texts)))
             if got != base:
                 out[band] = got
@@ -230,7 +258,7 @@ def _batches(batches, text_at: int, k: int):
 
 
 def set_table(docs: DataFrame, k: int) -> DataFrame:
-    """docs (id, text) -> id, n, key (16-byte digest of the set), h (its first 8 bytes)."""
+    """docs (id, text, text_hash) -> id, text_hash, n, key (16-byte digest of the set), h (its first 8 bytes)."""
 
     def run(batches):
         for part, sets in _batches(batches, 1, k):
@@ -239,85 +267,150 @@ def set_table(docs: DataFrame, k: int) -> DataFrame:
                 n.append(len(x))
                 key.append(set_key(x))
             h = [_id64(y) for y in key]
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(key, pa.binary()), pa.array(h, pa.int64())], names=["id", "n", "key", "h"])
-
-    return docs.mapInArrow(run, "id long, n long, key binary, h long")
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(n, pa.int64()), pa.array(key, pa.binary()), pa.array(h, pa.int64())], names=["id", "text_hash", "n", "key", "h"])
+
+    return docs.mapInArrow(run, "id long, text_hash long, n long, key binary, h long")
+
+
+def _fit(percent: int, na: np.ndarray, nb: np.ndarray) -> np.ndarray:
+    return 100 * np.minimum(na, nb).astype(np.int64) >= percent * np.maximum(na, nb).astype(np.int64)
+
+
+def absorb(sig: np.ndarray, h: np.ndarray, n: np.ndarray, more: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Under each key: pairs of the set with the least hash and every other one of fitting size, which then need not go
+    on; sets of other sizes do the same among themselves. Returns the places of the rows that go on, in order, whether
+    each row (by place) stands for others, and the distinct pairs."""
+    order = np.argsort(sig, kind="stable")
+    same = sig[order][1:] == sig[order][:-1]
+    shared = np.concatenate([same, [False]])[: len(sig)] | np.concatenate([[False], same])[: len(sig)]
+    some, more = order[shared], more.copy()  # hardly any keys are shared
+    left = some[np.lexsort((~more[some], h[some], sig[some]))]
+    left = left[np.concatenate([[True], (sig[left][1:] != sig[left][:-1]) | (h[left][1:] != h[left][:-1])])[: len(left)]]
+    heads, pairs = [order[~shared]], [np.zeros((0, 2), np.int64)]
+    while len(left):
+        first = np.concatenate([[True], sig[left][1:] != sig[left][:-1]])
+        head = left[np.flatnonzero(first)[np.cumsum(first) - 1]]
+        gone = ~first & _fit(percent, n[left], n[head])
+        pairs.append(np.stack([h[left[gone]], h[head[gone]]], 1))
+        more[head[gone]] = True
+        heads.append(left[first])
+        left = left[~first & ~gone]
+    found = np.concatenate(pairs)
+    return np.sort(np.concatenate(heads)), more, np.unique(found, axis=0) if len(found) else found
 
 
 def index_keys(docs: DataFrame, percent: int, k: int, schemes: dict[int, Scheme]) -> DataFrame:
-    """docs (id, text) -> sig, h, n: every key of every set once per task; n is negative where the key belongs
-    to the band above the set's own."""
+    """docs (id, text) -> rows of two kinds. Index keys: sig, h, n (negative: the set stands for others, see absorb), b
+    null. Pairs met in this task: h, b, and a sig of their own."""
+    names = ["sig", "h", "n", "b"]
 
     def run(batches):
         met: set[bytes] = set()
-        known = dict(schemes)
+        known, held, size = dict(schemes), [], 0
+
+        def combined() -> Iterator[pa.RecordBatch]:
+            sig, h, n = (np.concatenate(c) for c in zip(*held, strict=True))
+            sig = sig.view(np.int64)
+            on, more, pairs = absorb(sig, h, n, np.zeros(len(sig), bool), percent)
+            # In the order of sets, which packs well.
+            yield pa.RecordBatch.from_arrays([pa.array(sig[on]), pa.array(h[on]), pa.array(np.where(more[on], -n[on], n[on])), pa.nulls(len(on), pa.int64())], names=names)
+            if len(pairs):
+                own = mix64(pairs[:, 0].view(np.uint64) ^ mix64(pairs[:, 1].copy().view(np.uint64))).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(pairs[:, 0].copy()), pa.array(np.zeros(len(own), np.int32)), pa.array(pairs[:, 1].copy())], names=names)
+
         for _, sets in _batches(batches, 1, k):
-            sig, h, n = [], [], []
             for x in sets:
                 if not len(x) or (key := set_key(x)) in met:
                     continue
                 met.add(key)
-                band, me = band_of(len(x), percent), _id64(key)
-                for b, size in ((band, len(x)), (band + 1, -len(x))):
-                    if b not in known:
-                        known[b] = default_scheme(b, percent)
-                    if known[b] is not None:
-                        s = signatures(x, known[b])
-                        sig.append(s)
-                        h.append(np.full(len(s), me, np.int64))
-                        n.append(np.full(len(s), size, np.int32))
-            if sig:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sig).view(np.int64)), pa.array(np.concatenate(h)), pa.array(np.concatenate(n))], names=["sig", "h", "n"])
+                s = all_signatures(x, percent, known)
+                held.append((s, np.full(len(s), _id64(key), np.int64), np.full(len(s), len(x), np.int32)))
+                size += len(s)
+                if size >= COMBINED:
+                    yield from combined()
+                    held, size = [], 0
+        if held:
+            yield from combined()
 
-    return docs.mapInArrow(run, "sig long, h long, n int")
+    return docs.mapInArrow(run, "sig long, h long, n int, b long")
 
 
-def _columns(batches) -> list[np.ndarray]:
-    got = [[c.to_numpy(zero_copy_only=False) for c in b.columns] for b in batches if b.num_rows]
-    return [np.concatenate(c) for c in zip(*got, strict=True)] if got else []
+def all_signatures(x: np.ndarray, percent: int, known: dict[int, Scheme | None]) -> np.ndarray:
+    """Index keys of a set in its own band and the one above; known: schemes by band, filled up here."""
+    band, out = band_of(len(x), percent), []
+    for b in (band, band + 1):
+        if b not in known:
+            known[b] = default_scheme(b, percent)
+        if known[b] is not None:
+            out.append(signatures(x, known[b]))
+    return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
 def meet(keys: DataFrame, percent: int) -> DataFrame:
-    """Keys grouped by sig -> (a, b): two sets alone under a key; (a, null): a set under a key with more."""
+    """index_keys()'s rows -> distinct (a, b): pairs met under a key; (a, null): a set under a key with others, paired
+    with none of them for its size. Rows stream through in order of keys; a key's rows are combined as they come."""
 
     def run(batches):
-        cols = _columns(batches)
-        if not cols:
-            return
-        sig, h, n = cols
-        order = np.lexsort((h, sig))
-        sig, h, n = sig[order], h[order], n[order].astype(np.int64)
-        new = np.concatenate([[True], (sig[1:] != sig[:-1]) | (h[1:] != h[:-1])])
-        sig, h, n = sig[new], h[new], n[new]
-        first = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]]))
+        held = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            pair = batch.column(3).is_valid()
+            known = batch.filter(pair)
+            if known.num_rows:
+                yield pa.RecordBatch.from_arrays([known.column(1), known.column(3)], names=["a", "b"])
+            sig, h, n = (c.to_numpy(zero_copy_only=False) for c in batch.filter(pc.invert(pair)).columns[:3])
+            rows = [sig, h, abs(n), n < 0]
+            if held is not None:
+                rows = [np.concatenate(c) for c in zip(held, rows, strict=True)]
+            on, more, pairs = absorb(*rows, percent)
+            rows = [*(c[on] for c in rows[:3]), more[on]]
+            last = np.searchsorted(rows[0], rows[0][-1]) if len(on) else 0
+            yield from settled(*(c[:last] for c in rows[:2]), rows[3][:last], pairs)
+            held = [c[last:] for c in rows]
+        if held is not None:
+            yield from settled(held[0], held[1], held[3], np.zeros((0, 2), np.int64))
+
+    def settled(sig: np.ndarray, h: np.ndarray, more: np.ndarray, pairs: np.ndarray) -> Iterator[pa.RecordBatch]:
+        first = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]])) if len(sig) else np.zeros(0, np.int64)
         count = np.diff(np.append(first, len(sig)))
-        two = first[count == 2]
-        a, b = h[two], h[two + 1]
-        na, nb = n[two], n[two + 1]
-        small_, large = np.minimum(abs(na), abs(nb)), np.maximum(abs(na), abs(nb))
-        ok = ((na > 0) | (nb > 0)) & (100 * small_ >= percent * large)
-        pairs = np.unique(np.stack([np.minimum(a, b)[ok], np.maximum(a, b)[ok]], 1), axis=0) if ok.any() else np.zeros((0, 2), np.int64)
-        crowd = np.unique(h[np.repeat(count > 2, count)])
-        left = np.concatenate([pairs[:, 0], crowd])
-        right = pa.array(np.concatenate([pairs[:, 1], np.zeros(len(crowd), np.int64)]), mask=np.arange(len(left)) >= len(pairs))
-        yield pa.RecordBatch.from_arrays([pa.array(left), right], names=["a", "b"])
+        busy = np.logical_or.reduceat(more, first) if len(first) else np.zeros(0, bool)
+        marked = np.unique(h[np.repeat((count > 1) & busy, count) & ~more])
+        left = np.concatenate([pairs[:, 0], marked])
+        right = pa.array(np.concatenate([pairs[:, 1], np.zeros(len(marked), np.int64)]), mask=np.arange(len(left)) >= len(pairs))
+        if len(left):
+            yield pa.RecordBatch.from_arrays([pa.array(left), right], names=["a", "b"])
+
+    return keys.repartition("sig").sortWithinPartitions("sig").mapInArrow(run, "a long, b long").distinct()
+
 
-    return keys.repartition("sig").mapInArrow(run, "a long, b long").distinct()
+def set_sketch(x: np.ndarray) -> bytes:
+    """How many elements fall into each of a fixed number of buckets, 255 at most. The sum of two sketches' differences is
+    never more than the number of elements in which their sets differ."""
+    slot = (mix64(x + _U(0x632BE59BD9B4E019)) % _U(SET_SKETCH)).astype(np.int64)
+    return np.minimum(np.bincount(slot, minlength=SET_SKETCH), 255).astype(np.uint8).tobytes()
 
 
 def candidate_sets(docs: DataFrame, reps: DataFrame, k: int) -> DataFrame:
-    """The whole sets of the class representatives in reps (id, crowd)."""
+    """The whole sets of the classes in reps (id: of one row that has the set; h): h, n, sketch, items."""
 
     def run(batches):
-        for part, sets in _batches(batches, 1, k):
-            got = list(sets)
-            key = [set_key(x) for x in got]
-            arrays = [part.column(0), pa.array([len(x) for x in got], pa.int64()), pa.array([_id64(y) for y in key], pa.int64()), part.column(2)]
-            values = pa.array(np.concatenate(got).view(np.int64)) if got else pa.array([], pa.int64())
-            ends = pa.array(np.concatenate([[0], np.cumsum([len(x) for x in got])]).astype(np.int32))
-            yield pa.RecordBatch.from_arrays([*arrays, pa.ListArray.from_arrays(ends, values)], names=["id", "n", "h", "crowd", "items"])
+        for part, sets in _batches(batches, 0, k):
+            got, want = list(sets), part.column(1).to_pylist()
+            # An id may have other texts too.
+            got = [(h, x) for h, x in zip(want, got, strict=True) if len(x) and _id64(set_key(x)) == h]
+            if got:
+                ends = np.concatenate([[0], np.cumsum([len(x) for _, x in got])]).astype(np.int32)
+                values = pa.array(np.concatenate([x for _, x in got]).view(np.int64))
+                counts = pa.array([set_sketch(x) for _, x in got], pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array([h for h, _ in got]), pa.array([len(x) for _, x in got], pa.int64()), counts, pa.ListArray.from_arrays(pa.array(ends), values)], names=["h", "n", "sketch", "items"])
+
+    def of(some: DataFrame) -> DataFrame:
+        return docs.join(small(some.select("id", "h"), some.count()), "id").select("text", "h").mapInArrow(run, "h long, n long, sketch binary, items array<long>")
 
-    return docs.join(reps, "id").select("id", "text", "crowd").mapInArrow(run, "id long, n long, h long, crowd boolean, items array<long>")
+    again = reps.where("copies > 1")
+    found = of(reps.where("copies = 1"))
+    return found.union(of(again).dropDuplicates(["h"])) if again.count() else found
 
 
 def frequency_sketch(sets: DataFrame) -> np.ndarray:
@@ -347,15 +440,15 @@ def frequency_sketch(sets: DataFrame) -> np.ndarray:
 
 
 def rare_prefixes(sets: DataFrame, sketch, percent: int) -> DataFrame:
-    """sets (id, n, items, comp) -> one row for each of the rarest shingles that any linked partner must share
-    one of: token, id, n, pos, comp."""
+    """sets (h, n, items, comp) -> one row for each of the rarest shingles that any linked partner must share
+    one of: token, h, n, pos, comp."""
 
     def run(batches):
         freq = sketch.value
-        for batch in batches:
-            ids, ns, comps = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1, 3))
+        for batch in (b.slice(low, 256) for b in batches for low in range(0, b.num_rows, 256)):
+            hs, ns, comps = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1, 3))
             out = []
-            for me, n, comp, items in zip(ids, ns, comps, batch.column(2), strict=True):
+            for me, n, comp, items in zip(hs, ns, comps, batch.column(2), strict=True):
                 x = items.values.to_numpy().view(np.uint64)
                 mixed = mix64(x)
                 order = np.lexsort((mixed, freq[(mixed % _U(SKETCH)).astype(np.int64)]))
@@ -363,135 +456,222 @@ def rare_prefixes(sets: DataFrame, sketch, percent: int) -> DataFrame:
                 t = x[order[:keep]].view(np.int64)
                 out.append((t, np.full(len(t), me), np.full(len(t), n), np.arange(len(t)), np.full(len(t), comp)))
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], names=["token", "id", "n", "pos", "comp"])
-
-    return sets.select("id", "n", "items", "comp").mapInArrow(run, "token long, id long, n long, pos long, comp long")
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], names=["token", "h", "n", "pos", "comp"])
+
+    return sets.select("h", "n", "items", "comp").mapInArrow(run, "token long, h long, n long, pos long, comp long")
+
+
+def in_blocks(prefixes: DataFrame, block: int = BLOCK) -> DataFrame:
+    """prefixes of shingles under which several components meet, with cell and side: rows of one (token, cell) are to be
+    compared, across sides where they have two. Under a shingle with more than `block` rows the largest component's
+    rows stand in blocks on one side (1) and the others' on the other (0), and the others' blocks meet in pairs, so
+    that no cell holds more than about two blocks and only rows of other components are repeated for each other."""
+    spread = prefixes.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("rows"))
+    spread = materialize(spread.where("lo < hi").select("token", "rows"), "spread")
+    shared = prefixes.join(small(spread, spread.count()), "token")
+    light = shared.where(F.col("rows") <= block).select(*prefixes.columns, F.lit(0).cast("long").alias("cell"), F.lit(None).cast("int").alias("side"))
+    heavy = shared.where(F.col("rows") > block).drop("rows")
+    top = heavy.groupBy("token", "comp").agg(F.count("*").alias("c")).groupBy("token").agg(F.max(F.struct("c", "comp")).alias("m"), F.sum("c").alias("all"))
+    top = top.select("token", F.col("m.comp").alias("most"), F.ceil(F.col("m.c") / block).alias("s"), F.ceil((F.col("all") - F.col("m.c")) / block).alias("r"))
+    rows = heavy.join(top, "token").withColumn("own", F.col("comp") == F.col("most"))
+    number = F.pmod(F.xxhash64("h", F.lit(21)), F.when(F.col("own"), F.col("s")).otherwise(F.col("r")))
+    rows = rows.withColumn("block", number)
+    up_to = lambda n: F.sequence(F.lit(0).cast("long"), n - 1)
+    # Cells of the two sides, then of pairs of the others' blocks (one block with itself has no sides).
+    across = F.when(F.col("own"), F.transform(up_to(F.col("r")), lambda x: F.struct((x * F.col("s") + F.col("block")).alias("cell"), F.lit(1).alias("side")))).otherwise(
+        F.transform(up_to(F.col("s")), lambda x: F.struct((F.col("block") * F.col("s") + x).alias("cell"), F.lit(0).alias("side")))
+    )
+    among = F.transform(
+        up_to(F.col("r")),
+        lambda x: F.struct((-1 - F.least(x, "block") * F.col("r") - F.greatest(x, "block")).alias("cell"), F.when(x == F.col("block"), F.lit(None)).otherwise((x < F.col("block")).cast("int")).alias("side")),
+    )
+    cells = F.when(F.col("own"), across).otherwise(F.concat(across, among))
+    return light.union(rows.withColumn("at", F.explode(cells)).select(*prefixes.columns, "at.cell", "at.side"))
 
 
-def _reach(percent: int, na, nb, pos_a, pos_b):
-    """Whether two sets can still be linked if the shingle at these places is the first that they share."""
-    most = 1 + np.minimum(na - pos_a - 1, nb - pos_b - 1)
-    return 100 * most >= percent * (na + nb - most)
+def crossing_pairs(prefixes: DataFrame, percent: int, block: int = BLOCK) -> DataFrame:
+    """Pairs of sets in different components that share a rare shingle and can still reach the threshold."""
 
+    def pairs_of(cols: list[np.ndarray]) -> np.ndarray:
+        token, h, n, pos, comp, cell, side = cols
+        first = np.flatnonzero(np.concatenate([[True], (token[1:] != token[:-1]) | (cell[1:] != cell[:-1])]))
+        found, held = [], 0
+        for lo, hi in zip(first.tolist(), [*first[1:].tolist(), len(token)], strict=True):
+            for i in range(lo, hi - 1):
+                j = np.arange(i + 1, hi)
+                j = j[(comp[j] != comp[i]) & ((side[j] != side[i]) | (side[i] < 0))]
+                # The most that both can share if this shingle is the first that they do.
+                most = 1 + np.minimum(n[i] - pos[i] - 1, n[j] - pos[j] - 1)
+                j = j[100 * most >= percent * (n[i] + n[j] - most)]
+                if len(j):
+                    found.append(np.stack([np.full(len(j), h[i]), h[j]], 1))
+                    held += len(j)
+                if held > 1_000_000:
+                    found = [np.unique(np.sort(np.concatenate(found), axis=1), axis=0)]
+                    held = 0
+        return np.unique(np.sort(np.concatenate(found), axis=1), axis=0) if found else np.zeros((0, 2), np.int64)
 
-def _runs(batches):
-    """Prefix rows of a task sorted by token (earliest place first), with the first row and length of each run."""
-    cols = _columns(batches)
-    if not cols:
-        return None
-    order = np.lexsort((cols[1], cols[3], cols[0]))
-    token, me, n, pos, comp = (c[order] for c in cols)
-    first = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
-    return me, n, pos, comp, first, np.diff(np.append(first, len(token)))
+    def run(batches):
+        for cols in whole_groups(batches, 0, 5):
+            p = pairs_of(cols)
+            if len(p):
+                yield pa.RecordBatch.from_arrays([pa.array(p[:, 0].copy()), pa.array(p[:, 1].copy())], names=["a", "b"])
 
+    rows = in_blocks(prefixes, block).withColumn("side", F.coalesce("side", F.lit(-1)))
+    rows = rows.select("token", "h", "n", "pos", "comp", "cell", "side").repartition("token", "cell").sortWithinPartitions("token", "cell")
+    return rows.mapInArrow(run, "a long, b long").distinct()
 
-def centre_pairs(prefixes: DataFrame, percent: int) -> DataFrame:
-    """For every set one pair (a, b): b is the set that most often is the central one (has the shingle earliest)
-    under the rare shingles of a."""
 
-    def run(batches):
-        got = _runs(batches)
-        if got is None:
-            return
-        me, n, pos, _, first, count = got
-        head = np.repeat(first, count)
-        at = np.flatnonzero(np.arange(len(me)) != head)
-        at = at[_reach(percent, n[head[at]], n[at], pos[head[at]], pos[at])]
-        p, c = np.unique(np.stack([me[at], me[head[at]]], 1), axis=0, return_counts=True)
-        yield pa.RecordBatch.from_arrays([pa.array(p[:, 0].copy()), pa.array(p[:, 1].copy()), pa.array(c)], names=["a", "b", "shared"])
-
-    votes = prefixes.repartition("token").mapInArrow(run, "a long, b long, shared long").where("a <> b")
-    totals = votes.groupBy("a", "b").agg(F.sum("shared").alias("shared"))
-    return totals.groupBy("a").agg(F.max_by("b", F.struct("shared", -F.col("b"))).alias("b"))
-
-
-def crossing_pairs(prefixes: DataFrame, percent: int) -> DataFrame:
-    """Pairs of sets in different components that share a rare shingle and can still reach the threshold."""
+def whole_groups(batches, *keys: int) -> Iterator[list[np.ndarray]]:
+    """Columns of sorted batches, cut so that no group of equal keys is divided."""
+    held = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        cols = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+        if held is not None:
+            cols = [np.concatenate(c) for c in zip(held, cols, strict=True)]
+        other = np.logical_or.reduce([cols[i] != cols[i][-1] for i in keys])
+        cut = int(np.flatnonzero(other)[-1]) + 1 if other.any() else 0
+        if cut:
+            yield [c[:cut] for c in cols]
+        held = [c[cut:] for c in cols]
+    if held is not None:
+        yield held
+
+
+def plausible(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) that the sets' sketches don't rule out."""
+    small_sets = sets.select("h", "n", "sketch")
+    left = small_sets.select(F.col("h").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa"))
+    right = small_sets.select(F.col("h").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb"))
 
     def run(batches):
-        got = _runs(batches)
-        if got is None:
-            return
-        me, n, pos, comp, first, count = got
-        found = []
-        for lo, c in zip(first[count > 1].tolist(), count[count > 1].tolist(), strict=True):
-            cc = comp[lo : lo + c]
-            if (cc == cc[0]).all():
+        for b in batches:
+            if not b.num_rows:
                 continue
-            for i in range(lo, lo + c - 1):
-                j = np.arange(i + 1, lo + c)
-                j = j[comp[j] != comp[i]]
-                j = j[_reach(percent, n[i], n[j], pos[i], pos[j])]
-                if len(j):
-                    found.append(np.stack([np.full(len(j), me[i]), me[j]], 1))
-            if len(found) > 10_000:
-                found = [np.unique(np.sort(np.concatenate(found), axis=1), axis=0)]
-        if found:
-            p = np.unique(np.sort(np.concatenate(found), axis=1), axis=0)
-            yield pa.RecordBatch.from_arrays([pa.array(p[:, 0].copy()), pa.array(p[:, 1].copy())], names=["a", "b"])
+            n = b.column(2).to_numpy() + b.column(4).to_numpy()
+            x, y = (np.frombuffer(b"".join(b.column(i).to_pylist()), np.uint8).reshape(-1, SET_SKETCH).astype(np.int16) for i in (3, 5))
+            apart = np.abs(x - y).sum(axis=1)
+            yield b.select([0, 1]).filter(pa.array(apart * (100 + percent) <= n * (100 - percent)))
 
-    return prefixes.repartition("token").mapInArrow(run, "a long, b long").distinct()
+    joined = pairs.join(left, "a").join(right, "b").select("a", "b", "na", "sa", "nb", "sb")
+    return joined.mapInArrow(run, "a long, b long")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int, label: str) -> DataFrame:
-    """The pairs (a, b) whose whole sets are similar enough. Only sets that stand in a pair are moved."""
-    pairs = materialize(pairs, label)
-    ids = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
-    sets = sets.join(small(ids, 2 * pairs.count()), "id", "left_semi")
-    left = sets.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("items").alias("xa"))
-    right = sets.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("items").alias("xb"))
+    """The pairs (a, b) whose whole sets are similar enough. Whole sets are moved only where sketches allow a link."""
+    pairs = materialize(plausible(pairs, sets, percent), label)
+    ids = pairs.select(F.col("a").alias("h")).union(pairs.select(F.col("b").alias("h"))).distinct()
+    sets = sets.join(small(ids, 2 * pairs.count()), "h", "left_semi")
+    left = sets.select(F.col("h").alias("a"), F.col("n").alias("na"), F.col("items").alias("xa"))
+    right = sets.select(F.col("h").alias("b"), F.col("n").alias("nb"), F.col("items").alias("xb"))
     both = F.size(F.array_intersect("xa", "xb"))
     joined = pairs.join(left, "a").join(right, "b").select("a", "b", "na", "nb", both.alias("both"))
     linked = joined.where(100 * F.col("both") >= percent * (F.col("na") + F.col("nb") - F.col("both"))).select("a", "b")
     return materialize(linked, f"{label}-links")
 
 
-def _apart(pairs: DataFrame, comps: DataFrame) -> DataFrame:
-    """The pairs whose sets are in different components."""
-    ca = comps.select(F.col("node").alias("a"), F.col("component").alias("ca"))
-    cb = comps.select(F.col("node").alias("b"), F.col("component").alias("cb"))
-    both = pairs.join(ca, "a", "left").join(cb, "b", "left")
-    return both.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
+def joined_links(comps: DataFrame, links: DataFrame) -> DataFrame:
+    return comps.select(F.col("node").alias("a"), F.col("component").alias("b")).union(links)
 
 
-def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 4, percent: int = 85) -> DataFrame:
-    """Per row of df: id_col, n_shingles, component_id (the smallest id reachable by links).
+def with_component(rows: DataFrame, comps: DataFrame) -> DataFrame:
+    """rows with comp: the component of h, or h itself."""
+    return rows.join(small(comps.select(F.col("node").alias("h"), "component"), comps.count()), "h", "left").withColumn("comp", F.coalesce("component", "h")).drop("component")
+
+
+def set_keys(items: DataFrame, percent: int, schemes: dict[int, Scheme]) -> DataFrame:
+    """items (h, n, items, comp) -> sig, h, n, comp: every index key of every set."""
+
+    def run(batches):
+        known = dict(schemes)
+        for batch in (b.slice(low, 256) for b in batches for low in range(0, b.num_rows, 256)):
+            keys = [all_signatures(x.values.to_numpy().view(np.uint64), percent, known) for x in batch.column(2)]
+            at = np.repeat(np.arange(len(keys)), [len(s) for s in keys])
+            took = [batch.column(i).take(pa.array(at)) for i in (0, 1, 3)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), *took], names=["sig", "h", "n", "comp"])
+
+    return items.select("h", "n", "items", "comp").mapInArrow(run, "sig long, h long, n long, comp long")
 
-    Ids are distinct longs; a row with a null id takes no part and is left out."""
+
+def open_keys(keys: DataFrame) -> DataFrame:
+    """sig of each key that holds sets of several components."""
+    return keys.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("sig")
+
+
+def drawn_pairs(keys: DataFrame, percent: int, turn: int) -> DataFrame:
+    """Pairs of every set under an open key and the one that is drawn for the key, where sizes fit and components differ."""
+    drawn = F.min_by(F.struct("h", "n", "comp"), F.xxhash64("h", "sig", F.lit(turn))).alias("other")
+    one = keys.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), drawn).where("lo < hi").select("sig", "other")
+    fits = 100 * F.least(F.col("n"), F.col("other.n")) >= percent * F.greatest(F.col("n"), F.col("other.n"))
+    apart = keys.join(one, "sig").where((F.col("comp") != F.col("other.comp")) & fits)
+    return apart.select(F.greatest("h", F.col("other.h")).alias("a"), F.least("h", F.col("other.h")).alias("b")).distinct()
+
+
+def jaccard_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 4, percent: int = 85) -> DataFrame:
+    """Per row of df that has an id: id, text_hash, n (set size), grp (the same for linked rows; null for an empty set)
+    and component_id (the smallest id of its group)."""
     docs = bounded_batches(df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id is not null"))
-    sets = materialize(set_table(docs, k), "sets")
+    sets = materialize(set_table(docs.withColumn("text_hash", F.xxhash64("text")), k), "sets")
     # Written out, so that the last join has plain shuffles on both sides and a key with very many rows can be split.
-    classes = materialize(sets.where("n > 0").groupBy("key").agg(F.min("id").alias("rep"), F.first("h").alias("h")), "classes")
-    keys = index_keys(docs, percent, k, plan(docs, "text", "id", percent, k))
-    met = materialize(meet(keys, percent), "met")
-    wanted = met.select(F.col("a").alias("h"), F.col("b").isNull().alias("crowd")).union(met.where("b is not null").select(F.col("b"), F.lit(False)))
-    wanted = wanted.groupBy("h").agg(F.max("crowd").alias("crowd"))
-    reps = materialize(classes.join(wanted, "h").select(F.col("rep").alias("id"), "crowd"), "reps")
-    items = materialize(candidate_sets(docs, small(reps, reps.count()), k), "items")
-    by_h = items.select("h", "id")
-    direct = (
-        met.where("b is not null")
-        .join(by_h.select(F.col("h").alias("a"), F.col("id").alias("ia")), "a")
-        .join(by_h.select(F.col("h").alias("b"), F.col("id").alias("ib")), "b")
-        .select(F.greatest("ia", "ib").alias("a"), F.least("ia", "ib").alias("b"))
-    )
-    crowd = items.where("crowd")
-    sketch = df.sparkSession.sparkContext.broadcast(frequency_sketch(crowd))
-    start = rare_prefixes(crowd.withColumn("comp", F.col("id")), sketch, percent)
-    # First one pair for each set, so that a group of near copies costs one comparison each; what is then still
-    # apart is compared in full.
-    direct = materialize(direct.distinct(), "direct")
-    one_each = direct.groupBy("a").agg(F.min("b").alias("b"))
-    comps = connected_components(verified(one_each.union(centre_pairs(start, percent)).distinct(), items, percent, "first"))
-    named = crowd.join(comps, crowd["id"] == comps["node"], "left").select("id", "n", "items", F.coalesce("component", "id").alias("comp"))
-    other = _apart(direct, comps).union(crossing_pairs(rare_prefixes(named, sketch, percent), percent)).distinct()
-    more = verified(other, items, percent, "rest")
-    final = connected_components(comps.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more))
-    named_classes = classes.join(final, classes["rep"] == final["node"], "left").select("key", F.coalesce("component", "rep").alias("component_id"))
-    return sets.join(named_classes, "key", "left").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"))
+    classes = sets.where("n > 0").groupBy("key", "id").agg(F.first("h").alias("h"), F.count("*").alias("copies"))
+    classes = materialize(classes.groupBy("key").agg(F.first("h").alias("h"), F.min(F.struct("id", "copies")).alias("r")).select("key", "h", F.col("r.id").alias("rep"), F.col("r.copies").alias("copies")), "classes")
+    schemes = plan(docs, "text", "id", percent, k)
+    met = materialize(meet(index_keys(docs, percent, k, schemes), percent), "met")
+    wanted = met.select(F.col("a").alias("h")).union(met.where("b is not null").select("b")).distinct()
+    reps = materialize(classes.join(wanted, "h").select(F.col("rep").alias("id"), "h", "copies"), "reps")
+    items = materialize(candidate_sets(docs, reps, k), "items")
+
+    comps = connected_components(verified(met.where("b is not null"), items, percent, "first"))
+    keys = set_keys(with_component(items, comps), percent, schemes)
+    still = materialize(open_keys(keys), "open")
+    live = materialize(keys.join(small(still, still.count()), "sig", "left_semi").select("sig", "h", "n"), "live")
+    rest = live
+    for turn in range(ROUNDS):
+        drawn = materialize(drawn_pairs(with_component(live, comps), percent, turn), "drawn")
+        more = verified(drawn, items, percent, f"drawn{turn}")
+        # Where hardly any drawn pair is a link, further ones would not be either; what there is joins the last links.
+        if more.count() <= FEW_LINKS * drawn.count():
+            break
+        comps, more = connected_components(joined_links(comps, more)), None
+        named = with_component(live, comps)
+        rest = named.join(open_keys(named), "sig", "left_semi")
+    sets_left = with_component(rest.select("h").distinct(), comps)
+    left = materialize(items.join(small(sets_left, items.count()), "h").select("h", "n", "sketch", "items", "comp"), "rest")
+    links = [more] if more is not None and not more.isEmpty() else []
+    if not left.isEmpty():
+        sketch = df.sparkSession.sparkContext.broadcast(frequency_sketch(left))
+        links.append(verified(crossing_pairs(rare_prefixes(left, sketch, percent), percent), left, percent, "rest-pairs"))
+    links = [x for x in links if not x.isEmpty()]
+    if links:
+        comps = connected_components(joined_links(comps, reduce(DataFrame.union, links)))
+
+    members = comps.union(comps.select(F.col("component").alias("node"), "component").distinct()).join(classes.select(F.col("h").alias("node"), "rep"), "node")
+    least = members.groupBy("component").agg(F.min("rep").alias("least"))
+    named = members.join(least, "component").select(F.col("node").alias("h"), F.col("component").alias("root"), "least")
+    by_class = classes.join(named, "h", "left").select("key", F.coalesce("root", "h").alias("grp"), F.coalesce("least", "rep").alias("least"))
+    return sets.join(by_class, "key", "left").select("id", "text_hash", "n", "grp", F.coalesce("least", "id").alias("component_id"))
+
+
+def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 4, percent: int = 85) -> DataFrame:
+    """Per row of df: id_col, n_shingles, component_id (the smallest id reachable by links). A row with a null id takes
+    no part and is left out."""
+    return jaccard_groups(df, id_col, text_col, k, percent).select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id")
 
 
 def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
-    """df without the rows that have a smaller id in their group of near duplicates; rows with no id stay."""
-    drop = jaccard_components(df, id_col, text_col, k, percent).where(f"component_id <> {id_col}").select(id_col)
-    return df.join(drop, id_col, "left_anti")
+    """df with one row of each group of near duplicates: one with the smallest id, and of several rows with that id, or
+    rows that repeat it, one of them, chosen by hashes of the texts and rows. Rows with no id or an empty set stay."""
+    key = [id_col, "text_hash_"]
+    groups = materialize(jaccard_groups(df, id_col, text_col, k, percent).where("grp IS NOT NULL"), "groups")
+    stays = groups.where("id = component_id").groupBy("grp").agg(F.min("text_hash").alias("stays"), F.count("*").alias("rows"))
+    leave = groups.join(stays, "grp").where((F.col("id") != F.col("component_id")) | (F.col("text_hash") != F.col("stays")))
+    leave = leave.select(F.col("id").alias(id_col), F.col("text_hash").alias("text_hash_"))
+    several = groups.join(stays.where("rows > 1"), "grp").where("id = component_id AND text_hash = stays").select(F.col("id").alias(id_col), F.col("text_hash").alias("text_hash_")).distinct()
+    rows = df.withColumn("text_hash_", F.xxhash64(text_col))
+    if several.isEmpty():
+        return rows.join(leave.distinct(), key, "left_anti").select(*df.columns)
+    # Exact repeats of a row that stays: only such rows are gathered, by row.
+    once = rows.join(several, key, "left_semi").groupBy(*key).agg(F.min_by(F.struct(*df.columns), F.xxhash64(*df.columns)).alias("row")).select("row.*")
+    return rows.join(leave.union(several).distinct(), key, "left_anti").select(*df.columns).union(once)
