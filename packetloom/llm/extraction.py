@@ -1,15 +1,18 @@
 """Main text of web pages by a linear-chain conditional random field over DOM leaf blocks.
 
 A page is read into its leaf blocks in page order: runs of text between block-level tags, each with its open
-ancestors. Features of a block are its ancestors' tags, the words in their class, id and role attributes, and
-the shape of its text; the two labels are main text and everything else. The field is trained in numpy, by
+ancestors. Features of a block are its ancestors' tags, the words in their class, id and role attributes, the shape of
+its text, both together, and whether the page has an article that the block stands beside; the two labels are main
+text and everything else. The field is trained in numpy, by
 stochastic gradient ascent on the likelihood (forward-backward), on labelled pages that `training_pages`
 generates, and decoded by Viterbi.
 
 Defined cases: null or empty html gives an empty text. Comments, scripts, styles and the head are never
 text. Unclosed and stray tags are tolerated; an unclosed comment or script swallows the rest. Character references
 are decoded, white space inside a block becomes one space, blocks are joined by one newline. A `<br>` is white
-space. Very long pages are read whole. Repeated rows get equal results; other columns pass through.
+space. Pages are read whole, in time in proportion to their length however their tags nest; from the first tag on
+whose quotes never close, tags end at their first `>`. Repeated rows get equal results. An empty table gives an
+empty result. Other columns pass through; the result columns replace columns of the same name.
 """
 
 from __future__ import annotations
@@ -17,7 +20,8 @@ from __future__ import annotations
 import html
 import random
 import re
-from dataclasses import dataclass
+from collections.abc import Iterator
+from dataclasses import dataclass, field
 from functools import lru_cache
 
 import numpy as np
@@ -37,17 +41,32 @@ ENDS = {
     "option": ("option",), "tbody": ("thead", "tbody"), "tfoot": ("tbody",), "body": ("head",),
 }
 SCOPE = frozenset("ul ol dl table article section div main aside nav body html".split())
-TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?/][^>]*>""", re.S)
+NAME = re.compile(r"[a-zA-Z][^\s/>]*")
+PLAIN_RUN = re.compile(r"""[^"'>]*""")
 ATTRIBUTE = re.compile(r"""(?:^|\s)(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 WORD = re.compile(r"[a-z]+")
 STRIP_CAMEL = re.compile(r"([a-z])([A-Z])")
 
 
+@dataclass(eq=False)
+class Place:
+    """An open element with its ancestors. `fresh` are its features that no ancestor has."""
+
+    above: Place | None
+    fresh: tuple[str, ...]
+    #: Nearest tag, nearest element of STRUCTURE, and what kind of surroundings this is.
+    tag: str = "body"
+    inner: str = ""
+    around: str = "plain"
+    #: Whether an article, a main element or a container named like one is open.
+    within: frozenset = frozenset()
+    scores: dict = field(default_factory=dict)
+
+
 @dataclass(frozen=True)
 class Block:
     text: str
-    #: Open elements from the outside in: (tag, attribute words).
-    path: tuple
+    place: Place
     link_chars: int
 
 
@@ -77,19 +96,135 @@ def attribute_words(raw: str) -> tuple[str, ...]:
     return tuple(dict.fromkeys(out))
 
 
+class Stack:
+    """Open elements, with what is asked of them kept up to date, so that no question walks through them."""
+
+    def __init__(self):
+        self.names: list[str] = []
+        self.places = [Place(None, ())]
+        self.at: dict[str, list[int]] = {}
+        self.scopes: list[int] = []
+        self.hidden = 0
+        self.active: set[str] = set()
+
+    def open(self, name: str, words: tuple[str, ...]) -> None:
+        self.at.setdefault(name, []).append(len(self.names))
+        if name in SCOPE:
+            self.scopes.append(len(self.names))
+        self.hidden += name in HIDDEN or name == "head"
+        self.names.append(name)
+        here = self.places[-1]
+        self.places.append(self._place(here, name, words) if name in BLOCK or words else here)
+
+    def _place(self, here: Place, name: str, words: tuple[str, ...]) -> Place:
+        own = [f"word={w}" for w in words]
+        kinds = [SIDE_KIND[w] for w in words if w in SIDE_KIND]
+        own += [f"kind={k}" for k in kinds]
+        named = any(w in MAIN_SET for w in words)
+        if named:
+            own.append("main")
+        tag, inner, within = here.tag, here.inner, here.within
+        if name not in ("html", "body"):
+            tag = name
+            own.append(f"tag={name}")
+            if name in STRUCTURE:
+                inner = name
+                if not here.inner:
+                    own.append(f"outer={name}")
+            own += [f"{x}>{name}" for x in ("article", "main") if x in within and name in ("header", "footer", "aside", "nav", "form", "section", "div")]
+        within |= {x for x in ("article", "main") if name == x} | ({"named"} if named else set())
+        side = kinds or name in ("nav", "aside", "footer", "form")
+        around = "side" if side or here.around == "side" else "article" if within & {"article", "main"} else "named" if within else "plain"
+        if side:
+            own.append("side")
+        fresh = tuple(f for f in dict.fromkeys(own) if f not in self.active)
+        self.active.update(fresh)
+        return Place(here, fresh, tag, inner, around, within)
+
+    def cut(self, depth: int) -> None:
+        """Close all elements from depth on."""
+        while len(self.names) > depth:
+            name = self.names.pop()
+            self.at[name].pop()
+            if name in SCOPE:
+                self.scopes.pop()
+            self.hidden -= name in HIDDEN or name == "head"
+            last = self.places.pop()
+            if last is not self.places[-1]:
+                self.active.difference_update(last.fresh)
+
+    def close(self, name: str) -> None:
+        if self.at.get(name):
+            self.cut(self.at[name][-1])
+
+    def end(self, names: tuple[str, ...]) -> None:
+        """Close the innermost open element of these names, unless a scope stands inside it."""
+        inmost = max((self.at[n][-1] for n in names if self.at.get(n)), default=-1)
+        if inmost >= 0 and (not self.scopes or inmost >= self.scopes[-1]):
+            self.cut(inmost)
+
+    @property
+    def linked(self) -> bool:
+        return bool(self.at.get("a")) and self.at["a"][-1] >= len(self.names) - 6
+
+
+def tags(page: str) -> Iterator[tuple[int, int, str, bool, str]]:
+    """(start, end, name, closing, attributes) of each tag; name is empty for comments, declarations and the like."""
+    at, size, quoted = 0, len(page), True
+    last = page.rfind(">")
+    while (start := page.find("<", at)) >= 0:
+        if page.startswith("<!--", start):
+            end = page.find("-->", start + 4)
+            end = size if end < 0 else end + 3
+            yield start, end, "", False, ""
+            at = end
+            continue
+        if start > last:
+            return  # no tag ends any more
+        closing = page.startswith("/", start + 1)
+        name = NAME.match(page, start + 1 + closing)
+        if not name:
+            if start + 1 < size and page[start + 1] in "!?/":
+                at = page.find(">", start) + 1
+                yield start, at, "", False, ""
+            else:
+                at = start + 1
+            continue
+        end = name.end()
+        while quoted:
+            end = PLAIN_RUN.match(page, end).end()
+            if end < size and page[end] == ">":
+                break
+            end = page.find(page[end], end + 1) + 1 if end < size else 0
+            quoted = end > 0
+        if not quoted:
+            end = page.find(">", name.end())
+        yield start, end + 1, name[0].lower(), closing, page[name.end() : end]
+        at = end + 1
+
+
+def end_of(name: str, page: str, at: int) -> int:
+    """Where the closing tag of an element without visible text ends; the page's end if it has none."""
+    found = at
+    while (hit := re.compile(rf"</{name}", re.I).search(page, found)) is not None:
+        found = hit.end()
+        if not page[found : found + 1].isalnum():
+            end = page.find(">", found)
+            return end + 1 if end >= 0 else len(page)
+    return len(page)
+
+
 def leaf_blocks(page: str) -> list[Block]:
     """The page's leaf blocks with text, in page order."""
     out: list[Block] = []
-    stack: list[tuple[str, tuple[str, ...]]] = []
-    parts: list[str] = []
-    links = at = 0
+    stack, parts, links, at = Stack(), [], 0, 0
 
     def flush() -> None:
         nonlocal links
         if parts:
             text = " ".join("".join(parts).split())
-            if text and not any(t in HIDDEN or t == "head" for t, _ in stack):
-                out.append(Block(text, tuple(x for x in stack if x[0] in BLOCK or x[1]), links))
+            if text and not stack.hidden:
+                out.append(Block(text, stack.places[-1], links))
             parts.clear()
         links = 0
 
@@ -98,87 +233,89 @@ def leaf_blocks(page: str) -> list[Block]:
         if upto > at:
             piece = html.unescape(page[at:upto])
             parts.append(piece)
-            if any(t == "a" for t, _ in stack[-6:]):
+            if stack.linked:
                 links += len(piece.strip())
 
-    def close(names: tuple[str, ...]) -> None:
-        for i in range(len(stack) - 1, -1, -1):
-            if stack[i][0] in names:
-                del stack[i:]
-                return
-            if stack[i][0] in SCOPE:
-                return
-
-    pos = 0
-    while m := TAG.search(page, pos):
-        take(m.start())
-        at = pos = m.end()
-        name = (m[2] or m[5] or "").lower()
+    for start, end, name, closing, raw in tags(page):
+        if start < at:
+            continue  # inside an element without visible text
+        take(start)
+        at = end
         if not name:
             continue
         if name == "br":
             parts.append(" ")
             continue
-        closing = bool(m[1] or m[4])
         if name in BLOCK:
             flush()
         if closing:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == name:
-                    del stack[i:]
-                    break
+            stack.close(name)
             continue
-        raw = m[3] if m[2] else m[6]
-        if name in BLOCK and name not in ("label", "button", "option"):
-            close(("p",)) if name not in ENDS else None
+        if name in BLOCK and name not in ("label", "button", "option") and name not in ENDS:
+            stack.end(("p",))
         if name in ENDS:
-            close(ENDS[name])
+            stack.end(ENDS[name])
         if name in VOID or raw.endswith("/"):
             continue
         if name in HIDDEN:
-            end = re.compile(rf"</{name}\b[^>]*>", re.I).search(page, pos)
-            at = pos = end.end() if end else len(page)
+            at = end_of(name, page, end)
             continue
-        stack.append((name, attribute_words(raw) if raw else ()))
+        stack.open(name, attribute_words(raw) if raw else ())
     take(len(page))
     flush()
     return out
 
 
-def path_features(path: tuple) -> set[str]:
-    tags = [t for t, _ in path if t not in ("html", "body")]
-    out = {f"tag={t}" for t in tags} | {f"word={w}" for _, words in path for w in words}
-    out.add(f"parent={tags[-1] if tags else 'body'}")
-    frame = [t for t in tags if t in STRUCTURE]
-    if frame:
-        out |= {f"outer={frame[0]}", f"inner={frame[-1]}"}
-    kinds = [SIDE_KIND[w] for _, words in path for w in words if w in SIDE_KIND]
-    out |= {f"kind={k}" for k in kinds}
-    if kinds:
-        out.add("side")
-    if any(w in MAIN_SET for _, words in path for w in words):
-        out.add("main")
-    for outer in ("article", "main"):
-        if outer in tags:
-            out |= {f"{outer}>{t}" for t in tags[tags.index(outer) + 1 :] if t in ("header", "footer", "aside", "nav", "form", "section", "div")}
-    if not tags:
-        out.add("bare")
+def place_features(place: Place) -> list[str]:
+    """All features of a place, its ancestors' ones included."""
+    out, up = [], place
+    while up is not None:
+        out += up.fresh
+        up = up.above
+    return out + nearest_features(place)
+
+
+def nearest_features(place: Place) -> list[str]:
+    out = [f"parent={place.tag}", f"around={place.around}"]
+    if place.inner:
+        out.append(f"inner={place.inner}")
+    if place.tag == "body":
+        out.append("bare")
     return out
 
 
-def text_features(block: Block) -> list[str]:
+def shape(block: Block) -> tuple[str, ...]:
+    """Features of a block's text."""
     text = block.text
-    n = len(text)
     words = text.count(" ") + 1
-    out = [f"words={min(6, words.bit_length())}", f"links={min(4, 4 * block.link_chars // max(1, n))}"]
-    out.append("stop" if text[-1] in ".!?:;\"'”»…" else "nostop")
+    out = [f"words={min(6, words.bit_length())}", f"links={min(4, 4 * block.link_chars // max(1, len(text)))}", "stop" if text[-1] in ".!?:;\"'”»…" else "nostop"]
     if "©" in text or "all rights reserved" in text.lower():
         out.append("copyright")
     if words <= 2:
         out.append("tiny")
+    return tuple(out)
+
+
+def with_surroundings(own: tuple[str, ...], place: Place, page: frozenset, edge: str) -> list[str]:
+    """A text's features, alone and with its surroundings. page: what main containers the page has."""
+    out = [*own, *(f"{place.around}&{x}" for x in own), *(f"{place.tag}&{x}" for x in own[:2])]
+    out += [f"beside={x}" for x in page - place.within]
+    if edge:
+        out += [edge, f"{edge}&{own[0]}"]
     return out
 
 
+def described(blocks: list[Block]) -> Iterator[tuple[Block, tuple]]:
+    """Each block with what with_surroundings() asks for."""
+    page = frozenset(x for b in blocks for x in b.place.within)
+    for i, b in enumerate(blocks):
+        yield b, (shape(b), b.place, page, "first" if i == 0 else "last" if i == len(blocks) - 1 else "")
+
+
+def block_features(blocks: list[Block]) -> list[list[str]]:
+    return [[*place_features(b.place), *with_surroundings(*about)] for b, about in described(blocks)]
+
+
 @dataclass
 class Field:
     """Scores of label 1 (main text) over label 0 by feature; transition and start scores."""
@@ -186,28 +323,43 @@ class Field:
     weights: dict[str, float]
     step: np.ndarray
     start: np.ndarray
+    known: dict[tuple, float] = field(default_factory=dict)
+
+    def emissions(self, blocks: list[Block]) -> list[float]:
+        out = []
+        for b, (own, place, page, edge) in described(blocks):
+            # Few of these differ: shapes, tags and surroundings are small sets.
+            key = own, place.around, place.tag, place.within, page, edge
+            if key not in self.known:
+                if len(self.known) > 100_000:
+                    self.known.clear()
+                self.known[key] = sum(self.weights.get(f, 0.0) for f in with_surroundings(own, place, page, edge))
+            out.append(self.place_score(place) + self.known[key])
+        return out
 
-    def __post_init__(self):
-        self._path: dict[tuple, float] = {}
-
-    def emission(self, block: Block) -> float:
-        known = self._path.get(block.path)
-        w = self.weights
-        if known is None:
-            if len(self._path) > 50_000:
-                self._path.clear()
-            known = self._path[block.path] = sum(w.get(f, 0.0) for f in path_features(block.path))
-        return known + sum(w.get(f, 0.0) for f in text_features(block))
+    def place_score(self, place: Place) -> float:
+        """Summed weights of a place's features; places share the sums of their ancestors."""
+        chain, up = [], place
+        while up is not None and "sum" not in up.scores:
+            chain.append(up)
+            up = up.above
+        total = up.scores["sum"] if up is not None else 0.0
+        for p in reversed(chain):
+            total += sum(self.weights.get(f, 0.0) for f in p.fresh)
+            p.scores["sum"] = total
+        if "all" not in place.scores:
+            place.scores["all"] = place.scores["sum"] + sum(self.weights.get(f, 0.0) for f in nearest_features(place))
+        return place.scores["all"]
 
     def decode(self, blocks: list[Block]) -> list[int]:
         """Viterbi."""
         if not blocks:
             return []
         (t00, t01), (t10, t11) = self.step.tolist()
-        s0, s1 = self.start[0], self.start[1] + self.emission(blocks[0])
+        scores = self.emissions(blocks)
+        s0, s1 = self.start[0], self.start[1] + scores[0]
         back = []
-        for b in blocks[1:]:
-            e = self.emission(b)
+        for e in scores[1:]:
             from0, from1 = s0 + t00 < s1 + t10, s0 + t01 < s1 + t11
             back.append((from0, from1))
             s0, s1 = max(s0 + t00, s1 + t10), max(s0 + t01, s1 + t11) + e
@@ -238,9 +390,10 @@ def _posterior(e: np.ndarray, step: np.ndarray, start: np.ndarray) -> tuple[np.n
 
 
 def train(pages: list[tuple[list[Block], list[int]]], epochs: int = 4, rate: float = 0.3, decay: float = 1e-4, seed: int = 5) -> Field:
-    names = sorted({f for blocks, _ in pages for b in blocks for f in (*path_features(b.path), *text_features(b))})
+    features = [block_features(blocks) for blocks, _ in pages]
+    names = sorted({f for page in features for x in page for f in x})
     number = {f: i for i, f in enumerate(names)}
-    bags = [[np.array([number[f] for f in (*path_features(b.path), *text_features(b))]) for b in blocks] for blocks, _ in pages]
+    bags = [[np.array([number[f] for f in x]) for x in page] for page in features]
     w, step, start = np.zeros(len(names)), np.zeros((2, 2)), np.zeros(2)
     rng = np.random.default_rng(seed)
     done, total = 0, epochs * len(pages)
@@ -295,6 +448,21 @@ class PageMaker:
             value += " " + r.choice(self.vocabulary)
         return f' {r.choice(["class", "class", "id"])}="{value}"'
 
+    def bare_side(self) -> list[tuple[str, int | None]]:
+        """What is not main text, in elements that don't say so: none, or a made-up name."""
+        r = self.r
+        named = f' class="{r.choice(self.vocabulary)}{r.choice(self.vocabulary)}"' if r.random() < 0.5 else ""
+        kind = r.choice(["links", "links", "copyright", "remarks"])
+        if kind == "links":
+            tag, item = r.choice([("ul", "li"), ("div", "span"), ("div", "div"), ("p", "span"), ("div", "")])
+            if not item:  # one block of several links
+                links = r.choice(["<br>", " | ", " "]).join(f"<a href='/x'>{self.prose(1, 2)}</a>" for _ in range(r.randint(2, 8)))
+                return [(f"<div{named}>" if r.random() < 0.5 else "", None), (links, 0), ("</div>", None)]
+            return [(f"<{tag}{named}>", None), *[x for _ in range(r.randint(2, 8)) for x in ((f"<{item}><a href='/x'>", None), (self.prose(1, 3), 0), (f"</a></{item}>", None))], (f"</{tag}>", None)]
+        if kind == "copyright":
+            return [(f"<div{named}>", None), ((r.choice(["&copy; ", "Copyright &copy; ", "2024 "]) if r.random() < 0.9 else "") + self.prose(1, 8) + (" All rights reserved." if r.random() < 0.5 else ""), 0), ("</div>", None)]
+        return [(f"<div{named}>", None), *[x for _ in range(r.randint(1, 4)) for x in (("<div><b>", None), (self.prose(1, 2), 0), ("</b><p>", None), (self.prose(3, 40), 0), ("</p></div>", None))], ("</div>", None)]
+
     def side(self, kind: str, inner: bool) -> list[tuple[str, int | None]]:
         """Pieces (markup, None) and (text, label)."""
         r = self.r
@@ -347,7 +515,16 @@ class PageMaker:
             out += [("<header><h1>" if wrapped else "<h1>", None), (self.prose(1, 12), 1), ("</h1></header>" if wrapped else "</h1>", None)]
         for _ in range(r.randint(1, 14)):
             roll = r.random()
-            if roll < 0.62:
+            if roll < 0.05:
+                link = f"<a href='/{r.choice(self.vocabulary)}'>"
+                out += r.choice(
+                    [
+                        [(f"<p>{link}", None), (self.prose(2, 9), 1), ("</a></p>", None)],
+                        [("<p>", None), (f"{self.prose(2, 9)} {link}{self.prose(1, 6)}</a> {self.prose(1, 9)}", 1), ("</p>", None)],
+                        [("<ul>", None), *[x for _ in range(r.randint(1, 4)) for x in ((f"<li>{link}", None), (self.prose(1, 8), 1), ("</a></li>", None))], ("</ul>", None)],
+                    ]
+                )
+            elif roll < 0.62:
                 bold = r.random() < 0.15
                 out += [("<p><b>" if bold else "<p>", None), (self.prose(1, 3) if r.random() < 0.15 else self.prose(4, 90), 1), ("<br>" if bold else "</p>", None)]
             elif roll < 0.70:
@@ -376,10 +553,11 @@ class PageMaker:
     def page(self) -> list[tuple[str, int | None]]:
         r = self.r
         out: list[tuple[str, int | None]] = [("<!DOCTYPE html><html><head><title>x</title><style>p{}</style></head><body>", None)]
-        for kind, share in (("notice", 0.25), ("header", 0.45), ("menu", 0.75), ("ad", 0.5), ("form", 0.15), ("sidebar", 0.2)):
+        alone = r.random() < 0.15  # a fragment: main text and nothing else
+        for kind, share in () if alone else (("notice", 0.25), ("header", 0.45), ("menu", 0.75), ("ad", 0.5), ("form", 0.15), ("sidebar", 0.2)):
             if r.random() < share:
                 out += self.side(kind, False)
-        shell = r.random()
+        shell = r.uniform(0.6, 1.2) if alone else r.uniform(0, 1.06)
         if shell < 0.45:
             opened, closed = "<article>", "</article>"
         elif shell < 0.6:
@@ -390,16 +568,28 @@ class PageMaker:
             tag = r.choice(["div", "div", "section"])
             opened, closed = f"<{tag}{self.attributes(MAIN_WORDS)}>", f"</{tag}>"
         else:
-            opened, closed = "<div>", "</div>"
+            opened, closed = r.choice([("<div>", "</div>"), ("<div>", "</div>"), ("", ""), (f'<div class="{r.choice(self.vocabulary)}{r.choice(self.vocabulary)}">', "</div>")])
+        cells = shell >= 0.6 and r.random() < 0.15
+        if cells:  # a table that lays the page out, with its menu in a cell
+            out.append((f"<table{self.attributes('layout page wrap grid')}><tr><td>", None))
+            out += self.bare_side()
+            out.append(("</td>", None))
+            opened, closed = r.choice([(f"<td{self.attributes(MAIN_WORDS)}>", "</td></tr></table>"), ("<td>", "</td></tr></table>")])
+        elif not alone and r.random() < 0.25:
+            out += self.bare_side()
         out.append((opened, None))
         out += self.main()
-        if r.random() < 0.12:
+        if not alone and r.random() < 0.12:
             out += self.side("comment", True)
-        if r.random() < 0.9:
+        if cells or r.random() < 0.9:
             out.append((closed, None))
+        if alone:
+            return out
         for kind, share in (("share", 0.2), ("comment", 0.3), ("sidebar", 0.35), ("ad", 0.25), ("footer", 0.8), ("notice", 0.15)):
             if r.random() < share:
                 out += self.side(kind, False)
+            if r.random() < 0.08:
+                out += self.bare_side()
         return out
 
 
@@ -413,7 +603,7 @@ def training_pages(n: int, seed: int = 1) -> list[tuple[list[Block], list[int],
         for b in leaf_blocks(marked):
             found = {MARKS.index(c) for c in b.text if c in MARKS}
             if found:
-                blocks.append(Block(b.text.translate(dict.fromkeys(map(ord, MARKS))), b.path, b.link_chars))
+                blocks.append(Block(b.text.translate(dict.fromkeys(map(ord, MARKS))), b.place, b.link_chars))
                 labels.append(max(found))
         keep = [i for i, b in enumerate(blocks) if b.text]
         out.append(([blocks[i] for i in keep], [labels[i] for i in keep], "".join(t for t, _ in pieces)))

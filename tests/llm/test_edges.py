@@ -369,7 +369,7 @@ def test_extraction_on_held_out_pages():
 def test_viterbi_is_exact(scores, seed):
     rng = np.random.default_rng(seed)
     field = extraction.Field({}, rng.normal(size=(2, 2)), rng.normal(size=2))
-    field.emission = lambda b: b
+    field.emissions = lambda blocks: blocks
     n = len(scores)
 
     def value(y):
