@@ -170,14 +170,13 @@ def tunnel(decoded: DataFrame) -> DataFrame:
 
 def through_tunnels(frames: DataFrame, depth: int = 4) -> DataFrame:
     """Each frame decoded at its innermost packet, at most `depth` tunnels deep; outer_ips: the (source, destination) pairs
-    of the packets around it, outermost first. What tunnels carry is written out at every level: it is few frames, and
-    no level's work is done twice."""
+    of the packets around it, outermost first. Every level is written out once, so that no level's work is done twice."""
     from packetloom.plans.tables import settle
 
     names, out = frames.columns, None
     level = frames.withColumn("outer_ips", F.array().cast("array<struct<src:string,dst:string>>"))
     for _ in range(depth):
-        rows = tunnel(decode(level))
+        rows = settle(tunnel(decode(level)), "level")
         plain = rows.where("inner_at IS NULL").drop("inner_at", "inner_link")
         out = plain if out is None else out.unionByName(plain)
         inner = F.substring("bytes", F.col("inner_at") + 1, F.greatest(F.col("ip_end") - F.col("inner_at"), F.lit(0)).cast("int"))
