@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from packetloom.llm import ann, chat, extraction, jaccard, langid, licenses, packing, pieces, quality, sharding
+from packetloom.llm import ann, audit, chat, extraction, jaccard, langid, licenses, packing, pieces, quality, sharding
 from packetloom.llm.common import read_table
 
 
@@ -81,6 +81,10 @@ def op10_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extraction.extract(read_table(spark, sf_dir, "pages").select("page_id", "url", "html"))
 
 
+def op11_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.audit(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
 OP9_SQL = r"""
 WITH d AS (
   SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
@@ -192,6 +196,38 @@ SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, least(d.doc_id, coalesce(m.leas
 FROM d LEFT JOIN n ON d.doc_id = n.doc_id LEFT JOIN (SELECT a, min(b) AS least_id FROM r GROUP BY a) m ON d.doc_id = m.a
 """
 
+OP11_SQL = r"""
+WITH RECURSIVE f(filter, bit) AS (VALUES ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)),
+o(filter_order, used, step, filter, before) AS (
+  SELECT '', 0, 0, '', 0
+  UNION ALL
+  SELECT o.filter_order || f.filter, o.used + f.bit, o.step + 1, f.filter, o.used FROM o JOIN f ON o.used & f.bit = 0
+), s AS (
+  SELECT w.filter_order, x.step, x.filter, f.bit, x.before FROM o w JOIN o x ON x.step > 0 AND w.step = 5 AND x.filter_order = left(w.filter_order, x.step) JOIN f ON x.filter = f.filter
+), l AS (
+  SELECT doc_id, coalesce(max(CAST(quality = 1 AS INT)), 0) AS good, coalesce(max(CAST(toxic = 1 AS INT)), 0) AS toxic FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id
+), d AS (
+  SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w, min(doc_id) OVER (PARTITION BY coalesce(text, '')) AS first_id FROM documents
+), m AS (
+  SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic,
+    CASE WHEN len(w) < 50 THEN 1 ELSE 0 END + CASE WHEN 100 * len(list_distinct(w)) < 65 * len(w) THEN 2 ELSE 0 END
+    + CASE WHEN 100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 5 * length(text) THEN 4 ELSE 0 END
+    + CASE WHEN regexp_matches(text, '[#$%&*|]') THEN 8 ELSE 0 END + CASE WHEN first_id < d.doc_id THEN 16 ELSE 0 END AS mask
+  FROM d LEFT JOIN l ON d.doc_id = l.doc_id
+), c AS (SELECT part, mask, good, toxic, count(*) AS n FROM m GROUP BY ALL),
+r AS (
+  SELECT part, filter_order, step, filter,
+    sum(n) FILTER (WHERE mask & (before + bit) = 0) AS kept, sum(n) FILTER (WHERE mask & bit > 0 AND mask & before = 0) AS removed,
+    sum(n) FILTER (WHERE mask & bit > 0 AND mask & before > 0) AS redundant, sum(n) FILTER (WHERE mask = bit) AS unique_fails,
+    sum(n) FILTER (WHERE mask & bit > 0 AND mask & before = 0 AND good = 1) AS good_lost, sum(n) FILTER (WHERE mask & bit > 0 AND mask & before = 0 AND toxic = 1) AS toxic_lost
+  FROM c CROSS JOIN s GROUP BY ALL
+)
+SELECT part, filter_order, CAST(step AS INT) AS step, filter, CAST(coalesce(kept, 0) AS BIGINT) AS kept, CAST(coalesce(removed, 0) AS BIGINT) AS removed,
+  CAST(coalesce(redundant, 0) AS BIGINT) AS redundant, CAST(coalesce(unique_fails, 0) AS BIGINT) AS unique_fails, CAST(coalesce(good_lost, 0) AS BIGINT) AS good_lost,
+  CAST(coalesce(toxic_lost, 0) AS BIGINT) AS toxic_lost, CAST(coalesce(sum(removed) OVER (PARTITION BY part, filter), 0) AS BIGINT) AS shapley
+FROM r
+"""
+
 QUERIES = {
     "op1_neighbours": op1_neighbours,
     "op2_language": op2_language,
@@ -203,5 +239,6 @@ QUERIES = {
     "op8_packing": op8_packing,
     "op9_quality": op9_quality,
     "op10_extraction": op10_extraction,
+    "op11_audit": op11_audit,
 }
-ORACLES = {"op3_chat": OP3_SQL, "op4_licenses": op4_sql(), "op5_jaccard_join": OP5_SQL, "op9_quality": OP9_SQL}
+ORACLES = {"op3_chat": OP3_SQL, "op4_licenses": op4_sql(), "op5_jaccard_join": OP5_SQL, "op9_quality": OP9_SQL, "op11_audit": OP11_SQL}
