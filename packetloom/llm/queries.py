@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from packetloom.llm import ann, audit, chat, extraction, jaccard, langid, licenses, packing, pieces, quality, sharding
+from packetloom.llm import ann, audit, chat, extraction, jaccard, langid, licenses, packing, pieces, quality, sharding, whitening
 from packetloom.llm.common import read_table
 
 
@@ -85,6 +85,10 @@ def op11_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.audit(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened(read_table(spark, sf_dir, "embeddings").select("vec_id", "embedding")).drop("deviation_text")
+
+
 OP9_SQL = r"""
 WITH d AS (
   SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
@@ -240,5 +244,6 @@ QUERIES = {
     "op9_quality": op9_quality,
     "op10_extraction": op10_extraction,
     "op11_audit": op11_audit,
+    "op12_whitening": op12_whitening,
 }
 ORACLES = {"op3_chat": OP3_SQL, "op4_licenses": op4_sql(), "op5_jaccard_join": OP5_SQL, "op9_quality": OP9_SQL, "op11_audit": OP11_SQL}
