@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from packetloom.llm import ann, audit, chat, extraction, jaccard, langid, licenses, packing, pieces, quality, sharding, whitening
+from packetloom.llm import ann, audit, chat, extraction, jaccard, langid, licenses, packing, pieces, quality, sharding, toxicity, whitening
 from packetloom.llm.common import read_table
 
 
@@ -89,6 +89,13 @@ def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whitened(read_table(spark, sf_dir, "embeddings").select("vec_id", "embedding")).drop("deviation_text")
 
 
+def op13_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    model = toxicity.fit(docs.where(~held), read_table(spark, sf_dir, "labels").where(~held).select("doc_id", "toxic"))
+    return toxicity.score(docs, model).select("doc_id", F.coalesce(held, F.lit(False)).alias("held_out"), "score", "predicted")
+
+
 OP9_SQL = r"""
 WITH d AS (
   SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
@@ -245,5 +252,6 @@ QUERIES = {
     "op10_extraction": op10_extraction,
     "op11_audit": op11_audit,
     "op12_whitening": op12_whitening,
+    "op13_toxicity": op13_toxicity,
 }
 ORACLES = {"op3_chat": OP3_SQL, "op4_licenses": op4_sql(), "op5_jaccard_join": OP5_SQL, "op9_quality": OP9_SQL, "op11_audit": OP11_SQL}
