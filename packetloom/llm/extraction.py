@@ -8,7 +8,7 @@ stochastic gradient ascent on the likelihood (forward-backward), on labelled pag
 generates, and decoded by Viterbi.
 
 Defined cases: null or empty html gives an empty text. Comments, scripts, styles and the head are never
-text. Unclosed and stray tags are tolerated; an unclosed comment or script swallows the rest. Character references
+text. Unclosed and stray tags are tolerated; an unclosed comment outside scripts and styles, or an unclosed script, swallows the rest. Character references
 are decoded, white space inside a block becomes one space, blocks are joined by one newline. A `<br>` is white
 space. Pages are read whole, in time in proportion to their length however their tags nest; from the first tag on
 whose quotes never close, tags end at their first `>`. Repeated rows get equal results. An empty table gives an
@@ -169,7 +169,9 @@ class Stack:
 
 
 def tags(page: str) -> Iterator[tuple[int, int, str, bool, str]]:
-    """(start, end, name, closing, attributes) of each tag; name is empty for comments, declarations and the like."""
+    """(start, end, name, closing, attributes) of each tag; name is empty for comments, declarations and the like. An
+    element without visible text is one item, which ends behind its closing tag: nothing inside it is read as a tag, a
+    comment or a quote."""
     at, size, quoted = 0, len(page), True
     last = page.rfind(">")
     while (start := page.find("<", at)) >= 0:
@@ -199,8 +201,10 @@ def tags(page: str) -> Iterator[tuple[int, int, str, bool, str]]:
             quoted = end > 0
         if not quoted:
             end = page.find(">", name.end())
-        yield start, end + 1, name[0].lower(), closing, page[name.end() : end]
-        at = end + 1
+        lowered, raw, at = name[0].lower(), page[name.end() : end], end + 1
+        if lowered in HIDDEN and lowered not in VOID and not closing and not raw.endswith("/"):
+            at = end_of(lowered, page, at)
+        yield start, at, lowered, closing, raw
 
 
 def end_of(name: str, page: str, at: int) -> int:
@@ -237,8 +241,6 @@ def leaf_blocks(page: str) -> list[Block]:
                 links += len(piece.strip())
 
     for start, end, name, closing, raw in tags(page):
-        if start < at:
-            continue  # inside an element without visible text
         take(start)
         at = end
         if not name:
@@ -258,7 +260,6 @@ def leaf_blocks(page: str) -> list[Block]:
         if name in VOID or raw.endswith("/"):
             continue
         if name in HIDDEN:
-            at = end_of(name, page, end)
             continue
         stack.open(name, attribute_words(raw) if raw else ())
     take(len(page))

@@ -95,3 +95,13 @@ def test_against_a_plain_walk_of_all_paths():
                 again |= {f for f in up.fresh if re.match("(tag|word|kind)=", f)}
                 up = up.above
             assert words == again
+
+
+SCRIPTS = ['<script>var t="<!--";</script>', "<style><!-- p{} </style>", "<script>if(a<b){x='<p'}</script>", '<script>it"s</script>', '<textarea><!-- "</textarea>', '<title>"</title>', '<SCRIPT>"</scr"+"ipt></SCRIPTER>"</SCRIPT>', "<template><article></template>"]
+
+
+@pytest.mark.parametrize("hidden", SCRIPTS)
+def test_nothing_inside_scripts_is_a_tag(hidden):
+    page = f'<html><head>{hidden}</head><body><p>One "two" three.</p>{hidden}<article><h1>Head</h1><p>Some <b>words</b>.</p></article></body></html>'
+    assert [b.text for b in extraction.leaf_blocks(page)] == ['One "two" three.', "Head", "Some words."]
+    assert [b.text for b in extraction.leaf_blocks(f"<p>One.</p>{hidden.split('</')[0]}<p>Two.</p>")] == ["One."]
