@@ -10,15 +10,17 @@ of the `tokenizers` library (tests hold them together) at about four times its s
 special token inside a text is that token; `special_as_text` makes it ordinary text.
 
 Defined cases: a null text counts as empty, and an empty text is its end token alone. Repeated rows are packed
-each for itself. An empty table gives no pieces. Very long texts simply span many sequences. Extra columns are not
+each for itself. An empty table gives no pieces. Very long texts span many sequences, very long runs of white
+space included, which the library tokenizes. Extra columns are not
 read, whatever their names.
 """
 
 from __future__ import annotations
 
 import json
+import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache, partial
 
 import numpy as np
@@ -35,6 +37,8 @@ from packetloom.llm.common import bounded_batches, materialize, small
 _PLAIN = [*range(33, 127), *range(161, 173), *range(174, 256)]
 #: Fixed value: the pre-tokenization pattern of this vocabulary.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: White space that the faster engine isn't given.
+LONG_SPACE = re.compile(r"\s{10000}")
 
 
 @lru_cache(maxsize=2)
@@ -51,6 +55,33 @@ def byte_bpe(path: str):
     return tiktoken.Encoding("byte_bpe", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=special)
 
 
+@lru_cache(maxsize=2)
+def library_bpe(path: str, special_as_text: bool):
+    """The same tokenizer.json in the `tokenizers` library; one per worker process."""
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(path)
+    tokenizer.encode_special_tokens = special_as_text
+    return tokenizer
+
+
+def encoder(path: str, special_as_text: bool = False) -> Callable[[str], list[int]]:
+    """A function from a text to its ids. The faster engine's pattern steps back over a run of white space and fails on
+    very long ones: texts with such a run, and any other that it refuses, go to the library."""
+    fast = byte_bpe(path)
+    fast = fast.encode_ordinary if special_as_text else partial(fast.encode, allowed_special="all")
+
+    def encode(text: str) -> list[int]:
+        if not LONG_SPACE.search(text):
+            try:
+                return fast(text)
+            except ValueError:
+                pass
+        return library_bpe(path, special_as_text).encode(text, add_special_tokens=False).ids
+
+    return encode
+
+
 def tokenize(df: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 1, special_as_text: bool = False) -> DataFrame:
     """One row per document: its ids (little-endian uint32), their number, the partition and the place in it."""
     key = df.schema[id_col].dataType
@@ -59,8 +90,7 @@ def tokenize(df: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_co
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoding = byte_bpe(tokenizer_path)
-        encode = encoding.encode_ordinary if special_as_text else partial(encoding.encode, allowed_special="all")
+        encode = encoder(tokenizer_path, special_as_text)
         part, start = TaskContext.get().partitionId(), 0
         for batch in batches:
             for low in range(0, batch.num_rows, 256):

@@ -421,3 +421,11 @@ def test_neighbours_of_small_tight_clusters(spark):
     df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
     got = ann.nearest(df, F.col("vec_id") % 5 == 0, params=ann.AnnParams(leaf_sample=26, target_recall=0.5)).groupBy("query_id").count().collect()
     assert len(got) == 202 and {r["count"] for r in got} == {20}
+
+
+@pytest.mark.parametrize("text", [" " * 2_000_000 + "x", "\n" * 2_000_000, "\t \n" * 100_000 + "a b", "a" + " " * 9_999 + "b", "<s>" + "　" * 20_000 + "</s>"])
+@pytest.mark.parametrize("special_as_text", [False, True])
+def test_packing_of_long_white_space(text, special_as_text):
+    path = tokenizer_path("byte_bpe_50k.json")
+    library = packing.library_bpe(path, special_as_text)
+    assert packing.encoder(path, special_as_text)(text) == library.encode(text, add_special_tokens=False).ids
