@@ -5,12 +5,13 @@ partitioned by tuple and sorted within partitions; `streaming.live` runs the sam
 
 Sequence numbers are unwrapped on arrival: a direction counts on an unbounded line, and a 32-bit number stands for
 the place on that line nearest to the one expected (RFC 9293, serial numbers of RFC 1982). Everything else is
-then comparison of plain integers. What can be said of a segment is a table of named conditions over it and what
-both sides said last (`OBSERVATIONS`); the lifecycle keeps facts and derives phase and handshake from them.
+then comparison of plain integers. Acknowledgements and windows are judged against the segments by which either
+direction last spoke (RFC 9293, 5681 and 7323); the lifecycle keeps facts and derives phase and handshake from them.
 """
 
 from __future__ import annotations
 
+import json
 from bisect import insort
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -112,141 +113,104 @@ class SequenceTracker:
 
 
 @dataclass
-class Side:
-    """What one side has sent and last said."""
-
-    #: End of what it sent, probes aside.
-    sent: int | None = None
-    acked: int | None = None
-    window: int | None = None
-    #: Acknowledgements that said again what the one before said, and whether a retransmission followed them.
-    repeats: int = 0
-    served: bool = False
-    #: Sequence number of a probe, and whether a keep-alive, stands unanswered.
-    probe: int | None = None
-    alive: bool = False
-    #: Whether its SYN was seen, the shift that one offered, and whether `window` stood in it (unscaled).
-    opened: bool = False
-    shift: int | None = None
-    raw: bool = False
-
-    def limit(self, peer: Side) -> int | None:
-        """First sequence number that its window does not cover; known only where both SYNs were seen."""
-        if not self.opened or not peer.opened or self.acked is None or self.window is None:
-            return None
-        scale = 0 if self.raw or self.shift is None or peer.shift is None else min(self.shift, MAX_SHIFT)
-        return (self.acked + (self.window << scale)) % SPACE
-
-
-class Look:
-    """A segment against what both sides said before it: the conditions that observations are made of."""
-
-    def __init__(self, s: Segment, me: Side, peer: Side, disposition: str):
-        self.s, self.me, self.peer = s, me, peer
-        self.kept_alive, self.resent = disposition == "keepAlive", disposition == "duplicate"
-        self.in_place = me.sent == s.seq
-        self.bare = s.steady and s.payload == 0
-        self.data = s.payload > 0 and not s.flags & SYN
-        # How far the acknowledgement goes beyond the peer's probe, and beyond this side's last one.
-        self.past_probe = (s.ack - peer.probe) % SPACE if s.acks and peer.probe is not None else None
-        self.past_own = (s.ack - me.acked) % SPACE if s.acks and me.acked is not None else None
-        self.was_shut = me.window == 0
-
-    @cached_property
-    def probe(self) -> bool:
-        return self.s.steady and self.s.payload == 1 and self.peer.window == 0 and self.in_place
-
-    @cached_property
-    def fills_window(self) -> bool:
-        return self.s.steady and self.s.payload > 0 and not self.probe and self.peer.limit(self.me) == self.s.end
-
-    @cached_property
-    def answers_probe(self) -> bool:
-        return self.bare and self.s.window == 0 and self.was_shut and self.in_place and self.past_probe in (0, 1) and self.past_own in (0, 1)
-
-    @cached_property
-    def reopens(self) -> bool:
-        """Takes a probe's byte and opens the window at once."""
-        return self.bare and self.s.window > 0 and self.was_shut and self.in_place and self.past_probe == 1 and self.past_own == 1
-
-    @cached_property
-    def updates_window(self) -> bool:
-        return self.reopens or (self.bare and self.s.window not in (0, self.me.window) and self.in_place and self.past_own == 0)
-
-    @cached_property
-    def peer_sent(self) -> int | None:
-        """End of what the peer sent: the byte of a probe counts once it is taken."""
-        return self.s.ack if self.reopens or (self.answers_probe and self.past_probe == 1) else self.peer.sent
-
-    @cached_property
-    def beyond_seen(self) -> bool:
-        return self.s.acks and self.peer_sent is not None and offset(self.s.ack, self.peer_sent) > 0
-
-    @cached_property
-    def answers_alive(self) -> bool:
-        return self.peer.alive and self.s.acks and self.peer_sent == self.s.ack
+class Voice:
+    """One direction so far: where its data ends, and the segments by which it last said what now holds."""
+
+    #: Number after the last one sent; the byte of a probe counts once it is acknowledged.
+    edge: int | None = None
+    syn: Segment | None = None
+    #: The last segment but resets, and the last one that acknowledged.
+    last: Segment | None = None
+    confirming: Segment | None = None
+    #: What the last segment wants answered: a probe, a keep-alive, or nothing.
+    waiting: str | None = None
+    #: Repeats of the last acknowledgement, and whether the segment that they ask for was sent again.
+    echoes: int = 0
+    mended: bool = False
 
-    @cached_property
-    def says_again(self) -> bool:
-        same = self.past_own == 0 and self.me.window == self.s.window != 0
-        return self.bare and same and self.in_place and not (self.kept_alive or self.answers_alive or self.answers_probe)
-
-    @cached_property
-    def fast(self) -> bool:
-        return self.data and not self.probe and self.peer.repeats >= 2 and not self.peer.served and self.peer.acked == self.s.seq
-
-    @cached_property
-    def needless(self) -> bool:
-        """Sent again though all of it was acknowledged."""
-        return self.data and not self.probe and self.resent and self.peer.acked is not None and offset(self.s.end, self.peer.acked) <= 0
+    @property
+    def acked(self) -> int | None:
+        return self.confirming.ack if self.confirming else None
 
+    @property
+    def shut(self) -> bool:
+        return self.last is not None and self.last.window == 0
 
-OBSERVATIONS = {
-    "zeroWindowProbe": lambda x: x.probe,
-    "windowFull": lambda x: x.fills_window,
-    "zeroWindow": lambda x: x.s.steady and x.s.window == 0,
-    "zeroWindowProbeAcknowledgement": lambda x: x.answers_probe,
-    "fastRetransmission": lambda x: x.fast,
-    "spuriousRetransmission": lambda x: x.needless,
-    "windowUpdate": lambda x: x.updates_window,
-    "ackedUnseenSegment": lambda x: x.beyond_seen,
-    "duplicateAcknowledgement": lambda x: x.says_again,
-}
+    def permits(self, peer: Voice) -> int | None:
+        """The first number that the peer may not send yet. A window is scaled where both SYNs offered it and it does not
+        stand in a SYN itself (RFC 7323, 2.2); without both SYNs nobody knows."""
+        if self.syn is None or peer.syn is None or self.confirming is None:
+            return None
+        scaled = not self.last.flags & SYN and self.syn.shift is not None and peer.syn.shift is not None
+        return (self.confirming.ack + (self.last.window << (min(self.syn.shift, MAX_SHIFT) if scaled else 0))) % SPACE
 
 
 class FlowControl:
-    """Acknowledgement and window observations."""
+    """What a segment shows of acknowledgements and windows: first its data is held against what the peer allowed and
+    confirmed, then its acknowledgement against what the peer sent and what this side said before."""
 
     def __init__(self):
-        self.sides = (Side(), Side())
+        self.voices = (Voice(), Voice())
 
     def ingest(self, s: Segment, disposition: str) -> list[str]:
-        me, peer = self.sides[s.way], self.sides[1 - s.way]
+        me, peer = self.voices[s.way], self.voices[1 - s.way]
         if s.flags & SYN:
-            me.opened, me.shift = True, s.shift
+            me.syn = s
         if s.flags & RST:
             return []
-        look = Look(s, me, peer, disposition)
-        found = [kind for kind, holds in OBSERVATIONS.items() if holds(look)]
-        peer.sent = look.peer_sent
-        peer.served |= look.fast
-        peer.alive &= not look.answers_alive
-        self._say(s, me, look)
+        probes = s.steady and s.payload == 1 and peer.shut and me.edge == s.seq  # RFC 9293, 3.8.6.1
+        found = ["zeroWindowProbe"] if probes else self._data(s, me, peer, disposition) if s.payload and not s.flags & SYN else []
+        if s.steady and s.window == 0:
+            found.append("zeroWindow")
+        if s.acks:
+            found += self._acknowledgement(s, me, peer)
+            me.confirming = s
+        if s.size and not probes and (me.edge is None or offset(s.end, me.edge) > 0):
+            me.edge = s.end
+        me.last, me.waiting = s, "probe" if probes else "keepAlive" if disposition == "keepAlive" else None
         return found
 
     @staticmethod
-    def _say(s: Segment, me: Side, look: Look) -> None:
-        """What this side now has sent and said."""
-        if look.says_again:
-            me.repeats += 1
-        elif s.acks and me.acked != s.ack:
-            me.repeats, me.served = 0, False
-        if s.acks:
-            me.acked = s.ack
-        me.window, me.raw = s.window, bool(s.flags & SYN)
-        if s.size and not look.probe and (me.sent is None or offset(s.end, me.sent) > 0):
-            me.sent = s.end
-        me.probe, me.alive = (s.seq, False) if look.probe else (None, look.kept_alive)
+    def _data(s: Segment, me: Voice, peer: Voice, disposition: str) -> list[str]:
+        found = []
+        if s.steady and peer.permits(me) == s.end:
+            found.append("windowFull")
+        if peer.acked is not None:
+            if peer.acked == s.seq and peer.echoes >= 2 and not peer.mended:  # RFC 5681, 3.2
+                peer.mended = True
+                found.append("fastRetransmission")
+            if disposition == "duplicate" and offset(s.end, peer.acked) <= 0:
+                found.append("spuriousRetransmission")
+        return found
+
+    @staticmethod
+    def _acknowledgement(s: Segment, me: Voice, peer: Voice) -> list[str]:
+        """Also moves the peer's edge over a probe's byte that is taken, and closes its keep-alive."""
+        found = []
+        step = None if me.confirming is None else (s.ack - me.acked) % SPACE
+        alone = s.steady and s.payload == 0 and me.edge == s.seq
+        reopens = False
+        if alone and peer.waiting == "probe" and me.shut and step in (0, 1):
+            takes = (s.ack - peer.last.seq) % SPACE
+            reopens = s.window > 0 and takes == step == 1
+            answers = s.window == 0 and takes in (0, 1)
+            if answers:
+                found.append("zeroWindowProbeAcknowledgement")
+            if takes == 1 and (answers or reopens):
+                peer.edge = s.ack
+        if peer.edge is not None and offset(s.ack, peer.edge) > 0:
+            found.append("ackedUnseenSegment")
+        kept_alive = peer.waiting == "keepAlive" and peer.edge == s.ack
+        if kept_alive:
+            peer.waiting = None
+        if reopens or (alone and step == 0 and s.window not in (0, me.last.window)):
+            found.append("windowUpdate")
+        if step:
+            me.echoes, me.mended = 0, False
+        elif step == 0 and alone and not kept_alive and s.window == me.last.window != 0:
+            me.echoes += 1
+            found.append("duplicateAcknowledgement")
+        return found
 
 
 #: Sequence dispositions that are events of their own.
@@ -334,6 +298,36 @@ class TupleState:
         return self.current, self.current.ingest(Segment(way, seq, ack, flags, payload, window, shift))
 
 
+def saved(state: TupleState) -> str:
+    """A tuple's state as JSON text: plain numbers and names, readable by a later version of these classes."""
+    c = state.current
+    segment = lambda s: s and [s.way, s.seq, s.ack, s.flags, s.payload, s.window, s.shift]
+    return json.dumps(
+        {
+            "connection": {k: getattr(c, k) for k in _FACTS} | {"fins": sorted(c.fins)},
+            "lines": [[t.head, t.pending] for t in c.trackers],
+            "voices": [{k: getattr(v, k) for k in ("edge", "waiting", "echoes", "mended")} | {k: segment(getattr(v, k)) for k in ("syn", "last", "confirming")} for v in c.flow.voices],
+        }
+    )
+
+
+_FACTS = ("number", "frames", "opener", "asked", "accepted", "completed", "began_with_syn", "carried", "close")
+
+
+def restored(text: str) -> TupleState:
+    held, state = json.loads(text), TupleState()
+    facts = held["connection"]
+    c = state.current = Connection(**{k: facts[k] for k in _FACTS}, fins=set(facts["fins"]))
+    for tracker, (head, pending) in zip(c.trackers, held["lines"], strict=True):
+        tracker.head, tracker.pending = head, [tuple(x) for x in pending]
+    for voice, said in zip(c.flow.voices, held["voices"], strict=True):
+        for k in ("edge", "waiting", "echoes", "mended"):
+            setattr(voice, k, said[k])
+        for k in ("syn", "last", "confirming"):
+            setattr(voice, k, said[k] and Segment(*said[k]))
+    return state
+
+
 EVENT_SCHEMA = "tuple_id string, incarnation int, ordinal long, way int, kind string, payload_len long, phase string, handshake string, close string"
 
 
@@ -346,11 +340,13 @@ def walk(tuple_id: str, rows, state: TupleState) -> list[tuple]:
     return out
 
 
-def tcp_rows(frames: DataFrame) -> DataFrame:
+def tcp_rows(frames: DataFrame, also: tuple[str, ...] = ()) -> DataFrame:
+    """TCP segments as walk() reads them, behind the columns in `also`."""
     rows = with_tuple(frames.where("proto = 'tcp'"))
     shift = F.col("win_shift") if "win_shift" in frames.columns else F.lit(None).cast("int")
     tuple_id = F.concat_ws("|", F.col("a.ip"), F.col("a.port").cast("string"), F.col("b.ip"), F.col("b.port").cast("string"))
-    return rows.select(tuple_id.alias("tuple_id"), "ordinal", F.when(F.col("src") == F.col("a"), 0).otherwise(1).alias("way"), "seq", "ack", "flags", F.col("payload_len").alias("payload"), F.col("win_size").alias("win"), shift.alias("shift"))
+    kept = [F.col(c) for c in also]
+    return rows.select(*kept, tuple_id.alias("tuple_id"), "ordinal", F.when(F.col("src") == F.col("a"), 0).otherwise(1).alias("way"), "seq", "ack", "flags", F.col("payload_len").alias("payload"), F.col("win_size").alias("win"), shift.alias("shift"))
 
 
 def _walk_sorted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

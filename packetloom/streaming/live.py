@@ -6,7 +6,6 @@ give once the watermark has passed (append) or so far (update).
 
 from __future__ import annotations
 
-import pickle
 from collections.abc import Iterator
 
 import pandas as pd
@@ -36,34 +35,40 @@ def activity_runs(frames: DataFrame, key: str, gap: str = "2 seconds", lateness:
     return g.select(key, F.col("w.start").alias("start"), "frames", "bytes")
 
 
-def session_totals(frames: DataFrame) -> DataFrame:
-    """Running totals per tuple, for update mode."""
-    rows = with_tuple(frames)
+def session_totals(frames: DataFrame, width: str = "1 hour", lateness: str = "10 minutes") -> DataFrame:
+    """Totals per tuple and window of event time; a window's state goes when the watermark has passed it."""
+    rows = with_tuple(event_time(frames, lateness))
     from_a = F.col("src") == F.col("a")
-    return rows.groupBy("proto", "a", "b").agg(
+    g = rows.groupBy(F.window("ts", width).alias("w"), "proto", "a", "b").agg(
         F.min("ordinal").alias("first_ordinal"), F.count("*").alias("packets"), F.sum("orig_len").alias("bytes"), F.sum(F.when(from_a, F.col("orig_len")).otherwise(0)).alias("bytes_a"), F.max(F.when(F.col("flags").bitwiseAND(4) != 0, 1).otherwise(0)).alias("any_rst")
     )
+    return g.select(F.col("w.start").alias("start"), "proto", "a", "b", "first_ordinal", "packets", "bytes", "bytes_a", "any_rst")
 
 
-def connection_events(frames: DataFrame, idle_ms: int = 3_600_000) -> DataFrame:
+def connection_events(frames: DataFrame, idle_ms: int = 3_600_000, lateness: str = "10 minutes") -> DataFrame:
     """The events of operators.tcp_state, with the tuple's state kept between micro-batches (append mode).
 
-    A micro-batch must hold a tuple's frames in or after the order of earlier ones, as a capture spool writes them. A
-    tuple that is silent for `idle_ms` of processing time loses its state; what comes then starts anew at incarnation 0."""
+    A micro-batch must hold a tuple's frames in or after the order of earlier ones, as a capture spool writes them. All
+    timers run on event time, so a replay gives what the first run gave: a tuple whose last timed frame lies `idle_ms`
+    behind the watermark loses its state, and what comes then starts anew at incarnation 0. Frames later than `lateness`
+    are left out, as everywhere in Structured Streaming; untimed ones count where they stand."""
     columns = [c.split()[0] for c in tcp_state.EVENT_SCHEMA.split(", ")]
 
     def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
             return
-        held = pickle.loads(state.get[0]) if state.exists else tcp_state.TupleState()
+        last, held = (state.get[0], tcp_state.restored(state.get[1])) if state.exists else (0, tcp_state.TupleState())
         pdf = pd.concat(list(parts)).sort_values("ordinal")
         acks = [None if pd.isna(x) else int(x) for x in pdf["ack"]]
         shifts = [None if pd.isna(x) else int(x) for x in pdf["shift"]]
         rows = zip(pdf["ordinal"], pdf["way"], pdf["seq"].astype("int64"), acks, pdf["flags"], pdf["payload"], pdf["win"].fillna(0).astype("int64"), shifts, strict=True)
         out = tcp_state.walk(key[0], rows, held)
-        state.update((pickle.dumps(held),))
-        state.setTimeoutDuration(idle_ms)
+        now = pdf["ts"].max()
+        last = max(last, state.getCurrentWatermarkMs(), 0 if pd.isna(now) else int(now.timestamp() * 1000))
+        state.update((last, tcp_state.saved(held)))
+        state.setTimeoutTimestamp(last + idle_ms)
         yield pd.DataFrame(out, columns=columns)
 
-    return tcp_state.tcp_rows(frames).groupBy("tuple_id").applyInPandasWithState(step, tcp_state.EVENT_SCHEMA, "held binary", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    rows = tcp_state.tcp_rows(frames.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", lateness), ("ts",))
+    return rows.groupBy("tuple_id").applyInPandasWithState(step, tcp_state.EVENT_SCHEMA, "last long, held string", "append", GroupStateTimeout.EventTimeTimeout)

@@ -1,6 +1,7 @@
 """Operators on hand-built rows, three-valued logic, and batch against stream."""
 
 import datetime as dt
+import random
 
 import pytest
 from hypothesis import given, settings
@@ -165,6 +166,15 @@ def test_lifecycle_findings(spark):
     assert "halfClose" in kinds_of(spark, [(0, 5, 1, 17, 10), (1, 1, 16, 16, 10)])
 
 
+def run_stream(spark, stream, name, path, mode="append"):
+    """The rows of a stream over all its files, and the state rows that its operators keep after each batch."""
+    q = stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", str(path)).start()
+    q.processAllAvailable()
+    kept = [sum(o["numRowsTotal"] for o in p["stateOperators"]) for p in q.recentProgress if p["stateOperators"]]
+    q.stop()
+    return spark.table(name).collect(), kept
+
+
 def test_stream_equals_batch(spark, sf_dir, tmp_path):
     frames = frames_from_events(spark, sf_dir).orderBy("ordinal")
     source = str(tmp_path / "frames")
@@ -172,10 +182,8 @@ def test_stream_equals_batch(spark, sf_dir, tmp_path):
         frames.where(F.floor((F.col("ordinal") - 1) / 400) == i).coalesce(1).write.mode("append").parquet(f"{source}/{i}")
     batch = {tuple(r) for r in tcp_state.connection_events(frames).collect()}
     stream = spark.readStream.schema(frames.schema).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", 1).parquet(source)
-    q = live.connection_events(stream).writeStream.format("memory").queryName("events_out").outputMode("append").option("checkpointLocation", str(tmp_path / "c1")).start()
-    q.processAllAvailable()
-    q.stop()
-    assert {tuple(r) for r in spark.table("events_out").collect()} == batch
+    rows, _ = run_stream(spark, live.connection_events(stream, idle_ms=400 * 86_400_000, lateness="400 days"), "events_out", tmp_path / "c1")
+    assert {tuple(r) for r in rows} == batch
     whole = live.timeline(stream, "1 day")
     q = whole.writeStream.format("memory").queryName("timeline_out").outputMode("complete").option("checkpointLocation", str(tmp_path / "c2")).start()
     q.processAllAvailable()
@@ -185,6 +193,32 @@ def test_stream_equals_batch(spark, sf_dir, tmp_path):
     assert sorted(days.values()) == sorted((r.n, r.b) for r in expected)
 
 
+def test_silent_tuples_lose_their_state(spark, tmp_path):
+    at = T0
+    syn = lambda i, minutes, port: (i, at + dt.timedelta(minutes=minutes), "tcp", "10.0.0.1", port, "10.0.0.2", 80, 100 + i, None, 2, 0, 10, 60)
+    schema = "ordinal long, ts timestamp, proto string, src_ip string, src_port int, dst_ip string, dst_port int, seq long, ack long, flags int, payload_len long, win_size int, orig_len long"
+    batches = [[syn(1, 0, 1), syn(2, 0, 2)], [syn(3, 300, 3)], [syn(4, 301, 4)], [syn(5, 302, 1)]]
+    for i, rows in enumerate(batches):
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(tmp_path / f"in/{i}"))
+    stream = lambda: spark.readStream.schema(schema).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    rows, kept = run_stream(spark, live.connection_events(stream(), idle_ms=3_600_000, lateness="1 minute"), "expiry_out", tmp_path / "c")
+    assert kept[0] == 2 and max(kept) <= 3 and kept[-1] == 3  # the first two tuples go once the watermark has passed them
+    again = [r.kind for r in rows if r.ordinal == 5]
+    assert sorted(again) == ["firstObserved", "syn"]  # a tuple whose state went starts anew
+    rows, kept = run_stream(spark, live.session_totals(stream(), "1 hour", "1 minute"), "totals_out", tmp_path / "t")
+    assert kept[-1] <= 3 and sorted((r.packets, r.bytes) for r in rows) == [(1, 60), (1, 60)]
+
+
+def test_saved_state_goes_on_as_if_never_saved():
+    for seed in range(300):
+        r = random.Random(seed)
+        one, two = tcp_state.TupleState(), tcp_state.TupleState()
+        for _ in range(30):
+            s = (r.randint(0, 1), r.randint(0, 12), r.choice([None, *range(12)]), r.choice([16, 16, 16, 2, 18, 17, 4]), r.choice([0, 1, 3]), r.choice([0, 5]), r.choice([None, 1]))
+            two = tcp_state.restored(tcp_state.saved(two))
+            assert one.ingest(*s)[1] == two.ingest(*s)[1]
+
+
 three = st.sampled_from([True, False, None])
 
 
