@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections import deque
+from heapq import heappop, heappush
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -11,43 +14,51 @@ from packetloom.operators.tcp_state import SPACE, SYN, offset
 
 
 class Reassembler:
-    """First-observed bytes of one direction, in stream order. What is ahead of a gap waits for it."""
+    """First-observed bytes of one direction, in stream order. What is ahead of a gap waits for it in a heap, on a line
+    that counts on past 2**32; memory is bounded: when more than `most_bytes` or `most_runs` wait, the gap is given up and
+    a new run begins behind it."""
 
-    def __init__(self):
-        self.expected: int | None = None
+    def __init__(self, most_bytes: int = 16 << 20, most_runs: int = 256):
+        self.next: int | None = None
         self.waiting: list[tuple[int, int, bytes]] = []
-        self.at = 0
+        self.held = 0
+        self.most_bytes, self.most_runs = most_bytes, most_runs
+        self.run = 0
 
     def add(self, r: dict) -> list[tuple]:
-        start = (r["seq"] + bool(r["flags"] & SYN)) % SPACE
-        data = r["payload"] or b""
-        if self.expected is None:
-            self.expected = start
+        start, data = (r["seq"] + bool(r["flags"] & SYN)) % SPACE, r["payload"] or b""
+        if self.next is None:
+            self.next = start
         if not data:
             return []
-        self.waiting.append((start, r["ordinal"], data))
-        return self._drain()
+        heappush(self.waiting, (self.next + offset(start, self.next % SPACE), r["ordinal"], data))
+        self.held += len(data)
+        out = self._ready()
+        while len(self.waiting) > self.most_runs or self.held > self.most_bytes:
+            out += self._skip()
+        return out
 
-    def _drain(self, skip_gaps: bool = False) -> list[tuple]:
+    def _ready(self) -> list[tuple]:
+        """The pieces that now follow on without a gap."""
         out = []
-        self.waiting.sort(key=lambda w: (offset(w[0], self.expected), w[1]))
-        while self.waiting:
-            start, ordinal, data = self.waiting[0]
-            gap = offset(start, self.expected)
-            if gap > 0 and not skip_gaps:
-                break
-            self.waiting.pop(0)
-            if gap > 0:
-                self.expected, gap = start, 0
-                self.at += 1  # a new run after missing bytes
-            fresh = data[-gap:] if gap else data
+        while self.waiting and self.waiting[0][0] <= self.next:
+            start, ordinal, data = heappop(self.waiting)
+            self.held -= len(data)
+            fresh = data[self.next - start :]
             if fresh:
-                out.append((self.at, ordinal, fresh))
-                self.expected = (self.expected + len(fresh)) % SPACE
+                out.append((self.run, ordinal, fresh))
+                self.next += len(fresh)
         return out
 
+    def _skip(self) -> list[tuple]:
+        self.next, self.run = self.waiting[0][0], self.run + 1
+        return self._ready()
+
     def finish(self) -> list[tuple]:
-        return self._drain(skip_gaps=True)
+        out = []
+        while self.waiting:
+            out += self._skip()
+        return out
 
 
 def follow(segments: DataFrame) -> DataFrame:
@@ -67,7 +78,8 @@ def turns(runs: DataFrame) -> DataFrame:
 
 
 def reassemble_fragments(fragments: DataFrame, seconds: int = 30, most: int = 64) -> DataFrame:
-    """fragments: version, src_ip, dst_ip, ip_id, ip_proto, ordinal, ts, frag_offset, more, payload -> rebuilt datagrams.
+    """fragments: version, src_ip, dst_ip, ip_id, ip_proto, ordinal, ts, frag_offset, more, payload -> rebuilt datagrams:
+    the ordinal that completes each, its data, and the ordinals that it came from (sources, by offset).
 
     A datagram's fragments arrive within `seconds` of one another; it must start at 0, end with a last fragment, and
     leave no hole. Fragments may overlap where they agree byte for byte; one that does not spoils the datagram."""
@@ -80,7 +92,7 @@ def reassemble_fragments(fragments: DataFrame, seconds: int = 30, most: int = 64
     # At most `most` fragments are ever put together: a datagram has no more.
     few = unique.withColumn("n", F.count("*").over(Window.partitionBy(*key, "era"))).where(F.col("n") <= most)
     end = F.col("frag_offset") + F.length("payload")
-    g = few.groupBy(*key, "era").agg(F.array_sort(F.collect_list(F.struct("frag_offset", "payload", "more"))).alias("parts"), F.max("ordinal").alias("ordinal"), F.min(F.when(~F.col("more"), end)).alias("last"), F.max(F.when(~F.col("more"), end)).alias("last2"), F.max(end).alias("reach"))
+    g = few.groupBy(*key, "era").agg(F.array_sort(F.collect_list(F.struct("frag_offset", "payload", "more", F.col("ordinal").alias("at")))).alias("parts"), F.max("ordinal").alias("ordinal"), F.min(F.when(~F.col("more"), end)).alias("last"), F.max(F.when(~F.col("more"), end)).alias("last2"), F.max(end).alias("reach"))
 
     def put(a: Column, p: Column) -> Column:
         """a: the bytes from 0 to `at`. Known bytes must agree, new ones are appended."""
@@ -92,37 +104,45 @@ def reassemble_fragments(fragments: DataFrame, seconds: int = 30, most: int = 64
 
     start = F.struct(F.lit(0).cast("long").alias("at"), F.lit(b"").alias("data"), F.lit(True).alias("ok"))
     whole = g.withColumn("w", F.aggregate("parts", start, put)).where(F.col("w.ok") & (F.col("last") == F.col("last2")) & (F.col("last") == F.col("reach")) & (F.col("w.at") == F.col("last")))
-    return whole.select(*key, "ordinal", F.col("w.data").alias("data"))
+    return whole.select(*key, "ordinal", F.col("w.data").alias("data"), F.col("parts.at").alias("sources"))
 
 
 class RoundTrips:
-    """Times from a segment to the acknowledgement of its end; a resent range is never measured (Karn)."""
+    """Times from a segment to the acknowledgement of its end; a resent range is never measured (Karn).
 
-    def __init__(self):
-        self.open: list[list[tuple[int, int, int]]] = [[], []]
+    A direction's segments wait in the order of their ends, which grow: only a segment beyond everything sent before is
+    ever measured. An acknowledgement takes them from the left, a resent range from the right, each of them once. At most
+    `most` wait; beyond that the oldest are given up."""
+
+    def __init__(self, most: int = 65_536):
+        self.open: tuple[deque, deque] = (deque(maxlen=most), deque(maxlen=most))
         self.edge: list[int | None] = [None, None]
 
     def add(self, r: dict) -> list[tuple]:
         way, out = r["way"], []
         size = r["payload_len"] + bool(r["flags"] & SYN) + (r["flags"] & 1)
         if size and r["seq"] is not None:
-            end = (r["seq"] + size) % SPACE
-            edge = self.edge[way]
-            if edge is not None and offset(r["seq"], edge) < 0:
-                self.open[way] = [o for o in self.open[way] if offset(o[0], r["seq"]) <= 0]
-            else:
-                self.open[way].append((end, r["ts_us"], r["ordinal"]))
-            if edge is None or offset(end, edge) > 0:
-                self.edge[way] = end
-        if r["ack"] is not None and r["flags"] & 16:
-            sent = self.open[1 - way]
-            done = [o for o in sent if offset(o[0], r["ack"]) <= 0]
-            if done:
-                last = done[-1]
+            self._sent(way, r["seq"], size, r["ts_us"], r["ordinal"])
+        peer = self.edge[1 - way]
+        if r["ack"] is not None and r["flags"] & 16 and peer is not None:
+            upto, last = peer + offset(r["ack"], peer % SPACE), None
+            while self.open[1 - way] and self.open[1 - way][0][0] <= upto:
+                last = self.open[1 - way].popleft()
+            if last:
                 out.append((way, r["ordinal"], last[2], r["ts_us"] - last[1]))
-                self.open[1 - way] = sent[len(done) :]
         return out
 
+    def _sent(self, way: int, seq: int, size: int, ts_us: int, ordinal: int) -> None:
+        edge = self.edge[way]
+        start = seq if edge is None else edge + offset(seq, edge % SPACE)
+        waiting = self.open[way]
+        if edge is not None and start < edge:
+            while waiting and waiting[-1][0] > start:
+                waiting.pop()
+        else:
+            waiting.append((start + size, ts_us, ordinal))
+        self.edge[way] = start + size if edge is None else max(edge, start + size)
+
     def finish(self) -> list[tuple]:
         return []
 

@@ -55,9 +55,11 @@ def tls_payload() -> Column:
 
 
 def packets(frames: DataFrame) -> DataFrame:
-    """frames with bytes: Ethernet and IPv4 packets of TCP and UDP. TCP payload is written for segments that carry some."""
+    """frames with bytes: Ethernet and IPv4 packets of TCP and UDP. TCP payload is written for segments that carry some; a
+    column payload_hex, where it is there and not null, is the payload instead."""
     udp = F.col("proto") == "udp"
-    payload = F.when(udp, dns_payload()).when(F.col("payload_len") <= 0, "").when(F.col("app") == "http", http_payload()).when(F.col("app") == "tls", tls_payload()).otherwise("")
+    given = F.col("payload_hex") if "payload_hex" in frames.columns else F.lit(None).cast("string")
+    payload = F.when(given.isNotNull(), given).when(udp, dns_payload()).when(F.col("payload_len") <= 0, "").when(F.col("app") == "http", http_payload()).when(F.col("app") == "tls", tls_payload()).otherwise("")
     rows = frames.withColumn("payload_", payload)
     size = F.when(udp, F.length("payload_") / 2).otherwise(F.greatest(F.col("payload_len"), F.length("payload_") / 2))
     tcp = F.concat(u(F.col("src_port"), 2), u(F.col("dst_port"), 2), u(F.col("seq"), 4), u(F.coalesce("ack", F.lit(0)), 4), u(0x50, 1), u(F.col("flags"), 1), u(F.col("win_size"), 2), F.lit("00000000"))
@@ -65,3 +67,33 @@ def packets(frames: DataFrame) -> DataFrame:
     ip = F.concat(F.lit("4500"), u(size + F.when(udp, 28).otherwise(40), 2), F.lit("00010000"), u(64, 1), u(F.when(udp, 17).otherwise(6), 1), F.lit("0000"), dotted(F.col("src_ip")), dotted(F.col("dst_ip")))
     ethernet = F.lit("02005E005301" + "02005E005302" + "0800")
     return rows.withColumn("bytes", F.unhex(F.concat(ethernet, ip, F.when(udp, datagram).otherwise(tcp), "payload_"))).drop("payload_")
+
+
+def cut(frames: DataFrame, at: Column, order: Column) -> DataFrame:
+    """TCP segments cut into pieces: at is the array of the places where the payload (payload_hex) is cut, order the array
+    of the pieces' places in capture order. Pieces get ordinals 8 * ordinal + place; frames whose `at` is null stay whole."""
+    n = (F.length("payload_hex") / 2).cast("int")
+    bounds = F.concat(F.array(F.lit(0)), F.coalesce(at, F.array().cast("array<int>")), F.array(n))
+    pieces = F.transform(F.sequence(F.lit(0), F.size(bounds) - 2), lambda i: F.struct(i.alias("i"), F.get(bounds, i).alias("low"), F.get(bounds, i + 1).alias("high")))
+    rows = frames.withColumns({"cut_": at, "order_": order, "piece_": F.explode(F.when(at.isNotNull(), pieces).otherwise(F.array(F.struct(F.lit(0).alias("i"), F.lit(0).alias("low"), n.alias("high")))))})
+    p, whole = F.col("piece_"), F.col("cut_").isNull()
+    return rows.withColumns(
+        {
+            "ordinal": 8 * F.col("ordinal") + F.when(whole, 0).otherwise(F.get("order_", p["i"])),
+            "seq": F.when(whole, F.col("seq")).otherwise(F.pmod(F.col("seq") + p["low"], F.lit(1 << 32))),
+            "payload_len": F.when(whole, F.col("payload_len")).otherwise(p["high"] - p["low"]),
+            "payload_hex": F.when(whole, F.col("payload_hex")).otherwise(F.substring("payload_hex", 2 * p["low"] + 1, 2 * (p["high"] - p["low"]))),
+        }
+    ).drop("cut_", "order_", "piece_")
+
+
+def fragmented(made: DataFrame, size: int, ip_id: Column) -> DataFrame:
+    """packets()' rows cut into IPv4 fragments of `size` payload bytes (a multiple of 8): bytes, fragment (its number from 0)
+    and fragments (how many the packet has)."""
+    body = F.substring("bytes", 35, F.length("bytes"))
+    count = F.ceil(F.length(body) / size).cast("int")
+    rows = made.withColumns({"body_": body, "fragments": count, "fragment": F.explode(F.sequence(F.lit(0), count - 1))})
+    part = F.substring("body_", (F.col("fragment") * size + 1).cast("int"), F.lit(size))
+    more = (F.col("fragment") < F.col("fragments") - 1).cast("int")
+    head = F.concat(F.lit("4500"), u(F.length(part) + 20, 2), u(ip_id, 2), u(more * 8192 + F.col("fragment") * (size // 8), 2))
+    return rows.withColumn("bytes", F.concat(F.substring("bytes", 1, 14), F.unhex(head), F.substring("bytes", 23, 12), part)).drop("body_")

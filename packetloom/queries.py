@@ -14,7 +14,7 @@ from packetloom.model import frames_cte, frames_from_events
 from packetloom.operators import annotate, files, findings, listing, pairing, predicates as P, sessions as S, stats, streams, tcp_state, timeline, timings, windows
 from packetloom.plans import history, synthesis
 from packetloom.plans.tables import settle, shared_dir
-from packetloom.sources import capture, decode
+from packetloom.sources import capture, decode, rebuild
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -645,3 +645,65 @@ def q_captured(spark, sf_dir):
 ORACLES["captured_sessions"] = ORACLES["captured_sessions"].replace(", frames AS (", ", frames0 AS (", 1).replace(
     ", " + SESSION_SQL, ", frames AS (SELECT * REPLACE (CASE WHEN payload_len > 0 THEN sni END AS sni, CASE WHEN payload_len > 0 THEN http_host END AS http_host) FROM frames0 WHERE ts IS NOT NULL), " + SESSION_SQL, 1
 )
+
+
+# ---- frames decoded with the help of frames before them -----------------------------------------------------
+
+
+def written(made: DataFrame) -> DataFrame:
+    """synthesis' rows as read_capture gives frames."""
+    return made.select("ordinal", "ts", F.lit(decode.ETHERNET).alias("link_type"), "bytes", F.length("bytes").cast("long").alias("orig_len"))
+
+
+#: DNS frames in fragments of 24 bytes, some in reverse, some twice, some without their first or last one.
+FRAGMENTED_SQL = """, d AS (SELECT *, 20 + length(dns_name) + 6 + CASE WHEN dns_answer IS NULL THEN 0 ELSE 16 END AS n FROM frames WHERE app = 'dns' AND ts IS NOT NULL),
+c AS (SELECT *, CAST(ceil((n) / 24.0) AS BIGINT) AS fragments FROM d)
+SELECT 16 * ordinal + CASE WHEN ordinal % 3 = 0 THEN 7 ELSE fragments - 1 END AS ordinal, src_ip, CAST(src_port AS INT) AS src_port, dst_ip, CAST(dst_port AS INT) AS dst_port, CAST(dns_id AS BIGINT) AS dns_id, dns_name,
+  CASE WHEN dns_answer IS NULL THEN '' ELSE dns_answer END AS answers, fragments AS n_fragments
+FROM c WHERE ordinal % 7 NOT IN (2, 4)"""
+
+
+@query("fragmented_names", FRAGMENTED_SQL)
+def q_fragmented(spark, sf_dir):
+    made = synthesis.packets(frames(spark, sf_dir).where("app = 'dns' AND ts IS NOT NULL"))
+    parts = synthesis.fragmented(made, 24, F.pmod(F.col("ordinal"), F.lit(65536)))
+    o, i, n = F.col("ordinal"), F.col("fragment"), F.col("fragments")
+    lost = ((o % 7 == 2) & (i == n - 1)) | ((o % 7 == 4) & (i == 0))
+    place = F.when(o % 3 == 0, 7 - i).otherwise(i)
+    twice = F.when(o % 5 == 0, F.array(place, place + 8)).otherwise(F.array(place))
+    rows = parts.where(~lost).withColumn("place", F.explode(twice)).withColumn("ordinal", 16 * o + F.col("place"))
+    out = decode.with_names(rebuild.sequential(written(rows)).where("rebuilt_from IS NOT NULL"))
+    return out.select("ordinal", "src_ip", "src_port", "dst_ip", "dst_port", "dns_id", "dns_name", F.array_join("dns_answers", ",").alias("answers"), F.size("rebuilt_from").cast("long").alias("n_fragments"))
+
+
+#: Every hello in three pieces, the last two swapped in a third of them; a direction's first record is what is put together.
+SPLIT_SQL = """, f AS (SELECT *, app = 'tls' AND payload_len > 0 AS carries FROM frames WHERE ts IS NOT NULL AND proto = 'tcp'),
+o AS (SELECT *, row_number() OVER (PARTITION BY src_ip, src_port, dst_ip, dst_port, carries ORDER BY ordinal) AS nth FROM f),
+s AS (SELECT least({'ip': src_ip, 'port': src_port}, {'ip': dst_ip, 'port': dst_port}) AS a, greatest({'ip': src_ip, 'port': src_port}, {'ip': dst_ip, 'port': dst_port}) AS b,
+  count(*) + 2 * count(*) FILTER (WHERE carries AND sni IS NOT NULL) AS packets, arg_min(sni, ordinal) FILTER (WHERE carries AND nth = 1 AND sni IS NOT NULL) AS sni FROM o GROUP BY 1, 2)
+SELECT concat_ws('|', 'tcp', a.ip, a.port, b.ip, b.port) AS session_id, CAST(packets AS BIGINT) AS packets, sni FROM s"""
+
+
+@query("split_hellos", SPLIT_SQL)
+def q_split_hellos(spark, sf_dir):
+    rows = frames(spark, sf_dir).where("ts IS NOT NULL AND proto = 'tcp'")
+    carries = (F.col("app") == "tls") & (F.col("payload_len") > 0)
+    rows = rows.withColumn("payload_hex", F.when(carries, synthesis.tls_payload()))
+    hello = carries & F.col("sni").isNotNull()
+    at = F.when(hello, F.array(F.lit(4) + (F.col("ordinal") % 30).cast("int"), F.lit(50)))
+    order = F.when(F.col("ordinal") % 3 == 0, F.array(F.lit(0), F.lit(2), F.lit(1))).otherwise(F.array(F.lit(0), F.lit(1), F.lit(2)))
+    made = synthesis.packets(synthesis.cut(rows, at, order))
+    out = S.fold_sessions(decode.as_frames(rebuild.with_first_records(decode.decode(written(made)))))
+    return out.select("session_id", "packets", "sni")
+
+
+@query("http_heads", """SELECT ordinal, http_method, http_host, CAST(payload_len AS BIGINT) AS payload_len FROM (SELECT ordinal, http_method, nullif(http_host, '') AS http_host,
+  length(http_method) + 13 + ordinal % 700 + CASE WHEN coalesce(http_host, '') = '' THEN 0 ELSE 8 + length(http_host) END + 10 + ordinal % 900 + 2 AS payload_len FROM frames WHERE http_method IS NOT NULL AND ts IS NOT NULL AND payload_len > 0)""")
+def q_http_heads(spark, sf_dir):
+    """Requests with long paths, whose Host comes behind a long cookie."""
+    rows = frames(spark, sf_dir).where("http_method IS NOT NULL AND ts IS NOT NULL AND payload_len > 0")
+    path, cookie = F.repeat(F.lit("p"), (F.col("ordinal") % 700).cast("int")), F.repeat(F.lit("c"), (F.col("ordinal") % 900).cast("int"))
+    host = F.when(F.coalesce("http_host", F.lit("")) != "", F.concat(F.lit("Host: "), "http_host", F.lit("\r\n"))).otherwise("")
+    request = F.concat(F.col("http_method"), F.lit(" /"), path, F.lit(" HTTP/1.1\r\nCookie: "), cookie, F.lit("\r\n"), host, F.lit("\r\n"))
+    made = synthesis.packets(rows.withColumns({"payload_hex": synthesis.text(request), "payload_len": F.length(request).cast("long")}))
+    return decode.decode(written(made)).select("ordinal", "http_method", "http_host", "payload_len")

@@ -22,6 +22,12 @@ IPV4, IPV6, ARP, VLAN, QINQ = 0x0800, 0x86DD, 0x0806, 0x8100, 0x88A8
 TRANSPORT = {1: "icmp", 6: "tcp", 17: "udp", 58: "icmpv6", 132: "sctp"}
 
 
+#: The first line of a request: whole, or cut off by the segment's end.
+REQUEST = r"^(GET|HEAD|POST|PUT|DELETE|OPTIONS|PATCH|TRACE|CONNECT) \S+(?: HTTP/1\.[01]\r\n|(?: [HTP/1.0\r]{0,9})?\z)"
+#: A Host header among the first 32 header lines, before the empty line.
+HOST = r"(?i)^[^\r\n]*\r\n(?:[^\r\n]+\r\n){0,31}?Host[ \t]*:[ \t]*([^\r\n]*)\r\n"
+
+
 def number(at: Column | int, size: int) -> Column:
     """Big-endian unsigned number at a 0-based offset of `bytes`; null where the frame is too short."""
     start = (F.lit(at) if isinstance(at, int) else at) + 1
@@ -96,12 +102,23 @@ def decode(frames: DataFrame) -> DataFrame:
             "icmp_code": F.when(F.col("proto").isin("icmp", "icmpv6"), number(l4 + 1, 1)),
         }
     )
+    return applications(d.drop("v6_chain"))
+
+
+#: What applications() reads from a frame's payload.
+FACTS = ("dns_id", "dns_reply", "rcode", "dns_name", "dns_truncated", "dns_recursion", "http_method", "http_status", "http_host", "sni", "tls_record", "tls_handshake", "app")
+
+
+def applications(d: DataFrame) -> DataFrame:
+    """Frames decoded up to their transport, with what their payload (from l7 to ip_end) shows."""
+    tcp, udp = F.col("proto") == "tcp", F.col("proto") == "udp"
     l7 = F.col("l7").cast("int")
     payload = F.greatest(F.col("ip_end") - F.col("l7"), F.lit(0))
     on_port = lambda *ports: F.col("src_port").isin(*ports) | F.col("dst_port").isin(*ports)
     dns_port = udp & on_port(53, 5353, 5355) & (payload >= 12)
-    line = F.decode(piece(l7, 256), "ISO-8859-1")
-    request = F.regexp_extract(line, r"^(GET|HEAD|POST|PUT|DELETE|OPTIONS|PATCH|TRACE|CONNECT) \S+ HTTP/1\.[01]\r\n", 1)
+    d = d.withColumn("head_", F.when(tcp | udp, F.decode(piece(l7, payload.cast("int")), "ISO-8859-1")))
+    line = F.col("head_")
+    request = F.regexp_extract(line, REQUEST, 1)
     reply = F.regexp_extract(line, r"^HTTP/1\.[01] (\d{3})", 1)
     tls = tcp & number(l7, 1).between(20, 23) & (number(l7 + 1, 1) == 3)
     name = dns_name(l7 + 12)
@@ -116,7 +133,7 @@ def decode(frames: DataFrame) -> DataFrame:
             "dns_recursion": F.when(dns_port, number(l7 + 2, 1).bitwiseAND(1) != 0),
             "http_method": F.when(tcp & (request != ""), request),
             "http_status": F.when(tcp & (reply != ""), reply.cast("int")),
-            "http_host": F.when(tcp & (request != ""), F.nullif(F.regexp_extract(line, r"(?i)\r\nHost:[ \t]*([^\r\n]*)\r\n", 1), F.lit(""))),
+            "http_host": F.when(tcp & (request != ""), F.nullif(F.trim(F.regexp_extract(line, HOST, 1)), F.lit(""))),
             "sni": F.when(tls & (number(l7, 1) == 22) & (number(l7 + 5, 1) == 1), server_name(l7 + 9)),
             "tls_record": F.when(tls, number(l7, 1)),
             "tls_handshake": F.when(tls & (number(l7, 1) == 22), number(l7 + 5, 1)),
@@ -135,7 +152,7 @@ def decode(frames: DataFrame) -> DataFrame:
         .otherwise(F.col("proto"))
     )
     stop = F.when(F.col("ether_type").isNull() & F.col("bytes").isNotNull(), "malformed").when(F.col("ip_end") > F.length("bytes"), "cutShort")
-    return d.withColumns({"app": app, "decode_stop": stop}).drop("v6_chain")
+    return d.withColumns({"app": app, "decode_stop": stop}).drop("head_")
 
 
 def mac(at: int) -> Column:
@@ -232,18 +249,18 @@ def tls_records(decoded: DataFrame, most: int = 32) -> DataFrame:
     # A version above 1.2 is in an extension (43); the field before it then says 1.2.
     body = r + 9 + 34
     extensions = body + 1 + byte(body) + 3
+    listed = F.coalesce(byte(extensions) * 256 + byte(extensions + 1), F.lit(0))
     chosen = F.aggregate(
-        F.sequence(F.lit(1), F.lit(16)), F.struct((extensions + 2).alias("at"), F.lit(None).cast("int").alias("v")),
+        F.sequence(F.lit(1), F.greatest(F.floor(listed / 4).cast("int"), F.lit(1))), F.struct((extensions + 2).alias("at"), F.lit(None).cast("int").alias("v")),
         lambda a, _: F.struct((a["at"] + 4 + byte(a["at"] + 2) * 256 + byte(a["at"] + 3)).alias("at"), F.coalesce(a["v"], F.when(byte(a["at"]) * 256 + byte(a["at"] + 1) == 43, byte(a["at"] + 4) * 256 + byte(a["at"] + 5))).alias("v")), lambda a: a["v"],
     )
     version = F.when(hello, F.coalesce(chosen, byte(r + 9) * 256 + byte(r + 10)))
     return rows.select("session_id", "ordinal", "way", "record", F.when(alert, byte(r + 5)).alias("level"), F.when(alert, byte(r + 6)).alias("code"), version.alias("version"))
 
 
-def payload_text(most: int = 4096) -> Column:
-    """The first bytes of a frame's payload as text, one character a byte."""
-    l7 = F.col("l7").cast("int")
-    return F.decode(F.substring("bytes", l7 + 1, F.least(F.col("payload_len"), F.lit(most)).cast("int")), "ISO-8859-1")
+def payload_text() -> Column:
+    """A frame's payload as text, one character a byte."""
+    return F.decode(piece(F.col("l7").cast("int"), F.col("payload_len").cast("int")), "ISO-8859-1")
 
 
 def sip_messages(decoded: DataFrame) -> DataFrame:
@@ -339,11 +356,12 @@ def tcp_option(at: Column, end: Column, kind: int, size: int) -> Column:
         hit = inside & (k == kind) & (n == size + 2)
         return F.struct(F.when(inside & jump.isNotNull(), acc["at"] + jump).otherwise(1 << 20).alias("at"), F.when(hit & acc["found"].isNull(), acc["at"] + 2).otherwise(acc["found"]).alias("found"))
 
-    return number(F.aggregate(F.sequence(F.lit(1), F.lit(16)), start, step, lambda a: a["found"]), size)
+    return number(F.aggregate(F.sequence(F.lit(1), F.lit(40)), start, step, lambda a: a["found"]), size)
 
 
-def server_name(hello: Column, extensions: int = 24) -> Column:
-    """The name in a ClientHello that starts at `hello` (after the handshake header), from its SNI extension."""
+def server_name(hello: Column) -> Column:
+    """The name in a ClientHello that starts at `hello` (after the handshake header), from its SNI extension. An extension
+    takes four bytes at least, which bounds their number by the length of their list."""
     session = hello + 34
     ciphers = session + 1 + number(session, 1)
     methods = ciphers + 2 + number(ciphers, 2)
@@ -354,7 +372,8 @@ def server_name(hello: Column, extensions: int = 24) -> Column:
         kind, size = number(acc["at"], 2), number(acc["at"] + 2, 2)
         return F.struct((acc["at"] + 4 + F.coalesce(size, F.lit(1 << 16))).cast("int").alias("at"), F.when((kind == 0) & acc["found"].isNull(), acc["at"]).otherwise(acc["found"]).alias("found"))
 
-    at = F.aggregate(F.sequence(F.lit(1), F.lit(extensions)), start, step, lambda a: a["found"])
+    most = F.greatest(F.floor(F.coalesce(number(first - 2, 2), F.lit(0)) / 4).cast("int"), F.lit(1))
+    at = F.aggregate(F.sequence(F.lit(1), most), start, step, lambda a: a["found"])
     return F.nullif(F.decode(F.substring(F.col("bytes"), at + 10, number(at + 7, 2).cast("int")), "UTF-8"), F.lit(""))
 
 
