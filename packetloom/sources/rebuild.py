@@ -8,6 +8,8 @@ their places. Decoded frames are written out once, so that no filter is pushed i
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -20,6 +22,8 @@ from packetloom.sources.decode import FACTS, IPV4, IPV6, RAW, applications, deco
 
 #: Bytes of a direction, and pieces waiting for a gap, that a first record may take.
 RECORD_BYTES, RECORD_PIECES = 16_384, 32
+#: How HTTP/1 messages begin.
+HTTP_STARTS = ("GET ", "HEAD ", "POST ", "PUT ", "DELETE ", "OPTIONS ", "PATCH ", "TRACE ", "CONNECT ", "HTTP/1.")
 
 
 def is_fragment() -> Column:
@@ -114,7 +118,8 @@ def first_records(decoded: DataFrame) -> DataFrame:
     joined to the segments, and Spark filters these by its keys before the shuffle."""
     l7, n = F.col("l7").cast("int"), F.col("payload_len").cast("int")
     head = F.decode(piece(l7, F.least(n, F.lit(9))), "ISO-8859-1")
-    begins = F.col("app").isin("tls", "http") | head.rlike(r"^(GET|HEAD|POST|PUT|DELETE|OPTIONS|PATCH|TRACE|CONNECT|HTTP/1\.) ?") | ((n < 5) & head.rlike(r"^[\x14-\x17]\x03?"))
+    words = reduce(Column.__or__, (F.lit(w).startswith(head) | head.startswith(w) for w in HTTP_STARTS))
+    begins = F.col("app").isin("tls", "http") | words | ((n < 5) & head.rlike(r"^[\x14-\x17](\x03|$)"))
     size = F.conv(F.hex(piece(l7 + 3, 2)), 16, 10).cast("int") + 5
     ends = F.when(F.col("app") == "tls", n >= size).otherwise(F.locate("\r\n\r\n", F.decode(piece(l7, n), "ISO-8859-1")) > 0)
     way = [F.col(c) for c in ("src_ip", "src_port", "dst_ip", "dst_port")]
