@@ -25,19 +25,26 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def settle(df: DataFrame, label: str) -> DataFrame:
+def settle(df: DataFrame, label: str, keep: bool = False) -> DataFrame:
     """Write df once to the shared folder and read it back, so that later steps never recompute it. The table stays
-    until scratch() or the folder's owner removes it: results are read from it later."""
+    until the scratch() around it ends or the folder's owner removes it; with keep it outlives scratch()."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/packetloom-{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    _written.append(path)
+    if not keep:
+        _written.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release_shuffles(spark: SparkSession) -> None:
+    """Have the shuffle files of ended jobs removed. Spark removes them once the driver's JVM has collected their
+    handles, which without pressure on its memory happens every half an hour only: long after a step of many shuffles."""
+    spark.sparkContext._jvm.System.gc()
+
+
 @contextmanager
 def scratch(spark: SparkSession) -> Iterator[None]:
-    """Removes at its end what was settled inside it; results that read from there must be written by then."""
+    """Removes at its end what was settled inside it without `keep`; results that read from there must be written by then."""
     before = len(_written)
     try:
         yield
