@@ -40,6 +40,7 @@ from pyspark.sql import functions as F
 
 from packetloom.llm.common import bounded_batches, chunks, materialize, mix64, small, text_bytes
 from packetloom.llm.components import connected_components
+from packetloom.plans.tables import release_shuffles, scratch
 
 _U = np.uint64
 _BYTE = np.random.default_rng(20240229).integers(1, 2**63, 256, dtype=np.uint64)
@@ -613,22 +614,36 @@ def jaccard_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """Per row of df that has an id: id, text_hash, n (set size), grp (the same for linked rows; null for an empty set)
     and component_id (the smallest id of its group)."""
     docs = bounded_batches(df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id is not null"))
-    sets = materialize(set_table(docs.withColumn("text_hash", F.xxhash64("text")), k), "sets")
+    sets = materialize(set_table(docs.withColumn("text_hash", F.xxhash64("text")), k), "sets", keep=True)
     # Written out, so that the last join has plain shuffles on both sides and a key with very many rows can be split.
     classes = sets.where("n > 0").groupBy("key", "id").agg(F.first("h").alias("h"), F.count("*").alias("copies"))
-    classes = materialize(classes.groupBy("key").agg(F.first("h").alias("h"), F.min(F.struct("id", "copies")).alias("r")).select("key", "h", F.col("r.id").alias("rep"), F.col("r.copies").alias("copies")), "classes")
+    classes = materialize(classes.groupBy("key").agg(F.first("h").alias("h"), F.min(F.struct("id", "copies")).alias("r")).select("key", "h", F.col("r.id").alias("rep"), F.col("r.copies").alias("copies")), "classes", keep=True)
+    with scratch(df.sparkSession):
+        by_class = materialize(class_groups(docs, classes, percent, k), "by-class", keep=True)
+    release_shuffles(df.sparkSession)
+    return sets.join(by_class, "key", "left").select("id", "text_hash", "n", "grp", F.coalesce("least", "id").alias("component_id"))
+
+
+def class_groups(docs: DataFrame, classes: DataFrame, percent: int, k: int) -> DataFrame:
+    """(key, grp, least) of every class of equal sets: its group, and the smallest id in it. Each phase's shuffle files go
+    before the next phase writes its own."""
+    spark = docs.sparkSession
     schemes = plan(docs, "text", "id", percent, k)
     met = materialize(meet(index_keys(docs, percent, k, schemes), percent), "met")
     wanted = met.select(F.col("a").alias("h")).union(met.where("b is not null").select("b")).distinct()
+    release_shuffles(spark)
     reps = materialize(classes.join(wanted, "h").select(F.col("rep").alias("id"), "h", "copies"), "reps")
     items = materialize(candidate_sets(docs, reps, k), "items")
 
+    release_shuffles(spark)
     comps = connected_components(verified(met.where("b is not null"), items, percent, "first"))
+    release_shuffles(spark)
     keys = set_keys(with_component(items, comps), percent, schemes)
     still = materialize(open_keys(keys), "open")
     live = materialize(keys.join(small(still, still.count()), "sig", "left_semi").select("sig", "h", "n"), "live")
     rest = live
     for turn in range(ROUNDS):
+        release_shuffles(spark)
         drawn = materialize(drawn_pairs(with_component(live, comps), percent, turn), "drawn")
         more = verified(drawn, items, percent, f"drawn{turn}")
         # Where hardly any drawn pair is a link, further ones would not be either; what there is joins the last links.
@@ -638,20 +653,21 @@ def jaccard_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         named = with_component(live, comps)
         rest = named.join(open_keys(named), "sig", "left_semi")
     sets_left = with_component(rest.select("h").distinct(), comps)
+    release_shuffles(spark)
     left = materialize(items.join(small(sets_left, items.count()), "h").select("h", "n", "sketch", "items", "comp"), "rest")
     links = [more] if more is not None and not more.isEmpty() else []
     if not left.isEmpty():
-        sketch = df.sparkSession.sparkContext.broadcast(frequency_sketch(left))
+        sketch = spark.sparkContext.broadcast(frequency_sketch(left))
         links.append(verified(crossing_pairs(rare_prefixes(left, sketch, percent), percent), left, percent, "rest-pairs"))
     links = [x for x in links if not x.isEmpty()]
+    release_shuffles(spark)
     if links:
         comps = connected_components(joined_links(comps, reduce(DataFrame.union, links)))
 
     members = comps.union(comps.select(F.col("component").alias("node"), "component").distinct()).join(classes.select(F.col("h").alias("node"), "rep"), "node")
     least = members.groupBy("component").agg(F.min("rep").alias("least"))
     named = members.join(least, "component").select(F.col("node").alias("h"), F.col("component").alias("root"), "least")
-    by_class = classes.join(named, "h", "left").select("key", F.coalesce("root", "h").alias("grp"), F.coalesce("least", "rep").alias("least"))
-    return sets.join(by_class, "key", "left").select("id", "text_hash", "n", "grp", F.coalesce("least", "id").alias("component_id"))
+    return classes.join(named, "h", "left").select("key", F.coalesce("root", "h").alias("grp"), F.coalesce("least", "rep").alias("least"))
 
 
 def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 4, percent: int = 85) -> DataFrame:
