@@ -2,9 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from packetloom.operators.windows import BLOCK
+from packetloom.plans.tables import settle
+
 PAGE_ROWS = 200_000
 
 
@@ -22,8 +30,8 @@ def column_order(rows: DataFrame, column: str, descending: bool = False, tie: st
 
 
 def tree_order(nodes: DataFrame, count: str = "count", name: str = "name") -> DataFrame:
-    """Most first, names upward among equals."""
-    return nodes.orderBy(F.desc(count), F.asc(name))
+    """Most first, names downward among equals."""
+    return nodes.orderBy(F.desc(count), F.desc(name))
 
 
 def page_by_ordinal(frames: DataFrame, first: int, rows: int) -> DataFrame:
@@ -33,14 +41,64 @@ def page_by_ordinal(frames: DataFrame, first: int, rows: int) -> DataFrame:
     return frames.where(F.col("ordinal").between(first, first + rows - 1))
 
 
-def split_by_seconds(frames: DataFrame, seconds: int) -> DataFrame:
-    """file: number of the interval since the first timed frame; untimed frames stay with the interval before them, as far
-    as their block of 65 536 ordinals shows one."""
-    start = frames.agg(F.min(F.unix_micros(F.col("ts").cast("timestamp"))).alias("start_"))
-    own = F.floor((F.unix_micros(F.col("ts").cast("timestamp")) - F.col("start_")) / (seconds * 1_000_000))
-    upto = Window.partitionBy(F.floor(F.col("ordinal") / 65_536)).orderBy("ordinal").rowsBetween(Window.unboundedPreceding, 0)
-    rows = frames.crossJoin(F.broadcast(start)).withColumn("own_", own)
-    return rows.withColumn("file", F.coalesce(F.last("own_", ignorenulls=True).over(upto), F.lit(0))).drop("start_", "own_")
+def split_by_seconds(frames: DataFrame, seconds: float, block_rows: int = 1_000_000) -> DataFrame:
+    """file: number of the file that a frame goes to, from 0. A file starts at its first frame, and the first frame that
+    is `seconds` or more later starts the next. Frames without a time are refused.
+
+    Only frames later than all before them can start a file. These are dealt by time into blocks; every block works out,
+    for each of its frames, the last file that starts in it if that frame starts one. The chain of files then takes one
+    look-up a block, and no task more than a block."""
+    if not frames.where("ts IS NULL").isEmpty():
+        raise ValueError("frames without a time can't be split by time")
+    span = int(seconds * 1_000_000)
+    block = F.floor(F.col("ordinal") / BLOCK).alias("block_")
+    rows = frames.select("ordinal", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"), block)
+    before = Window.partitionBy("block_").orderBy("ordinal").rowsBetween(Window.unboundedPreceding, -1)
+    carried = rows.groupBy("block_").agg(F.max("us").alias("top")).select("block_", F.max("top").over(Window.orderBy("block_").rowsBetween(Window.unboundedPreceding, -1)).alias("carry"))
+    records = rows.withColumn("top", F.max("us").over(before)).join(carried, "block_")
+    records = settle(records.where(F.greatest("top", "carry").isNull() | (F.col("us") > F.greatest("top", "carry"))).select("ordinal", "us"), "records")
+
+    def chain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches if b.num_rows]
+        if held:
+            ordinal, us = (np.concatenate(x) for x in zip(*held, strict=True))
+            last = np.searchsorted(us, us + span)
+            last = np.where(last < len(us), last, np.arange(len(us)))
+            while (last[last] != last).any():
+                last = last[last]
+            part = np.full(len(us), TaskContext.get().partitionId(), np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(ordinal), pa.array(us), pa.array(us[last])], names=["part", "ordinal", "us", "last_us"])
+
+    dealt = records.repartitionByRange(-(-records.count() // block_rows) or 1, "us").sortWithinPartitions("us")
+    table = settle(dealt.mapInArrow(chain, "part int, ordinal long, us long, last_us long"), "chains")
+    entries, due = [], None
+    for b in table.groupBy("part").agg(F.min("us").alias("low"), F.max("us").alias("high")).orderBy("low").collect():
+        due = b.low if due is None else due
+        if due <= b.high:
+            hit = table.where((F.col("part") == b.part) & (F.col("us") >= due)).agg(F.min(F.struct("us", "last_us")).alias("m")).first().m
+            entries.append((b.part, hit.us))
+            due = hit.last_us + span
+    if not entries:
+        return frames.withColumn("file", F.lit(0).cast("long"))
+
+    def starts(key: tuple, block_: pa.Table) -> pa.Table:
+        sorted_ = block_.sort_by("us")
+        us, ordinal = sorted_["us"].to_numpy(), sorted_["ordinal"].to_numpy()
+        at, found = int(np.searchsorted(us, sorted_["entry"][0].as_py())), []
+        while at < len(us):
+            found.append(at)
+            at = int(np.searchsorted(us, us[at] + span))
+        return pa.table({"ordinal": ordinal[found], "starts_": np.ones(len(found), np.int32)})
+
+    entered = table.join(F.broadcast(table.sparkSession.createDataFrame(entries, "part int, entry long")), "part")  # one row a block
+    marks = entered.groupBy("part").applyInArrow(starts, "ordinal long, starts_ int")
+    marked = frames.join(marks, "ordinal", "left").withColumn("block_", F.floor(F.col("ordinal") / BLOCK))
+    upto = Window.partitionBy("block_").orderBy("ordinal").rowsBetween(Window.unboundedPreceding, 0)
+    earlier = Window.orderBy("block_").rowsBetween(Window.unboundedPreceding, -1)
+    counts = marks.groupBy(F.floor(F.col("ordinal") / BLOCK).alias("block_")).agg(F.sum("starts_").alias("n"))
+    blocks = marked.select("block_").distinct().join(counts, "block_", "left").select("block_", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("carry_"))
+    own = F.coalesce(F.sum("starts_").over(upto), F.lit(0))
+    return marked.withColumn("own_", own).join(blocks, "block_").withColumn("file", (F.col("own_") + F.col("carry_") - 1).cast("long")).drop("block_", "own_", "carry_", "starts_")
 
 
 def relative_ack(frames: DataFrame) -> DataFrame:
@@ -79,10 +137,21 @@ def time_texts(ts: Column, first: Column) -> dict[str, Column]:
     }
 
 
-def conversation_term(a_ip: Column, a_port: Column, b_ip: Column, b_port: Column) -> Column:
-    """The filter term that a conversation's frames meet; ports only where there are some."""
-    ports = F.when((a_port > 0) & (b_port > 0), F.concat(F.lit(" and port == "), a_port.cast("string"), F.lit(" and port == "), b_port.cast("string"))).otherwise("")
-    return F.concat(F.lit("ip == "), a_ip, F.lit(" and ip == "), b_ip, ports)
+def conversation_terms(sessions: DataFrame) -> DataFrame:
+    """(session_id, layer, term): the filter terms that keep a session's conversation, at each layer that it has. MAC
+    addresses where the sessions carry client_mac and server_mac; equal ports are written once."""
+    addresses = F.concat(F.lit("ip == "), "client_ip", F.lit(" and ip == "), "server_ip")
+    port = lambda c: F.concat(F.lit("port == "), F.col(c).cast("string"))
+    ports = F.when(F.col("client_port") == F.col("server_port"), port("client_port")).otherwise(F.concat(port("client_port"), F.lit(" and "), port("server_port")))
+    version = F.when(F.col("client_ip").contains(":"), "IPv6").otherwise("IPv4")
+    option = lambda layer, term: F.struct(layer.alias("layer"), term.alias("term"))
+    options = [option(version, addresses)]
+    for name in ("tcp", "udp"):
+        options.append(F.when(F.col("proto") == name, option(F.lit(name.upper()), F.concat(F.lit(f"{name} and "), addresses, F.lit(" and "), ports))))
+    if {"client_mac", "server_mac"} <= set(sessions.columns):
+        options.append(F.when(F.col("client_mac").isNotNull() & F.col("server_mac").isNotNull(), option(F.lit("Ethernet"), F.concat(F.lit("mac == "), "client_mac", F.lit(" and mac == "), "server_mac"))))
+    rows = sessions.withColumn("option_", F.explode(F.filter(F.array(*options), lambda o: o.isNotNull() & o["term"].isNotNull())))
+    return rows.select("session_id", F.col("option_.layer").alias("layer"), F.col("option_.term").alias("term"))
 
 
 def remote_endpoints(sessions: DataFrame) -> DataFrame:
@@ -116,15 +185,3 @@ def http_statistics(frames: DataFrame) -> DataFrame:
     group = F.coalesce("http_method", F.concat(F.floor(F.col("http_status") / 100).cast("string"), F.lit("xx")))
     leaf = F.coalesce(F.col("http_status").cast("string"), F.col("http_method"))
     return http.select(kind.alias("kind"), group.alias("group"), leaf.alias("leaf")).rollup("kind", "group", "leaf").agg(F.count("*").alias("count"))
-
-
-def activities(answers: DataFrame, connections: DataFrame, window_seconds: int = 30) -> DataFrame:
-    """Connections with the name that led to them: the latest answer for their address within the window before their
-    start. contested: another name was answered for the address in the window too."""
-    from packetloom.operators.pairing import following
-
-    pairs = following(answers, connections, window_seconds)
-    return pairs.groupBy("session_id").agg(
-        F.min_by("name", F.struct("after_us", -F.col("answer_ordinal"))).alias("name"), F.min_by("answer_ordinal", F.struct("after_us", -F.col("answer_ordinal"))).alias("answer_ordinal"),
-        F.min("after_us").alias("after_us"), (F.count_distinct("name") > 1).alias("contested"),
-    )

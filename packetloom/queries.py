@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from packetloom.functions import net
 from packetloom.model import frames_cte, frames_from_events
-from packetloom.operators import annotate, files, findings, listing, pairing, predicates as P, sessions as S, stats, streams, tcp_state, timeline, timings, windows
+from packetloom.operators import activities, annotate, files, findings, listing, pairing, predicates as P, sessions as S, stats, streams, tcp_state, timeline, timings, windows
 from packetloom.plans import history, synthesis
 from packetloom.plans.tables import settle, shared_dir
 from packetloom.sources import capture, decode, rebuild
@@ -561,10 +561,19 @@ def q_ordinal_page(spark, sf_dir):
     return listing.page_by_ordinal(frames(spark, sf_dir), 101, 300).select("ordinal", "src_ip", "dst_ip", "orig_len")
 
 
-@query("split_seconds", """, m AS (SELECT min(epoch_us(ts)) AS s FROM frames), o AS (SELECT ordinal, CASE WHEN ts IS NOT NULL THEN CAST(floor((epoch_us(ts) - s) / 3600000000) AS BIGINT) END AS own FROM frames, m)
-SELECT ordinal, coalesce(last_value(own IGNORE NULLS) OVER (PARTITION BY ordinal // 65536 ORDER BY ordinal ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 0) AS file FROM o""")
+#: A file starts at its first frame: each start gives the next.
+SPLIT_SECONDS_SQL = """WITH RECURSIVE {ctes}, f AS (SELECT ordinal, epoch_us(ts) AS us FROM frames WHERE ts IS NOT NULL),
+s(ordinal, us) AS (SELECT arg_min(ordinal, ordinal), arg_min(us, ordinal) FROM f UNION ALL
+  SELECT min(f.ordinal), arg_min(f.us, f.ordinal) FROM s JOIN f ON f.ordinal > s.ordinal AND f.us >= s.us + 86400000000 HAVING count(*) > 0)
+SELECT ordinal, (SELECT count(*) FROM s WHERE s.ordinal <= f.ordinal) - 1 AS file FROM f"""
+
+
+@query("split_seconds", "")
 def q_split_seconds(spark, sf_dir):
-    return listing.split_by_seconds(frames(spark, sf_dir), 3600).select("ordinal", "file")
+    return listing.split_by_seconds(frames(spark, sf_dir).where("ts IS NOT NULL"), 86_400).select("ordinal", "file")
+
+
+ORACLES["split_seconds"] = SPLIT_SECONDS_SQL.format(ctes=frames_cte())
 
 
 @query("relative_ack", """, w AS (SELECT *, src_ip < dst_ip OR (src_ip = dst_ip AND src_port < dst_port) AS lowside, least(concat(src_ip, '|', src_port), concat(dst_ip, '|', dst_port)) AS x, greatest(concat(src_ip, '|', src_port), concat(dst_ip, '|', dst_port)) AS y FROM frames WHERE proto = 'tcp'),
@@ -588,9 +597,10 @@ def q_time_texts(spark, sf_dir):
     return f.select("ordinal", "ts").crossJoin(F.broadcast(first)).select("ordinal", *[c.alias(n) for n, c in listing.time_texts(F.col("ts"), F.col("first")).items()])
 
 
-@query("conversation_terms", """SELECT session_id, concat('ip == ', client_ip, ' and ip == ', server_ip, CASE WHEN client_port > 0 AND server_port > 0 THEN concat(' and port == ', client_port, ' and port == ', server_port) ELSE '' END) AS term FROM sessions""", sessions=True)
+@query("conversation_terms", """, ct AS (SELECT *, concat('ip == ', client_ip, ' and ip == ', server_ip) AS a, CASE WHEN client_port = server_port THEN concat('port == ', client_port) ELSE concat('port == ', client_port, ' and port == ', server_port) END AS p FROM sessions)
+SELECT session_id, 'IPv4' AS layer, a AS term FROM ct UNION ALL SELECT session_id, upper(proto), concat(proto, ' and ', a, ' and ', p) FROM ct WHERE proto IN ('tcp', 'udp')""", sessions=True)
 def q_terms(spark, sf_dir):
-    return all_sessions(spark, sf_dir).select("session_id", listing.conversation_term(F.col("client_ip"), F.col("client_port"), F.col("server_ip"), F.col("server_port")).alias("term"))
+    return listing.conversation_terms(all_sessions(spark, sf_dir))
 
 
 @query("remote_endpoints", """SELECT server_ip, count(*) AS sessions, count(DISTINCT client_ip) AS clients, CAST(sum(bytes) AS BIGINT) AS bytes, min(first_ordinal) AS first_ordinal, max(first_ordinal) AS last_ordinal FROM sessions GROUP BY 1""", sessions=True)
@@ -616,13 +626,29 @@ def q_http_statistics(spark, sf_dir):
     return listing.http_statistics(frames(spark, sf_dir))
 
 
-@query("activities", """, n AS (SELECT dns_answer AS address, lower(dns_name) AS name, ordinal, ts FROM frames WHERE dns_answer IS NOT NULL AND ts IS NOT NULL),
-p AS (SELECT session_id, name, ordinal, epoch_us(start) - epoch_us(ts) AS after_us FROM sessions JOIN n ON server_ip = address WHERE start IS NOT NULL AND epoch_us(start) - epoch_us(ts) BETWEEN 0 AND 30000000)
-SELECT session_id, arg_min(name, {'a': after_us, 'o': -ordinal}) AS name, arg_min(ordinal, {'a': after_us, 'o': -ordinal}) AS answer_ordinal, min(after_us) AS after_us, count(DISTINCT name) > 1 AS contested FROM p GROUP BY 1""", sessions=True)
+#: No session of these tables dials a name server's answer and answers names itself, so no answer is ever taken by another.
+ACTIVITIES_SQL = """, z AS (SELECT session_id, epoch_us(start) AS us, start, first_ordinal, server_ip, process, dns_answers, list_distinct(list_filter([trim(dns_query), trim(sni), trim(http_host)], lambda x: regexp_matches(x, '[A-Za-z]'))) AS names,
+  coalesce(nullif(trim(dns_query), ''), nullif(trim(http_host), ''), nullif(trim(sni), ''), server_ip) AS name FROM sessions),
+l AS (SELECT session_id AS leader, us AS led_us, first_ordinal AS o, name, unnest(dns_answers) AS address FROM z),
+f AS (SELECT z.session_id, arg_min(leader, {'u': led_us, 'o': o}) AS activity_id FROM z JOIN l ON server_ip = address AND us BETWEEN led_us AND led_us + {window} AND session_id <> leader GROUP BY 1),
+d AS (SELECT session_id, activity_id FROM f UNION SELECT activity_id, activity_id FROM f),
+r AS (SELECT *, names[1] AS n FROM z WHERE len(names) = 1 AND process IS NOT NULL AND us IS NOT NULL AND session_id NOT IN (SELECT session_id FROM d)),
+q AS (SELECT *, sum(new) OVER (PARTITION BY process, n ORDER BY us, first_ordinal) AS run FROM (SELECT *, CASE WHEN us - lag(us) OVER (PARTITION BY process, n ORDER BY us, first_ordinal) > {gap} THEN 1 ELSE 0 END AS new FROM r)),
+i AS (SELECT session_id, first_value(session_id) OVER (PARTITION BY process, n, run ORDER BY us, first_ordinal) AS activity_id, count(*) OVER (PARTITION BY process, n, run) AS c FROM q),
+m AS (SELECT session_id, activity_id, 'dns' AS kind FROM d UNION ALL SELECT session_id, activity_id, 'identity' FROM i WHERE c > 1),
+gg AS (SELECT activity_id, kind, count(*) AS sessions, min(start) AS start, CASE WHEN min(process) = max(process) THEN min(process) END AS process FROM m JOIN z ON m.session_id = z.session_id GROUP BY 1, 2),
+k AS (SELECT activity_id, CASE WHEN count(DISTINCT x) = 1 THEN min(x) END AS canonical FROM (SELECT activity_id, unnest(names) AS x FROM m JOIN z ON m.session_id = z.session_id) GROUP BY 1),
+v AS (SELECT a.leader AS activity_id, string_agg(DISTINCT b.name, ',' ORDER BY b.name) AS competing FROM l a JOIN l b ON a.address = b.address AND a.name <> b.name GROUP BY 1)
+SELECT gg.activity_id, kind, sessions, gg.start, z.name, gg.process, canonical, coalesce(CASE WHEN kind = 'dns' THEN competing END, '') AS competing,
+  CASE WHEN kind = 'dns' AND competing IS NOT NULL THEN 'weak' WHEN kind = 'dns' THEN 'causal' ELSE 'strong' END AS confidence
+FROM gg JOIN z ON gg.activity_id = z.session_id LEFT JOIN k ON gg.activity_id = k.activity_id LEFT JOIN v ON gg.activity_id = v.activity_id"""
+
+
+@query("activities", ACTIVITIES_SQL.replace("{window}", "3600000000").replace("{gap}", "7200000000"), sessions=True)
 def q_activities(spark, sf_dir):
-    f = frames(spark, sf_dir)
-    answers = f.where("dns_answer IS NOT NULL AND ts IS NOT NULL").select(F.col("dns_answer").alias("address"), F.lower("dns_name").alias("name"), "ordinal", "ts")
-    return listing.activities(answers, S.fold_sessions(f), 30)
+    """The window is an hour and the gap two, as sessions of these tables begin minutes apart."""
+    out = activities.activities(all_sessions(spark, sf_dir), 3600, 7200)
+    return out.withColumn("competing", F.array_join("competing", ","))
 
 
 def captured(spark: SparkSession, sf_dir: str) -> DataFrame:
