@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -39,6 +40,7 @@ def settle(df: DataFrame, label: str, keep: bool = False) -> DataFrame:
 def release_shuffles(spark: SparkSession) -> None:
     """Have the shuffle files of ended jobs removed. Spark removes them once the driver's JVM has collected their
     handles, which without pressure on its memory happens every half an hour only: long after a step of many shuffles."""
+    gc.collect()  # frames that Python still holds in cycles keep their handles alive
     spark.sparkContext._jvm.System.gc()
 
 
