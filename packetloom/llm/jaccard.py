@@ -563,6 +563,7 @@ def plausible(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def verified(pairs: DataFrame, sets: DataFrame, percent: int, label: str) -> DataFrame:
     """The pairs (a, b) whose whole sets are similar enough. Whole sets are moved only where sketches allow a link."""
     pairs = materialize(plausible(pairs, sets, percent), label)
+    release_shuffles(pairs.sparkSession)
     ids = pairs.select(F.col("a").alias("h")).union(pairs.select(F.col("b").alias("h"))).distinct()
     sets = sets.join(small(ids, 2 * pairs.count()), "h", "left_semi")
     left = sets.select(F.col("h").alias("a"), F.col("n").alias("na"), F.col("items").alias("xa"))
