@@ -97,3 +97,65 @@ def fragmented(made: DataFrame, size: int, ip_id: Column) -> DataFrame:
     more = (F.col("fragment") < F.col("fragments") - 1).cast("int")
     head = F.concat(F.lit("4500"), u(F.length(part) + 20, 2), u(ip_id, 2), u(more * 8192 + F.col("fragment") * (size // 8), 2))
     return rows.withColumn("bytes", F.concat(F.substring("bytes", 1, 14), F.unhex(head), F.substring("bytes", 23, 12), part)).drop("body_")
+
+
+ETHERNET_HEAD = "02005E005301" + "02005E005302"
+
+
+def ip4(payload: Column, proto: Column | int, src: Column, dst: Column) -> Column:
+    """Hex digits of an IPv4 packet around a payload's hex digits."""
+    return F.concat(F.lit("4500"), u(F.length(payload) / 2 + 20, 2), F.lit("00010000"), u(64, 1), u(proto, 1), F.lit("0000"), dotted(src), dotted(dst), payload)
+
+
+def ip6(payload: Column, proto: int, src: Column, dst: Column, hop_by_hop: Column) -> Column:
+    """Hex digits of an IPv6 packet; src and dst are the addresses' hex digits. hop_by_hop: whether that header is there."""
+    inner = F.when(hop_by_hop, F.concat(u(proto, 1), F.lit("00" + "0104" + "00000000"), payload)).otherwise(payload)
+    return F.concat(F.lit("60000000"), u(F.length(inner) / 2, 2), u(F.when(hop_by_hop, 0).otherwise(proto), 1), u(64, 1), src, dst, inner)
+
+
+def ethernet(packet: Column, kind: str = "0800") -> Column:
+    return F.unhex(F.concat(F.lit(ETHERNET_HEAD + kind), packet))
+
+
+def icmp_error(kind: int, code: Column, packet: Column) -> Column:
+    """Hex digits of an ICMP error that quotes a packet's header and eight bytes behind it."""
+    return F.concat(u(kind, 1), u(code, 1), F.lit("0000" + "00000000"), F.substring(packet, 1, 56))
+
+
+def tunnelled(made: DataFrame, kind: Column, src: str, dst: str) -> DataFrame:
+    """packets()' rows inside a tunnel: kind 0 leaves them, 1 is IP in IP, 2 GRE, 3 VXLAN."""
+    frame = F.hex("bytes")
+    inner, s, d = F.substring(frame, 29, 1 << 20), F.lit(src), F.lit(dst)
+    vxlan = F.concat(F.lit("C0001" + "2B5"), u(F.length(frame) / 2 + 16, 2), F.lit("0000" + "08000000" + "00002A00"), frame)
+    around = F.when(kind == 1, ip4(inner, 4, s, d)).when(kind == 2, ip4(F.concat(F.lit("00000800"), inner), 47, s, d)).when(kind == 3, ip4(vxlan, 17, s, d))
+    return made.withColumn("bytes", F.when(kind == 0, F.col("bytes")).otherwise(ethernet(around)))
+
+
+def little(value: Column, size: int) -> Column:
+    """Little-endian hex digits of a number of so many bytes."""
+    return F.concat(*[u(F.floor(value / 256**i) % 256, 1) for i in range(size)])
+
+
+def smb2_payload() -> Column:
+    """An SMB2 header in its session packet, for rows with command, message_id, reply, and pending (an interim answer)."""
+    flags = F.when(F.col("reply"), 1).otherwise(0)
+    header = F.concat(F.lit("FE534D42" + "4000" + "0000"), little(F.when(F.col("pending"), 0x103).otherwise(0), 4), little(F.col("command"), 2), F.lit("0100"), little(flags, 4), F.lit("00" * 4), little(F.col("message_id"), 8), F.lit("00" * 32))
+    return F.concat(F.lit("00000040"), header)
+
+
+def tls_alert(level: Column, code: Column) -> Column:
+    """A record of application data, then an alert."""
+    return F.concat(F.lit("1703030004" + "AA" * 4 + "1503030002"), u(level, 1), u(code, 1))
+
+
+def sip_payload() -> Column:
+    """A SIP message of a call for rows with call, status (null in requests), method, cseq and padding."""
+    first = F.when(F.col("status").isNull(), F.concat(F.col("method"), F.lit(" sip:bob@b.example SIP/2.0\r\n"))).otherwise(F.concat(F.lit("SIP/2.0 "), F.col("status").cast("string"), F.lit(" x\r\n")))
+    return text(
+        F.concat(first, F.lit("X-Padding: "), F.repeat(F.lit("p"), F.col("padding").cast("int")), F.lit("\r\nFrom: <sip:alice@a.example>;tag=1\r\nt: <sip:bob@b.example>\r\nCall-ID: "), "call", F.lit("\r\nCSeq: "), F.col("cseq").cast("string"), F.lit(" "), "method", F.lit("\r\n\r\n"))
+    )
+
+
+def rtp_payload(kind: int, sequence: Column, timestamp: Column, source: Column, size: int = 20) -> Column:
+    """An RTP packet of a payload type (RFC 3550)."""
+    return F.concat(F.lit("80"), u(kind, 1), u(sequence % 65536, 2), u(timestamp % (1 << 32), 4), u(source, 4), F.lit("00" * size))

@@ -733,3 +733,89 @@ def q_http_heads(spark, sf_dir):
     request = F.concat(F.col("http_method"), F.lit(" /"), path, F.lit(" HTTP/1.1\r\nCookie: "), cookie, F.lit("\r\n"), host, F.lit("\r\n"))
     made = synthesis.packets(rows.withColumns({"payload_hex": synthesis.text(request), "payload_len": F.length(request).cast("long")}))
     return decode.decode(written(made)).select("ordinal", "http_method", "http_host", "payload_len")
+
+
+SESSION_KEY = "CASE WHEN {{'ip': {s}, 'port': {p}}} <= {{'ip': {d}, 'port': {q}}} THEN concat_ws('|', '{proto}', {s}, {p}, {d}, {q}) ELSE concat_ws('|', '{proto}', {d}, {q}, {s}, {p}) END"
+
+
+@query("icmp_errors", f"""SELECT ordinal, {SESSION_KEY.format(proto="icmp", s="src_ip", d="dst_ip", p=0, q=0)} AS session_id, 4 AS version, CASE WHEN ordinal % 3 = 0 THEN 8 WHEN ordinal % 3 = 1 THEN 3 ELSE 11 END AS type, CAST(CASE WHEN ordinal % 3 = 0 THEN 0 ELSE ordinal % 5 END AS INT) AS code,
+  CASE WHEN ordinal % 3 > 0 THEN {SESSION_KEY.format(proto="udp", s="src_ip", d="dst_ip", p="src_port", q="dst_port")} END AS quoted_session FROM frames WHERE proto = 'udp' AND ts IS NOT NULL""")
+def q_icmp(spark, sf_dir):
+    """Every datagram is answered by an error that quotes it, or by an echo request."""
+    made = synthesis.packets(frames(spark, sf_dir).where("proto = 'udp' AND ts IS NOT NULL"))
+    packet, third = F.substring(F.hex("bytes"), 29, 1 << 20), F.col("ordinal") % 3
+    message = F.when(third == 0, F.lit("0800" + "0000" + "00010001")).when(third == 1, synthesis.icmp_error(3, F.col("ordinal") % 5, packet)).otherwise(synthesis.icmp_error(11, F.col("ordinal") % 5, packet))
+    sent = made.withColumn("bytes", synthesis.ethernet(synthesis.ip4(message, 1, F.col("dst_ip"), F.col("src_ip"))))
+    return decode.icmp_errors(settle(decode.decode(written(sent)), "decoded")).select("ordinal", "session_id", "version", "type", "code", "quoted_session")
+
+
+@query("tunnelled_frames", """SELECT ordinal, src_ip, CAST(src_port AS INT) AS src_port, dst_ip, CAST(dst_port AS INT) AS dst_port, proto, CAST(flags AS INT) AS flags, CASE WHEN ordinal % 4 > 0 THEN '203.0.113.1>203.0.113.2' ELSE '' END AS outer_path FROM frames WHERE ts IS NOT NULL""")
+def q_tunnelled(spark, sf_dir):
+    made = synthesis.tunnelled(synthesis.packets(frames(spark, sf_dir).where("ts IS NOT NULL")), F.col("ordinal") % 4, "203.0.113.1", "203.0.113.2")
+    rows = decode.through_tunnels(written(made))
+    return rows.select("ordinal", "src_ip", "src_port", "dst_ip", "dst_port", "proto", "flags", F.array_join(F.transform("outer_ips", lambda x: F.concat(x["src"], F.lit(">"), x["dst"])), ",").alias("outer_path"))
+
+
+@query("tls_findings", f"""SELECT session_id, kind, count(*) AS frames, min(ordinal) AS first_cited FROM (SELECT {SESSION_KEY.format(proto="tcp", s="src_ip", d="dst_ip", p="src_port", q="dst_port")} AS session_id, ordinal, CASE WHEN ordinal % 2 = 0 THEN 'tlsFatalAlert' WHEN ordinal % 100 NOT IN (0, 90) THEN 'tlsWarningAlert' END AS kind
+  FROM frames WHERE app = 'tls' AND payload_len > 0 AND ts IS NOT NULL AND sni IS NULL) WHERE kind IS NOT NULL GROUP BY 1, 2""")
+def q_tls_findings(spark, sf_dir):
+    """Alerts stand behind a record of data in the same frame."""
+    rows = frames(spark, sf_dir).where("app = 'tls' AND payload_len > 0 AND ts IS NOT NULL AND sni IS NULL")
+    alert = synthesis.tls_alert(2 - F.col("ordinal") % 2, F.col("ordinal") % 100)
+    made = synthesis.packets(rows.withColumns({"payload_hex": alert, "payload_len": F.lit(16).cast("long")}))
+    found = findings.tls_findings(settle(decode.tls_records(settle(decode.decode(written(made)), "decoded")), "records")).where("kind LIKE '%Alert'")
+    return found.select("session_id", "kind", F.col("cited").alias("frames"), "first_cited")
+
+
+@query("smb2_times", PAIR_SQL.format(carry="command", where="app = 'smb' AND payload_len > 0 AND ts IS NOT NULL AND NOT (reply AND k % 9 = 1)", id="message_id") + ' SELECT CAST(command AS INT) AS "procedure", count(*) AS calls, min(us / 1e6) AS least, max(us / 1e6) AS most, CAST(sum(us) AS BIGINT) / count(*) / 1e6 AS average, CAST(sum(us) AS BIGINT) / 1e6 AS total FROM p GROUP BY 1')
+def q_smb2(spark, sf_dir):
+    """Response times from SMB2 headers; interim answers don't count."""
+    rows = frames(spark, sf_dir).where("app = 'smb' AND payload_len > 0 AND ts IS NOT NULL").withColumn("pending", F.col("reply") & (F.col("k") % 9 == 1))
+    made = synthesis.packets(rows.withColumns({"payload_hex": synthesis.smb2_payload(), "payload_len": F.lit(68).cast("long")}))
+    sent = decode.smb2_messages(settle(decode.decode(written(made)), "decoded")).where("NOT interim")
+    pair = F.array_sort(F.array(F.struct(F.col("src_ip").alias("ip"), F.col("src_port").alias("port")), F.struct(F.col("dst_ip").alias("ip"), F.col("dst_port").alias("port"))))
+    return pairing.service_times(pairing.pair_once(sent.withColumn("ends", pair), ["ends", "message_id"], ~F.col("reply"), ("command",)), "command")
+
+
+@query("sip_messages", """SELECT ordinal, concat('call', user_id % 9) AS call_id, CASE WHEN NOT reply THEN CASE WHEN k % 4 = 0 THEN 'INVITE' ELSE 'BYE' END END AS method, CASE WHEN reply THEN CASE WHEN k % 3 = 0 THEN 486 ELSE 200 END END AS status, CAST(k AS BIGINT) AS cseq, CASE WHEN k % 4 = 0 THEN 'INVITE' ELSE 'BYE' END AS cseq_method,
+  concat(src_ip, ':5060') AS src, concat(dst_ip, ':5060') AS dst, 'sip:alice@a.example' AS from_uri, 'sip:bob@b.example' AS to_uri FROM frames WHERE app = 'dns' AND ts IS NOT NULL""")
+def q_sip(spark, sf_dir):
+    """Calls whose identifying headers stand behind a long one, beyond four thousand bytes in some."""
+    rows = frames(spark, sf_dir).where("app = 'dns' AND ts IS NOT NULL")
+    facts = {"call": F.concat(F.lit("call"), (F.col("user_id") % 9).cast("string")), "status": F.when(F.col("reply"), F.when(F.col("k") % 3 == 0, 486).otherwise(200)), "method": F.when(F.col("k") % 4 == 0, "INVITE").otherwise("BYE"), "cseq": F.col("k"), "padding": F.col("ordinal") % 3 * 2500}
+    made = rows.withColumns(facts | {"src_port": F.lit(5060), "dst_port": F.lit(5060)})
+    decoded = settle(decode.decode(written(synthesis.packets(made.withColumn("payload_hex", synthesis.sip_payload())))), "decoded")
+    return decode.sip_messages(decoded).drop("ts")
+
+
+@query("ipv6_frames", """SELECT ordinal, concat('2001:db8:0:0:0:0:', format('{:x}', CAST(split_part(src_ip, '.', 1) AS INT) * 256 + CAST(split_part(src_ip, '.', 2) AS INT)), ':', format('{:x}', CAST(split_part(src_ip, '.', 3) AS INT) * 256 + CAST(split_part(src_ip, '.', 4) AS INT))) AS src_ip,
+  CAST(src_port AS INT) AS src_port, CAST(dst_port AS INT) AS dst_port, dns_name, CAST(64 AS BIGINT) AS ttl FROM frames WHERE app = 'dns' AND ts IS NOT NULL""")
+def q_ipv6(spark, sf_dir):
+    """Name messages over IPv6, every second one behind a hop-by-hop header."""
+    made = synthesis.packets(frames(spark, sf_dir).where("app = 'dns' AND ts IS NOT NULL"))
+    address = lambda c: F.concat(F.lit("20010DB8" + "00" * 8), synthesis.dotted(F.col(c)))
+    datagram = F.substring(F.hex("bytes"), 69, 1 << 20)
+    sent = made.withColumn("bytes", synthesis.ethernet(synthesis.ip6(datagram, 17, address("src_ip"), address("dst_ip"), F.col("ordinal") % 2 == 0), "86DD"))
+    return decode.decode(written(sent)).select("ordinal", "src_ip", "src_port", "dst_port", "dns_name", "ttl")
+
+
+#: Streams by construction: a SYN, then pieces whose numbers wrap; neighbours swapped, some sent again, some lost.
+FOLLOW_SQL = """, p AS (SELECT ordinal, concat_ws('|', src_ip, src_port, dst_ip, dst_port) AS tuple_id, 1 + ordinal % 40 AS n, row_number() OVER (PARTITION BY src_ip, src_port, dst_ip, dst_port ORDER BY ordinal) AS nth, ordinal % 11 = 3 AS lost FROM frames WHERE proto = 'tcp'),
+o AS (SELECT *, sum(CASE WHEN NOT lost AND coalesce(was, false) THEN 1 ELSE 0 END) OVER (PARTITION BY tuple_id ORDER BY nth) AS run FROM (SELECT *, lag(lost) OVER (PARTITION BY tuple_id ORDER BY nth) AS was FROM p))
+SELECT tuple_id, CAST(run AS INT) AS run, 4 * (nth + CASE WHEN nth % 2 = 1 THEN 1 ELSE -1 END) AS ordinal, repeat(chr(CAST(65 + ordinal % 26 AS INT)), CAST(n AS INT)) AS data FROM o WHERE NOT lost"""
+
+
+@query("follow_streams", FOLLOW_SQL)
+def q_follow(spark, sf_dir):
+    rows = frames(spark, sf_dir).where("proto = 'tcp'")
+    way = Window.partitionBy("src_ip", "src_port", "dst_ip", "dst_port").orderBy("ordinal")
+    n = 1 + F.col("ordinal") % 40
+    rows = rows.select(F.concat_ws("|", "src_ip", "src_port", "dst_ip", "dst_port").alias("tuple_id"), "ordinal", n.alias("n"), F.row_number().over(way).alias("nth"), (F.sum(n).over(way) - n).alias("at"))
+    swapped = 4 * (F.col("nth") + F.when(F.col("nth") % 2 == 1, 1).otherwise(-1))
+    data = F.encode(F.repeat(F.chr(65 + F.col("ordinal") % 26), F.col("n").cast("int")), "UTF-8")
+    base = (1 << 32) - 100
+    pieces = rows.where("ordinal % 11 <> 3").withColumn("copy", F.explode(F.when(F.col("ordinal") % 5 == 0, F.array(F.lit(0), F.lit(9))).otherwise(F.array(F.lit(0)))))
+    sent = pieces.select("tuple_id", (swapped + F.col("copy")).cast("long").alias("ordinal"), F.pmod(F.col("at") + base, F.lit(1 << 32)).alias("seq"), F.lit(16).alias("flags"), data.alias("payload"))
+    opened = rows.where("nth = 1").select("tuple_id", F.lit(-1).cast("long").alias("ordinal"), F.lit(base - 1).cast("long").alias("seq"), F.lit(2).alias("flags"), F.lit(None).cast("binary").alias("payload"))
+    out = streams.follow(sent.unionByName(opened).withColumn("way", F.lit(0)))
+    return out.select("tuple_id", "run", "ordinal", F.decode("data", "UTF-8").alias("data"))
