@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from packetloom.functions import net
 from packetloom.model import frames_cte, frames_from_events
-from packetloom.operators import activities, annotate, files, findings, listing, pairing, predicates as P, sessions as S, stats, streams, tcp_state, timeline, timings, windows
+from packetloom.operators import activities, annotate, files, findings, health, listing, pairing, predicates as P, sessions as S, stats, streams, tcp_state, timeline, timings, windows
 from packetloom.plans import history, synthesis
 from packetloom.plans.tables import settle, shared_dir
 from packetloom.sources import capture, decode, rebuild
@@ -819,3 +819,52 @@ def q_follow(spark, sf_dir):
     opened = rows.where("nth = 1").select("tuple_id", F.lit(-1).cast("long").alias("ordinal"), F.lit(base - 1).cast("long").alias("seq"), F.lit(2).alias("flags"), F.lit(None).cast("binary").alias("payload"))
     out = streams.follow(sent.unionByName(opened).withColumn("way", F.lit(0)))
     return out.select("tuple_id", "run", "ordinal", F.decode("data", "UTF-8").alias("data"))
+
+
+#: Connections by construction: pieces of data, each answered at once. A piece in eleven is lost and comes four places later;
+#: meanwhile its followers are reported selectively. Positions are known from the pieces alone.
+HEALTH_SQL = """, p AS (SELECT *, concat_ws('|', src_ip, src_port, dst_ip, dst_port) AS tuple_id, 1 + ordinal % 40 AS n, row_number() OVER w AS nth, ordinal % 11 = 3 AS lost FROM frames WHERE proto = 'tcp' AND ts IS NOT NULL WINDOW w AS (PARTITION BY src_ip, src_port, dst_ip, dst_port ORDER BY ordinal)),
+a AS (SELECT tuple_id, ts, n, lost, 10 * nth + CASE WHEN lost THEN 45 ELSE 0 END AS place, 1 + sum(n) OVER (PARTITION BY tuple_id ORDER BY nth) AS high FROM p),
+s AS (SELECT *, high - n AS low, max(high) OVER (PARTITION BY tuple_id ORDER BY place) AS sent FROM a),
+h AS (SELECT x.tuple_id, x.place, x.ts, x.n, x.sent, coalesce(min(y.low), max(x.sent)) AS acked FROM s x LEFT JOIN s y ON x.tuple_id = y.tuple_id AND y.place > x.place AND y.low < x.sent GROUP BY ALL)
+SELECT tuple_id, CAST(place AS BIGINT) AS place, CAST(n AS BIGINT) AS credited, CAST(sent - lag(acked, 1, 1) OVER (PARTITION BY tuple_id ORDER BY place) AS BIGINT) AS in_flight, CAST(acked AS BIGINT) AS acked FROM h"""
+
+
+@query("tcp_health", HEALTH_SQL)
+def q_health(spark, sf_dir):
+    """From written segments, options included: bytes in flight at each piece, the edge of its answer, and what it credits."""
+    rows = frames(spark, sf_dir).where("proto = 'tcp' AND ts IS NOT NULL")
+    way = Window.partitionBy("src_ip", "src_port", "dst_ip", "dst_port").orderBy("ordinal")
+    n = 1 + F.col("ordinal") % 40
+    rows = rows.withColumns({"tuple_id": F.concat_ws("|", "src_ip", "src_port", "dst_ip", "dst_port"), "n": n, "nth": F.row_number().over(way), "high": 1 + F.sum(n).over(way)})
+    lost = F.col("ordinal") % 11 == 3
+    rows = rows.withColumns({"low": F.col("high") - F.col("n"), "place": (10 * F.col("nth") + F.when(lost, 45).otherwise(0)).cast("long"), "comes": F.when(lost, 45).otherwise(0)})
+    # The pieces that are missing at a place: lost ones among the five before it that have not come yet.
+    arrival = Window.partitionBy("tuple_id").orderBy("place")
+    sent = F.max("high").over(arrival.rowsBetween(Window.unboundedPreceding, 0))
+    later = F.collect_list(F.struct("low", "high")).over(arrival.rowsBetween(1, 6))
+    rows = rows.withColumns({"sent": sent, "gaps": F.array_sort(F.filter(later, lambda g: g["low"] < sent))})
+    edge = F.coalesce(F.get("gaps", F.lit(0))["low"], F.col("sent"))
+    # Between the gaps, and up to what was sent, lie the blocks.
+    ends = F.concat(F.transform("gaps", lambda g: g["low"]), F.array("sent"))
+    blocks = F.filter(F.transform("gaps", lambda g, i: F.struct(g["high"].alias("left"), F.get(ends, i + 1).alias("right"))), lambda b: b["left"] < b["right"])
+    rows = rows.withColumns({"edge": edge, "blocks": F.slice(blocks, 1, 4)})
+    base = (1 << 32) - 60
+    on_line = lambda c: F.pmod(c + base - 1, F.lit(1 << 32))
+    sack = F.when(F.size("blocks") > 0, F.concat(F.lit("010105"), synthesis.u(2 + 8 * F.size("blocks"), 1), F.array_join(F.transform("blocks", lambda b: F.concat(synthesis.u(on_line(b["left"]), 4), synthesis.u(on_line(b["right"]), 4))), "")))
+    common = {"win_size": F.lit(1000), "app": F.lit("tcp")}
+    data = rows.withColumns({"ordinal": 2 * F.col("place"), "seq": on_line(F.col("low")), "ack": F.lit(1).cast("long"), "flags": F.lit(16), "payload_len": F.col("n"), "payload_hex": F.repeat(F.lit("41"), F.col("n").cast("int")), "options_hex": F.lit("0101080A0000000700000009")} | common)
+    turned = {"src_ip": F.col("dst_ip"), "dst_ip": F.col("src_ip"), "src_port": F.col("dst_port"), "dst_port": F.col("src_port")}
+    answer = rows.withColumns(turned | {"ordinal": 2 * F.col("place") + 1, "seq": F.lit(1).cast("long"), "ack": on_line(F.col("edge")), "flags": F.lit(16), "payload_len": F.lit(0).cast("long"), "payload_hex": F.lit(""), "options_hex": sack} | common)
+    opening = rows.where("nth = 1").withColumns({"ordinal": F.lit(1).cast("long"), "seq": on_line(F.lit(0)), "ack": F.lit(None).cast("long"), "flags": F.lit(2), "payload_len": F.lit(0).cast("long"), "payload_hex": F.lit(""), "options_hex": F.lit(None).cast("string")} | common)
+    reply = opening.withColumns(turned | {"ordinal": F.lit(2).cast("long"), "seq": F.lit(0).cast("long"), "ack": on_line(F.lit(1)), "flags": F.lit(18)})
+    made = synthesis.packets(data.unionByName(answer).unionByName(opening).unionByName(reply))
+    sent_out = settle(made.select("tuple_id", "ordinal", "ts", F.lit(decode.ETHERNET).alias("link_type"), "bytes", F.length("bytes").cast("long").alias("orig_len")), "written")
+    read = settle(decode.decode(sent_out), "decoded")
+    shown = F.concat_ws("|", "src_ip", F.col("src_port").cast("string"), "dst_ip", F.col("dst_port").cast("string"))
+    options = decode.with_tcp_options(read).select("tuple_id", "ordinal", F.when(shown == F.col("tuple_id"), 0).otherwise(1).alias("way"), F.unix_micros(F.col("ts").cast("timestamp")).alias("ts_us"), "seq", "ack", "flags", "payload_len", F.col("win_size").alias("win"), F.col("win_shift").alias("shift"), "sack")
+    placed = settle(health.positions(options), "placed")
+    pieces = placed.where("way = 0 AND payload_len > 0").select("tuple_id", (F.col("ordinal") / 2).cast("long").alias("place"), F.col("own_in_flight").alias("in_flight"))
+    answers = placed.where("way = 1 AND ordinal > 2").select("tuple_id", F.floor(F.col("ordinal") / 2).alias("place"), "acked")
+    gained = health.credits(placed).where("way = 0").select("tuple_id", F.floor(F.col("ordinal") / 2).alias("place"), F.col("bytes").alias("credited"))
+    return pieces.join(answers, ["tuple_id", "place"]).join(gained, ["tuple_id", "place"], "left")

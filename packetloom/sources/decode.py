@@ -359,6 +359,31 @@ def tcp_option(at: Column, end: Column, kind: int, size: int) -> Column:
     return number(F.aggregate(F.sequence(F.lit(1), F.lit(40)), start, step, lambda a: a["found"]), size)
 
 
+def tcp_option_at(at: Column, end: Column, kind: int) -> Column:
+    """Where the value of a TCP option begins (at) and how many bytes it has (size); null if it is not there whole."""
+    start = F.struct(at.cast("int").alias("next"), F.lit(None).cast("int").alias("at"), F.lit(None).cast("int").alias("size"))
+
+    def step(a: Column, _: Column) -> Column:
+        k, n, inside = byte(a["next"]), byte(a["next"] + 1), a["next"] < end
+        jump = F.when(k == 1, 1).when((k > 1) & (n >= 2) & (a["next"] + n <= end), n)
+        hit = inside & (k == kind) & jump.isNotNull() & a["at"].isNull()
+        return F.struct(F.when(inside & jump.isNotNull(), a["next"] + jump).otherwise(1 << 20).alias("next"), F.when(hit, a["next"] + 2).otherwise(a["at"]).alias("at"), F.when(hit, n - 2).otherwise(a["size"]).alias("size"))
+
+    return F.aggregate(F.sequence(F.lit(1), F.lit(40)), start, step, lambda a: F.when(a["at"].isNotNull(), F.struct(a["at"].alias("at"), a["size"].alias("size"))))
+
+
+def with_tcp_options(decoded: DataFrame) -> DataFrame:
+    """decode()'s rows with sack (the blocks of a selective acknowledgement, in wire order), ts_value and ts_echo (RFC 2018
+    and 7323); null where a segment has no such option."""
+    tcp, l4 = F.col("proto") == "tcp", F.col("l4").cast("int")
+    end = l4 + F.floor(number(l4 + 12, 1) / 16).cast("int") * 4
+    rows = decoded.withColumns({"sack_": F.when(tcp, tcp_option_at(l4 + 20, end, 5)), "times_": F.when(tcp, tcp_option_at(l4 + 20, end, 8))})
+    count = F.floor(F.col("sack_.size") / 8).cast("int")
+    blocks = F.transform(F.sequence(F.lit(0), count - 1), lambda i: F.struct(number(F.col("sack_.at") + 8 * i, 4).alias("left"), number(F.col("sack_.at") + 8 * i + 4, 4).alias("right")))
+    stamped = F.col("times_.size") == 8
+    return rows.withColumns({"sack": F.when(count > 0, blocks), "ts_value": F.when(stamped, number(F.col("times_.at"), 4)), "ts_echo": F.when(stamped, number(F.col("times_.at") + 4, 4))}).drop("sack_", "times_")
+
+
 def server_name(hello: Column) -> Column:
     """The name in a ClientHello that starts at `hello` (after the handshake header), from its SNI extension. An extension
     takes four bytes at least, which bounds their number by the length of their list."""
