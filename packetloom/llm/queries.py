@@ -180,8 +180,8 @@ h AS (
 ), e AS (SELECT doc_id, label, base, diagonal AS first_word, 1.0 AS score FROM h WHERE bit_count(mask) = n),
 l AS (SELECT *, CASE WHEN diagonal - lag(diagonal) OVER p <= {licenses.GAP} THEN 0 ELSE 1 END AS new FROM h WHERE NOT base AND n + 1 >= {licenses.FUZZY_WORDS} WINDOW p AS (PARTITION BY doc_id, t ORDER BY diagonal)),
 s AS (SELECT *, sum(new) OVER (PARTITION BY doc_id, t ORDER BY diagonal) AS island FROM l),
-u AS (SELECT doc_id, t, label, base, n, bit_or(mask) AS mask, min(low) AS low, max(high) AS high FROM s GROUP BY doc_id, t, label, base, n, island),
-f AS (SELECT doc_id, label, base, low AS first_word, bit_count(mask) / n AS score FROM u WHERE bit_count(mask) / n >= {licenses.COVERAGE} AND bit_count(mask) < n AND (mask >> (n - 1)) & 1 = 1 AND high - low < 2 * n),
+u AS (SELECT doc_id, t, label, base, n, bit_or(mask) AS mask, max(bit_count(mask)) AS most, min(low) AS low, max(high) AS high FROM s GROUP BY doc_id, t, label, base, n, island),
+f AS (SELECT doc_id, label, base, low AS first_word, bit_count(mask) / n AS score FROM u WHERE bit_count(mask) / n >= {licenses.COVERAGE} AND most < n AND (mask >> (n - 1)) & 1 = 1 AND high - low < 2 * n),
 a AS (
   SELECT doc_id, count(*) FILTER (WHERE base) AS n_base, min(first_word) FILTER (WHERE base) AS first_word, max(first_word) FILTER (WHERE base) AS last_word,
     string_agg(DISTINCT label, ',' ORDER BY label) FILTER (WHERE base) AS base_labels, string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(score) AS score

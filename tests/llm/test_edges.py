@@ -429,3 +429,42 @@ def test_packing_of_long_white_space(text, special_as_text):
     path = tokenizer_path("byte_bpe_50k.json")
     library = packing.library_bpe(path, special_as_text)
     assert packing.encoder(path, special_as_text)(text) == library.encode(text, add_special_tokens=False).ids
+
+
+def plain_differencing(sizes, width):
+    """Loads after combining, again and again, the two partial partitions of largest spread in opposite order."""
+    parts = [(i, [(s, [i])] + [(0, [])] * (width - 1)) for i, s in enumerate(sizes)]
+    made = len(parts)
+    while len(parts) > 1:
+        parts.sort(key=lambda p: (-(p[1][0][0] - p[1][-1][0]), p[0]))
+        (_, a), (_, b) = parts[:2]
+        both = [(x + y, k + m) for (x, k), (y, m) in zip(a, reversed(b), strict=True)]
+        parts = [*parts[2:], (made, sorted(both, key=lambda s: -s[0]))]
+        made += 1
+    return parts[0][1]
+
+
+@pytest.mark.parametrize(("n", "width"), [(1, 3), (7, 2), (40, 5), (90, 24)])
+def test_sharding_against_plain_differencing(spark, n, width):
+    r = random.Random(n)
+    texts = ["x" * size for size in r.sample(range(3_000, 6_000), n)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    rows = sharding.shard_by_bytes(df, width).collect()
+    loads = Counter()
+    for row in rows:
+        loads[row.shard] += row.size
+    sizes = sorted((len(t) + sharding.ROW_BYTES for t in texts), reverse=True)
+    large = sum(s > max(1, int(sum(sizes) / width * sharding.LARGE_SHARE)) for s in sizes)
+    if large in (0, n):  # one block, or all of them ahead of it
+        assert sorted(loads.values(), reverse=True) == [s for s, _ in plain_differencing(sizes, width) if s]
+    assert {row.doc_id for row in rows} == set(range(n)) and max(loads.values()) - min([*loads.values(), *[0] * (width > n)]) <= max(sizes)
+
+
+def test_license_sql_keeps_merged_spans_that_are_whole():
+    import duckdb
+
+    from packetloom.llm.queries import op4_sql
+
+    c = duckdb.connect()
+    c.execute("CREATE TABLE documents AS SELECT * FROM (VALUES (0, 'gnu lesser general public public license'), (1, 'released under the the mit license'), (2, 'released under the mit license')) t(doc_id, text)")
+    assert c.execute(f"SELECT labels, score FROM ({op4_sql()}) ORDER BY doc_id").fetchall() == [("lgpl", 1.0), ("mit", 1.0), ("mit", 1.0)]
