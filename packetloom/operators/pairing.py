@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from packetloom.functions.net import cidr_bounds, ipv4_number, network_of
 
 
+#: Networks that are sent to every executor: a million take about 130 MB.
+BROADCAST_NETWORKS = 1_000_000
+
+
 def micros(c: str) -> Column:
     return F.unix_micros(F.col(c).cast("timestamp"))
 
@@ -64,11 +68,12 @@ def following(answers: DataFrame, connections: DataFrame, window_seconds: int =
 
 
 def longest_prefix(rows: DataFrame, ip_col: str, networks: dict[str, str], out: str = "network") -> DataFrame:
-    """The name of the narrowest network that holds the address: one broadcast equi-join on (width, masked)."""
+    """The name of the narrowest network that holds the address: one equi-join on (width, masked), broadcast up to
+    BROADCAST_NETWORKS of them."""
     table = [(int(c.partition("/")[2] or 32), cidr_bounds(c)[0], name) for c, name in networks.items()]
     names = rows.sparkSession.createDataFrame(table, "bits int, net long, name string")
     widths = sorted({b for b, _, _ in table})
     distinct = rows.select(F.col(ip_col).alias("ip_")).distinct().withColumn("n_", ipv4_number(F.col("ip_"))).where("n_ IS NOT NULL")
     keys = distinct.select("ip_", F.explode(F.array(*[F.struct(F.lit(b).alias("bits"), network_of(F.col("n_"), b).alias("net")) for b in widths])).alias("k"))
-    hit = keys.select("ip_", "k.bits", "k.net").join(F.broadcast(names), ["bits", "net"]).groupBy("ip_").agg(F.max_by("name", "bits").alias(out))
+    hit = keys.select("ip_", "k.bits", "k.net").join(F.broadcast(names) if len(table) <= BROADCAST_NETWORKS else names, ["bits", "net"]).groupBy("ip_").agg(F.max_by("name", "bits").alias(out))
     return rows.join(hit, rows[ip_col] == hit["ip_"], "left").drop("ip_")

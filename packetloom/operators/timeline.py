@@ -13,6 +13,10 @@ def micros(ts: Column) -> Column:
     return F.unix_micros(ts.cast("timestamp"))
 
 
+#: Buckets that one row of fill_gaps() makes.
+FILLED_BLOCK = 65_536
+
+
 def bucket(ts: Column, seconds: int) -> Column:
     return F.floor(micros(ts) / F.lit(seconds * 1_000_000))
 
@@ -31,9 +35,10 @@ def coalesce_points(points: DataFrame, shift: int) -> DataFrame:
 
 
 def fill_gaps(points: DataFrame) -> DataFrame:
-    """Every bucket from the first to the last; empty ones hold zeros."""
+    """Every bucket from the first to the last; empty ones hold zeros. Buckets are made in blocks that tasks share out."""
     span = points.where("bucket IS NOT NULL").agg(F.min("bucket").alias("lo"), F.max("bucket").alias("hi")).where("lo IS NOT NULL")
-    every = span.select(F.explode(F.sequence("lo", "hi")).alias("bucket"))
+    blocks = span.select("hi", F.explode(F.sequence("lo", "hi", F.lit(FILLED_BLOCK).cast("long"))).alias("low")).repartition("low")
+    every = blocks.select(F.explode(F.sequence("low", F.least(F.col("low") + FILLED_BLOCK - 1, "hi"))).alias("bucket"))
     return every.join(points, "bucket", "left").na.fill(0, ["frames", "bytes", "sent", "received"])
 
 
