@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from packetloom.functions.net import cidr_bounds, ipv4_number, network_of
 
-
 #: Networks that are sent to every executor: a million take about 130 MB.
 BROADCAST_NETWORKS = 1_000_000
 

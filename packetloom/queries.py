@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from packetloom.functions import net
 from packetloom.model import frames_cte, frames_from_events
-from packetloom.operators import activities, annotate, files, findings, health, listing, pairing, predicates as P, sessions as S, stats, streams, tcp_state, timeline, timings, windows
+from packetloom.operators import activities, annotate, files, findings, health, listing, media, pairing, predicates as P, sessions as S, stats, streams, tcp_state, timeline, timings, windows
 from packetloom.plans import history, synthesis
 from packetloom.plans.tables import settle, shared_dir
 from packetloom.sources import capture, decode, rebuild
@@ -868,3 +868,46 @@ def q_health(spark, sf_dir):
     answers = placed.where("way = 1 AND ordinal > 2").select("tuple_id", F.floor(F.col("ordinal") / 2).alias("place"), "acked")
     gained = health.credits(placed).where("way = 0").select("tuple_id", F.floor(F.col("ordinal") / 2).alias("place"), F.col("bytes").alias("credited"))
     return pieces.join(answers, ["tuple_id", "place"]).join(gained, ["tuple_id", "place"], "left")
+
+
+@query("icmp_echo_times", PAIR_SQL.format(carry="k", where="app = 'dns' AND ts IS NOT NULL", id="dns_id") + """ SELECT (SELECT count(*) FROM frames WHERE app = 'dns' AND ts IS NOT NULL AND NOT reply) AS requests, count(*) AS replies, min(us / 1e3) AS least, max(us / 1e3) AS most, median(us / 1e3) AS median FROM p""")
+def q_icmp_echo(spark, sf_dir):
+    """Echo requests and replies, told apart by addresses, identifier and sequence number."""
+    rows = frames(spark, sf_dir).where("app = 'dns' AND ts IS NOT NULL")
+    message = F.concat(synthesis.u(F.when(F.col("reply"), 0).otherwise(8), 1), F.lit("00" + "0000"), synthesis.u(F.col("client_port"), 2), synthesis.u(F.col("dns_id"), 2), F.lit("00" * 8))
+    sent = rows.withColumn("bytes", synthesis.ethernet(synthesis.ip4(message, 1, F.col("src_ip"), F.col("dst_ip"))))
+    echoes = decode.icmp_echoes(settle(decode.decode(written(sent)), "decoded"))
+    pairs = pairing.pair_once(echoes, ["ends", "ident", "sequence"], ~F.col("reply"))
+    return pairing.echo_summary(echoes.where("NOT reply"), pairs).select("requests", "replies", "least", "most", "median")
+
+
+#: Streams by construction: every 20 ms a packet, up to 6 ms late; numbers wrap, one in eleven is lost.
+RTP_SQL = """, p AS (SELECT src_ip, dst_ip, user_id, ordinal, row_number() OVER (PARTITION BY src_ip, dst_ip, user_id ORDER BY ordinal) AS nth, ordinal % 11 = 3 AS lost FROM frames WHERE app = 'tls'),
+d AS (SELECT *, nth * 20 + ordinal % 7 AS at, nth - lag(nth) OVER w AS step, nth * 20 + ordinal % 7 - lag(nth * 20 + ordinal % 7) OVER w AS delta FROM p WHERE NOT lost WINDOW w AS (PARTITION BY src_ip, dst_ip, user_id ORDER BY nth))
+SELECT src_ip, dst_ip, user_id AS ssrc, count(*) AS packets, CAST(max(nth) - min(nth) + 1 AS BIGINT) AS expected, CAST(max(nth) - min(nth) + 1 - count(*) AS BIGINT) AS lost, count(*) FILTER (WHERE step > 1) AS sequence_errors,
+  CAST(coalesce(min(delta), 0) AS DOUBLE) AS min_delta, CAST(coalesce(max(delta), 0) AS DOUBLE) AS max_delta, '0' AS types FROM d GROUP BY ALL"""
+
+
+@query("rtp_streams", RTP_SQL)
+def q_rtp(spark, sf_dir):
+    stream = Window.partitionBy("src_ip", "dst_ip", "user_id").orderBy("ordinal")
+    rows = frames(spark, sf_dir).where("app = 'tls'").withColumn("nth", F.row_number().over(stream)).where("ordinal % 11 <> 3")
+    packet = synthesis.rtp_payload(0, F.col("nth") + 65_500, F.col("nth") * 160 + (1 << 32) - 800, F.col("user_id"))
+    made = synthesis.packets(rows.withColumns({"payload_hex": packet, "proto": F.lit("udp"), "src_port": F.lit(40_000), "dst_port": F.lit(40_002)}))
+    timed = made.select("ordinal", "ts", ((F.col("nth") * 20 + F.col("ordinal") % 7) * 1_000_000).cast("long").alias("ts_ns"), F.lit(decode.ETHERNET).alias("link_type"), "bytes", F.length("bytes").cast("long").alias("orig_len"))
+    out = media.rtp_streams(media.rtp_facts(settle(decode.decode(timed), "decoded")))
+    return out.select("src_ip", "dst_ip", "ssrc", "packets", "expected", "lost", "sequence_errors", "min_delta", "max_delta", F.array_join("payload_types", ",").alias("types"))
+
+
+#: Bursts within a tenth of a second, counted from the rule: earlier datagrams less than 101 ms before, whole milliseconds apart.
+MULTICAST_SQL = """, d AS (SELECT concat('239.0.0.', user_id % 5) AS dst, ordinal, ordinal * 3000000 + ordinal % 4 * 1000000 AS ns, orig_len AS n FROM frames WHERE app = 'dns'),
+b AS (SELECT x.dst, x.ordinal, any_value(x.ns) AS ns, any_value(x.n) AS n, count(y.ordinal) AS burst FROM d x LEFT JOIN d y ON x.dst = y.dst AND y.ordinal <> x.ordinal AND (y.ns < x.ns OR (y.ns = x.ns AND y.ordinal < x.ordinal)) AND (x.ns - y.ns) // 1000000 <= 100 GROUP BY 1, 2)
+SELECT '10.9.9.9' AS src, dst, count(*) AS packets, round(count(*) * 1e9 / (arg_max(ns, ordinal) - arg_min(ns, ordinal)), 6) AS packets_per_s, round(sum(n) * 8e9 / (arg_max(ns, ordinal) - arg_min(ns, ordinal)), 3) AS avg_bps, greatest(max(burst), 1) AS max_burst FROM bb GROUP BY 2""".replace("\nb AS", "\nbb AS")
+
+
+@query("multicast_streams", MULTICAST_SQL)
+def q_multicast(spark, sf_dir):
+    rows = frames(spark, sf_dir).where("app = 'dns'")
+    sent = rows.select(F.lit("10.9.9.9").alias("src"), F.concat(F.lit("239.0.0."), (F.col("user_id") % 5).cast("string")).alias("dst"), "ordinal", (F.col("ordinal") * 3_000_000 + F.col("ordinal") % 4 * 1_000_000).alias("rel_ns"), F.col("orig_len").alias("udp_len"))
+    out = media.multicast_streams(sent)
+    return out.select("src", "dst", "packets", F.round("packets_per_s", 6).alias("packets_per_s"), F.round("avg_bps", 3).alias("avg_bps"), "max_burst")

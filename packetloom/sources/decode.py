@@ -220,6 +220,15 @@ def icmp_errors(decoded: DataFrame) -> DataFrame:
     return icmp.drop("bytes", "l4").join(flows, "ordinal", "left")
 
 
+def icmp_echoes(decoded: DataFrame) -> DataFrame:
+    """Echo requests and replies as pairing reads them: ordinal, ts, src_ip, dst_ip, ident, sequence, reply; ends is the pair of
+    addresses in order, which with ident and sequence names an exchange."""
+    l4, six = F.col("l4").cast("int"), F.col("proto") == "icmpv6"
+    echo = F.when(six, F.col("icmp_type").isin(128, 129)).otherwise(F.col("icmp_type").isin(0, 8)) & (F.col("icmp_code") == 0)
+    rows = decoded.where(F.col("proto").isin("icmp", "icmpv6") & echo)
+    return rows.select("ordinal", "ts", "src_ip", "dst_ip", F.array_sort(F.array("src_ip", "dst_ip")).alias("ends"), number(l4 + 4, 2).alias("ident"), number(l4 + 6, 2).alias("sequence"), F.col("icmp_type").isin(0, 129).alias("reply"))
+
+
 #: Fixed value: the random field of a ServerHello that asks to try again (RFC 8446, 4.1.3).
 RETRY_RANDOM = "CF21AD74E59A6111BE1D8C021E65B891C2A211167ABB8C5E079E09E2C8A8339C"
 
