@@ -32,6 +32,15 @@ def lone_syns(spark: SparkSession, n: int):
     )
 
 
+def wildcards(spark: SparkSession):
+    """The worst case of wildcard matching: 50 texts of 250 letters against 60 times `*a`, then a letter that is not there."""
+    from pyspark.sql import functions as F
+
+    from packetloom.functions import net
+
+    return spark.range(50).select(net.wildcard(F.repeat(F.lit("a"), 250), "*a" * 60 + "b").alias("hit"))
+
+
 def main() -> None:
     sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
     from packetloom.queries import QUERIES
@@ -46,6 +55,7 @@ def main() -> None:
     spark.sparkContext.setLogLevel("ERROR")
     runs = {name: (lambda n=name: QUERIES[n](spark, sf_dir)) for name in HEADLINE}
     runs |= {f"lone_syns_{n}": (lambda n=n: lone_syns(spark, n)) for n in (40_000, 80_000)}
+    runs["wildcards_50"] = lambda: wildcards(spark)
     took = {}
     for name, make in runs.items():
         for _ in range(2):
