@@ -562,16 +562,32 @@ def plausible(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return joined.mapInArrow(run, "a long, b long")
 
 
-def verified(pairs: DataFrame, sets: DataFrame, percent: int, label: str) -> DataFrame:
-    """The pairs (a, b) whose whole sets are similar enough."""
+def verified(pairs: DataFrame, sets: DataFrame, percent: int, label: str, slices: int = 1) -> DataFrame:
+    """The pairs (a, b) whose whole sets are similar enough. With more than one slice the pairs are taken a slice at a time,
+    so that only a part of the sets is in shuffle files at once."""
+    if slices > 1:
+        found = None
+        for i in range(slices):
+            part = pairs.where(F.pmod(F.xxhash64("a", F.lit(29)), F.lit(slices)) == i)
+            links = materialize(similar(part, sets, percent, part.count()), f"{label}-links")
+            release_shuffles(pairs.sparkSession)
+            found = links if found is None else found.union(links)
+        return found
     ids = pairs.select(F.col("a").alias("h")).union(pairs.select(F.col("b").alias("h"))).distinct()
     sets = sets.join(small(ids, 2 * pairs.count()), "h", "left_semi")
+    return materialize(similar(pairs, sets, percent, None), f"{label}-links")
+
+
+def similar(pairs: DataFrame, sets: DataFrame, percent: int, n: int | None) -> DataFrame:
+    """The pairs whose sets are similar enough. n: how many pairs there are, if they may be broadcast for it: the sets of side
+    a then stay where they are read until they are sent to their partners'."""
     left = sets.select(F.col("h").alias("a"), F.col("n").alias("na"), F.col("items").alias("xa"))
     right = sets.select(F.col("h").alias("b"), F.col("n").alias("nb"), F.col("items").alias("xb"))
+    if n is not None:
+        right = right.join(small(pairs.select("b").distinct(), n), "b", "left_semi")
     both = F.size(F.array_intersect("xa", "xb"))
-    joined = pairs.join(left, "a").join(right, "b").select("a", "b", "na", "nb", both.alias("both"))
-    linked = joined.where(100 * F.col("both") >= percent * (F.col("na") + F.col("nb") - F.col("both"))).select("a", "b")
-    return materialize(linked, f"{label}-links")
+    joined = (pairs.join(left, "a") if n is None else left.join(small(pairs, n), "a")).join(right, "b").select("a", "b", "na", "nb", both.alias("both"))
+    return joined.where(100 * F.col("both") >= percent * (F.col("na") + F.col("nb") - F.col("both"))).select("a", "b")
 
 
 def apart(pairs: DataFrame, comps: DataFrame) -> DataFrame:
@@ -582,7 +598,7 @@ def apart(pairs: DataFrame, comps: DataFrame) -> DataFrame:
     return rows.where(F.coalesce("c_a", "a") != F.coalesce("c_b", "b")).select("a", "b")
 
 
-def linked_components(pairs: DataFrame, sets: DataFrame, percent: int, label: str, comps: DataFrame | None = None) -> tuple[DataFrame, int]:
+def linked_components(pairs: DataFrame, sets: DataFrame, percent: int, label: str, comps: DataFrame | None = None, slices: int = 1) -> tuple[DataFrame, int]:
     """comps with the links among pairs taken in, and how many links were found. Whole sets are moved only where sketches allow a link, and not where it would say nothing new: first with one
     partner for each set, then only for pairs that are still apart; after STAR_ROUNDS such rounds for all of these."""
     spark = pairs.sparkSession
@@ -592,7 +608,7 @@ def linked_components(pairs: DataFrame, sets: DataFrame, percent: int, label: st
         release_shuffles(spark)
         last = turn == STAR_ROUNDS
         some = pairs if last else materialize(pairs.groupBy("a").agg(F.min_by("b", F.xxhash64("a", "b", F.lit(turn))).alias("b")), f"{label}-some")
-        links = verified(some, sets, percent, f"{label}{turn}")
+        links = verified(some, sets, percent, f"{label}{turn}", slices)
         new = links.count()
         found += new
         if new or comps is None:
@@ -642,21 +658,22 @@ def drawn_pairs(keys: DataFrame, percent: int, turn: int) -> DataFrame:
     return apart.select(F.greatest("h", F.col("other.h")).alias("a"), F.least("h", F.col("other.h")).alias("b")).distinct()
 
 
-def jaccard_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 4, percent: int = 85) -> DataFrame:
+def jaccard_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 4, percent: int = 85, slices: int = 1) -> DataFrame:
     """Per row of df that has an id: id, text_hash, n (set size), grp (the same for linked rows; null for an empty set)
-    and component_id (the smallest id of its group)."""
+    and component_id (the smallest id of its group). slices: parts in which whole sets are moved for comparison, one
+    after another; more of them take less disk and more time."""
     docs = bounded_batches(df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id is not null"))
     sets = materialize(set_table(docs.withColumn("text_hash", F.xxhash64("text")), k), "sets", keep=True)
     # Written out, so that the last join has plain shuffles on both sides and a key with very many rows can be split.
     classes = sets.where("n > 0").groupBy("key", "id").agg(F.first("h").alias("h"), F.count("*").alias("copies"))
     classes = materialize(classes.groupBy("key").agg(F.first("h").alias("h"), F.min(F.struct("id", "copies")).alias("r")).select("key", "h", F.col("r.id").alias("rep"), F.col("r.copies").alias("copies")), "classes", keep=True)
     with scratch(df.sparkSession):
-        by_class = materialize(class_groups(docs, classes, percent, k), "by-class", keep=True)
+        by_class = materialize(class_groups(docs, classes, percent, k, slices), "by-class", keep=True)
     release_shuffles(df.sparkSession)
     return sets.join(by_class, "key", "left").select("id", "text_hash", "n", "grp", F.coalesce("least", "id").alias("component_id"))
 
 
-def class_groups(docs: DataFrame, classes: DataFrame, percent: int, k: int) -> DataFrame:
+def class_groups(docs: DataFrame, classes: DataFrame, percent: int, k: int, slices: int) -> DataFrame:
     """(key, grp, least) of every class of equal sets: its group, and the smallest id in it. Each phase's shuffle files go
     before the next phase writes its own."""
     spark = docs.sparkSession
@@ -668,7 +685,7 @@ def class_groups(docs: DataFrame, classes: DataFrame, percent: int, k: int) -> D
     items = materialize(candidate_sets(docs, reps, k), "items")
 
     release_shuffles(spark)
-    comps, _ = linked_components(met.where("b is not null").select("a", "b"), items, percent, "first")
+    comps, _ = linked_components(met.where("b is not null").select("a", "b"), items, percent, "first", slices=slices)
     release_shuffles(spark)
     keys = set_keys(with_component(items, comps), percent, schemes)
     still = materialize(open_keys(keys), "open")
@@ -677,7 +694,7 @@ def class_groups(docs: DataFrame, classes: DataFrame, percent: int, k: int) -> D
     for turn in range(ROUNDS):
         release_shuffles(spark)
         drawn = materialize(drawn_pairs(with_component(live, comps), percent, turn), "drawn")
-        comps, found = linked_components(drawn, items, percent, f"drawn{turn}-", comps)
+        comps, found = linked_components(drawn, items, percent, f"drawn{turn}-", comps, slices)
         named = with_component(live, comps)
         rest = named.join(open_keys(named), "sig", "left_semi")
         # Where hardly any drawn pair is a link, further ones would not be either.
@@ -688,7 +705,7 @@ def class_groups(docs: DataFrame, classes: DataFrame, percent: int, k: int) -> D
     left = materialize(items.join(small(sets_left, items.count()), "h").select("h", "n", "sketch", "items", "comp"), "rest")
     if not left.isEmpty():
         sketch = spark.sparkContext.broadcast(frequency_sketch(left))
-        comps, _ = linked_components(crossing_pairs(rare_prefixes(left, sketch, percent), percent), left, percent, "rest-pairs", comps)
+        comps, _ = linked_components(crossing_pairs(rare_prefixes(left, sketch, percent), percent), left, percent, "rest-pairs", comps, slices)
     release_shuffles(spark)
 
     members = comps.union(comps.select(F.col("component").alias("node"), "component").distinct()).join(classes.select(F.col("h").alias("node"), "rep"), "node")
