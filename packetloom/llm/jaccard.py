@@ -29,7 +29,7 @@ import hashlib
 from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import lru_cache
+from functools import lru_cache, reduce
 from itertools import combinations
 
 import numpy as np
@@ -59,8 +59,6 @@ SET_SKETCH = 256
 ROUNDS = 3
 #: Share of links among drawn pairs at which the rounds end.
 FEW_LINKS = 0.01
-#: Rounds in which every set is compared with one other, before all that are still apart are.
-STAR_ROUNDS = 2
 #: Sets under one rare shingle that one task compares with one another.
 BLOCK = 2048
 
@@ -563,8 +561,10 @@ def plausible(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int, label: str, slices: int = 1) -> DataFrame:
-    """The pairs (a, b) whose whole sets are similar enough. With more than one slice the pairs are taken a slice at a time,
-    so that only a part of the sets is in shuffle files at once."""
+    """The pairs (a, b) whose whole sets are similar enough. Whole sets are moved only where sketches allow a link; with more
+    than one slice the pairs are taken a slice at a time, so that only a part of the sets is in shuffle files at once."""
+    pairs = materialize(plausible(pairs, sets, percent), label)
+    release_shuffles(pairs.sparkSession)
     if slices > 1:
         found = None
         for i in range(slices):
@@ -590,37 +590,6 @@ def similar(pairs: DataFrame, sets: DataFrame, percent: int, n: int | None) -> D
     return joined.where(100 * F.col("both") >= percent * (F.col("na") + F.col("nb") - F.col("both"))).select("a", "b")
 
 
-def apart(pairs: DataFrame, comps: DataFrame) -> DataFrame:
-    """The pairs whose two sets are not in one component."""
-    of = lambda side, n: small(comps.select(F.col("node").alias(side), F.col("component").alias(f"c_{side}")), n)
-    n = comps.count()
-    rows = pairs.join(of("a", n), "a", "left").join(of("b", n), "b", "left")
-    return rows.where(F.coalesce("c_a", "a") != F.coalesce("c_b", "b")).select("a", "b")
-
-
-def linked_components(pairs: DataFrame, sets: DataFrame, percent: int, label: str, comps: DataFrame | None = None, slices: int = 1) -> tuple[DataFrame, int]:
-    """comps with the links among pairs taken in, and how many links were found. Whole sets are moved only where sketches allow a link, and not where it would say nothing new: first with one
-    partner for each set, then only for pairs that are still apart; after STAR_ROUNDS such rounds for all of these."""
-    spark = pairs.sparkSession
-    pairs = materialize(plausible(pairs, sets, percent), label)
-    found = 0
-    for turn in range(STAR_ROUNDS + 1):
-        release_shuffles(spark)
-        last = turn == STAR_ROUNDS
-        some = pairs if last else materialize(pairs.groupBy("a").agg(F.min_by("b", F.xxhash64("a", "b", F.lit(turn))).alias("b")), f"{label}-some")
-        links = verified(some, sets, percent, f"{label}{turn}", slices)
-        new = links.count()
-        found += new
-        if new or comps is None:
-            comps = connected_components(links if comps is None else joined_links(comps, links))
-        if last:
-            break
-        pairs = materialize(apart(pairs.join(some, ["a", "b"], "left_anti"), comps), f"{label}-apart")
-        if pairs.isEmpty():
-            break
-    return comps, found
-
-
 def joined_links(comps: DataFrame, links: DataFrame) -> DataFrame:
     return comps.select(F.col("node").alias("a"), F.col("component").alias("b")).union(links)
 
@@ -685,7 +654,7 @@ def class_groups(docs: DataFrame, classes: DataFrame, percent: int, k: int, slic
     items = materialize(candidate_sets(docs, reps, k), "items")
 
     release_shuffles(spark)
-    comps, _ = linked_components(met.where("b is not null").select("a", "b"), items, percent, "first", slices=slices)
+    comps = connected_components(verified(met.where("b is not null"), items, percent, "first", slices))
     release_shuffles(spark)
     keys = set_keys(with_component(items, comps), percent, schemes)
     still = materialize(open_keys(keys), "open")
@@ -694,19 +663,24 @@ def class_groups(docs: DataFrame, classes: DataFrame, percent: int, k: int, slic
     for turn in range(ROUNDS):
         release_shuffles(spark)
         drawn = materialize(drawn_pairs(with_component(live, comps), percent, turn), "drawn")
-        comps, found = linked_components(drawn, items, percent, f"drawn{turn}-", comps, slices)
+        more = verified(drawn, items, percent, f"drawn{turn}", slices)
+        # Where hardly any drawn pair is a link, further ones would not be either; what there is joins the last links.
+        if more.count() <= FEW_LINKS * drawn.count():
+            break
+        comps, more = connected_components(joined_links(comps, more)), None
         named = with_component(live, comps)
         rest = named.join(open_keys(named), "sig", "left_semi")
-        # Where hardly any drawn pair is a link, further ones would not be either.
-        if found <= FEW_LINKS * drawn.count():
-            break
     sets_left = with_component(rest.select("h").distinct(), comps)
     release_shuffles(spark)
     left = materialize(items.join(small(sets_left, items.count()), "h").select("h", "n", "sketch", "items", "comp"), "rest")
+    links = [more] if more is not None and not more.isEmpty() else []
     if not left.isEmpty():
         sketch = spark.sparkContext.broadcast(frequency_sketch(left))
-        comps, _ = linked_components(crossing_pairs(rare_prefixes(left, sketch, percent), percent), left, percent, "rest-pairs", comps, slices)
+        links.append(verified(crossing_pairs(rare_prefixes(left, sketch, percent), percent), left, percent, "rest-pairs", slices))
+    links = [x for x in links if not x.isEmpty()]
     release_shuffles(spark)
+    if links:
+        comps = connected_components(joined_links(comps, reduce(DataFrame.union, links)))
 
     members = comps.union(comps.select(F.col("component").alias("node"), "component").distinct()).join(classes.select(F.col("h").alias("node"), "rep"), "node")
     least = members.groupBy("component").agg(F.min("rep").alias("least"))
