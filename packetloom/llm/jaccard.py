@@ -29,7 +29,7 @@ import hashlib
 from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import lru_cache, reduce
+from functools import lru_cache, partial, reduce
 from itertools import combinations
 
 import numpy as np
@@ -560,24 +560,27 @@ def plausible(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return joined.mapInArrow(run, "a long, b long")
 
 
-def verified(pairs: DataFrame, sets: DataFrame, percent: int, label: str, slices: int = 1) -> DataFrame:
-    """The pairs (a, b) whose whole sets are similar enough. Whole sets are moved only where sketches allow a link; with more
-    than one slice the pairs are taken a slice at a time, so that only a part of the sets is in shuffle files at once."""
+def verified(pairs: DataFrame, sets: DataFrame, percent: int, label: str) -> DataFrame:
+    """The pairs (a, b) whose whole sets are similar enough. Whole sets are moved only where sketches allow a link."""
     pairs = materialize(plausible(pairs, sets, percent), label)
     release_shuffles(pairs.sparkSession)
-    if slices > 1:
-        found = None
-        for i in range(slices):
-            part = pairs.where(F.pmod(F.xxhash64("a", F.lit(29)), F.lit(slices)) == i)
-            links = materialize(similar(part, sets, percent, part.count()), f"{label}-links")
-            release_shuffles(pairs.sparkSession)
-            found = links if found is None else found.union(links)
-        return found
     ids = pairs.select(F.col("a").alias("h")).union(pairs.select(F.col("b").alias("h"))).distinct()
     sets = sets.join(small(ids, 2 * pairs.count()), "h", "left_semi")
     return materialize(similar(pairs, sets, percent, None), f"{label}-links")
 
 
+def verified_in_slices(pairs: DataFrame, sets: DataFrame, percent: int, label: str, slices: int) -> DataFrame:
+    """verified(), a slice of the pairs at a time, so that only a part of the sets is in shuffle files at once."""
+    pairs = materialize(plausible(pairs, sets, percent), label)
+    found = None
+    for i in range(slices):
+        release_shuffles(pairs.sparkSession)
+        part = pairs.where(F.pmod(F.xxhash64("a", F.lit(29)), F.lit(slices)) == i)
+        links = materialize(similar(part, sets, percent, part.count()), f"{label}-links")
+        found = links if found is None else found.union(links)
+    return found
+
+
 def similar(pairs: DataFrame, sets: DataFrame, percent: int, n: int | None) -> DataFrame:
     """The pairs whose sets are similar enough. n: how many pairs there are, if they may be broadcast for it: the sets of side
     a then stay where they are read until they are sent to their partners'."""
@@ -646,6 +649,7 @@ def class_groups(docs: DataFrame, classes: DataFrame, percent: int, k: int, slic
     """(key, grp, least) of every class of equal sets: its group, and the smallest id in it. Each phase's shuffle files go
     before the next phase writes its own."""
     spark = docs.sparkSession
+    compare = verified if slices == 1 else partial(verified_in_slices, slices=slices)
     schemes = plan(docs, "text", "id", percent, k)
     met = materialize(meet(index_keys(docs, percent, k, schemes), percent), "met")
     wanted = met.select(F.col("a").alias("h")).union(met.where("b is not null").select("b")).distinct()
@@ -654,7 +658,7 @@ def class_groups(docs: DataFrame, classes: DataFrame, percent: int, k: int, slic
     items = materialize(candidate_sets(docs, reps, k), "items")
 
     release_shuffles(spark)
-    comps = connected_components(verified(met.where("b is not null"), items, percent, "first", slices))
+    comps = connected_components(compare(met.where("b is not null"), items, percent, "first"))
     release_shuffles(spark)
     keys = set_keys(with_component(items, comps), percent, schemes)
     still = materialize(open_keys(keys), "open")
@@ -663,7 +667,7 @@ def class_groups(docs: DataFrame, classes: DataFrame, percent: int, k: int, slic
     for turn in range(ROUNDS):
         release_shuffles(spark)
         drawn = materialize(drawn_pairs(with_component(live, comps), percent, turn), "drawn")
-        more = verified(drawn, items, percent, f"drawn{turn}", slices)
+        more = compare(drawn, items, percent, f"drawn{turn}")
         # Where hardly any drawn pair is a link, further ones would not be either; what there is joins the last links.
         if more.count() <= FEW_LINKS * drawn.count():
             break
@@ -676,7 +680,7 @@ def class_groups(docs: DataFrame, classes: DataFrame, percent: int, k: int, slic
     links = [more] if more is not None and not more.isEmpty() else []
     if not left.isEmpty():
         sketch = spark.sparkContext.broadcast(frequency_sketch(left))
-        links.append(verified(crossing_pairs(rare_prefixes(left, sketch, percent), percent), left, percent, "rest-pairs", slices))
+        links.append(compare(crossing_pairs(rare_prefixes(left, sketch, percent), percent), left, percent, "rest-pairs"))
     links = [x for x in links if not x.isEmpty()]
     release_shuffles(spark)
     if links:
