@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from packetloom.functions.net import dotted_number
+
 
 def u(value: Column | int, size: int) -> Column:
     """Big-endian hex digits of a number of so many bytes."""
@@ -22,7 +24,10 @@ def text(c: Column | str) -> Column:
 
 
 def dotted(ip: Column) -> Column:
-    return F.array_join(F.transform(F.split(ip, r"\."), lambda x: F.lpad(F.hex(x.cast("long")), 2, "0")), "")
+    """An address's four bytes; numbers beyond 255 are carried (net.dotted_number)."""
+    number = dotted_number(ip)
+    bad = ip.isNotNull() & ~F.coalesce(number < 1 << 32, F.lit(False))
+    return F.when(bad, F.raise_error(F.concat(F.lit("not an address of four bytes: "), ip))).otherwise(u(number, 4))
 
 
 def labels(name: Column) -> Column:
