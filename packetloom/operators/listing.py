@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -159,15 +159,18 @@ def remote_endpoints(sessions: DataFrame) -> DataFrame:
     return sessions.groupBy("server_ip").agg(F.count("*").alias("sessions"), F.count_distinct("client_ip").alias("clients"), F.sum("bytes").alias("bytes"), F.min("first_ordinal").alias("first_ordinal"), F.max("first_ordinal").alias("last_ordinal"))
 
 
-def subnets(frames: DataFrame, bits: int = 24) -> DataFrame:
-    """IPv4 endpoints rolled up to networks of so many bits: addresses, frames and bytes sent and received."""
-    from packetloom.functions.net import ipv4_number, network_of
+def subnets(frames: DataFrame, bits: int = 24, number: Callable[[Column], Column] | None = None) -> DataFrame:
+    """IPv4 endpoints rolled up to networks of so many bits: addresses, frames and bytes sent and received. number gives an
+    address text's value (net.ipv4_number). Frames are summed by address first, so a network's are never gathered."""
+    from packetloom.functions.net import ipv4_number, ipv4_text, network_of
 
     side = lambda c, sent: frames.select(F.col(c).alias("ip"), F.col("orig_len").alias("n"), F.lit(sent).alias("sent"))
-    both = side("src_ip", 1).unionByName(side("dst_ip", 0)).withColumn("net", network_of(ipv4_number(F.col("ip")), bits)).where("net IS NOT NULL")
-    octet = lambda i: (F.floor(F.col("net") / 256**i) % 256).cast("string")
-    g = both.groupBy("net").agg(F.count_distinct("ip").alias("addresses"), F.sum("sent").alias("frames_sent"), F.sum(1 - F.col("sent")).alias("frames_received"), F.sum(F.col("n") * F.col("sent")).alias("bytes_sent"), F.sum(F.col("n") * (1 - F.col("sent"))).alias("bytes_received"))
-    return g.select(F.concat(F.concat_ws(".", *[octet(i) for i in (3, 2, 1, 0)]), F.lit(f"/{bits}")).alias("network"), "addresses", "frames_sent", "frames_received", "bytes_sent", "bytes_received")
+    both = side("src_ip", 1).unionByName(side("dst_ip", 0))
+    sums = {"frames_sent": F.sum("sent"), "frames_received": F.sum(1 - F.col("sent")), "bytes_sent": F.sum(F.col("n") * F.col("sent")), "bytes_received": F.sum(F.col("n") * (1 - F.col("sent")))}
+    per = both.groupBy("ip").agg(*[c.alias(n) for n, c in sums.items()])
+    per = per.withColumn("net", network_of((number or ipv4_number)(F.col("ip")), bits)).where("net IS NOT NULL")
+    g = per.groupBy("net").agg(F.count("*").alias("addresses"), *[F.sum(n).alias(n) for n in sums])
+    return g.select(F.concat(ipv4_text(F.col("net")), F.lit(f"/{bits}")).alias("network"), "addresses", *sums)
 
 
 def dns_statistics(frames: DataFrame) -> DataFrame:
