@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import pickle
 from collections import deque
 from functools import reduce
+from itertools import pairwise
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from packetloom.operators.ordered import walk
+from packetloom.plans.tables import settle
 
 
 def merge(captures: list[DataFrame]) -> DataFrame:
@@ -41,29 +44,75 @@ def without(frames: DataFrame, ignored: DataFrame) -> DataFrame:
     return frames.join(ignored.select("ordinal"), "ordinal", "left_anti")
 
 
-def drop_repeats(frames: DataFrame, content: list[str], window: int = 5) -> DataFrame:
+#: Ordinals in a block of drop_repeats, and its rounds over all blocks that are not settled.
+REPEAT_BLOCK = 262_144
+REPEAT_ROUNDS = 4
+
+
+def drop_repeats(frames: DataFrame, content: list[str], window: int = 5, block: int = REPEAT_BLOCK) -> DataFrame:
     """Drop a frame that equals one of the `window` kept frames before it.
 
-    Whether a frame is kept depends on every frame kept before it, so this is one pass over all frames in order: a
-    single task, which streams through sorted rows and holds no more than the window."""
+    Whether a frame is kept depends on every frame kept before it. Blocks of ordinals are walked side by side, each from the
+    frames that the block before it was last seen to end with (at first: none), until no block's start changes; only then
+    are the kept frames given. A block's end hardly ever depends on its start, so two rounds do. Where it does, as with
+    contents that recur in step, blocks are walked one after the other from the fifth round on, each once more. A task
+    holds the rows of a few blocks, the driver `window` frames' contents a block."""
+    names = frames.columns
+    rows = frames.withColumn("block_", F.floor(F.col("ordinal") / block))
+    blocks = [r[0] for r in rows.select("block_").distinct().orderBy("block_").collect()]
+    if len(blocks) > 1:
+        rows = settle(rows, "repeats")
+    start: dict[int, tuple] = {b: () for b in blocks}
 
     class Kept:
-        def __init__(self):
-            self.kept = deque(maxlen=window)
+        def __init__(self, start: dict[int, tuple]):
+            self.start, self.kept = start, None
 
-        def add(self, row: dict) -> list[tuple]:
+        def fresh(self, row: dict) -> bool:
+            if self.kept is None:
+                self.kept = deque(self.start[row["block_"]], maxlen=window)
             what = tuple(row[c] for c in content)
             if what in self.kept:
-                return []
+                return False
             self.kept.append(what)
-            return [tuple(row[c] for c in names)]
+            return True
+
+    class Rows(Kept):
+        def add(self, row: dict) -> list[tuple]:
+            return [tuple(row[c] for c in names)] if self.fresh(row) else []
 
         def finish(self) -> list[tuple]:
             return []
 
-    names = frames.columns
-    schema = T.StructType([T.StructField("all_", T.IntegerType()), *frames.schema.fields])
-    return walk(frames.withColumn("all_", F.lit(0)), ["all_"], ["ordinal"], Kept, schema).drop("all_")
+    class End(Kept):
+        def add(self, row: dict) -> list[tuple]:
+            self.fresh(row)
+            return []
+
+        def finish(self) -> list[tuple]:
+            return [(pickle.dumps(tuple(self.kept)),)]
+
+    def ends(of: list[int]) -> dict[int, tuple]:
+        known = {b: start[b] for b in of}
+        schema = T.StructType([T.StructField("block_", T.LongType()), T.StructField("end", T.BinaryType())])
+        found = walk(rows.where(F.col("block_").isin(of)).select("block_", "ordinal", *[c for c in content if c != "ordinal"]), ["block_"], ["ordinal"], lambda: End(known), schema, len(of))
+        return {r["block_"]: pickle.loads(r["end"]) for r in found.collect()}
+
+    end: dict[int, tuple] = {}
+    stale, rounds = set(blocks[:-1]), 0
+    while stale:
+        # The first of them starts from a settled end.
+        todo = sorted(stale)[: None if rounds < REPEAT_ROUNDS else 1]
+        end |= ends(todo)
+        stale -= set(todo)
+        rounds += 1
+        for before, after in pairwise(blocks):
+            if end[before] != start[after]:
+                start[after] = end[before]
+                if after != blocks[-1]:
+                    stale.add(after)
+    schema = T.StructType([T.StructField("block_", T.LongType()), *frames.schema.fields])
+    return walk(rows, ["block_"], ["ordinal"], lambda: Rows(start), schema, max(1, len(blocks))).drop("block_")
 
 
 def anonymise(frames: DataFrame, columns: tuple[str, ...] = ("src_ip", "dst_ip")) -> DataFrame:

@@ -14,10 +14,10 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
 
-def walk(rows: DataFrame, key: list[str], order: list[str], make: Callable[[], object], schema: T.StructType) -> DataFrame:
+def walk(rows: DataFrame, key: list[str], order: list[str], make: Callable[[], object], schema: T.StructType, partitions: int | None = None) -> DataFrame:
     """make() gives a key's fresh state: an object with add(row) and finish(), which return lists of output tuples
-    (without the key) for the row just added and for the end of the key. schema: the key's columns, then theirs."""
-    sorted_rows = rows.repartition(*key).sortWithinPartitions(*key, *order)
+    (without the key) for the row just added and for the end of the key. schema: the key's columns, then theirs. partitions: how many tasks, where their rows have to stay few."""
+    sorted_rows = (rows.repartition(partitions, *key) if partitions else rows.repartition(*key)).sortWithinPartitions(*key, *order)
     names = rows.columns
     kinds = [to_arrow_type(f.dataType) for f in schema]
 

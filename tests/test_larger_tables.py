@@ -1,11 +1,15 @@
 """What the small tables don't hold: long runs of lost pieces, and more users than addresses of two numbers name."""
 
+import random
+from collections import deque
 from datetime import datetime, timedelta
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 from test_oracles import rows_of
 
+from packetloom.operators import files
 from packetloom.queries import ORACLES, QUERIES
 
 
@@ -49,3 +53,28 @@ def many_users(spark, tmp_path_factory):
 @pytest.mark.parametrize("name", ["address_functions", "captured_sessions", "rtp_streams", "subnet_names", "subnets", "tcp_health", "tls_findings", "split_hellos", "tunnelled_frames"])
 def test_more_users_than_addresses_of_two_numbers(spark, many_users, name):
     assert_as_sql(spark, many_users, name)
+
+
+#: Contents at random, few of them, all the same, and in a step that lets a block's end depend on its start for ever.
+STREAMS = {"random": lambda r, i: r.randrange(50), "few": lambda r, i: r.randrange(7), "same": lambda r, i: 1, "in step": lambda r, i: 5 - i if i < 5 else (i - 5) % 6, "null": lambda r, i: None if i % 3 else i}
+
+
+@pytest.mark.parametrize("kind", sorted(STREAMS))
+def test_drop_repeats_in_blocks_keeps_what_one_pass_keeps(spark, kind):
+    r = random.Random(3)
+    rows = [(i * 3 + 1, STREAMS[kind](r, i)) for i in range(700)]
+    kept, last = [], deque(maxlen=5)
+    for o, v in rows:
+        if v not in last:
+            last.append(v)
+            kept.append((o, v))
+    mixed = spark.createDataFrame(r.sample(rows, len(rows)), "ordinal long, v int")
+    out = files.drop_repeats(mixed, ["v"], block=250)
+    assert sorted((x.ordinal, x.v) for x in out.collect()) == kept
+
+
+def test_drop_repeats_sorts_no_whole_table_in_one_task(spark):
+    df = spark.range(2_000).select((F.col("id") + 1).alias("ordinal"), (F.col("id") % 90).alias("v"))
+    out = files.drop_repeats(df, ["v"], block=200)
+    sizes = out.withColumn("task", F.spark_partition_id()).groupBy("task").count().collect()
+    assert sum(x["count"] for x in sizes) == 2_000 and max(x["count"] for x in sizes) < 1_500
