@@ -698,11 +698,15 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     return jaccard_groups(df, id_col, text_col, k, percent).select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id")
 
 
+#: Parts in which keep_one has whole sets moved.
+SLICES = 8
+
+
 def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
     """df with one row of each group of near duplicates: one with the smallest id, and of several rows with that id, or
     rows that repeat it, one of them, chosen by hashes of the texts and rows. Rows with no id or an empty set stay."""
     key = [id_col, "text_hash_"]
-    groups = materialize(jaccard_groups(df, id_col, text_col, k, percent).where("grp IS NOT NULL"), "groups")
+    groups = materialize(jaccard_groups(df, id_col, text_col, k, percent, slices=SLICES).where("grp IS NOT NULL"), "groups")
     stays = groups.where("id = component_id").groupBy("grp").agg(F.min("text_hash").alias("stays"), F.count("*").alias("rows"))
     leave = groups.join(stays, "grp").where((F.col("id") != F.col("component_id")) | (F.col("text_hash") != F.col("stays")))
     leave = leave.select(F.col("id").alias(id_col), F.col("text_hash").alias("text_hash_"))
