@@ -38,7 +38,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from packetloom.llm.common import bounded_batches, chunks, materialize, mix64, small, text_bytes
+from packetloom.llm.common import BROADCAST_ROWS, bounded_batches, chunks, materialize, mix64, small, text_bytes
 from packetloom.llm.components import connected_components
 from packetloom.plans.tables import release_shuffles, scratch
 
@@ -53,8 +53,9 @@ SKETCH = 1 << 20
 SKETCH_BLOCK = 1 << 14
 #: Index keys that a task combines at once before they are shuffled.
 COMBINED = 1 << 20
-#: Buckets of a set's sketch.
+#: Buckets of a set's sketch; of a finer one at most, which sets have that are too large for so few buckets.
 SET_SKETCH = 256
+FINE_SKETCH = 1 << 14
 #: Rounds of drawn pairs under open keys.
 ROUNDS = 3
 #: Share of links among drawn pairs at which the rounds end.
@@ -385,15 +386,29 @@ def meet(keys: DataFrame, percent: int) -> DataFrame:
     return keys.repartition("sig").sortWithinPartitions("sig").mapInArrow(run, "a long, b long").distinct()
 
 
-def set_sketch(x: np.ndarray) -> bytes:
-    """How many elements fall into each of a fixed number of buckets, 255 at most. The sum of two sketches' differences is
+def set_sketch(x: np.ndarray, buckets: int = SET_SKETCH) -> bytes:
+    """How many elements fall into each of a number of buckets, 255 at most. The sum of two sketches' differences is
     never more than the number of elements in which their sets differ."""
-    slot = (mix64(x + _U(0x632BE59BD9B4E019)) % _U(SET_SKETCH)).astype(np.int64)
-    return np.minimum(np.bincount(slot, minlength=SET_SKETCH), 255).astype(np.uint8).tobytes()
+    slot = (mix64(x + _U(0x632BE59BD9B4E019)) % _U(buckets)).astype(np.int64)
+    return np.minimum(np.bincount(slot, minlength=buckets), 255).astype(np.uint8).tobytes()
+
+
+def fine_sketch(x: np.ndarray) -> bytes | None:
+    """The sketch of a set that has more than four elements for each bucket of the plain one: two to four for a bucket."""
+    buckets = min(FINE_SKETCH, 1 << ((len(x) - 1) // 4).bit_length())
+    return set_sketch(x, buckets) if buckets > SET_SKETCH else None
+
+
+def sketches_apart(x: bytes, y: bytes) -> int:
+    """Elements in which two sets with these sketches differ, at the least. The number of buckets is a power of two, so the
+    longer one folds to the shorter one's buckets."""
+    a, b = (np.frombuffer(s, np.uint8).astype(np.int64) for s in (x, y))
+    m = min(len(a), len(b))
+    return int(np.abs(a.reshape(-1, m).sum(axis=0) - b.reshape(-1, m).sum(axis=0)).sum())
 
 
 def candidate_sets(docs: DataFrame, reps: DataFrame, k: int) -> DataFrame:
-    """The whole sets of the classes in reps (id: of one row that has the set; h): h, n, sketch, items."""
+    """The whole sets of the classes in reps (id: of one row that has the set; h): h, n, sketch, fine (fine_sketch), items."""
 
     def run(batches):
         for part, sets in _batches(batches, 0, k):
@@ -403,11 +418,11 @@ def candidate_sets(docs: DataFrame, reps: DataFrame, k: int) -> DataFrame:
             if got:
                 ends = np.concatenate([[0], np.cumsum([len(x) for _, x in got])]).astype(np.int32)
                 values = pa.array(np.concatenate([x for _, x in got]).view(np.int64))
-                counts = pa.array([set_sketch(x) for _, x in got], pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array([h for h, _ in got]), pa.array([len(x) for _, x in got], pa.int64()), counts, pa.ListArray.from_arrays(pa.array(ends), values)], names=["h", "n", "sketch", "items"])
+                counts, fine = (pa.array([f(x) for _, x in got], pa.binary()) for f in (set_sketch, fine_sketch))
+                yield pa.RecordBatch.from_arrays([pa.array([h for h, _ in got]), pa.array([len(x) for _, x in got], pa.int64()), counts, fine, pa.ListArray.from_arrays(pa.array(ends), values)], names=["h", "n", "sketch", "fine", "items"])
 
     def of(some: DataFrame) -> DataFrame:
-        return docs.join(small(some.select("id", "h"), some.count()), "id").select("text", "h").mapInArrow(run, "h long, n long, sketch binary, items array<long>")
+        return docs.join(small(some.select("id", "h"), some.count()), "id").select("text", "h").mapInArrow(run, "h long, n long, sketch binary, fine binary, items array<long>")
 
     again = reps.where("copies > 1")
     found = of(reps.where("copies = 1"))
@@ -490,11 +505,16 @@ def in_blocks(prefixes: DataFrame, block: int = BLOCK) -> DataFrame:
     return light.union(rows.withColumn("at", F.explode(cells)).select(*prefixes.columns, "at.cell", "at.side"))
 
 
-def crossing_pairs(prefixes: DataFrame, percent: int, block: int = BLOCK) -> DataFrame:
-    """Pairs of sets in different components that share a rare shingle and can still reach the threshold."""
+def crossing_pairs(prefixes: DataFrame, percent: int, block: int = BLOCK, sets: DataFrame | None = None) -> DataFrame:
+    """Pairs of sets in different components that share a rare shingle and can still reach the threshold. sets (h, sketch):
+    pairs that their sketches rule out are left out where they meet, so that sets that share a passage and are not similar
+    make no rows."""
+
+    sketched = sets is not None
 
     def pairs_of(cols: list[np.ndarray]) -> np.ndarray:
-        token, h, n, pos, comp, cell, side = cols
+        token, h, n, pos, comp, cell, side = cols[:7]
+        counts = np.frombuffer(b"".join(cols[7]), np.uint8).reshape(-1, SET_SKETCH).astype(np.int16) if sketched else None
         first = np.flatnonzero(np.concatenate([[True], (token[1:] != token[:-1]) | (cell[1:] != cell[:-1])]))
         found, held = [], 0
         for lo, hi in zip(first.tolist(), [*first[1:].tolist(), len(token)], strict=True):
@@ -504,6 +524,8 @@ def crossing_pairs(prefixes: DataFrame, percent: int, block: int = BLOCK) -> Dat
                 # The most that both can share if this shingle is the first that they do.
                 most = 1 + np.minimum(n[i] - pos[i] - 1, n[j] - pos[j] - 1)
                 j = j[100 * most >= percent * (n[i] + n[j] - most)]
+                if sketched and len(j):
+                    j = j[np.abs(counts[j] - counts[i]).sum(axis=1) * (100 + percent) <= (n[i] + n[j]) * (100 - percent)]
                 if len(j):
                     found.append(np.stack([np.full(len(j), h[i]), h[j]], 1))
                     held += len(j)
@@ -519,7 +541,10 @@ def crossing_pairs(prefixes: DataFrame, percent: int, block: int = BLOCK) -> Dat
                 yield pa.RecordBatch.from_arrays([pa.array(p[:, 0].copy()), pa.array(p[:, 1].copy())], names=["a", "b"])
 
     rows = in_blocks(prefixes, block).withColumn("side", F.coalesce("side", F.lit(-1)))
-    rows = rows.select("token", "h", "n", "pos", "comp", "cell", "side").repartition("token", "cell").sortWithinPartitions("token", "cell")
+    rows = rows.select("token", "h", "n", "pos", "comp", "cell", "side")
+    if sketched:
+        rows = rows.join(sets.select("h", "sketch"), "h").select(*rows.columns, "sketch")
+    rows = rows.repartition("token", "cell").sortWithinPartitions("token", "cell")
     return rows.mapInArrow(run, "a long, b long").distinct()
 
 
@@ -557,6 +582,24 @@ def plausible(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             yield b.select([0, 1]).filter(pa.array(apart * (100 + percent) <= n * (100 - percent)))
 
     joined = pairs.join(left, "a").join(right, "b").select("a", "b", "na", "sa", "nb", "sb")
+    return finely_plausible(joined.mapInArrow(run, "a long, b long"), sets, percent)
+
+
+def finely_plausible(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) that fine sketches don't rule out. A plain sketch of a set of some 7 000 elements says nothing: any
+    two such sketches are as near to each other as those of a linked pair."""
+    fine = sets.select("h", "n", "fine")
+    left = fine.select(F.col("h").alias("a"), F.col("n").alias("na"), F.col("fine").alias("fa"))
+    right = fine.select(F.col("h").alias("b"), F.col("n").alias("nb"), F.col("fine").alias("fb"))
+
+    def run(batches):
+        for b in batches:
+            n = b.column(2).to_numpy() + b.column(4).to_numpy()
+            two = zip(b.column(3).to_pylist(), b.column(5).to_pylist(), strict=True)
+            apart = np.array([sketches_apart(x, y) if x and y else 0 for x, y in two], np.int64)
+            yield b.select([0, 1]).filter(pa.array(apart * (100 + percent) <= n * (100 - percent)))
+
+    joined = pairs.join(left, "a").join(right, "b").select("a", "b", "na", "fa", "nb", "fb")
     return joined.mapInArrow(run, "a long, b long")
 
 
@@ -570,9 +613,10 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int, label: str) -> Dat
 
 
 def verified_in_slices(pairs: DataFrame, sets: DataFrame, percent: int, label: str, slices: int) -> DataFrame:
-    """verified(), a slice of the pairs at a time, so that only a part of the sets is in shuffle files at once."""
+    """verified(), a slice of the pairs at a time, so that only a part of the sets is in shuffle files at once. Few pairs
+    are moved in fewer slices."""
     pairs = materialize(plausible(pairs, sets, percent), label)
-    found = None
+    found, slices = None, min(slices, 1 + pairs.count() // SLICE_PAIRS)
     for i in range(slices):
         release_shuffles(pairs.sparkSession)
         part = pairs.where(F.pmod(F.xxhash64("a", F.lit(29)), F.lit(slices)) == i)
@@ -674,13 +718,16 @@ def class_groups(docs: DataFrame, classes: DataFrame, percent: int, k: int, slic
         comps, more = connected_components(joined_links(comps, more)), None
         named = with_component(live, comps)
         rest = named.join(open_keys(named), "sig", "left_semi")
-    sets_left = with_component(rest.select("h").distinct(), comps)
+    sets_left = materialize(with_component(rest.select("h").distinct(), comps), "rest")
     release_shuffles(spark)
-    left = materialize(items.join(small(sets_left, items.count()), "h").select("h", "n", "sketch", "items", "comp"), "rest")
+    # The whole sets stay where they are: a second copy would be as large as the texts. Too many rows to be sent to all tasks
+    # are not joined; then all sets take part, of which settled ones find nothing new.
+    few = sets_left.count() <= BROADCAST_ROWS
+    left = items.join(F.broadcast(sets_left), "h") if few else with_component(items, comps)
     links = [more] if more is not None and not more.isEmpty() else []
-    if not left.isEmpty():
+    if not sets_left.isEmpty():
         sketch = spark.sparkContext.broadcast(frequency_sketch(left))
-        links.append(compare(crossing_pairs(rare_prefixes(left, sketch, percent), percent), left, percent, "rest-pairs"))
+        links.append(compare(crossing_pairs(rare_prefixes(left, sketch, percent), percent, sets=items), items, percent, "rest-pairs"))
     links = [x for x in links if not x.isEmpty()]
     release_shuffles(spark)
     if links:
@@ -698,8 +745,9 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     return jaccard_groups(df, id_col, text_col, k, percent).select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id")
 
 
-#: Parts in which keep_one has whole sets moved.
+#: Parts in which keep_one has whole sets moved, where there are so many pairs for each.
 SLICES = 8
+SLICE_PAIRS = 5_000
 
 
 def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
@@ -709,11 +757,12 @@ def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: i
     groups = materialize(jaccard_groups(df, id_col, text_col, k, percent, slices=SLICES).where("grp IS NOT NULL"), "groups")
     stays = groups.where("id = component_id").groupBy("grp").agg(F.min("text_hash").alias("stays"), F.count("*").alias("rows"))
     leave = groups.join(stays, "grp").where((F.col("id") != F.col("component_id")) | (F.col("text_hash") != F.col("stays")))
-    leave = leave.select(F.col("id").alias(id_col), F.col("text_hash").alias("text_hash_"))
+    leave = materialize(leave.select(F.col("id").alias(id_col), F.col("text_hash").alias("text_hash_")).distinct(), "leave")
+    n = leave.count()
     several = groups.join(stays.where("rows > 1"), "grp").where("id = component_id AND text_hash = stays").select(F.col("id").alias(id_col), F.col("text_hash").alias("text_hash_")).distinct()
     rows = df.withColumn("text_hash_", F.xxhash64(text_col))
     if several.isEmpty():
-        return rows.join(leave.distinct(), key, "left_anti").select(*df.columns)
+        return rows.join(small(leave, n), key, "left_anti").select(*df.columns)
     # Exact repeats of a row that stays: only such rows are gathered, by row.
     once = rows.join(several, key, "left_semi").groupBy(*key).agg(F.min_by(F.struct(*df.columns), F.xxhash64(*df.columns)).alias("row")).select("row.*")
     return rows.join(leave.union(several).distinct(), key, "left_anti").select(*df.columns).union(once)
