@@ -9,7 +9,7 @@ one of them. Bands with a small d index subsets of m - d whole segments instead.
 strengths from collision counts on a bounded pilot sample: they change the work, never the result.
 
 Under an index key every set is a candidate partner of one of the others only, the one with the least hash; a task
-does that before the shuffle already, so that a key of very many sets sends one row a task. Each candidate is verified on
+does that before the shuffle already, for COMBINED keys at a time, so that a key of very many sets sends few rows a task. Each candidate is verified on
 the whole sets, and links make components. A key that then holds sets of several components is open: in further
 rounds its sets are paired with another one of its sets in a component other than theirs, drawn anew for each key
 and round. So each round's pairs grow with the keys, near copies are one component after a round or two, and a key
@@ -51,8 +51,14 @@ PILOT_SETS = 1_000
 #: Counters of the shingle-frequency sketch that orders shingles from rare to frequent (4 MB).
 SKETCH = 1 << 20
 SKETCH_BLOCK = 1 << 14
-#: Index keys that a task combines at once before they are shuffled.
-COMBINED = 1 << 20
+#: Bytes of text that are hashed at once: their arrays fit into a core's cache.
+HASHED_BYTES = 1 << 16
+#: Bytes of text, and elements of sets, that a task takes up at once. What it holds and returns grows with them.
+TAKEN_BYTES = 1 << 20
+TAKEN = 1 << 17
+#: Index keys that a task combines at once before they are shuffled; rows of keys that it combines after it.
+COMBINED = 1 << 18
+MET_ROWS = 1 << 15
 #: Buckets of a set's sketch; of a finer one at most, which sets have that are too large for so few buckets.
 SET_SKETCH = 256
 FINE_SKETCH = 1 << 14
@@ -64,40 +70,58 @@ FEW_LINKS = 0.01
 BLOCK = 2048
 
 
-@lru_cache(maxsize=4)
-def _powers(n: int) -> np.ndarray:
-    out = np.full(n, 0x9E3779B97F4A7C15, np.uint64)
-    out[0] = 1
+_ODD = 0x9E3779B97F4A7C15
+
+
+def _powers(n: int, base: int) -> np.ndarray:
+    out = np.full(n, base, np.uint64)
+    out[:1] = 1
     return np.multiply.accumulate(out)
 
 
+@lru_cache(maxsize=1)
+def _short_powers() -> tuple[np.ndarray, np.ndarray]:
+    return _powers(2 * HASHED_BYTES, _ODD), _powers(2 * HASHED_BYTES, pow(_ODD, -1, 2**64))
+
+
 def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of all words (maximal runs without ASCII white space) and each text's first word index."""
     sizes = np.array([len(x) + 1 for x in texts])
-    data = np.frombuffer(b"\n".join([*texts, b""]), np.uint8)
-    white = _WHITE[data]
-    ink = np.flatnonzero(~white)
-    if not len(ink):
-        return np.zeros(0, np.uint64), np.zeros(len(texts) + 1, np.int64)
-    first = np.flatnonzero(np.concatenate([[True], np.diff(ink) > 1]))
-    lens = np.diff(np.append(first, len(ink)))
-    place = np.arange(len(ink)) - np.repeat(first, lens)
-    power = _powers(1 << int(max(6, int(lens.max()).bit_length())))
-    h = mix64(np.add.reduceat(_BYTE[data[ink]] * power[place], first) + lens.astype(np.uint64))
-    ends = np.cumsum(sizes)
-    return h, np.searchsorted(ink[first], np.concatenate([[0], ends]))
+    data = np.frombuffer(b"\n".join([b"", *texts, b""]), np.uint8)
+    white = (data == 32) | (data - np.uint8(9) < 5)
+    turns = np.flatnonzero(white[1:] != white[:-1]) + 1
+    first, ends = turns[::2], turns[1::2]
+    # A word's hash is the sum of its bytes' numbers times powers of an odd number by place: a difference of two running
+    # sums over the whole text, brought to the word's own places by the inverse power of its start.
+    power, inverse = _short_powers() if len(data) <= 2 * HASHED_BYTES else (_powers(len(data), _ODD), _powers(len(data), pow(_ODD, -1, 2**64)))
+    run = _BYTE[data]
+    run *= power[: len(data)]
+    np.cumsum(run, out=run)
+    h = mix64((run[ends - 1] - run[first - 1]) * inverse[first] + (ends - first).astype(np.uint64))
+    return h, np.searchsorted(first, np.concatenate([[0], np.cumsum(sizes)]) + 1)
+
+
+def distinct(x: np.ndarray) -> np.ndarray:
+    """The distinct values in order."""
+    x = np.sort(x)
+    new = np.empty(len(x), bool)
+    new[:1] = True
+    np.not_equal(x[1:], x[:-1], out=new[1:])
+    return x[new]
 
 
 def shingle_sets(texts: list[bytes], k: int) -> Iterator[np.ndarray]:
     """The sorted distinct k-word shingle hashes of each text; fewer than k words are one shingle."""
-    for part in chunks([len(x) for x in texts]):
+    for part in chunks([len(x) for x in texts], HASHED_BYTES):
         h, cuts = word_hashes(texts[part])
         s = np.zeros(max(0, len(h) - k + 1), np.uint64)
         for j in range(k):
-            s = mix64(s * _U(0x9FB21C651E98DF25) + h[j : j + len(s)])
+            s *= _U(0x9FB21C651E98DF25)
+            s += h[j : j + len(s)]
+        s = mix64(s)
         for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
             if b - a >= k:
-                yield np.unique(s[a : b - k + 1])
+                yield distinct(s[a : b - k + 1])
             elif b > a:
                 x = np.full(1, b - a, np.uint64)
                 for j in range(a, b):
@@ -160,30 +184,39 @@ def segment_of(x: np.ndarray, scheme: Scheme) -> np.ndarray:
 
 def signatures(x: np.ndarray, scheme: Scheme) -> np.ndarray:
     """The index keys of set x in a band."""
-    m = scheme.segments
-    seg = segment_of(x, scheme)
-    order = np.argsort(seg, kind="stable")
-    seg, val = seg[order], mix64(x[order] + _U(0x2545F4914F6CDD1D))
-    first = np.flatnonzero(np.concatenate([[True], seg[1:] != seg[:-1]]))
-    present = seg[first]
-    total = np.zeros(m, np.uint64)
-    total[present] = np.add.reduceat(val, first)
+    return band_signatures(x, np.array([len(x)]), scheme)[0]
+
+
+def band_signatures(x: np.ndarray, sizes: np.ndarray, scheme: Scheme) -> tuple[np.ndarray, np.ndarray]:
+    """The index keys in a band of sets that stand one after the other in x, and which of the sets each key is of."""
+    m, sets = scheme.segments, len(sizes)
+    seg, val = segment_of(x, scheme), mix64(x + _U(0x2545F4914F6CDD1D))
+    of = np.repeat(np.arange(sets), sizes)
+    place = of * m + seg
+    held = np.bincount(place, minlength=sets * m)
+    total = np.zeros(sets * m, np.uint64)
+    np.add.at(total, place, val)
     tag = mix64(np.arange(m, dtype=np.uint64) * _U(0x9E3779B97F4A7C15) + _U(scheme.band * 2 + 1))
     if scheme.subset:
         pick = np.array(list(combinations(range(m), scheme.subset)))
-        return mix64((mix64(total + tag)[pick]).sum(axis=1, dtype=np.uint64) + _U(scheme.band))
+        tagged = mix64(total.reshape(sets, m) + tag)
+        return mix64(tagged[:, pick].sum(axis=2, dtype=np.uint64) + _U(scheme.band)).ravel(), np.repeat(np.arange(sets), len(pick))
     v = np.array(scheme.strength)
-    out = [mix64(total[i := present[v[present] > 0]] + tag[i])]
-    held = np.diff(np.append(first, len(seg)))
-    if int(np.minimum(v[present], held).sum()) <= scheme.most:
-        # Too many empty segments (a single element is worth no more than 1): look the empty ones up too,
-        # for partners that also have too many.
-        empty = np.setdiff1d(np.flatnonzero(v > 0), present)
-        out.append(mix64(tag[empty]))
+    looked = np.tile(v > 0, sets)
+    present = np.flatnonzero((held > 0) & looked)
+    out, whose = [mix64(total[present] + tag[present % m])], [present // m]
+    # Too many empty segments (a single element is worth no more than 1): look the empty ones up too,
+    # for partners that also have too many.
+    short = np.minimum(np.tile(v, sets), held).reshape(sets, m).sum(axis=1) <= scheme.most
+    if short.any():
+        empty = np.flatnonzero((held == 0) & looked & np.repeat(short, m))
+        out.append(mix64(tag[empty % m]))
+        whose.append(empty // m)
     if (v == 2).any():
-        two = v[seg] == 2
-        out.append(mix64(total[seg[two]] - val[two] + tag[seg[two]]))
-    return np.concatenate(out)
+        two = np.flatnonzero(v[seg] == 2)
+        out.append(mix64(total[place[two]] - val[two] + tag[seg[two]]))
+        whose.append(of[two])
+    return np.concatenate(out), np.concatenate(whose)
 
 
 def allocate(scheme: Scheme, pilot: list[np.ndarray], weight: float) -> Scheme:
@@ -254,8 +287,9 @@ def plan(df: DataFrame, text_col: str, id_col: str, percent: int, k: int, pilot_
 def _batches(batches, text_at: int, k: int):
     """(batch slice, its sets), in slices of bounded text."""
     for batch in batches:
-        for low in range(0, batch.num_rows, 512):
-            part = batch.slice(low, 512)
+        sizes = pc.fill_null(pc.binary_length(batch.column(text_at)), 0).to_pylist()
+        for at in chunks(sizes, TAKEN_BYTES):
+            part = batch.slice(at.start, at.stop - at.start)
             yield part, shingle_sets([t.lower() for t in text_bytes(part.column(text_at))], k)
 
 
@@ -282,7 +316,7 @@ def absorb(sig: np.ndarray, h: np.ndarray, n: np.ndarray, more: np.ndarray, perc
     """Under each key: pairs of the set with the least hash and every other one of fitting size, which then need not go
     on; sets of other sizes do the same among themselves. Returns the places of the rows that go on, in order, whether
     each row (by place) stands for others, and the distinct pairs."""
-    order = np.argsort(sig, kind="stable")
+    order = np.argsort(sig)
     same = sig[order][1:] == sig[order][:-1]
     shared = np.concatenate([same, [False]])[: len(sig)] | np.concatenate([[False], same])[: len(sig)]
     some, more = order[shared], more.copy()  # hardly any keys are shared
@@ -302,50 +336,79 @@ def absorb(sig: np.ndarray, h: np.ndarray, n: np.ndarray, more: np.ndarray, perc
 
 
 def index_keys(docs: DataFrame, percent: int, k: int, schemes: dict[int, Scheme]) -> DataFrame:
-    """docs (id, text) -> rows of two kinds. Index keys: sig, h, n (negative: the set stands for others, see absorb), b
-    null. Pairs met in this task: h, b, and a sig of their own."""
-    names = ["sig", "h", "n", "b"]
+    """docs (id, text) -> rows of two kinds. Index keys: sig, h, n (negative: the set stands for others, see absorb). Pairs
+    met in this task: h, n = 0 and a sig from which met_pairs gets the other set back."""
+    names = ["sig", "h", "n"]
 
     def run(batches):
         met: set[bytes] = set()
         known, held, size = dict(schemes), [], 0
+        new: list[np.ndarray] = []
+        names_of: list[int] = []
+        elements = 0
+
+        def keys_of_new() -> int:
+            s, whose = all_signatures(new, percent, known)
+            held.append((s, np.array(names_of, np.int64)[whose], np.array([len(x) for x in new], np.int32)[whose]))
+            new.clear()
+            names_of.clear()
+            return len(s)
 
         def combined() -> Iterator[pa.RecordBatch]:
             sig, h, n = (np.concatenate(c) for c in zip(*held, strict=True))
+            held.clear()
             sig = sig.view(np.int64)
             on, more, pairs = absorb(sig, h, n, np.zeros(len(sig), bool), percent)
             # In the order of sets, which packs well.
-            yield pa.RecordBatch.from_arrays([pa.array(sig[on]), pa.array(h[on]), pa.array(np.where(more[on], -n[on], n[on])), pa.nulls(len(on), pa.int64())], names=names)
+            yield pa.RecordBatch.from_arrays([pa.array(sig[on]), pa.array(h[on]), pa.array(np.where(more[on], -n[on], n[on]))], names=names)
             if len(pairs):
-                own = mix64(pairs[:, 0].view(np.uint64) ^ mix64(pairs[:, 1].copy().view(np.uint64))).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(pairs[:, 0].copy()), pa.array(np.zeros(len(own), np.int32)), pa.array(pairs[:, 1].copy())], names=names)
+                a, b = pairs[:, 0].copy(), pairs[:, 1].copy()
+                yield pa.RecordBatch.from_arrays([pa.array(b ^ mixed_name(a)), pa.array(a), pa.array(np.zeros(len(a), np.int32))], names=names)
 
         for _, sets in _batches(batches, 1, k):
             for x in sets:
                 if not len(x) or (key := set_key(x)) in met:
                     continue
                 met.add(key)
-                s = all_signatures(x, percent, known)
-                held.append((s, np.full(len(s), _id64(key), np.int64), np.full(len(s), len(x), np.int32)))
-                size += len(s)
-                if size >= COMBINED:
-                    yield from combined()
-                    held, size = [], 0
+                new.append(x)
+                names_of.append(_id64(key))
+                elements += len(x)
+                if elements >= TAKEN:
+                    size, elements = size + keys_of_new(), 0
+                    if size >= COMBINED:
+                        yield from combined()
+                        size = 0
+        if new:
+            keys_of_new()
         if held:
             yield from combined()
 
-    return docs.mapInArrow(run, "sig long, h long, n int, b long")
+    return docs.mapInArrow(run, "sig long, h long, n int")
+
+
+def mixed_name(h: np.ndarray) -> np.ndarray:
+    return mix64(h.view(np.uint64)).view(np.int64)
 
 
-def all_signatures(x: np.ndarray, percent: int, known: dict[int, Scheme | None]) -> np.ndarray:
-    """Index keys of a set in its own band and the one above; known: schemes by band, filled up here."""
-    band, out = band_of(len(x), percent), []
-    for b in (band, band + 1):
+def all_signatures(sets: list[np.ndarray], percent: int, known: dict[int, Scheme | None]) -> tuple[np.ndarray, np.ndarray]:
+    """Index keys of sets in their own bands and the ones above, set after set, and the place of each key's set; known:
+    schemes by band, filled up here."""
+    by_band: dict[int, list[int]] = {}
+    for i, x in enumerate(sets):
+        band = band_of(len(x), percent)
+        for b in (band, band + 1):
+            by_band.setdefault(b, []).append(i)
+    out, whose = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+    for b, some in by_band.items():
         if b not in known:
             known[b] = default_scheme(b, percent)
         if known[b] is not None:
-            out.append(signatures(x, known[b]))
-    return np.concatenate(out) if out else np.zeros(0, np.uint64)
+            keys, of = band_signatures(np.concatenate([sets[i] for i in some]), np.array([len(sets[i]) for i in some]), known[b])
+            out.append(keys)
+            whose.append(np.array(some)[of])
+    keys, of = np.concatenate(out), np.concatenate(whose)
+    order = np.argsort(of.astype(np.uint16) if len(sets) <= 1 << 16 else of, kind="stable")
+    return keys[order], of[order]
 
 
 def meet(keys: DataFrame, percent: int) -> DataFrame:
@@ -354,14 +417,11 @@ def meet(keys: DataFrame, percent: int) -> DataFrame:
 
     def run(batches):
         held = None
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            pair = batch.column(3).is_valid()
-            known = batch.filter(pair)
-            if known.num_rows:
-                yield pa.RecordBatch.from_arrays([known.column(1), known.column(3)], names=["a", "b"])
-            sig, h, n = (c.to_numpy(zero_copy_only=False) for c in batch.filter(pc.invert(pair)).columns[:3])
+        for sig, h, n in several_batches(batches, MET_ROWS):
+            pair = n == 0
+            if pair.any():
+                yield pa.RecordBatch.from_arrays([pa.array(h[pair]), pa.array(sig[pair] ^ mixed_name(h[pair]))], names=["a", "b"])
+                sig, h, n = (c[~pair] for c in (sig, h, n))
             rows = [sig, h, abs(n), n < 0]
             if held is not None:
                 rows = [np.concatenate(c) for c in zip(held, rows, strict=True)]
@@ -386,6 +446,19 @@ def meet(keys: DataFrame, percent: int) -> DataFrame:
     return keys.repartition("sig").sortWithinPartitions("sig").mapInArrow(run, "a long, b long").distinct()
 
 
+def several_batches(batches, rows: int) -> Iterator[list[np.ndarray]]:
+    """Columns of consecutive batches without nulls, of so many rows at least (the last: of what is left)."""
+    held, size = [], 0
+    for batch in batches:
+        held.append([c.to_numpy() for c in batch.columns])
+        size += batch.num_rows
+        if size >= rows:
+            yield [np.concatenate(c) for c in zip(*held, strict=True)]
+            held, size = [], 0
+    if size:
+        yield [np.concatenate(c) for c in zip(*held, strict=True)]
+
+
 def set_sketch(x: np.ndarray, buckets: int = SET_SKETCH) -> bytes:
     """How many elements fall into each of a number of buckets, 255 at most. The sum of two sketches' differences is
     never more than the number of elements in which their sets differ."""
@@ -455,13 +528,20 @@ def frequency_sketch(sets: DataFrame) -> np.ndarray:
     return out
 
 
+def of_bounded_sets(batches) -> Iterator[pa.RecordBatch]:
+    """The batches (h, n, items, comp) in slices whose sets have a bounded number of elements together."""
+    for batch in batches:
+        for at in chunks(batch.column(1).to_pylist(), TAKEN):
+            yield batch.slice(at.start, at.stop - at.start)
+
+
 def rare_prefixes(sets: DataFrame, sketch, percent: int) -> DataFrame:
     """sets (h, n, items, comp) -> one row for each of the rarest shingles that any linked partner must share
     one of: token, h, n, pos, comp."""
 
     def run(batches):
         freq = sketch.value
-        for batch in (b.slice(low, 256) for b in batches for low in range(0, b.num_rows, 256)):
+        for batch in of_bounded_sets(batches):
             hs, ns, comps = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1, 3))
             out = []
             for me, n, comp, items in zip(hs, ns, comps, batch.column(2), strict=True):
@@ -651,11 +731,10 @@ def set_keys(items: DataFrame, percent: int, schemes: dict[int, Scheme]) -> Data
 
     def run(batches):
         known = dict(schemes)
-        for batch in (b.slice(low, 256) for b in batches for low in range(0, b.num_rows, 256)):
-            keys = [all_signatures(x.values.to_numpy().view(np.uint64), percent, known) for x in batch.column(2)]
-            at = np.repeat(np.arange(len(keys)), [len(s) for s in keys])
+        for batch in of_bounded_sets(batches):
+            keys, at = all_signatures([x.values.to_numpy().view(np.uint64) for x in batch.column(2)], percent, known)
             took = [batch.column(i).take(pa.array(at)) for i in (0, 1, 3)]
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), *took], names=["sig", "h", "n", "comp"])
+            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), *took], names=["sig", "h", "n", "comp"])
 
     return items.select("h", "n", "items", "comp").mapInArrow(run, "sig long, h long, n long, comp long")
 
