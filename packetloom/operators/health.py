@@ -40,8 +40,8 @@ def positions(segments: DataFrame) -> DataFrame:
     and acked edges of its own direction (own_sent, own_acked) and of the peer's (peer_sent, peer_acked); in_flight of its own
     data and of the data it acknowledges, once there is an acknowledgement; offered: the window it gives the peer, scaled
     where both SYNs offered a shift (scaling: scaled, raw, or unknown)."""
-    whole = Window.partitionBy("tuple_id")
-    upto = whole.orderBy("ordinal").rowsBetween(Window.unboundedPreceding, 0)
+    order = Window.partitionBy("tuple_id").orderBy("ordinal")  # one for all windows, so that segments are sorted once
+    whole, upto = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing), order.rowsBetween(Window.unboundedPreceding, 0)
     base = lambda way: F.min_by(F.when(F.col("way") == way, F.col("seq")), F.when(F.col("way") == way, F.col("ordinal"))).over(whole)
     shift = lambda way: F.min_by(F.when(F.col("way") == way, F.struct("shift")), F.when((F.col("way") == way) & _flag(SYN), F.col("ordinal"))).over(whole)
     rows = segments.withColumns({"base0_": base(0), "base1_": base(1), "syn0_": shift(0), "syn1_": shift(1)}).where("ts_us IS NOT NULL")

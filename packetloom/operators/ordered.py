@@ -14,6 +14,13 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
 
+def plain(column: pa.Array) -> list:
+    """A column's values as Python objects, at once where their kind allows it."""
+    if column.null_count == 0 and (pa.types.is_integer(column.type) or pa.types.is_boolean(column.type) or pa.types.is_string(column.type)):
+        return column.to_numpy(zero_copy_only=False).tolist()
+    return column.to_pylist()
+
+
 def walk(rows: DataFrame, key: list[str], order: list[str], make: Callable[[], object], schema: T.StructType, partitions: int | None = None) -> DataFrame:
     """make() gives a key's fresh state: an object with add(row) and finish(), which return lists of output tuples
     (without the key) for the row just added and for the end of the key. schema: the key's columns, then theirs. partitions: how many tasks, where their rows have to stay few."""
@@ -27,8 +34,9 @@ def walk(rows: DataFrame, key: list[str], order: list[str], make: Callable[[], o
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         current, state, out = None, None, []
         for batch in batches:
-            for row in batch.to_pylist():
-                k = tuple(row[c] for c in key)
+            for values in zip(*map(plain, batch.columns), strict=True):
+                row = dict(zip(names, values, strict=True))
+                k = tuple([row[c] for c in key])
                 if state is None or k != current:
                     if state is not None:
                         out += [current + x for x in state.finish()]

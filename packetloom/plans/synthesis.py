@@ -25,9 +25,8 @@ def text(c: Column | str) -> Column:
 
 def dotted(ip: Column) -> Column:
     """An address's four bytes; numbers beyond 255 are carried (net.dotted_number)."""
-    number = dotted_number(ip)
-    bad = ip.isNotNull() & ~F.coalesce(number < 1 << 32, F.lit(False))
-    return F.when(bad, F.raise_error(F.concat(F.lit("not an address of four bytes: "), ip))).otherwise(u(number, 4))
+    digits = F.hex(dotted_number(ip))
+    return F.when(F.length(digits) <= 8, F.lpad(digits, 8, "0")).when(ip.isNotNull(), F.raise_error(F.concat(F.lit("not an address of four bytes: "), ip)))
 
 
 def labels(name: Column) -> Column:
@@ -61,18 +60,21 @@ def tls_payload() -> Column:
 
 def packets(frames: DataFrame) -> DataFrame:
     """frames with bytes: Ethernet and IPv4 packets of TCP and UDP. TCP payload is written for segments that carry some; a
-    column payload_hex, where it is there and not null, is the payload instead; options_hex are TCP options, in words of four
-    bytes."""
+    column payload_hex, where it is there and not null, is the payload instead, and the only one where frames have no app;
+    options_hex are TCP options, in words of four bytes; src_hex and dst_hex, where they are there, the addresses' bytes."""
     udp = F.col("proto") == "udp"
     given = F.col("payload_hex") if "payload_hex" in frames.columns else F.lit(None).cast("string")
-    payload = F.when(given.isNotNull(), given).when(udp, dns_payload()).when(F.col("payload_len") <= 0, "").when(F.col("app") == "http", http_payload()).when(F.col("app") == "tls", tls_payload()).otherwise("")
+    payload = F.coalesce(given, F.lit(""))
+    if "app" in frames.columns:
+        payload = F.when(given.isNotNull(), given).when(udp, dns_payload()).when(F.col("payload_len") <= 0, "").when(F.col("app") == "http", http_payload()).when(F.col("app") == "tls", tls_payload()).otherwise("")
     options = F.coalesce("options_hex", F.lit("")) if "options_hex" in frames.columns else F.lit("")
     rows = frames.withColumns({"payload_": payload, "options_": options})
     more = (F.length("options_") / 2).cast("long")
     size = F.when(udp, F.length("payload_") / 2).otherwise(F.greatest(F.col("payload_len"), F.length("payload_") / 2))
     tcp = F.concat(u(F.col("src_port"), 2), u(F.col("dst_port"), 2), u(F.col("seq"), 4), u(F.coalesce("ack", F.lit(0)), 4), u(0x50 + more * 4, 1), u(F.col("flags"), 1), u(F.col("win_size"), 2), F.lit("00000000"), "options_")
     datagram = F.concat(u(F.col("src_port"), 2), u(F.col("dst_port"), 2), u(size + 8, 2), F.lit("0000"))
-    ip = F.concat(F.lit("4500"), u(size + F.when(udp, 28).otherwise(40 + more), 2), F.lit("00010000"), u(64, 1), u(F.when(udp, 17).otherwise(6), 1), F.lit("0000"), dotted(F.col("src_ip")), dotted(F.col("dst_ip")))
+    addresses = [F.col(f"{end}_hex") if f"{end}_hex" in frames.columns else dotted(F.col(f"{end}_ip")) for end in ("src", "dst")]
+    ip = F.concat(F.lit("4500"), u(size + F.when(udp, 28).otherwise(40 + more), 2), F.lit("00010000"), u(64, 1), u(F.when(udp, 17).otherwise(6), 1), F.lit("0000"), *addresses)
     ethernet = F.lit("02005E005301" + "02005E005302" + "0800")
     return rows.withColumn("bytes", F.unhex(F.concat(ethernet, ip, F.when(udp, datagram).otherwise(tcp), "payload_"))).drop("payload_", "options_")
 

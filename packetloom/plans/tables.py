@@ -6,7 +6,7 @@ import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
-from contextlib import contextmanager
+from contextlib import contextmanager, nullcontext
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -26,12 +26,27 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def settle(df: DataFrame, label: str, keep: bool = False) -> DataFrame:
+@contextmanager
+def small_methods(spark: SparkSession) -> Iterator[None]:
+    """Jobs that are run inside have their generated code split into methods that the JVM compiles: HotSpot leaves those
+    beyond 8000 bytes to its interpreter, and long expressions in one stage make such. Rows are the same either way."""
+    name = "spark.sql.codegen.hugeMethodLimit"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "8000")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
+def settle(df: DataFrame, label: str, keep: bool = False, split: bool = False) -> DataFrame:
     """Write df once to the shared folder and read it back, so that later steps never recompute it. The table stays
-    until the scratch() around it ends or the folder's owner removes it; with keep it outlives scratch()."""
+    until the scratch() around it ends or the folder's owner removes it; with keep it outlives scratch(). split: for long
+    expressions, see small_methods."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/packetloom-{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    with small_methods(spark) if split else nullcontext():
+        df.write.parquet(path)
     if not keep:
         _written.append(path)
     return spark.read.schema(df.schema).parquet(path)

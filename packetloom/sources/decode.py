@@ -30,9 +30,13 @@ HOST = r"(?i)^[^\r\n]*\r\n(?:[^\r\n]+\r\n){0,31}?Host[ \t]*:[ \t]*([^\r\n]*)\r\n
 
 def number(at: Column | int, size: int) -> Column:
     """Big-endian unsigned number at a 0-based offset of `bytes`; null where the frame is too short."""
-    start = (F.lit(at) if isinstance(at, int) else at) + 1
-    piece = F.substring(F.col("bytes"), start, F.lit(size))
-    return F.when(F.length(piece) == size, F.conv(F.hex(piece), 16, 10).cast("long"))
+    at = F.lit(at) if isinstance(at, int) else at
+    return F.when(F.length("bytes") >= at + size, digits(at, size).cast("long"))
+
+
+def digits(at: Column, size: int) -> Column:
+    """The decimal digits of a number that is there whole."""
+    return F.conv(F.hex(F.substring(F.col("bytes"), at + 1, F.lit(size))), 16, 10)
 
 
 def piece(at: Column, size: Column | int) -> Column:
@@ -40,7 +44,8 @@ def piece(at: Column, size: Column | int) -> Column:
 
 
 def dotted(at: Column) -> Column:
-    return F.concat_ws(".", *[number(at + i, 1).cast("string") for i in range(4)])
+    whole = F.concat_ws(".", *[digits(at + i, 1) for i in range(4)])
+    return F.when(F.length("bytes") >= at + 4, whole).otherwise(F.concat_ws(".", *[number(at + i, 1).cast("string") for i in range(3)]))
 
 
 def colons(at: Column) -> Column:
@@ -354,43 +359,38 @@ def byte(at: Column) -> Column:
     return F.conv(F.hex(F.substring(F.col("bytes"), at + 1, F.lit(1))), 16, 10).cast("int")
 
 
-def tcp_option(at: Column, end: Column, kind: int, size: int) -> Column:
-    """The value of a TCP option of so many bytes; null if it is not there."""
-    start = F.struct(at.cast("int").alias("at"), F.lit(None).cast("int").alias("found"))
+#: A TCP option as hex digits: a filler, or a kind, a length and a value so long. An option area has 40 bytes at most. `__`
+#: stands for a byte that the frame was cut short of.
+TCP_SIZED = "(?:" + "|".join(f"{n:02X}" + (f".{{{2 * n - 4}}}" if n > 2 else "") for n in range(2, 41)) + ")"
+TCP_OPTION = rf"(?:01|(?!0[01]|__)..{TCP_SIZED})"
 
-    def step(acc: Column, _: Column) -> Column:
-        k, n = byte(acc["at"]), byte(acc["at"] + 1)
-        inside = acc["at"] < end
-        jump = F.when(k == 1, 1).when((k > 1) & (n >= 2), n)
-        hit = inside & (k == kind) & (n == size + 2)
-        return F.struct(F.when(inside & jump.isNotNull(), acc["at"] + jump).otherwise(1 << 20).alias("at"), F.when(hit & acc["found"].isNull(), acc["at"] + 2).otherwise(acc["found"]).alias("found"))
 
-    return number(F.aggregate(F.sequence(F.lit(1), F.lit(40)), start, step, lambda a: a["found"]), size)
+def tcp_option(at: Column, end: Column, kind: int, size: int) -> Column:
+    """The value of a TCP option of so many bytes; null if it is not there. One search over the area's hex digits instead of
+    a step for each byte; the byte behind the area is in it, as that of a last kind's length."""
+    area = F.hex(piece(at.cast("int"), (end - at + 1).cast("int")))
+    found = F.length(F.regexp_extract(area, rf"^{TCP_OPTION}*?{kind:02X}{size + 2:02X}", 0))
+    return number(F.when(found > 0, (at + found / 2).cast("int")), size)
 
 
 def tcp_option_at(at: Column, end: Column, kind: int) -> Column:
     """Where the value of a TCP option begins (at) and how many bytes it has (size); null if it is not there whole."""
-    start = F.struct(at.cast("int").alias("next"), F.lit(None).cast("int").alias("at"), F.lit(None).cast("int").alias("size"))
-
-    def step(a: Column, _: Column) -> Column:
-        k, n, inside = byte(a["next"]), byte(a["next"] + 1), a["next"] < end
-        jump = F.when(k == 1, 1).when((k > 1) & (n >= 2) & (a["next"] + n <= end), n)
-        hit = inside & (k == kind) & jump.isNotNull() & a["at"].isNull()
-        return F.struct(F.when(inside & jump.isNotNull(), a["next"] + jump).otherwise(1 << 20).alias("next"), F.when(hit, a["next"] + 2).otherwise(a["at"]).alias("at"), F.when(hit, n - 2).otherwise(a["size"]).alias("size"))
-
-    return F.aggregate(F.sequence(F.lit(1), F.lit(40)), start, step, lambda a: F.when(a["at"].isNotNull(), F.struct(a["at"].alias("at"), a["size"].alias("size"))))
+    area = F.rpad(F.hex(piece(at, end - at)), F.greatest(2 * (end - at), F.lit(0)), F.lit("_"))
+    found = F.length(F.regexp_extract(area, rf"^{TCP_OPTION}*?{kind:02X}(?={TCP_SIZED})..", 0))
+    value = (at + found / 2).cast("int")
+    return F.when(found > 0, F.struct(value.alias("at"), (byte(value - 1) - 2).alias("size")))
 
 
 def with_tcp_options(decoded: DataFrame) -> DataFrame:
     """decode()'s rows with sack (the blocks of a selective acknowledgement, in wire order), ts_value and ts_echo (RFC 2018
     and 7323); null where a segment has no such option."""
     tcp, l4 = F.col("proto") == "tcp", F.col("l4").cast("int")
-    end = l4 + F.floor(number(l4 + 12, 1) / 16).cast("int") * 4
-    rows = decoded.withColumns({"sack_": F.when(tcp, tcp_option_at(l4 + 20, end, 5)), "times_": F.when(tcp, tcp_option_at(l4 + 20, end, 8))})
+    rows = decoded.withColumn("end_", F.when(tcp, l4 + F.floor(number(l4 + 12, 1) / 16).cast("int") * 4))
+    rows = rows.withColumns({"sack_": tcp_option_at(l4 + 20, F.col("end_"), 5), "times_": tcp_option_at(l4 + 20, F.col("end_"), 8)})
     count = F.floor(F.col("sack_.size") / 8).cast("int")
     blocks = F.transform(F.sequence(F.lit(0), count - 1), lambda i: F.struct(number(F.col("sack_.at") + 8 * i, 4).alias("left"), number(F.col("sack_.at") + 8 * i + 4, 4).alias("right")))
     stamped = F.col("times_.size") == 8
-    return rows.withColumns({"sack": F.when(count > 0, blocks), "ts_value": F.when(stamped, number(F.col("times_.at"), 4)), "ts_echo": F.when(stamped, number(F.col("times_.at") + 4, 4))}).drop("sack_", "times_")
+    return rows.withColumns({"sack": F.when(count > 0, blocks), "ts_value": F.when(stamped, number(F.col("times_.at"), 4)), "ts_echo": F.when(stamped, number(F.col("times_.at") + 4, 4))}).drop("sack_", "times_", "end_")
 
 
 def server_name(hello: Column) -> Column:

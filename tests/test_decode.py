@@ -137,3 +137,49 @@ def test_dns_names_and_answers(decoded):
     assert learned == {X: "one.example", "2001:db8:0:0:0:0:0:9": "one.example", Y: "host.local"}
     session = next(r for r in S.fold_sessions(D.as_frames(names)).collect() if r.server_ip == B)
     assert sorted(session.dns_answers) == ["192.0.2.3", "2001:db8:0:0:0:0:0:9"]
+
+
+def option(area: bytes, end: int, kind: int, whole: bool):
+    """(place, size) of the first option of a kind in a segment's bytes behind its fixed header; end is where the area ends."""
+    at = 0
+    while at < min(end, len(area)):
+        n = area[at + 1] if at + 1 < len(area) else None
+        if area[at] == 1:
+            at += 1
+        elif area[at] == 0 or n is None or n < 2 or (whole and at + n > end):
+            return None
+        elif area[at] == kind:
+            return at + 2, n - 2
+        else:
+            at += n
+    return None
+
+
+def test_options_against_a_walk_over_their_bytes(spark):
+    import random
+    import struct
+
+    r = random.Random(11)
+    made = [lambda: b"\1", lambda: b"\0", lambda: bytes([3, 3, r.randrange(16)]), lambda: b"\2\4" + r.randbytes(2), lambda: (lambda n: bytes([5, 2 + 8 * n]) + r.randbytes(8 * n))(r.randrange(4)), lambda: b"\x08\x0a" + r.randbytes(8), lambda: bytes([r.choice([2, 3, 5, 8, 30]), r.randrange(14)]), lambda: r.randbytes(r.randrange(1, 6))]
+    packets, want = [], {}
+    for i in range(600):
+        area = b"".join(r.choice(made)() for _ in range(r.randrange(7)))[:40]
+        words = 5 + (len(area) + 3) // 4 if r.random() < 0.8 else r.randrange(16)
+        area += bytes(-len(area) % 4) if r.random() < 0.7 else r.randbytes(r.randrange(4))
+        area = area[: r.randrange(len(area) + 1)] if r.random() < 0.2 else area  # cut short
+        packets.append(ethernet(0x0800, ipv4("10.0.0.1", "10.0.0.2", 6, struct.pack(">HHIIBBHHH", 1, 2, 3, 4, words << 4, 16, 9, 0, 0) + area)))
+        end = words * 4 - 20
+        value = lambda at, n: int.from_bytes(area[at : at + n]) if at + n <= len(area) else None  # noqa: B023, E731
+        sack, times = option(area, end, 5, True), option(area, end, 8, True)
+        blocks = [(value(sack[0] + 8 * j, 4), value(sack[0] + 8 * j + 4, 4)) for j in range(sack[1] // 8)] if sack else []
+        stamped = times is not None and times[1] == 8
+        want[i + 1] = (blocks or None, value(times[0], 4) if stamped else None, value(times[0] + 4, 4) if stamped else None)
+    got = D.with_tcp_options(D.decode(frames(spark, packets))).select("ordinal", "sack", "ts_value", "ts_echo").collect()
+    assert {x.ordinal: (x.sack and [(b.left, b.right) for b in x.sack], x.ts_value, x.ts_echo) for x in got} == want
+
+
+def test_options_take_no_step_for_each_byte(spark, capsys):
+    read = D.with_tcp_options(D.decode(frames(spark, [ethernet(0x0800, ipv4("10.0.0.1", "10.0.0.2", 6, b"\0" * 20))])))
+    read.select("mss", "win_shift", "ts_value", "sack").explain()
+    plan = capsys.readouterr().out
+    assert plan.count("aggregate(") == 1  # the walk over IPv6 headers

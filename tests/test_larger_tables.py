@@ -78,3 +78,21 @@ def test_drop_repeats_sorts_no_whole_table_in_one_task(spark):
     out = files.drop_repeats(df, ["v"], block=200)
     sizes = out.withColumn("task", F.spark_partition_id()).groupBy("task").count().collect()
     assert sum(x["count"] for x in sizes) == 2_000 and max(x["count"] for x in sizes) < 1_500
+
+
+def test_tcp_health_makes_its_segments_in_one_pass_and_keeps_what_is_read(spark, sf_dir, monkeypatch, capsys):
+    from packetloom import queries
+
+    seen, real = {}, queries.settle
+
+    def settle(df, label, **kw):
+        df.explain()
+        seen[label] = (df.columns, capsys.readouterr().out)
+        return real(df, label, **kw)
+
+    monkeypatch.setattr(queries, "settle", settle)
+    before = spark.conf.get("spark.sql.codegen.hugeMethodLimit")
+    QUERIES["tcp_health"](spark, sf_dir)
+    assert seen["written"][1].count("FileScan parquet") == 1 and seen["written"][1].count("Exchange") == 1
+    assert len(seen["decoded"][0]) == 11 and "bytes" not in seen["decoded"][0]
+    assert spark.conf.get("spark.sql.codegen.hugeMethodLimit") == before
